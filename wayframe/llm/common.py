@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 
@@ -49,3 +50,19 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     """Drop input columns whose names the result needs; names compare without case, as Spark does."""
     low = {n.lower() for n in names}
     return df.drop(*[c for c in df.columns if c.lower() in low])
+
+
+def in_batches(df: DataFrame, size: int = 16 << 20) -> DataFrame:
+    """df, in a session whose Arrow batches to Python hold at most about `size` bytes, unless the session has its own bound."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf = df.sparkSession.conf
+    if int(conf.get(key, str(2**31 - 1)).rstrip("bB")) > 1 << 30:
+        conf.set(key, str(size))
+    return df
+
+
+def digest(spans: list[tuple[str, int, int]], kinds: tuple[str, ...]) -> tuple[str, str]:
+    """Spans of (kind, start, end) by start, then kind as listed, comma-joined; and the SHA-256 of that."""
+    rank = {k: i for i, k in enumerate(kinds)}
+    joined = ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: (x[1], rank[x[0]], x[2])))
+    return joined, hashlib.sha256(joined.encode()).hexdigest()

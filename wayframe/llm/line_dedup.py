@@ -80,10 +80,10 @@ h AS (
          sum(CASE WHEN regexp_matches(line, '[^\x20\x09-\x0D]') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS place
   FROM l),
 w AS (
-  SELECT doc_id, place, [line, lead(line) OVER o, lead(line, 2) OVER o] AS k, lead(line, 2) OVER o IS NOT NULL AS full
+  SELECT doc_id, place, [line, lead(line) OVER o, lead(line, 2) OVER o] AS k, lead(line, 2) OVER o IS NOT NULL AS whole
   FROM h WHERE held WINDOW o AS (PARTITION BY doc_id ORDER BY place)),
 later AS (
-  SELECT doc_id, place FROM (SELECT doc_id, place, row_number() OVER (PARTITION BY k ORDER BY doc_id, place) AS n FROM w WHERE full)
+  SELECT doc_id, place FROM (SELECT doc_id, place, row_number() OVER (PARTITION BY k ORDER BY doc_id, place) AS n FROM w WHERE whole)
   WHERE n > 1),
 gone AS (SELECT DISTINCT doc_id, place + k AS place FROM later, (VALUES (0), (1), (2)) v(k)),
 r AS (

@@ -1,9 +1,12 @@
 """Queries of this subpackage by name, and the SQL of those that SQL can express."""
 
-from . import line_dedup, mixing
+from . import bpe_count, line_dedup, mixing, pii_crf, secret_scan
 
 QUERIES = {
+    "op3_secret_scan": secret_scan.op3_secret_scan,
     "op5_mix": mixing.op5_mix,
+    "op7_pii": pii_crf.op7_pii,
+    "op9_token_counts": bpe_count.op9_token_counts,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 SQL = {
