@@ -1,8 +1,10 @@
 """Queries of this subpackage by name, and the SQL of those that SQL can express."""
 
-from . import bpe_count, line_dedup, mixing, pii_crf, secret_scan
+from . import bpe_count, line_dedup, mixing, pii_crf, quality_cnn, quality_rules, secret_scan
 
 QUERIES = {
+    "op1_quality_classifier": quality_cnn.op1_quality_classifier,
+    "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_secret_scan": secret_scan.op3_secret_scan,
     "op5_mix": mixing.op5_mix,
     "op7_pii": pii_crf.op7_pii,
@@ -10,6 +12,7 @@ QUERIES = {
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 SQL = {
+    "op2_quality_rules": quality_rules.SQL,
     "op5_mix": mixing.SQL,
     "op10_line_dedup": line_dedup.SQL,
 }
