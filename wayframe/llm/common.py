@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,13 +33,23 @@ def n_words(text: Column) -> Column:
     return (F.size(parts) - F.when(F.element_at(parts, 1) == "", 1).otherwise(0) - F.when(F.element_at(parts, -1) == "", 1).otherwise(0)).cast("long")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share; one of this machine only where none is set, as in tests."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    return folder or f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with files in the shared folder of spark.checkpoint.dir; a folder of this machine only where none is set."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "checkpoints"))
-    return df.checkpoint()
+    """df cut off from its lineage by a table written in the shared folder, which goes when the session's JVM ends.
+
+    Unlike checkpoint(), the table read again brings along no constraints of its former plan, which in loops multiply.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def let(value: Column, body) -> Column:

@@ -176,8 +176,8 @@ def counted(rows: DataFrame, ranges: int) -> DataFrame:
 
 
 def prefixes(rows: DataFrame, percent: int) -> DataFrame:
-    """(doc_id, n, rep, grams, place): of each document its size, its class and, of a class's representative, the shingles of
-    its prefix that others have too, rare first, with their places in the order."""
+    """(doc_id, n, u, rep, grams): of each document its size, how many of its shingles no other has, its class and, of a class's
+    representative, the shingles of its prefix that others have too, rare first: they come after the u others in the order."""
 
     def run(_: tuple, b: pd.DataFrame) -> pd.DataFrame:
         e, gram, df, ids, n, rep = (joined(b[c], kind) for c, kind in BACK.items())
@@ -193,10 +193,9 @@ def prefixes(rows: DataFrame, percent: int) -> DataFrame:
         keep = (place < (n - -(-n * percent // 100) + 1)[at]) & (rep == ids)[at]
         at, gram, place = at[keep], gram[keep], place[keep]
         cuts = np.searchsorted(at, np.arange(len(ids) + 1))
-        parts = [slice(cuts[i], cuts[i + 1]) for i in range(len(ids))]
-        return pd.DataFrame({"doc_id": ids, "n": n, "rep": rep, "grams": [gram[s] for s in parts], "place": [place[s].astype(np.int32) for s in parts]})
+        return pd.DataFrame({"doc_id": ids, "n": n, "u": np.maximum(n - count, 0), "rep": rep, "grams": [gram[cuts[i] : cuts[i + 1]] for i in range(len(ids))]})
 
-    return rows.groupBy("b").applyInPandas(run, "doc_id long, n long, rep long, grams array<long>, place array<int>")
+    return rows.groupBy("b").applyInPandas(run, "doc_id long, n long, u long, rep long, grams array<long>")
 
 
 def suffix_bound(x: np.ndarray, y: np.ndarray, need: int, depth: int = 2) -> bool:
@@ -235,12 +234,21 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return common.in_batches(full.select("a", "b", "x", "y")).mapInPandas(run, "a long, b long")
 
 
-def possible(pairs: DataFrame, percent: int) -> DataFrame:
-    """The distinct pairs that pass the length and position bounds; the smaller doc_id is a."""
-    need = F.ceil(F.lit(percent) * (F.col("n1") + F.col("n2")) / F.lit(100 + percent))
-    most = F.least("p1", "p2") + 1 + F.least(F.col("n1") - F.col("p1") - 1, F.col("n2") - F.col("p2") - 1)
-    good = (100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2")) & (most >= need)
-    return pairs.where(good).select(F.least("d1", "d2").alias("a"), F.greatest("d1", "d2").alias("b")).distinct()
+def need(percent: int) -> str:
+    """How many shingles a pair has to share."""
+    return f"(({percent} * (n1 + n2) + {99 + percent}) div {100 + percent})"
+
+
+def bounds(percent: int) -> str:
+    """Condition on a pair that shares a prefix shingle, of ranks r1 and r2 among those that are not unique.
+
+    Length; unique shingles, which match nothing; the shingles before and after the shared one; and of the shorter document, the
+    index prefix, which is shorter as the other one is no shorter.
+    """
+    short = "least({})".format(", ".join(f"named_struct('n', n{i}, 'd', d{i}, 'place', u{i} + r{i})" for i in (1, 2)))
+    return f"""100 * least(n1, n2) >= {percent} * greatest(n1, n2) and least(n1 - u1, n2 - u2) >= {need(percent)}
+      and least(r1, r2) + 1 + least(n1 - u1 - r1 - 1, n2 - u2 - r2 - 1) >= {need(percent)}
+      and {short}.place <= {short}.n - ((2 * {percent} * {short}.n + {99 + percent}) div {100 + percent})"""
 
 
 def text_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -261,7 +269,7 @@ def text_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def links_of(found: DataFrame, docs: DataFrame, percent: int, rounds: int, enough: int) -> DataFrame | None:
     """(id, label) of the classes that links join, or None without candidates."""
-    grams = found.where(F.size("grams") > 0).select(F.col("doc_id").alias("d"), "n", F.explode(F.arrays_zip("grams", "place")).alias("g")).select("d", "n", F.col("g.grams").alias("gram"), F.col("g.place").alias("p"))
+    grams = found.where(F.size("grams") > 0).select(F.col("doc_id").alias("d"), "n", "u", F.posexplode("grams").alias("r", "gram"))
     shared = grams.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
     grams = common.checkpointed(grams.join(shared, "gram"))
     if grams.isEmpty():
@@ -280,15 +288,15 @@ def links_of(found: DataFrame, docs: DataFrame, percent: int, rounds: int, enoug
         if left == 0:
             break
         last = left <= enough or k == rounds
-        one = open_.select("gram", F.col("d").alias("d1"), F.col("n").alias("n1"), F.col("p").alias("p1"), F.col("label").alias("l1"))
-        two = open_.select("gram", F.col("d").alias("d2"), F.col("n").alias("n2"), F.col("p").alias("p2"), F.col("label").alias("l2"))
+        one, two = (open_.select(F.col("gram").alias(f"g{i}"), *[F.col(c).alias(f"{c[0]}{i}") for c in ("d", "n", "u", "r", "label")]) for i in (1, 2))
+        close = F.expr(bounds(percent))
         if last:
-            pairs = one.join(two, "gram").where("d1 < d2 and l1 <> l2")
+            pairs = one.join(two, F.expr("g1 = g2 and d1 < d2 and l1 <> l2") & close)
         else:
             order = F.struct(F.xxhash64("d1", F.lit(k)), "d1")
-            pivots = one.groupBy("gram").agg(F.min_by(F.struct("d1", "n1", "p1", "l1"), order).alias("v")).select("gram", "v.*")
-            pairs = two.join(pivots, "gram").where("d1 <> d2 and l1 <> l2")
-        pairs = possible(pairs, percent)
+            pivots = one.groupBy("g1").agg(F.min_by(F.struct("d1", "n1", "u1", "r1", "l1"), order).alias("v")).select("g1", "v.*")
+            pairs = two.join(pivots, F.expr("g1 = g2 and d1 <> d2 and l1 <> l2") & close)
+        pairs = pairs.select(F.least("d1", "d2").alias("a"), F.greatest("d1", "d2").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = common.checkpointed(pairs)
@@ -301,7 +309,7 @@ def links_of(found: DataFrame, docs: DataFrame, percent: int, rounds: int, enoug
     return labels
 
 
-def join_classes(docs: DataFrame, percent: int = 80, rounds: int = 8, enough: int = 200_000, ranges: int | None = None) -> DataFrame:
+def join_classes(docs: DataFrame, percent: int = 80, rounds: int = 5, enough: int = 100_000, ranges: int | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each document; component_id: the smallest doc_id that links reach, itself included.
 
     rounds and enough say how long pivots are tried before all pairs that are still open are formed; both lose no link.
