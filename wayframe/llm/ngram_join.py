@@ -240,15 +240,12 @@ def need(percent: int) -> str:
 
 
 def bounds(percent: int) -> str:
-    """Condition on a pair that shares a prefix shingle, of ranks r1 and r2 among those that are not unique.
+    """Condition on a pair at the first prefix shingle that it shares, of ranks r1 and r2 among those that are not unique.
 
-    Length; unique shingles, which match nothing; the shingles before and after the shared one; and of the shorter document, the
-    index prefix, which is shorter as the other one is no shorter.
+    Length; and position: of either document, what comes before that shingle matches nothing, and the rest has to suffice.
     """
-    short = "least({})".format(", ".join(f"named_struct('n', n{i}, 'd', d{i}, 'place', u{i} + r{i})" for i in (1, 2)))
-    return f"""100 * least(n1, n2) >= {percent} * greatest(n1, n2) and least(n1 - u1, n2 - u2) >= {need(percent)}
-      and least(r1, r2) + 1 + least(n1 - u1 - r1 - 1, n2 - u2 - r2 - 1) >= {need(percent)}
-      and {short}.place <= {short}.n - ((2 * {percent} * {short}.n + {99 + percent}) div {100 + percent})"""
+    rest = " and ".join(f"n{i} - u{i} - r{i} >= {need(percent)}" for i in (1, 2))
+    return f"100 * least(n1, n2) >= {percent} * greatest(n1, n2) and {rest}"
 
 
 def text_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -309,7 +306,7 @@ def links_of(found: DataFrame, docs: DataFrame, percent: int, rounds: int, enoug
     return labels
 
 
-def join_classes(docs: DataFrame, percent: int = 80, rounds: int = 5, enough: int = 100_000, ranges: int | None = None) -> DataFrame:
+def join_classes(docs: DataFrame, percent: int = 80, rounds: int = 2, enough: int = 20_000, ranges: int | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each document; component_id: the smallest doc_id that links reach, itself included.
 
     rounds and enough say how long pivots are tried before all pairs that are still open are formed; both lose no link.

@@ -1,11 +1,12 @@
 """Queries of this subpackage by name, and the SQL of those that SQL can express."""
 
-from . import bpe_count, line_dedup, mixing, ngram_join, pii_crf, quality_cnn, quality_rules, secret_scan
+from . import bpe_count, line_dedup, mixing, ngram_join, piece_nbest, pii_crf, quality_cnn, quality_rules, secret_scan
 
 QUERIES = {
     "op1_quality_classifier": quality_cnn.op1_quality_classifier,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_secret_scan": secret_scan.op3_secret_scan,
+    "op4_sentencepiece": piece_nbest.op4_sentencepiece,
     "op5_mix": mixing.op5_mix,
     "op6_ngram_join": ngram_join.op6_ngram_join,
     "op7_pii": pii_crf.op7_pii,
