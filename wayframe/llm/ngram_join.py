@@ -8,8 +8,8 @@ but can match nothing and is not dealt out at all. What is left of the prefixes
 1. Frequencies: numpy packs the shingle hashes of many documents into one row per range of hashes; a range's rows meet in one
    task, which counts its shingles, and finds the documents of equal sets by digest. Rows are dealt back by document.
 2. Documents of equal sets are one class from here on, represented by their smallest doc_id.
-3. Candidates share a prefix shingle and pass the length and position bounds. In every shingle's group they first meet one
-   pivot, the same in all groups where it occurs, and only documents that links do not yet join meet further ones; what rounds of
+3. Candidates share a prefix shingle and pass the length and position bounds. In every shingle's group they first meet a few
+   pivots, the same in all groups where they occur, and only documents that links do not yet join meet further ones; what rounds of
    pivots leave is paired in full. A pair passes the suffix bound or is intersected, once.
 
 Linked classes are thus found without all pairs of a large group of near copies, and no link between classes is lost.
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -264,7 +264,7 @@ def text_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return sets.groupBy("id").agg(F.max("set").alias("set"))
 
 
-def links_of(found: DataFrame, docs: DataFrame, percent: int, rounds: int, enough: int) -> DataFrame | None:
+def links_of(found: DataFrame, docs: DataFrame, percent: int, rounds: int, pivots: int, enough: int) -> DataFrame | None:
     """(id, label) of the classes that links join, or None without candidates."""
     grams = found.where(F.size("grams") > 0).select(F.col("doc_id").alias("d"), "n", "u", F.posexplode("grams").alias("r", "gram"))
     shared = grams.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
@@ -290,9 +290,9 @@ def links_of(found: DataFrame, docs: DataFrame, percent: int, rounds: int, enoug
         if last:
             pairs = one.join(two, F.expr("g1 = g2 and d1 < d2 and l1 <> l2") & close)
         else:
-            order = F.struct(F.xxhash64("d1", F.lit(k)), "d1")
-            pivots = one.groupBy("g1").agg(F.min_by(F.struct("d1", "n1", "u1", "r1", "l1"), order).alias("v")).select("g1", "v.*")
-            pairs = two.join(pivots, F.expr("g1 = g2 and d1 <> d2 and l1 <> l2") & close)
+            order = Window.partitionBy("g1").orderBy(F.xxhash64("d1", F.lit(k)), "d1")
+            some = one.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= pivots).drop("turn")
+            pairs = two.join(some, F.expr("g1 = g2 and d1 <> d2 and l1 <> l2") & close)
         pairs = pairs.select(F.least("d1", "d2").alias("a"), F.greatest("d1", "d2").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
@@ -306,15 +306,15 @@ def links_of(found: DataFrame, docs: DataFrame, percent: int, rounds: int, enoug
     return labels
 
 
-def join_classes(docs: DataFrame, percent: int = 80, rounds: int = 2, enough: int = 20_000, ranges: int | None = None) -> DataFrame:
+def join_classes(docs: DataFrame, percent: int = 80, rounds: int = 3, pivots: int = 32, enough: int = 20_000, ranges: int | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each document; component_id: the smallest doc_id that links reach, itself included.
 
-    rounds and enough say how long pivots are tried before all pairs that are still open are formed; both lose no link.
+    rounds, pivots and enough say how long and how many pivots are tried before all pairs that are still open are formed; they lose no link.
     ranges: into how many ranges hashes and documents are dealt; twice the session's shuffle partitions unless given.
     """
     ranges = ranges or 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = common.checkpointed(prefixes(counted(packed(docs, ranges), ranges), percent))
-    labels = links_of(found, docs, percent, rounds, enough)
+    labels = links_of(found, docs, percent, rounds, pivots, enough)
     out = found.select("doc_id", "n", "rep")
     if labels is None:
         out = out.withColumn("label", F.lit(None).cast("long"))
