@@ -29,7 +29,9 @@ def targets(sizes: DataFrame, weights=(3, 1, 2), share: float = 1.5, limit: floa
     before, everything = by.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
     after = by.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     s = s.withColumn("level", (F.sum("size").over(everything) * F.lit(share) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(after))
-    s = s.withColumn("level", F.min(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.col("level"))).over(everything))
+    # the level of the first source that is not cut off
+    fits = F.when(F.col("level") * F.col("w") <= F.col("cap"), F.struct(F.col("cap") / F.col("w"), "n", "level"))
+    s = s.withColumn("level", F.min(fits).over(everything)["level"])
     return s.select("source", F.col("size").alias("source_size"), F.coalesce(F.least("cap", F.col("level") * F.col("w")), F.col("cap")).alias("target"))
 
 
@@ -90,7 +92,7 @@ l AS (
             / sum(w) OVER (ORDER BY cap / w, n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM w),
 t AS (
-  SELECT source, source_size, coalesce(least(cap, w * (SELECT min(level) FROM l WHERE level * w <= cap)), cap) AS target
+  SELECT source, source_size, coalesce(least(cap, w * (SELECT level FROM l WHERE level * w <= cap ORDER BY cap / w, n LIMIT 1)), cap) AS target
   FROM l),
 e AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target)::BIGINT // source_size ELSE 0 END AS epochs FROM t)

@@ -1,6 +1,6 @@
 """Queries of this subpackage by name, and the SQL of those that SQL can express."""
 
-from . import bpe_count, line_dedup, mixing, ngram_join, piece_nbest, pii_crf, quality_cnn, quality_rules, secret_scan
+from . import bpe_count, line_dedup, mixing, ngram_join, piece_nbest, pii_crf, prefix_forest, quality_cnn, quality_rules, secret_scan
 
 QUERIES = {
     "op1_quality_classifier": quality_cnn.op1_quality_classifier,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_mix": mixing.op5_mix,
     "op6_ngram_join": ngram_join.op6_ngram_join,
     "op7_pii": pii_crf.op7_pii,
+    "op8_prefix_forest": prefix_forest.op8_prefix_forest,
     "op9_token_counts": bpe_count.op9_token_counts,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
