@@ -272,7 +272,7 @@ def links_of(found: DataFrame, docs: DataFrame, percent: int, rounds: int, pivot
     if grams.isEmpty():
         return None
     sets = common.checkpointed(text_sets(docs, grams))
-    done = edges = labels = None
+    done = labels = None
     for k in range(rounds + 1):
         open_ = grams.withColumn("label", F.col("d"))
         if labels is not None:
@@ -299,8 +299,7 @@ def links_of(found: DataFrame, docs: DataFrame, percent: int, rounds: int, pivot
         pairs = common.checkpointed(pairs)
         new = common.checkpointed(verified(pairs, sets, percent))
         done = pairs if done is None else done.union(pairs)
-        edges = new if edges is None else edges.union(new)
-        labels = components(edges)
+        labels = components(new, labels)
         if last:
             break
     return labels
