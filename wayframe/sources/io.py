@@ -9,8 +9,8 @@ from pyspark.sql import types as T
 
 def read_responses(spark: SparkSession, folder: str, recursive: bool = False, kind: str = "response") -> DataFrame:
     """(sample_id, text, file) of <kind>_sample_<id>.txt files; sample_id is null where the name has no number."""
-    reader = spark.read.option("wholetext", True).option("pathGlobFilter", f"{kind}_sample_*.txt").option("recursiveFileLookup", recursive)
-    raw = reader.text(folder).select("value", F.col("_metadata.file_name").alias("file"))
+    reader = spark.read.option("pathGlobFilter", f"{kind}_sample_*.txt").option("recursiveFileLookup", recursive)
+    raw = reader.text(folder, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
     number = F.regexp_extract("file", rf"{kind}_sample_(\d+)\.txt$", 1)
     return raw.select(F.nullif(number, F.lit("")).cast("int").alias("sample_id"), F.col("value").alias("text"), "file")
 
