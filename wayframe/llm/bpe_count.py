@@ -63,7 +63,7 @@ class Counter:
         seq = np.repeat(np.arange(len(tokens)), n)
         none = len(self.keys)
         rank = None
-        while len(sym) > 1:
+        while len(sym):
             if rank is None:
                 rank = np.full(len(sym), none, dtype=np.int64)
                 rank[:-1] = np.where(seq[:-1] == seq[1:], self.rank(sym[:-1], sym[1:]), none)

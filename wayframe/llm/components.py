@@ -20,7 +20,7 @@ def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
         for c in ("a", "b"):
             e = e.join(known.select(F.col("id").alias(c), F.col("label").alias("l")), c, "left").withColumn(c, F.coalesce("l", c)).drop("l")
     e = e.where("a <> b")
-    e = common.checkpointed(e.union(e.select("b", "a")).distinct())
+    e = common.checkpointed(e.select("a", "b").union(e.select("b", "a")).distinct())
     labels = e.select(F.col("a").alias("id"), F.col("a").alias("label")).distinct()
     while not e.isEmpty():
         near = e.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("p"))

@@ -230,7 +230,7 @@ class Field:
         start = (np.cumsum(size) - size)[order]
         size = size[order]
         tags = np.zeros(len(score), dtype=np.int8)
-        if not len(size):
+        if not len(score):
             return tags
         back = np.zeros((len(score), len(TAGS)), dtype=np.int8)
         live = np.searchsorted(-size, -np.arange(int(size[0])), side="left")  # sequences longer than j
