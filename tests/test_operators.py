@@ -256,3 +256,51 @@ def test_files(spark, tmp_path):
     io.save_artifact(rows, str(tmp_path / "b"), split="test")
     with pytest.raises(ValueError):
         io.load_artifact(spark, str(tmp_path / "b"))
+
+
+def test_context_rules(spark):
+    from wayframe.functions import answers as A
+
+    good = {"actions": ["change-left", "Accelerate"], "affordances": ["left free", "AHEAD_FREE"], "scenario": "dense", "summary": "s", "reason": "r"}
+    read = lambda text: value(spark, A.context_vector(A.context(F.lit(text))))
+    want = [0.0, 2.0, 0.0, 0.0, 3.0, 0.0, 0.0, 0.0, 1.0, 0.0, 1.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0]
+    assert read(json.dumps(good)) == want and read("```json\n" + json.dumps(good) + "\n```") == want
+    for change in ({"more": 1}, {"actions": ["fly"]}, {"actions": ["stop", "STOP "]}, {"actions": "stop"}, {"actions": []}, {"scenario": None}, {"reason": " "}):
+        assert read(json.dumps(good | change)) is None, change
+    assert read(json.dumps(good) + " so") is None and read("") is None
+
+
+def test_joint_rules(spark):
+    from wayframe.functions import answers as A
+
+    good = "Thought:\n- feature: a\n- behavior: b\nFinal answer:\nIntention: 1 (left)\nTrajectory: [[1, 2], [3, 4.5]]"
+    read = lambda text: value(spark, A.joint_answer(F.lit(text), 2))
+    assert read(good)["intention"] == 1 and read(good)["points"] == [[1, 2], [3, 4.5]]
+    for a, b in (("left", "right"), ("[3, 4.5]", "[3]"), (", [3, 4.5]", ""), ("4.5", "NaN"), ("- behavior: b\n", ""), ("4.5]]", "4.5]]\nmore")):
+        assert read(good.replace(a, b)) is None, (a, b)
+
+
+def test_training_pair(spark):
+    from wayframe.functions import answers as A
+
+    p = value(spark, A.training_pair(F.array(*map(F.lit, range(10))), F.array(F.lit(50)), 99, 7))
+    assert p["input_ids"] == [0, 1, 2, 8, 9, 50, 99] and p["labels"] == [-100] * 5 + [50, 99]
+
+
+def test_network_and_settings(spark, tmp_path):
+    from wayframe.operators import models
+
+    r = np.random.default_rng(3)
+    x, (w, b), (u, c) = r.standard_normal((5, 4)), (r.standard_normal((4, 6)), r.standard_normal(6)), (r.standard_normal((6, 2)), r.standard_normal(2))
+    rows = models.mlp(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, v array<double>"), "v", [(w, b), (u, c)]).orderBy("id").collect()
+    assert np.allclose([k["output"] for k in rows], np.maximum(x @ w + b, 0) @ u + c)
+    path = tmp_path / "s.json"
+    body = {"data": {"train": "t.parquet", "test": "<TEST>"}, "window": {"history": 10, "future": 50, "hz": 10}, "retrieval": {"k": 4, "metric": "cosine"}}
+    path.write_text(json.dumps(body))
+    s = models.Settings.load(path)
+    assert s.split(" Train") == str(tmp_path / "t.parquet")
+    with pytest.raises(ValueError, match="placeholder"):
+        s.split("test")
+    path.write_text(json.dumps(body | {"retrieval": {"k": 0, "metric": "cosine"}}))
+    with pytest.raises(ValueError, match="range"):
+        models.Settings.load(path)

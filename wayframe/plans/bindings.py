@@ -6,14 +6,17 @@ embeddings of 64 numbers are paths of 32 points or retrieval vectors. Results th
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import answers as A
 from ..functions import kinematics as K
 from ..functions import text as X
 from ..operators import evaluate as E
 from ..operators import frames as R
 from ..operators import joins as J
+from ..operators import models
 from ..operators import retrieval as N
 from ..operators import runner
 
@@ -443,3 +446,75 @@ def batch_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     done = runner.predictions(c, lambda prompts: [str(len(p)) for p in prompts], parse, format_retries=1)
     return done.groupBy("status").agg(F.count("*").alias("n"), F.sum("attempts").alias("attempts"))
+
+
+@query("""
+SELECT event_id, CASE WHEN event_id % 5 < 2 THEN list_concat(CASE event_id % 2 WHEN 0 THEN [0.0, 2, 0, 0, 3, 0, 0, 0] ELSE [3.0, 0, 0, 0, 0, 0, 0, 0] END,
+  CASE event_id % 2 WHEN 0 THEN [1.0, 0, 1, 0] ELSE [0.0, 0, 0, 0] END, [CASE WHEN event_type = 'view' THEN 1.0 ELSE 0 END, 0, CASE WHEN event_type = 'view' THEN 0 ELSE 1.0 END, 0, 0])::DOUBLE[] END AS vector FROM events""")
+def context_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Context answers to 17 numbers; three of five forms break a rule: a repeat, an unknown label, another key."""
+    scenario = F.when(F.col("event_type") == "view", "free-flow").otherwise("Merge")
+    even = F.col("event_id") % 2 == 0
+    lists = lambda a, b: F.when(even, F.array(*map(F.lit, a))).otherwise(F.array(*map(F.lit, b)).cast("array<string>"))
+    form = F.col("event_id") % 5
+    actions = F.when(form == 2, F.array(F.lit("stop"), F.lit(" STOP"))).when(form == 3, F.array(F.lit("fly"))).otherwise(lists(("change-left", "accelerate"), ("keep",)))
+    whole = F.to_json(F.struct(actions.alias("actions"), lists(("left free", "AHEAD_FREE"), ()).alias("affordances"), scenario.alias("scenario"), F.lit("s").alias("summary"), F.lit("r").alias("reason")))
+    text = F.when(form == 4, F.regexp_replace(whole, "summary", "note")).when(form == 1, F.concat(F.lit("```json\n"), whole, F.lit("\n```"))).otherwise(whole)
+    return read(spark, sf_dir, "events").select("event_id", A.context_vector(A.context(text)).alias("vector"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 4 < 2 THEN (event_id % 3)::INTEGER END AS intention, CASE WHEN event_id % 4 < 2 THEN round(value + 1.5, 4) END AS total FROM events""")
+def joint_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of a thought and a final block; two of four forms break a rule: a wrong label, a further line."""
+    form, i = F.col("event_id") % 4, F.col("event_id") % 3
+    name = F.element_at(F.array(*map(F.lit, A.INTENTIONS)), (F.when(form == 2, (i + 1) % 3).otherwise(i) + 1).cast("int"))
+    text = F.concat(F.lit("Thought:\n- feature: slow\n- behavior: waits\nFinal answer:\nIntention: "), i.cast("string"), F.lit(" ("), name, F.lit(")\nTrajectory: [["), F.col("value").cast("string"), F.lit(", 0], [1, 0.5]]"), F.when(form == 3, "\nmore").otherwise(""))
+    r = read(spark, sf_dir, "events").select("event_id", A.joint_answer(text, 2).alias("r"))
+    return r.select("event_id", "r.intention", F.round(F.aggregate(F.flatten("r.points"), F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
+
+
+@query("WITH " + FRAMES + """,
+h AS (SELECT user_id, list(x ORDER BY t) AS xs, list(y ORDER BY t) AS ys, list(v ORDER BY t) AS vs, list(lat_v ORDER BY t) AS ls FROM f WHERE t < 10 GROUP BY user_id)
+SELECT e.user_id, len(e.xs) * 8 AS width, round(e.xs[10] - e.xs[1], 6) AS last_dx, round(coalesce(o.xs[10] - e.xs[10], 0), 6) AS last_gap, round(coalesce(o.vs[1] - e.vs[1], 0), 6) AS first_dv FROM h e LEFT JOIN h o ON o.user_id = e.user_id + 1""")
+def history_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ego frames relative to the first one and a neighbour's relative to the ego, flat; an absent neighbour gives zeros."""
+    f = frames(spark, sf_dir).where("t < 10")
+    h = f.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("t", "x", "y", F.col("v").alias("vx"), F.col("lat_v").alias("vy")))).alias("a"))
+    j = h.join(h.select((F.col("user_id") - 1).alias("user_id"), F.col("a").alias("b")), "user_id", "left")
+    none = F.transform("a", lambda _: F.try_element_at(F.slice("b", 1, 0), F.lit(1)))
+    flat = F.flatten(F.concat(R.relative_history(F.col("a")), R.relative_history(F.col("a"), F.coalesce("b", none))))
+    at = lambda k: r6(F.element_at("v", k))
+    return j.select("user_id", flat.alias("v")).select("user_id", F.size("v").cast("long").alias("width"), at(37).alias("last_dx"), at(77).alias("last_gap"), at(43).alias("first_dv"))
+
+
+@query("WITH s AS (SELECT user_id, event_type, avg(value) AS m FROM events GROUP BY ALL) SELECT round(avg(m), 6) AS mean, count(*) AS samples FROM s")
+def repeat_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events").select(F.struct("user_id", "event_type").alias("sample"), "value")
+    return models.repeat_average(e, "sample", "value").select(r6("mean").alias("mean"), "samples")
+
+
+@query("""
+WITH t AS (SELECT doc_id, len(regexp_extract_all(text, '[^ \\n]+')) AS n FROM documents)
+SELECT doc_id, (least(n, 24) + 8)::INTEGER AS tokens, (least(n, 24) * -100)::BIGINT AS masked FROM t""")
+def training_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts of word lengths with an answer of seven tokens and an end token, 32 at most; labels of the prompt are masked."""
+    w = F.transform(F.array_remove(F.split("text", "[ \\n]+"), ""), lambda x: F.length(x))
+    p = read(spark, sf_dir, "documents").select("doc_id", A.training_pair(w, F.array(*[F.lit(1)] * 7), 2, 32).alias("p"))
+    return p.select("doc_id", F.size("p.input_ids").alias("tokens"), F.aggregate(F.filter("p.labels", lambda x: x < 0), F.lit(0).cast("long"), lambda s, x: s + x).alias("masked"))
+
+
+@query("WITH " + FRAMES + """ SELECT user_id, round(min(x) - 5, 6) AS x0, round(max(x) + 5, 6) AS x1, round(min(least(y, -lane_u)) - 5, 6) AS y0, round(max(greatest(y, lane_u)) + 5, 6) AS y1 FROM f GROUP BY user_id""")
+def scene_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Smallest and largest places of a scene's points and lanes, with a margin."""
+    low, high = F.min(F.least("y", -F.col("lane_u"))), F.max(F.greatest("y", "lane_u"))
+    return frames(spark, sf_dir).groupBy("user_id").agg(r6(F.min("x") - 5).alias("x0"), r6(F.max("x") + 5).alias("x1"), r6(low - 5).alias("y0"), r6(high + 5).alias("y1"))
+
+
+@query()
+def student_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A network 64-128-128-30 with seeded weights over standardised vectors."""
+    r = np.random.default_rng(0)
+    layers = [(r.standard_normal((a, b)) / a**0.5, np.zeros(b)) for a, b in ((64, 128), (128, 128), (128, 30))]
+    e = read(spark, sf_dir, "embeddings")
+    z = N.scaled(e, "embedding", N.moments(e, "embedding", two_moment=True)).select("vec_id", "embedding")
+    return models.mlp(z, "embedding", layers).select("vec_id", F.transform("output", lambda x: F.round(x, 6)).alias("output"))
