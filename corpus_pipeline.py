@@ -7,8 +7,6 @@ Nulls, empty texts and repeated rows are treated as the stages' operators say.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,8 +58,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to documents."""
     docs = common.table(spark, sf_dir, "documents")
-    folder = f"{common.shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
+    for _, stage in STAGES:
+        docs = common.checkpointed(stage(spark, docs, sf_dir))
     return docs

@@ -23,12 +23,12 @@ def _hash(*parts: Column) -> list[Column]:
 
 def with_lines(docs: DataFrame) -> DataFrame:
     full = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
-    return docs.withColumn("_lines", F.filter(full, lambda x: x.rlike(common.WORD)))
+    return docs.withColumn("__lines", F.filter(full, lambda x: x.rlike(common.WORD)))
 
 
 def covered(docs: DataFrame, size: int = 3) -> DataFrame:
-    """(doc_id, _text, _gone): for each document that loses lines, the sorted places, from 0, among its lines that hold a word."""
-    d = with_lines(docs).select("doc_id", F.xxhash64("text").alias("_text"), "_lines").where(F.size("_lines") >= size)
+    """(doc_id, __text_hash, __gone): for each document that loses lines, the sorted places, from 0, among its lines that hold a word."""
+    d = with_lines(docs).select("doc_id", F.xxhash64("text").alias("__text_hash"), "__lines").where(F.size("__lines") >= size)
 
     def windows(lines: Column) -> Column:
         def window(i: Column) -> Column:
@@ -37,31 +37,31 @@ def covered(docs: DataFrame, size: int = 3) -> DataFrame:
 
         return F.transform(F.sequence(F.lit(0), F.size(lines) - size), window)
 
-    w = d.select("doc_id", "_text", F.explode(common.let(F.col("_lines"), windows)).alias("w")).select("doc_id", "_text", "w.*")
-    here = F.struct("doc_id", "_text", "at")
+    w = d.select("doc_id", "__text_hash", F.explode(common.let(F.col("__lines"), windows)).alias("w")).select("doc_id", "__text_hash", "w.*")
+    here = F.struct("doc_id", "__text_hash", "at")
     firsts = w.groupBy("a", "b").agg(F.min(here).alias("first"), F.max(here).alias("last")).where(F.col("first") != F.col("last"))
     later = w.join(firsts.drop("last"), ["a", "b"]).where(here != F.col("first"))
     places = F.array_sort(F.array_distinct(F.flatten(F.transform(F.collect_set("at"), lambda i: F.sequence(i, i + size - 1)))))
-    return later.groupBy("doc_id", "_text").agg(places.alias("_gone"))
+    return later.groupBy("doc_id", "__text_hash").agg(places.alias("__gone"))
 
 
 def dedup(docs: DataFrame, size: int = 3) -> DataFrame:
     """docs with the repeated passages cut out of text, and n_lines and n_removed (lines that hold a word, long)."""
     docs = common.without(docs, *RESULT)
-    gone = covered(docs, size).select(F.col("doc_id").alias("_id"), F.col("_text").alias("_th"), "_gone")
-    d = docs.withColumn("_text", F.xxhash64("text"))
-    d = d.join(gone, d["doc_id"].eqNullSafe(gone["_id"]) & (d["_text"] == gone["_th"]), "left")
+    gone = covered(docs, size).select(F.col("doc_id").alias("__doc"), F.col("__text_hash").alias("__hash"), "__gone")
+    d = docs.withColumn("__text_hash", F.xxhash64("text"))
+    d = d.join(gone, d["doc_id"].eqNullSafe(gone["__doc"]) & (d["__text_hash"] == gone["__hash"]), "left")
     full = F.split(F.col("text"), "\n", -1)
 
     def cut(lines: Column) -> Column:
         # the place of a line among those that hold a word is the number of such lines before it
         held = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(common.WORD), i)), lambda i: i.isNotNull())
-        drop = common.let(held, lambda h: F.transform(F.col("_gone"), lambda g: F.get(h, g)))
+        drop = common.let(held, lambda h: F.transform(F.col("__gone"), lambda g: F.get(h, g)))
         return common.let(drop, lambda at: F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(at, i)), "\n"))
 
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(common.let(full, cut))
+    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(common.let(full, cut))
     lines = F.size(F.filter(full, lambda x: x.rlike(common.WORD)))
-    d = d.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(lines).cast("long")).withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
+    d = d.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(lines).cast("long")).withColumn("n_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
     return d.withColumn("text", text).select(*docs.columns, *RESULT)
 
 

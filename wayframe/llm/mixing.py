@@ -43,33 +43,33 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, limit: float = 2
     ranges, and rows are ordered within their range only. A source of `b` words to take gives each row b // size epochs,
     and the rows at the start of the order another one up to the remainder; the row at the cut gives the words still wanted.
     """
-    d = common.without(docs, *RESULT).withColumn("_size", common.n_words(F.col("text")))
-    d = d.withColumn("_key", F.md5(F.concat(F.lit(seed), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col("text"), F.lit(""))))))
-    d = d.withColumn("_range", F.substring("_key", 1, digits))
-    ranges = common.checkpointed(d.groupBy("source", "_range").agg(F.sum("_size").alias("_sum")))
-    sources = targets(ranges.groupBy("source").agg(F.sum("_sum").alias("size")), weights, share, limit)
-    sources = sources.withColumnRenamed("source", "_s")
+    d = common.without(docs, *RESULT).withColumn("__size", common.n_words(F.col("text")))
+    d = d.withColumn("__key", F.md5(F.concat(F.lit(seed), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col("text"), F.lit(""))))))
+    d = d.withColumn("__range", F.substring("__key", 1, digits))
+    ranges = common.checkpointed(d.groupBy("source", "__range").agg(F.sum("__size").alias("__sum")))
+    sources = targets(ranges.groupBy("source").agg(F.sum("__sum").alias("size")), weights, share, limit)
+    sources = sources.withColumnRenamed("source", "__s")
     budget = F.floor("target").cast("long")
     starts = (
-        ranges.withColumn("_before", F.sum("_sum").over(Window.partitionBy("source").orderBy("_range")) - F.col("_sum"))
-        .join(sources, F.col("source").eqNullSafe(F.col("_s")))
-        .withColumn("_epochs", F.when(F.col("source_size") > 0, F.expr("floor(target) div source_size")).otherwise(0).cast("long"))
-        .withColumn("_rest", budget - F.col("_epochs") * F.col("source_size"))
-        .select(F.col("source").alias("_s"), F.col("_range").alias("_r"), "_before", "source_size", "target", "_epochs", "_rest")
+        ranges.withColumn("__before", F.sum("__sum").over(Window.partitionBy("source").orderBy("__range")) - F.col("__sum"))
+        .join(sources, F.col("source").eqNullSafe(F.col("__s")))
+        .withColumn("__epochs", F.when(F.col("source_size") > 0, F.expr("floor(target) div source_size")).otherwise(0).cast("long"))
+        .withColumn("__rest", budget - F.col("__epochs") * F.col("source_size"))
+        .select(F.col("source").alias("__s"), F.col("__range").alias("__r"), "__before", "source_size", "target", "__epochs", "__rest")
     )
-    rows = d.join(starts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")))
-    order = Window.partitionBy("source", "_range").orderBy("_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    start = F.col("_before") + F.sum("_size").over(order) - F.col("_size")
-    taken = F.col("_epochs") * F.col("_size") + F.greatest(F.lit(0), F.least(F.col("_size"), F.col("_rest") - start))
-    kept = [c for c in d.columns if c not in ("_size", "_key", "_range")]
-    return rows.withColumn("taken", taken.cast("long")).select(*kept, F.col("_size").alias("size"), "source_size", "target", "taken")
+    rows = d.join(starts, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__range") == F.col("__r")))
+    order = Window.partitionBy("source", "__range").orderBy("__key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    start = F.col("__before") + F.sum("__size").over(order) - F.col("__size")
+    taken = F.col("__epochs") * F.col("__size") + F.greatest(F.lit(0), F.least(F.col("__size"), F.col("__rest") - start))
+    kept = [c for c in d.columns if c not in ("__size", "__key", "__range")]
+    return rows.withColumn("taken", taken.cast("long")).select(*kept, F.col("__size").alias("size"), "source_size", "target", "taken")
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix: each as often as taken, rounded to whole documents (half up), says; columns as in docs."""
     m = mix(docs, **options)
     times = F.when(F.col("size") > 0, F.expr("(2 * taken + size) div (2 * size)")).otherwise(0).cast("int")
-    return m.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), times)).alias("_copy")).drop("_copy")
+    return m.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), times)).alias("__copy")).drop("__copy")
 
 
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -137,9 +137,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 2500, max_bytes: i
     known = labels.where(F.col("quality").isNotNull() & ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
     picked = known.select("doc_id", F.col("quality").cast("int").alias("_y")).orderBy(F.md5(F.concat(F.lit("fit:"), F.col("doc_id").cast("string"))), "_y").limit(max_rows)
     # proven bound: max_rows rows of two numbers
-    rows = docs.select("doc_id", F.col("text").alias("_t")).where(F.octet_length(F.coalesce("_t", F.lit(""))) <= max_bytes).join(F.broadcast(picked), "doc_id").toPandas()
-    rows = rows.sort_values(["doc_id", "_y", "_t"], kind="stable")
-    texts = [(t or "").encode("utf-8", "replace") for t in rows["_t"]]
+    rows = docs.select("doc_id", F.col("text").alias("__text")).where(F.octet_length(F.coalesce("__text", F.lit(""))) <= max_bytes).join(F.broadcast(picked), "doc_id").toPandas()
+    rows = rows.sort_values(["doc_id", "_y", "__text"], kind="stable")
+    texts = [(t or "").encode("utf-8", "replace") for t in rows["__text"]]
     return Network().fit(texts, rows["_y"].to_numpy(dtype=np.float64)) if len(rows) else Network()
 
 
@@ -149,16 +149,16 @@ def score_quality(docs: DataFrame, network: Network, threshold: float = 0.7, bul
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            texts = [t.encode("utf-8", "replace") if isinstance(t, str) else b"" for t in b["_t"]]
+            texts = [t.encode("utf-8", "replace") if isinstance(t, str) else b"" for t in b["__text"]]
             out, start, size = [], 0, 0
             for i, t in enumerate(texts):
                 size += len(t)
                 if size >= bulk or i == len(texts) - 1:
                     out.append(network.scores(texts[start : i + 1]))
                     start, size = i + 1, 0
-            yield b.drop(columns="_t").assign(score=np.concatenate(out) if out else np.zeros(0))
+            yield b.drop(columns="__text").assign(score=np.concatenate(out) if out else np.zeros(0))
 
-    d = docs.withColumn("_t", F.col("text"))
+    d = docs.withColumn("__text", F.col("text"))
     schema = ", ".join(f"`{c}` {kind}" for c, kind in docs.dtypes)
     scored = common.in_batches(d).mapInPandas(run, f"{schema}, score double")
     return scored.withColumn("held_out", held_out(F.col("doc_id"))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

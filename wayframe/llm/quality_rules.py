@@ -63,23 +63,23 @@ def repeated_words(w: Column, window: int = 5) -> Column:
 
 def measures(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep, the base measures and those of the rules, one row per document."""
-    d = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_t"))
-    lines = F.filter(F.split("_t", "\n", -1), lambda x: x.rlike(common.WORD))
+    d = docs.select(*keep, F.coalesce("text", F.lit("")).alias("__text"))
+    lines = F.filter(F.split("__text", "\n", -1), lambda x: x.rlike(common.WORD))
     # what is left without the letters a to z, then without white space, is short, and the rest is counted in it
-    d = d.withColumn("_r", F.regexp_replace("_t", "[a-z]+", "")).withColumn("_q", F.regexp_replace("_r", common.SPACE, ""))
-    lower, q = F.length("_t") - F.length("_r"), F.col("_q")
+    d = d.withColumn("__rest", F.regexp_replace("__text", "[a-z]+", "")).withColumn("__marks", F.regexp_replace("__rest", common.SPACE, ""))
+    lower, q = F.length("__text") - F.length("__rest"), F.col("__marks")
     d = d.select(
         *keep,
         (lower + F.length(q)).cast("long").alias("word_chars"),
         count_of(q, SYMBOLS).alias("n_symbols"),
-        common.let(common.words(F.col("_t")), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("r"))).alias("_w"),
+        common.let(common.words(F.col("__text")), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("r"))).alias("_w"),
         common.let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("r"))).alias("_l"),
         F.regexp_count(q, F.lit("[A-Z]")).cast("long").alias("n_upper"),
         lower.cast("long").alias("n_lower"),
         F.regexp_count(q, F.lit("[!?]")).cast("long").alias("n_marks"),
         F.regexp_count(q, F.lit("[0-9]")).cast("long").alias("n_digits"),
-        F.regexp_count("_r", F.lit(TAILS)).cast("long").alias("n_tails"),
-        F.regexp_count("_r", F.lit(ENDS)).cast("long").alias("n_ends"),
+        F.regexp_count("__rest", F.lit(TAILS)).cast("long").alias("n_tails"),
+        F.regexp_count("__rest", F.lit(ENDS)).cast("long").alias("n_ends"),
     )
     d = d.withColumn("n_letters", F.col("n_upper") + F.col("n_lower"))
     more = {"n_words": F.col("_w.n"), "n_repeat_words": F.col("_w.r"), "n_lines": F.col("_l.n"), "n_dup_lines": F.col("_l.r")}
