@@ -13,7 +13,8 @@ nearest stand out little, as in isotropic data, hash prefixes alone cannot tell
 
 Queries are a stated set, dealt in blocks against all rows in blocks. Null vectors, vectors with null or non-finite components, zero
 vectors and vectors of another than the most common length take no part. Rows with a null id take no part either. Equal
-vectors have equal hash strings and are all found together; ties go to the smaller id; repeated ids are separate candidates.
+vectors have equal hash strings and are all found together; ties go to the smaller id; repeated ids are separate candidates,
+and of queries that repeat an id the one with the smallest vector, component by component, counts.
 """
 
 from __future__ import annotations
@@ -105,6 +106,7 @@ def nearest(candidates: DataFrame, queries: DataFrame, k: int = 20, trees: int =
     pair of a block of candidates and a block of queries is one task's work, and a window picks the k best of each query's blocks.
     """
     facts = candidates.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("most")).first()
+    queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
     n_queries = queries.count()
     out = "query_id long, vec_id long, score double"
     spark = candidates.sparkSession
