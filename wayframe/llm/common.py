@@ -63,7 +63,7 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in low])
 
 
-def in_batches(df: DataFrame, size: int = 16 << 20) -> DataFrame:
+def in_batches(df: DataFrame, size: int = 6 << 20) -> DataFrame:
     """df, in a session whose Arrow batches to Python hold at most about `size` bytes, unless the session has its own bound."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     conf = df.sparkSession.conf
