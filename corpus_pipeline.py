@@ -21,8 +21,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of three lines or more that an earlier document, or an earlier place, has; n_chars anew."""
-    out = line_dedup.dedup(docs)
+    """Documents without the passages that an earlier document, or an earlier place, has; n_chars anew.
+
+    Passages are three lines or more, fewer lines of over 50 words together, and whole texts of under three lines.
+    """
+    out = line_dedup.dedup(docs, long_words=line_dedup.LONG_WORDS)
     return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

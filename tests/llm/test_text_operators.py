@@ -324,3 +324,28 @@ def test_lines_by_brute_force(spark):
 def test_lines_odd_rows(odd, empty):
     rows = line_dedup.dedup(odd).collect()
     assert len(rows) == odd.count() and {r["text"] for r in rows if r["doc_id"] == 8} == {"tie tie"} and line_dedup.dedup(empty).count() == 0
+
+
+def brute_passages(texts):
+    seen, gone = set(), []
+    for lines in [[x for x in t.split("\n") if WORD.search(x)] for t in texts]:
+        cut, n = set(), len(lines)
+        spans = [(i, i + k) for k in (1, 2, 3) for i in range(n - k + 1) if k == 3 or sum(len(WORD.findall(x)) for x in lines[i : i + k]) > 50]
+        for key, (i, j) in [*[(tuple(lines[i:j]), (i, j)) for i, j in spans], *([(("whole", *lines), (0, n))] if 0 < n < 3 else [])]:
+            if key in seen:
+                cut |= set(range(i, j))
+            seen.add(key)
+        gone.append((n, len(cut)))
+    return gone
+
+
+def test_short_passages_by_brute_force(spark):
+    r = random.Random(7)
+    long = [" ".join(f"{k}w{i}" for i in range(n)) for k, n in enumerate((60, 51, 50, 30, 26, 20))]
+    texts = [long[0], long[0], "a b", "a b", "a b\n \nc", "a b\nc", "x\n" + long[1] + "\ny", "z\n" + long[1], long[2] + "\nq", long[2] + "\nr\ns", "p\n" + long[3] + "\n" + long[4], long[3] + "\n\n" + long[4] + "\nt", "", " "]
+    texts += ["\n".join(r.choice([*long, "u", "v", " "]) for _ in range(r.randint(1, 6))) for _ in range(60)]
+    rows = line_dedup.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), long_words=50).orderBy("doc_id").collect()
+    want = brute_passages(texts)
+    assert want[:6] == [(1, 0), (1, 1), (1, 0), (1, 1), (2, 0), (2, 2)] and want[7] == (2, 1) and want[11] == (3, 2)
+    assert [(x["n_lines"], x["n_removed"]) for x in rows] == want
+    assert all(len([y for y in x["text"].split("\n") if WORD.search(y)]) == x["n_lines"] - x["n_removed"] for x in rows)

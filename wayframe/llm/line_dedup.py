@@ -1,7 +1,8 @@
 """Remove passages that repeat across documents: overlapping windows of three lines, found by hash over the whole corpus.
 
 Lines are the parts between line feeds that hold a word; others stay where they are and count for nothing. A document of
-under three lines has no window. Of each repeated window the first occurrence, by (doc_id, place), stays; the lines that the
+under three lines has no window of three. With long_words, as an addition to the method, shorter passages have windows too:
+one or two lines of together more than so many words, and a whole text of under three lines, with marks of its ends. Of each repeated window the first occurrence, by (doc_id, place), stays; the lines that the
 later ones cover go, so overlapping windows merge into one removed passage. Null texts stay null. Rows of null doc_id sort
 first, rows of one doc_id are told apart by their text, and equal rows count as one. Clashing column names are replaced.
 """
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from . import common
 
 RESULT = ("n_lines", "n_removed")
+#: Passages of more words than this are cut however few their lines.
+LONG_WORDS = 50
 
 
 def _hash(*parts: Column) -> list[Column]:
@@ -26,29 +29,43 @@ def with_lines(docs: DataFrame) -> DataFrame:
     return docs.withColumn("__lines", F.filter(full, lambda x: x.rlike(common.WORD)))
 
 
-def covered(docs: DataFrame, size: int = 3) -> DataFrame:
+def covered(docs: DataFrame, size: int = 3, long_words: int | None = None) -> DataFrame:
     """(doc_id, __text_hash, __gone): for each document that loses lines, the sorted places, from 0, among its lines that hold a word."""
-    d = with_lines(docs).select("doc_id", F.xxhash64("text").alias("__text_hash"), "__lines").where(F.size("__lines") >= size)
+    least = size if long_words is None else 1
+    d = with_lines(docs).select("doc_id", F.xxhash64("text").alias("__text_hash"), "__lines").where(F.size("__lines") >= least)
+
+    def window(lines: Column, i: Column, n: int) -> Column:
+        a, b = _hash(*[F.lit(n)] * (n != size), *[F.get(lines, i + k) for k in range(n)])
+        return F.struct(a.alias("a"), b.alias("b"), i.alias("at"), F.lit(n).alias("n"))
 
     def windows(lines: Column) -> Column:
-        def window(i: Column) -> Column:
-            a, b = _hash(*[F.get(lines, i + k) for k in range(size)])
-            return F.struct(a.alias("a"), b.alias("b"), i.alias("at"))
+        return F.transform(F.sequence(F.lit(0), F.size(lines) - size), lambda i: window(lines, i, size))
+
+    def all_windows(lines: Column) -> Column:
+        def short(words: Column) -> Column:
+            def of(n: int) -> Column:
+                held = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: (i + n <= F.size(lines)) & (sum(F.get(words, i + k) for k in range(n)) > long_words))
+                return F.transform(held, lambda i: window(lines, i, n))
+
+            a, b = _hash(F.lit("start"), *[F.get(lines, F.lit(k)) for k in range(size - 1)], F.lit("end"))
+            whole = F.array(F.struct(a.alias("a"), b.alias("b"), F.lit(0).alias("at"), F.size(lines).alias("n")))
+            return F.concat(F.when(F.size(lines) >= size, windows(lines)).otherwise(whole), *[of(n) for n in range(1, size)])
 
-        return F.transform(F.sequence(F.lit(0), F.size(lines) - size), window)
+        return common.let(F.transform(lines, lambda x: F.size(common.words(x))), short)
 
-    w = d.select("doc_id", "__text_hash", F.explode(common.let(F.col("__lines"), windows)).alias("w")).select("doc_id", "__text_hash", "w.*")
+    each = common.let(F.col("__lines"), windows if long_words is None else all_windows)
+    w = d.select("doc_id", "__text_hash", F.explode(each).alias("w")).select("doc_id", "__text_hash", "w.*")
     here = F.struct("doc_id", "__text_hash", "at")
     firsts = w.groupBy("a", "b").agg(F.min(here).alias("first"), F.max(here).alias("last")).where(F.col("first") != F.col("last"))
     later = w.join(firsts.drop("last"), ["a", "b"]).where(here != F.col("first"))
-    places = F.array_sort(F.array_distinct(F.flatten(F.transform(F.collect_set("at"), lambda i: F.sequence(i, i + size - 1)))))
+    places = F.array_sort(F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("at", "n")), lambda w: F.sequence(w["at"], w["at"] + w["n"] - 1)))))
     return later.groupBy("doc_id", "__text_hash").agg(places.alias("__gone"))
 
 
-def dedup(docs: DataFrame, size: int = 3) -> DataFrame:
+def dedup(docs: DataFrame, size: int = 3, long_words: int | None = None) -> DataFrame:
     """docs with the repeated passages cut out of text, and n_lines and n_removed (lines that hold a word, long)."""
     docs = common.without(docs, *RESULT)
-    gone = covered(docs, size).select(F.col("doc_id").alias("__doc"), F.col("__text_hash").alias("__hash"), "__gone")
+    gone = covered(docs, size, long_words).select(F.col("doc_id").alias("__doc"), F.col("__text_hash").alias("__hash"), "__gone")
     d = docs.withColumn("__text_hash", F.xxhash64("text"))
     d = d.join(gone, d["doc_id"].eqNullSafe(gone["__doc"]) & (d["__text_hash"] == gone["__hash"]), "left")
     full = F.split(F.col("text"), "\n", -1)
@@ -70,6 +87,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(docs)
 
 
+def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op10_line_dedup with repeated passages of one or two lines over LONG_WORDS words, and repeated whole short texts, cut too."""
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup(docs, long_words=LONG_WORDS)
+
+
 SQL = r"""
 WITH l AS (
   SELECT doc_id, text, u.line, u.pos FROM (

@@ -13,6 +13,7 @@ QUERIES = {
     "op8_prefix_forest": prefix_forest.op8_prefix_forest,
     "op9_token_counts": bpe_count.op9_token_counts,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op10_passage_dedup": line_dedup.op10_passage_dedup,
 }
 SQL = {
     "op2_quality_rules": quality_rules.SQL,
