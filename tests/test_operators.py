@@ -105,6 +105,24 @@ def test_knn_matches_brute_force_over_blocks(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+def test_knn_ties_beyond_any_slack(spark, metric):
+    r = np.random.default_rng(3)
+    same, big = r.normal(size=7).tolist(), (r.normal(size=(40, 7)) * 1e-3 + 1e5).tolist()
+    rows = [(i, f"g{i}", same) for i in range(50)] + [(50 + i, f"g{50 + i}", v) for i, v in enumerate(big)]
+    e = spark.createDataFrame(rows, "id long, grp string, v array<double>")
+    got = {}
+    for row in N.knn(e, e, 4, metric, block=1000).orderBy("query_id", "rank").collect():
+        got.setdefault(row["query_id"], []).append(row["neighbor_id"])
+    assert got[49] == [0, 1, 2, 3] and got[0] == [1, 2, 3, 4]
+    if metric == "euclidean":
+        x = np.array(big)
+        for i in range(40):
+            d = np.sqrt(((x - x[i]) ** 2).sum(1))
+            d[i] = np.inf
+            assert got[50 + i] == (50 + np.lexsort((np.arange(40), d))[:4]).tolist()
+
+
 def test_lloyd_recovers_two_groups(spark):
     r = np.random.default_rng(7)
     p = np.concatenate([r.normal((-2, 5), 0.05, (40, 2)), r.normal((2, 10), 0.05, (40, 2))])

@@ -34,7 +34,8 @@ def knn(queries: DataFrame, index: DataFrame, k: int = 4, metric: str = "euclide
     """(query_id, rank, neighbor_id, distance): the k nearest of (id, grp, v), exact, ties to the smaller id.
 
     Both sides are packed into blocks of rows; a pair of blocks is one matrix product, and what it returns is k rows a query.
-    Neither side is broadcast or held whole. Distances are sums over components in double precision.
+    Neither side is broadcast or held whole. Products only choose candidates, within a bound of their rounding of the k-th; the
+    distances of these are sums over components in double precision, so equal vectors are equally far.
     """
     if metric not in ("euclidean", "cosine"):
         raise ValueError(metric)
@@ -57,22 +58,30 @@ def knn(queries: DataFrame, index: DataFrame, k: int = 4, metric: str = "euclide
                 ids, mine = np.array(r.i_ids), np.array(r.q_ids)
                 x, q = np.frombuffer(r.i_v).reshape(len(ids), -1), np.frombuffer(r.q_v).reshape(len(mine), -1)
                 groups, own = np.array(list(r.i_grp), dtype=object), np.array(list(r.q_grp), dtype=object)
+                if metric == "cosine":
+                    unit = lambda m: m / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-300)
+                    x, q = unit(x), unit(q)
+                xx = (x * x).sum(1)
+                # of a sum of n products, rounding is at most about n eps |a| |b|, and a square's terms are at most (|a| + |b|)^2
+                eps = (8 * x.shape[1] + 64) * np.finfo(float).eps
                 for at in range(0, len(mine), 256):
                     part = q[at : at + 256]
+                    pp = (part * part).sum(1)
                     if metric == "cosine":
-                        unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-                        d = np.maximum(1 - unit(part) @ unit(x).T, 0)
+                        d, slack = 1 - part @ x.T, np.full(len(part), eps)
                     else:
-                        d = np.maximum((part * part).sum(1)[:, None] + (x * x).sum(1) - 2 * part @ x.T, 0)
+                        d = pp[:, None] + xx - 2 * part @ x.T
+                        slack = eps * (np.sqrt(pp) + np.sqrt(xx[np.isfinite(xx)].max(initial=0))) ** 2
                     if exclude_self:
                         d[mine[at : at + 256, None] == ids] = np.inf
                     if exclude_group:
                         d[own[at : at + 256, None] == groups] = np.inf
-                    m = min(k + 8, len(ids))
-                    near = np.argpartition(d, m - 1, axis=1)[:, :m]
-                    for i, row in enumerate(near):
-                        row = row[np.isfinite(d[i, row])]
-                        exact = d[i, row] if metric == "cosine" else np.sqrt(((x[row] - part[i]) ** 2).sum(1))
+                    m = min(k, len(ids))
+                    kth = np.partition(d, m - 1, axis=1)[:, m - 1]
+                    kth[np.isnan(kth)] = np.inf
+                    for i, most in enumerate(kth + 2 * slack):
+                        row = np.flatnonzero((d[i] <= most) & np.isfinite(d[i]))
+                        exact = np.maximum(1 - (x[row] * part[i]).sum(1), 0) if metric == "cosine" else np.sqrt(((x[row] - part[i]) ** 2).sum(1))
                         best = np.lexsort((ids[row], exact))[:k]
                         yield pd.DataFrame({"query_id": np.full(len(best), mine[at + i]), "neighbor_id": ids[row[best]], "distance": exact[best]})
 
