@@ -144,6 +144,15 @@ def test_secrets_add_only_hard_values():
     assert secret_scan.scan("pwd: 'x9$Kq2!vLm' and pwd: 'password1'", ranks, 8)[1] == [("guess", 6, 16)]
 
 
+def test_long_secrets_are_whole():
+    ranks = {"pass": 1}
+    r = random.Random(1)
+    value = "".join(r.choice("abcdefghijkXYZ0123456789!~") for _ in range(3000))
+    for text, at in ((f"token={value} x", 6), (f'secret: "{value}" x', 9), (f"pwd = '{value}'", 7), (f"token{' ' * 40}={' ' * 40}{value}", 86)):
+        assert secret_scan.scan(text, ranks, 8.0)[1] == [("guess", at, at + 3000)]
+    assert secret_scan.scan(f"token={'a' * 3000} x", ranks, 8.0)[1] == []
+
+
 def test_secret_rows(odd, empty):
     rows = secret_scan.scan_secrets(odd).collect()
     assert len(rows) == odd.count() and secret_scan.scan_secrets(empty).count() == 0

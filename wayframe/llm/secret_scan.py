@@ -24,10 +24,10 @@ ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: The look-behind keeps a run shorter than 24 from being tried again from each of its characters.
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
-#: Wider contexts than ASSIGN: more names, and values in quotes with any printable characters.
+#: Wider contexts than ASSIGN: more names, and values in quotes with any printable characters, of any length.
 CONTEXT = re.compile(
     r"""(?ai:\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|auth|bearer|credentials?))"""
-    r"""["']?(?:\x20{0,8}(?::=|=>|[:=])\x20{0,8}|\x20is\x20)(?:"([^"\s]{6,256})"|'([^'\s]{6,256})'|([^\s"',;()<>]{6,256}))"""
+    r"""["']?(?:\x20*+(?::=|=>|[:=])\x20*+|\x20is\x20)(?:"([^"\s]{6,}+)"|'([^'\s]{6,}+)'|([^\s"',;()<>]{6,}+))"""
 )
 #: Keyboard rows, for walks along a row in either direction.
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz")
