@@ -30,7 +30,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of documents that near duplicates link, the one of the smallest doc_id; all without doc_id."""
+    """Of each class of documents that near duplicates link, the one of the smallest doc_id, with all rows of that doc_id; all without doc_id."""
     classes = ngram_join.join_classes(docs.select("doc_id", "text"))
     copies = classes.where("component_id <> doc_id").select("doc_id")
     return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)

@@ -67,6 +67,14 @@ def test_classes_of_odd_rows(odd, empty):
     assert ngram_join.join_classes(empty).count() == 0
 
 
+def test_more_shingles_than_sixteen_bits(spark):
+    text = " ".join(f"w{i}" for i in range(70_004))
+    df = spark.createDataFrame([(1, text), (2, text + " end"), (3, "a b c")], "doc_id long, text string")
+    rows = ngram_join.counted(ngram_join.packed(df, 1), 1)
+    assert rows.count() > 0
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join_classes(df).collect()} == {1: (70_000, 1), 2: (70_001, 1), 3: (1, 3)}
+
+
 def test_suffix_bound_never_drops():
     r = np.random.default_rng(0)
     for _ in range(2000):

@@ -104,7 +104,7 @@ def dealt(keys: np.ndarray, n: int, columns: dict[str, np.ndarray]) -> dict[int,
     return {k: {c: v[cuts[k] : cuts[k + 1]].tobytes() for c, v in moved.items()} for k in range(n) if cuts[k] < cuts[k + 1]}
 
 
-ELEMENTS = {"low": np.uint32, "of": np.int64, "times": np.uint16}
+ELEMENTS = {"low": np.uint32, "of": np.int64, "times": np.uint32}
 DOCS = {"id": np.int64, "n": np.int64, "d1": np.uint64, "d2": np.uint64}
 BACK = {"e_id": np.int64, "gram": np.int64, "df": np.int32, "b_id": np.int64, "b_n": np.int64, "rep": np.int64}
 
@@ -137,7 +137,7 @@ def packed(docs: DataFrame, ranges: int) -> DataFrame:
                 order = np.argsort(r.astype(np.uint16) if ranges < 1 << 16 else r, kind="stable")
                 r, low, owner = r[order], h[order].astype(np.uint32), doc[order]
                 runs = starts_of(r, owner)
-                times = np.diff(np.r_[runs, len(r)]).astype(np.uint16) if len(r) else np.zeros(0, dtype=np.uint16)
+                times = np.diff(np.r_[runs, len(r)]).astype(np.uint32) if len(r) else np.zeros(0, dtype=np.uint32)
                 cuts, ends = np.searchsorted(r, np.arange(ranges + 1)), np.searchsorted(r[runs], np.arange(ranges + 1))
                 whose = mine[owner[runs]]
                 for k in range(ranges):
@@ -154,7 +154,7 @@ def counted(rows: DataFrame, ranges: int) -> DataFrame:
     """Rows (b, bytes), dealt by document: shingles of two documents or more with their frequency; n and class of documents."""
 
     def run(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        low, of = joined(b["low"], np.uint32), np.repeat(joined(b["of"], np.int64), joined(b["times"], np.uint16))
+        low, of = joined(b["low"], np.uint32), np.repeat(joined(b["of"], np.int64), joined(b["times"], np.uint32))
         order = np.argsort(low, kind="quicksort")
         low, of = low[order], of[order]
         at = starts_of(low)
