@@ -97,6 +97,12 @@ def test_rules_base(documents, odd):
             assert r["base_failed"] == (r["n_words"] < 10 or 100 * r["n_repeat_words"] > 20 * r["n_words"]) and r["kept"] == (not r["base_failed"] and r["posterior"] >= 0.5)
 
 
+def test_rules_marks_inside_words(spark):
+    text = "mail user@site.org or #tag and a.b see. Not e.g this! #"
+    m = quality_rules.measures(spark.createDataFrame([(1, text), (2, "www.a.org " * 9)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r["n_ends"], r["n_tails"]) for r in m] == [(2, 1), (0, 0)] and m[0]["n_lower"] == sum("a" <= c <= "z" for c in text)
+
+
 def test_rules_empty(empty):
     assert quality_rules.judge(empty).count() == 0
 

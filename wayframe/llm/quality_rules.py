@@ -66,7 +66,8 @@ def measures(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     d = docs.select(*keep, F.coalesce("text", F.lit("")).alias("__text"))
     lines = F.filter(F.split("__text", "\n", -1), lambda x: x.rlike(common.WORD))
     # what is left without the letters a to z, then without white space, is short, and the rest is counted in it
-    d = d.withColumn("__rest", F.regexp_replace("__text", "[a-z]+", "")).withColumn("__marks", F.regexp_replace("__rest", common.SPACE, ""))
+    # a letter stays for each run of them, so that a mark before it is not taken for the end of a word
+    d = d.withColumn("__short", F.regexp_replace("__text", "[a-z]+", "a")).withColumn("__rest", F.replace("__short", F.lit("a"), F.lit(""))).withColumn("__marks", F.regexp_replace("__rest", common.SPACE, ""))
     lower, q = F.length("__text") - F.length("__rest"), F.col("__marks")
     d = d.select(
         *keep,
@@ -78,8 +79,8 @@ def measures(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
         lower.cast("long").alias("n_lower"),
         F.regexp_count(q, F.lit("[!?]")).cast("long").alias("n_marks"),
         F.regexp_count(q, F.lit("[0-9]")).cast("long").alias("n_digits"),
-        F.regexp_count("__rest", F.lit(TAILS)).cast("long").alias("n_tails"),
-        F.regexp_count("__rest", F.lit(ENDS)).cast("long").alias("n_ends"),
+        F.regexp_count("__short", F.lit(TAILS)).cast("long").alias("n_tails"),
+        F.regexp_count("__short", F.lit(ENDS)).cast("long").alias("n_ends"),
     )
     d = d.withColumn("n_letters", F.col("n_upper") + F.col("n_lower"))
     more = {"n_words": F.col("_w.n"), "n_repeat_words": F.col("_w.r"), "n_lines": F.col("_l.n"), "n_dup_lines": F.col("_l.r")}
