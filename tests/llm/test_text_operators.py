@@ -275,6 +275,21 @@ def test_piece_rows(odd, empty, documents):
     assert back.where("text <> old").count() == 0
 
 
+def test_nbest_segmentations(spark, sf_dir):
+    import public_tokenizers
+
+    m = piece_nbest.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    r = random.Random(5)
+    for s in ["", "the ab", "aaa aa aaa", "thnt 漢"] + ["".join(r.choice("the an\n.a ") for _ in range(r.randint(1, 60))) for _ in range(60)]:
+        found, ways = m.nbest(s, 5), m.segmentations(s, 5)
+        assert [x for x, _ in found] == [x for x, _ in ways] and found[0][1].tolist() == m.encode(s)[0]
+        assert len({tuple(ids) for _, ids in found}) == len(found)
+        for score, ids in found:
+            assert m.decode(ids.tolist()) == s and sum(m.score[i] if i in m.score else m.lost for i in ids.tolist()) == score
+    rows = piece_nbest.op4_sentencepiece(spark, sf_dir).collect()
+    assert all(len(x["nbest_ids"]) == len(x["nbest_scores"]) and x["nbest_ids"][0] == x["ids"] for x in rows) and any(len(x["nbest_ids"]) == 4 for x in rows)
+
+
 # --- mixing
 
 

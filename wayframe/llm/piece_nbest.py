@@ -158,6 +158,25 @@ class Pieces:
 
     def encode(self, text: str, n: int = 1) -> tuple[list[int], list[int]]:
         """Ids of the best segmentation of a text, and the scores of its n best ones."""
+        units, solved, ids, total = self.solved(text)
+        return ids, [total - loss for loss, _ in self.losses(units, solved, n)]
+
+    def nbest(self, text: str, n: int) -> list[tuple[int, np.ndarray]]:
+        """The n best (score, ids) of a text, the best first; the others are the best with some units in other ways."""
+        units, solved, ids, total = self.solved(text)
+        best, out = np.array(ids, dtype="<i4"), []
+        found = self.losses(units, solved, n)
+        starts = np.cumsum([0, *map(len, map(itemgetter(0), solved))]) if len(found) > 1 else None
+        for loss, ways in found:
+            parts, at = [], 0
+            for k, other in sorted(ways):
+                parts += [best[at : starts[k]], np.array(other, dtype="<i4")]
+                at = starts[k + 1]
+            out.append((total - loss, np.concatenate([*parts, best[at:]]) if parts else best))
+        return out
+
+    def solved(self, text: str) -> tuple[list[str], list, list[int], int]:
+        """Units of a text, their solutions, and ids and score of the best segmentation."""
         units = self.split(text)
         seen = self.seen
         if len(seen) > REMEMBERED:
@@ -166,19 +185,24 @@ class Pieces:
             seen[s] = self.unit(s)
         solved = list(map(seen.__getitem__, units))
         ids = list(chain.from_iterable(map(itemgetter(0), solved)))
-        total = sum(map(itemgetter(1), solved))
-        return ids, [total - loss for loss in self.losses(units, solved, n)]
+        return units, solved, ids, sum(map(itemgetter(1), solved))
+
+    def losses(self, units: list[str], solved: list, n: int) -> list[tuple[int, tuple]]:
+        """What the n best segmentations lose against the best, from 0 up, with the (unit, ids) in which they differ from it.
 
-    def losses(self, units: list[str], solved: list, n: int) -> list[int]:
-        """What the n best segmentations lose against the best, from 0 up: the n least sums of losses of units."""
+        These are the n least sums of losses of units.
+        """
         if n <= 1 or not solved:
-            return [0]
+            return [(0, ())]
         each = list(map(itemgetter(2), solved))
         most = min(heapq.nsmallest(n - 1, each)[-1], FAR - 1)
-        sums = [0]
+        sums: list[tuple[int, tuple]] = [(0, ())]
         for _, k in heapq.nsmallest(n - 1, [(loss, k) for k, loss in enumerate(each) if loss <= most]):
-            options = [solved[k][1] - score for score, _ in self.n_best(units[k], n)]
-            sums = heapq.nsmallest(n, (a + b for a in sums for b in options))
+            first, score = solved[k][:2]
+            # of equal scores, the way that the best segmentation takes counts as the first
+            others = [(score - s, ((k, way),)) for s, way in self.n_best(units[k], n) if way != first]
+            options = [(0, ()), *others][:n]
+            sums = heapq.nsmallest(n, ((a + b, p + q) for a, p in sums for b, q in options), key=itemgetter(0))
         return sums
 
     def segmentations(self, text: str, n: int) -> list[tuple[int, list[int]]]:
@@ -221,7 +245,9 @@ def vocabulary(path: str | None) -> str:
 
 
 def encode(docs: DataFrame, n: int = 4, path: str | None = None, scores: str = "zipf", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = True, bulk: int = 1_000_000) -> DataFrame:
-    """keep, ids (best segmentation), n_pieces, score, nbest_scores (up to n, best first), ids_sha256 and decoded_ok of each row.
+    """keep, ids (best segmentation), n_pieces, score, nbest_scores (up to n, best first), nbest_ids, ids_sha256 and decoded_ok of each row.
+
+    nbest_ids: the ids of each of the n best, in the order of their scores; like ids, absent without with_ids.
 
     ids_sha256: of the ids as little-endian 32-bit integers. decoded_ok: whether the ids decode to the text, in which the
     character that stands for a blank counts as a space.
@@ -229,10 +255,11 @@ def encode(docs: DataFrame, n: int = 4, path: str | None = None, scores: str = "
     file = vocabulary(path)
 
     def row(model: Pieces, text: str) -> tuple:
-        ids, ranked = model.encode(text, n)
-        array = np.array(ids, dtype="<i4")
-        ok = model.decode(ids) == text.replace(BLANK, " ")
-        return array if with_ids else None, len(ids), ranked[0] / UNIT, [x / UNIT for x in ranked], hashlib.sha256(array.tobytes()).hexdigest(), ok
+        found = model.nbest(text, n)
+        array = found[0][1]
+        ok = model.decode(array.tolist()) == text.replace(BLANK, " ")
+        ranked = [x / UNIT for x, _ in found]
+        return array if with_ids else None, len(array), ranked[0], ranked, [a for _, a in found] if with_ids else None, hashlib.sha256(array.tobytes()).hexdigest(), ok
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = pieces(file, scores)
@@ -243,13 +270,13 @@ def encode(docs: DataFrame, n: int = 4, path: str | None = None, scores: str = "
                 size += len(t)
                 if size >= bulk or i == len(texts) - 1:  # little is held at once, however large the batch
                     rows = [row(model, x) for x in texts[start : i + 1]]
-                    out = pd.DataFrame(rows, columns=["ids", "n_pieces", "score", "nbest_scores", "ids_sha256", "decoded_ok"])
-                    yield pd.concat([kept.iloc[start : i + 1].reset_index(drop=True), out if with_ids else out.drop(columns="ids")], axis=1)
+                    out = pd.DataFrame(rows, columns=["ids", "n_pieces", "score", "nbest_scores", "nbest_ids", "ids_sha256", "decoded_ok"])
+                    yield pd.concat([kept.iloc[start : i + 1].reset_index(drop=True), out if with_ids else out.drop(columns=["ids", "nbest_ids"])], axis=1)
                     start, size = i + 1, 0
 
     d = common.in_batches(docs.select(*keep, F.col("text").alias("__text")))
     schema = ", ".join(f"`{c}` {kind}" for c, kind in d.drop("__text").dtypes)
-    return d.mapInPandas(run, f"{schema}, {'ids array<int>, ' * with_ids}n_pieces long, score double, nbest_scores array<double>, ids_sha256 string, decoded_ok boolean")
+    return d.mapInPandas(run, f"{schema}, {'ids array<int>, ' * with_ids}n_pieces long, score double, nbest_scores array<double>, {'nbest_ids array<array<int>>, ' * with_ids}ids_sha256 string, decoded_ok boolean")
 
 
 def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
@@ -267,4 +294,4 @@ def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(common.table(spark, sf_dir, "documents"), with_ids=False)
+    return encode(common.table(spark, sf_dir, "documents"))
