@@ -518,3 +518,78 @@ def student_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "embeddings")
     z = N.scaled(e, "embedding", N.moments(e, "embedding", two_moment=True)).select("vec_id", "embedding")
     return models.mlp(z, "embedding", layers).select("vec_id", F.transform("output", lambda x: F.round(x, 6)).alias("output"))
+
+
+# Queries above with a filter in their SQL keep it; those below take the same operators over all rows.
+
+
+@query("WITH " + FRAMES + """,
+h AS (SELECT user_id, list(x ORDER BY t) AS xs FROM f GROUP BY user_id),
+p AS (SELECT *, range(0, greatest(10 - len(xs), 0)) AS gap FROM h)
+SELECT user_id, list_concat(xs[1:10], list_transform(gap, lambda i: 0.0::DOUBLE)) AS head, list_concat(list_transform(gap, lambda i: NULL::DOUBLE), xs[-10:]) AS tail, list_filter(xs, lambda x, i: (i - 1) % 3 = 0 OR i = len(xs)) AS strided FROM p""")
+def history_windows_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Head, tail and stride of every user's whole history."""
+    h = frames(spark, sf_dir).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("t", "x"))).alias("a")).select("user_id", F.transform("a", lambda p: p["x"]).alias("xs"))
+    return h.select("user_id", R.head_window(F.col("xs"), 10, F.lit(0.0)).alias("head"), R.tail_window(F.col("xs"), 10).alias("tail"), R.strided(F.col("xs"), 3).alias("strided"))
+
+
+def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames with the sample of ten, by t, that they belong to; a user's last sample may be shorter."""
+    return frames(spark, sf_dir).withColumn("sample", F.expr("t div 10"))
+
+
+@query("WITH " + FRAMES + """,
+h AS (SELECT user_id, t // 10 AS sample, t, x - first_value(x) OVER w AS dx, y - first_value(y) OVER w AS dy, last_value(CASE WHEN abs(yaw) > 2 * pi() + 1e-3 THEN radians(yaw) ELSE yaw END) OVER w AS h, yaw FROM f
+  WINDOW w AS (PARTITION BY user_id, t // 10 ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT user_id, sample, t, round(cos(h) * dx + sin(h) * dy, 6) + 0.0::DOUBLE AS fwd, round(cos(h) * dy - sin(h) * dx, 6) + 0.0::DOUBLE AS lft,
+  0.0::DOUBLE + round(yaw - h + pi() - 2 * pi() * floor((yaw - h + pi()) / (2 * pi())) - pi(), 6) AS turn FROM h""")
+def target_frame_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("user_id", "sample").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    h = K.heading(F.col("yaw"))
+    f = _samples(spark, sf_dir).withColumns({"dx": F.col("x") - F.first("x").over(w), "dy": F.col("y") - F.first("y").over(w), "h": F.last(h).over(w)})
+    fwd, left = K.rotated(F.col("dx"), F.col("dy"), F.col("h"))
+    return f.select("user_id", "sample", "t", (r6(fwd) + 0.0).alias("fwd"), (r6(left) + 0.0).alias("lft"), (r6(K.wrapped(F.col("yaw") - F.col("h"))) + 0.0).alias("turn"))
+
+
+@query("WITH " + FRAMES + """,
+h AS (SELECT user_id, t // 10 AS sample, count(*) AS n, list(x ORDER BY t) AS xs, list(v ORDER BY t) AS vs FROM f GROUP BY ALL)
+SELECT e.user_id, e.sample, e.n * 8 AS width, round(e.xs[e.n] - e.xs[1], 6) AS last_dx, round(coalesce(o.xs[e.n] - e.xs[e.n], 0), 6) AS last_gap, round(coalesce(o.vs[1] - e.vs[1], 0), 6) AS first_dv
+FROM h e LEFT JOIN h o ON o.user_id = e.user_id + 1 AND o.sample = e.sample""")
+def history_features_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """history_features of every sample; frames that the neighbour's sample lacks give zeros."""
+    h = _samples(spark, sf_dir).groupBy("user_id", "sample").agg(F.array_sort(F.collect_list(F.struct("t", "x", "y", F.col("v").alias("vx"), F.col("lat_v").alias("vy")))).alias("a"))
+    j = h.join(h.select((F.col("user_id") - 1).alias("user_id"), "sample", F.col("a").alias("b")), ["user_id", "sample"], "left")
+    other = F.transform("a", lambda _, i: F.get("b", i))
+    flat = F.flatten(F.concat(R.relative_history(F.col("a")), R.relative_history(F.col("a"), other)))
+    at = lambda k: r6(F.element_at("v", k))
+    d = j.select("user_id", "sample", F.size("a").alias("n"), flat.alias("v"))
+    return d.select("user_id", "sample", F.size("v").cast("long").alias("width"), at(F.col("n") * 4 - 3).alias("last_dx"), at(F.col("n") * 8 - 3).alias("last_gap"), at(F.col("n") * 4 + 3).alias("first_dv"))
+
+
+def _coverage_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents").select("doc_id"), read(spark, sf_dir, "labels")
+    return E.coverage(docs, labels.select("doc_id", (F.col("quality") == 1).alias("ok")), "doc_id", "ok")
+
+
+COVERAGE_ALL = COVERAGE.replace(" WHERE doc_id % 5 <> 0", "")
+
+
+@query(COVERAGE_ALL + " SELECT doc_id, kind FROM k")
+def coverage_classes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _coverage_all(spark, sf_dir)
+
+
+@query(SQL["coverage_report"].replace(COVERAGE, COVERAGE_ALL))
+def coverage_report_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.coverage_report(_coverage_all(spark, sf_dir))
+
+
+@query(SQL["prompt_records"].replace(" WHERE conv_id % 4 <> 0", ""))
+def prompt_records_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of both splits, each row once."""
+    system = F.concat(F.lit("Answer as "), "role", F.lit("."))
+    p = read(spark, sf_dir, "conversations").select(
+        F.concat_ws(":", "conv_id", "turn").alias("sample_id"), F.col("conv_id").cast("string").alias("event_id"), F.when(F.col("conv_id") % 4 == 0, "test").otherwise("train").alias("split"),
+        system.alias("system_prompt"), F.col("text").alias("user_prompt"), F.concat(F.lit("<s>"), system, F.lit("\n"), "text", F.lit("</s>")).alias("prompt_text"),
+    )
+    return J.assert_no_future(J.only_split(p, "train").unionByName(J.only_split(p, "test")).withColumnRenamed("split", "source_split"))
