@@ -166,6 +166,9 @@ def test_coverage(spark):
     [
         ('{"future_trajectory": [[1, 2], [3.5, 4]]}', None),
         ('{"future_trajectory": [[1, 2]]}', "count"),
+        (' {"future_trajectory":[[1e3,-0.5],[3 , 4]] }\n', None),
+        ('{"future_trajectory": [[1, 02], [3, 4]]}', "not json"),
+        (" ", "empty"),
         ('Here: {"future_trajectory": [[1, 2], [3, 4]]}', "not json"),
         ('```json\n{"future_trajectory": [[1, 2], [3, 4]]}\n```', "not json"),
         ('{"future_trajectory": [[1, 2], [3, 4]], "more": 1}', "keys"),
@@ -177,9 +180,10 @@ def test_coverage(spark):
         (None, "empty"),
     ],
 )
-def test_strict_points(text, error):
+def test_strict_points(spark, text, error):
     points, found = X.read_points(text, 2)
     assert found == error and (points is None) == (error is not None)
+    assert value(spark, X.strict_points(F.lit(text).cast("string"), 2)) == (points, error)
 
 
 def test_first_json():
@@ -199,7 +203,7 @@ def test_text_rules(spark):
     assert text(X.error_text, " a \n b ") == "a b"
     a = F.array(*map(F.lit, range(9)))
     assert value(spark, X.head_and_tail(a, 5)) == [0, 1, 2, 7, 8] and value(spark, X.padded(F.slice(a, 1, 3), F.lit(-1), 4, left=True)) == [-1, 0, 1, 2]
-    assert value(spark, X.ranked_code(F.array(F.lit("b"), F.lit("a")), ("a", "b", "c"), 3)) == [2.0, 3.0, 0.0]
+    assert value(spark, X.ranked_code(F.array(F.lit("b"), F.lit("a")), ("a", "b", "c"))) == [1.0, 2.0, 0.0]
 
 
 def test_lookups_and_guards(spark):
@@ -279,23 +283,57 @@ def test_files(spark, tmp_path):
 def test_context_rules(spark):
     from wayframe.functions import answers as A
 
-    good = {"actions": ["change-left", "Accelerate"], "affordances": ["left free", "AHEAD_FREE"], "scenario": "dense", "summary": "s", "reason": "r"}
+    good = {"Situation Understanding": "s", "Reasoning": "r", "Actions": ["left-turn", "Straight"], "Affordance": ["slow allow", "LEFT_ALLOW"], "Scenario_name": "parking lot"}
     read = lambda text: value(spark, A.context_vector(A.context(F.lit(text))))
-    want = [0.0, 2.0, 0.0, 0.0, 3.0, 0.0, 0.0, 0.0, 1.0, 0.0, 1.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0]
-    assert read(json.dumps(good)) == want and read("```json\n" + json.dumps(good) + "\n```") == want
-    for change in ({"more": 1}, {"actions": ["fly"]}, {"actions": ["stop", "STOP "]}, {"actions": "stop"}, {"actions": []}, {"scenario": None}, {"reason": " "}):
+    want = [0.0, 1.0, 0.0, 0.0, 2.0, 0.0, 0.0, 0.0, 1.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0]
+    assert read(json.dumps(good)) == want and read(" ```JSON\n" + json.dumps(good) + "\n```\n") == want and read("```\n" + json.dumps(good, indent=1) + "\n```") == want
+    changes = ({"more": 1}, {"Actions": ["fly"]}, {"Actions": ["straight", "STRAIGHT "]}, {"Actions": "straight"}, {"Actions": []}, {"Actions": ["straight", None]}, {"Actions": list(A.ACTIONS[:4])}, {"Scenario_name": None}, {"Reasoning": " "}, {"Reasoning": 5})
+    for change in changes:
         assert read(json.dumps(good | change)) is None, change
-    assert read(json.dumps(good) + " so") is None and read("") is None
+    assert read(json.dumps(good) + " so") is None and read("") is None and read("[]") is None and read("```json\n```") is None
+    assert read("```python\n" + json.dumps(good) + "\n```") is None and read("```json " + json.dumps(good) + "```") is None
+    assert value(spark, A.context(F.lit(json.dumps(good))))["scenario"] == "PARKING_LOT"
+
+
+def test_strategy_answers(spark):
+    from wayframe.functions import answers as A
+
+    body = {
+        "phase": "lane crossing", "decision": {"strategy_scores": {"maintain": 0.5, "Yield": 3, "MAINTAIN_AND_OBSERVE": "about 0.75", "fly": 1}, "primary_strategy": "decisive", "target_gap": "gap 2", "confidence": "0.9 or so", "risk_tolerance": None, "stability_level": True},
+        "prediction_guidance": {"expected_speed_change": "Slow down, then accelerate", "key_interaction": " tff"},
+    }
+    read = lambda text, *a: value(spark, A.strategy_answer(F.lit(text), *a))
+    r = read("Sure: " + json.dumps(body) + " }")
+    scores = [0.0] * 12
+    scores[X.STRATEGIES.index("MAINTAIN_AND_OBSERVE")], scores[X.STRATEGIES.index("YIELD_FOR_GAP2")] = 0.75, 1.0
+    assert r["vector"] == pytest.approx([0, 1, 0, *scores, 0, 0, 1, 0, 0, 0, 0, 0.9, 1, 0, 0, 0, 0, 1, 1]) and len(r["vector"]) == 30
+    assert (r["phase"], r["status"], r["primary_strategy"], r["target_gap"], r["speed_change"], r["key_interaction"]) == ("crossing", 1, "DECISIVE_MERGE", "gap 2", "DECEL", "TFF")
+    assert r["ignored"] == {"fly": "1"} and r["error"] is None
+    bare = read("{}", "Relaxation")
+    assert bare["vector"] == [0, 0, 1, *[0] * 12, 0, 1, 0, *[0] * 12] and bare["primary_strategy"] == "NONE" and bare["target_gap"] == "NONE"
+    odd = read('{"decision": [1], "prediction_guidance": 3, "phase": ""}')
+    assert odd["vector"] == [1, 0, 0, *[0] * 12, 0, 1, 0, *[0] * 12]
+    assert read("none")["error"] == "no complete object" and read("{ open")["error"] == "no complete object" and read("{'a': 1}")["error"] == "not json" and read("{'a': 1}")["vector"] is None
 
 
 def test_joint_rules(spark):
     from wayframe.functions import answers as A
 
-    good = "Thought:\n- feature: a\n- behavior: b\nFinal answer:\nIntention: 1 (left)\nTrajectory: [[1, 2], [3, 4.5]]"
+    good = 'Thought:\n- Notable feature: a\n- Potential behavior: b\nFinal answer:\n- Intention: "1: Left lane change"\n- Trajectory: "[[1, 2], [3, 4.5]]"'
     read = lambda text: value(spark, A.joint_answer(F.lit(text), 2))
-    assert read(good)["intention"] == 1 and read(good)["points"] == [[1, 2], [3, 4.5]]
-    for a, b in (("left", "right"), ("[3, 4.5]", "[3]"), (", [3, 4.5]", ""), ("4.5", "NaN"), ("- behavior: b\n", ""), ("4.5]]", "4.5]]\nmore")):
+    for text in (good, good.replace('"', ""), good.replace(": Left lane change", ""), "\n" + good.lower().replace("feature", "features").replace("\n", "\n\n") + "\n", good.replace("], [", "],\n ["), good.replace('"[', "'[").replace(']"', "]'")):
+        assert read(text)["intention"] == 1 and read(text)["points"] == [[1, 2], [3, 4.5]] and read(text)["features"] == ["a"], text
+    changes = (("Left", "Right"), ("[3, 4.5]", "[3]"), (", [3, 4.5]", ""), ("4.5", "NaN"), ("4.5", "1e39"), ("- Potential behavior: b\n", ""), ("- Potential", "- Likely"), ('4.5]]"', '4.5]]"\nmore'), ("1:", "3:"), ("Final answer:", "Answer:"), ("Thought:", "So. Thought:"))
+    for a, b in changes:
         assert read(good.replace(a, b)) is None, (a, b)
+    assert read("") is None and value(spark, A.joint_answer(F.lit(None).cast("string"), 2)) is None
+    points = F.array(F.array(F.lit(1.0), F.lit(2.0)), F.array(F.lit(3.0), F.lit(-4.256)))
+    text = value(spark, A.formatted_joint(F.array(F.lit("a")), F.array(F.lit(" b ")), F.lit(2), points))
+    assert text.endswith('- Intention: "2: Right lane change"\n- Trajectory: "[[1.0,2.0],[3.0,-4.26]]"') and read(text)["behaviors"] == ["b"]
+    assert value(spark, A.formatted_joint(F.array(F.lit(" ")), F.array(F.lit("b")), F.lit(2), points)) is None
+    assert value(spark, X.strict_points(A.formatted_direct(points), 2))["points"] == [[1.0, 2.0], [3.0, -4.26]]
+    cases = ((1, "left_lane_change"), ("Lane-Keeping", "keep_lane"), (" rlc ", "right_lane_change"), ("3", None), ("", None))
+    assert [value(spark, A.intention(F.lit(x))) for x, _ in cases] == [y for _, y in cases]
 
 
 def test_training_pair(spark):

@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import label, ranked_code
+from . import text as X
+from .text import label, ranked_code, stripped
 
-#: Vocabularies of contexts in the order of their vector.
-ACTIONS = ("KEEP", "ACCELERATE", "DECELERATE", "YIELD", "CHANGE_LEFT", "CHANGE_RIGHT", "STOP", "FOLLOW")
-AFFORDANCES = ("LEFT_FREE", "RIGHT_FREE", "AHEAD_FREE", "BEHIND_FREE")
-SCENARIOS = ("FREE_FLOW", "DENSE", "MERGE", "INCIDENT", "UNKNOWN")
-KEYS = ("actions", "affordances", "scenario", "summary", "reason")
-CONTEXT = "actions array<string>, affordances array<string>, scenario string, summary string, reason string"
-INTENTIONS = ("keep", "left", "right")
+#: Labels of context answers in the order of their vector, and the keys of such an answer.
+ACTIONS = ("STATIONARY", "STRAIGHT", "STRAIGHT_LEFT", "STRAIGHT_RIGHT", "LEFT_TURN", "RIGHT_TURN", "LEFT_U_TURN", "RIGHT_U_TURN")
+AFFORDANCES = ("SLOW_ALLOW", "ACCELERATE_ALLOW", "LEFT_ALLOW", "RIGHT_ALLOW")
+SCENARIOS = ("INTERSECTION", "ON_STRAIGHT_ROAD", "PARKING_LOT", "ON_ROADSIDE", "UNSURE")
+KEYS = ("Situation Understanding", "Reasoning", "Actions", "Affordance", "Scenario_name")
+#: Names of the classes of intention, by number.
+INTENTIONS = ("Keep lane", "Left lane change", "Right lane change")
+#: Decision fields that a strategy vector takes as numbers.
+NUMBERS = ("aggressiveness", "risk_tolerance", "lateral_intent", "longitudinal_intent", "confidence", "stability_level")
 
 
 def let(value: Column, body) -> Column:
@@ -22,8 +25,10 @@ def let(value: Column, body) -> Column:
 
 
 def unfenced(text: Column) -> Column:
-    """The text without blanks and without one code fence around it."""
-    return F.regexp_replace(F.trim(text), r"(?s)^```(?:json)?\s*(.*?)\s*```$", "$1")
+    """The text without blanks and without one code fence of whole lines around it; null where a fence is opened only."""
+    t = stripped(text)
+    inside = F.regexp_extract(t, r"(?is)^```(?:json)?[^\S\n]*\n(.*)\n[^\S\n]*```$", 1)
+    return F.when(t.startswith("```"), F.nullif(stripped(inside), F.lit(""))).otherwise(t)
 
 
 def same_keys(text: Column, allowed: tuple[str, ...]) -> Column:
@@ -36,26 +41,37 @@ def outer_json(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
 
 
+def field(v: Column, *path: str, kind: str = "variant") -> Column:
+    """A field of a variant by its keys; null where it is absent or of another kind."""
+    return F.try_variant_get(v, "$" + "".join(f"['{k}']" for k in path), kind)
+
+
 def context(text: Column) -> Column:
-    """Struct of canonical actions, affordances and scenario, or null for an answer that breaks a rule.
+    """Struct of situation, reasoning, actions, affordances and scenario, or null for an answer that breaks a rule.
 
-    Exactly five keys, one to three actions, up to four affordances, no repeats after normalising, known labels, texts not blank.
+    Exactly the five keys, each once; one to three actions, up to four affordances, no repeats after normalising, known labels, two
+    texts that are not blank.
     """
     each = lambda a, names: F.transform(a, lambda x: label(x, names))
     known = lambda a, low, high: F.size(a).between(low, high) & F.forall(a, lambda x: x.isNotNull()) & (F.size(F.array_distinct(a)) == F.size(a))
 
     def read(body: Column) -> Column:
-        parsed = F.from_json(body, CONTEXT)
-        form = same_keys(body, KEYS) & body.rlike(r"(?s)^\s*\{.*\}\s*$")
-        return F.when(form, let(parsed, names))
-
-    def names(p: Column) -> Column:
-        texts = (F.trim(p["summary"]) != "") & (F.trim(p["reason"]) != "")
-        c = F.struct(each(p["actions"], ACTIONS).alias("actions"), each(p["affordances"], AFFORDANCES).alias("affordances"), label(p["scenario"], SCENARIOS).alias("scenario"))
-        return F.when(texts, let(c, check))
+        form = same_keys(body, KEYS) & body.rlike(r"(?s)^\{.*\}$")
+        return F.when(form, let(F.try_parse_json(body), names))
+
+    def names(v: Column) -> Column:
+        whole = lambda k: F.when(F.schema_of_variant(field(v, k)) == "STRING", F.nullif(stripped(field(v, k, kind="string")), F.lit("")))
+        return let(
+            F.struct(
+                whole(KEYS[0]).alias("situation"), whole(KEYS[1]).alias("reasoning"), each(field(v, KEYS[2], kind="array<string>"), ACTIONS).alias("actions"),
+                each(field(v, KEYS[3], kind="array<string>"), AFFORDANCES).alias("affordances"), label(field(v, KEYS[4], kind="string"), SCENARIOS).alias("scenario"),
+            ),
+            check,
+        )
 
     def check(c: Column) -> Column:
-        return F.when(known(c["actions"], 1, 3) & known(c["affordances"], 0, 4) & c["scenario"].isNotNull(), c)
+        texts = c["situation"].isNotNull() & c["reasoning"].isNotNull() & c["scenario"].isNotNull()
+        return F.when(texts & known(c["actions"], 1, 3) & known(c["affordances"], 0, 4), c)
 
     return let(unfenced(text), read)
 
@@ -66,25 +82,140 @@ def context_vector(c: Column) -> Column:
     def code(c: Column) -> Column:
         multi = F.array(*[F.when(F.array_contains(c["affordances"], a), 1.0).otherwise(0.0) for a in AFFORDANCES])
         one = F.array(*[F.when(c["scenario"] == s, 1.0).otherwise(0.0) for s in SCENARIOS])
-        return F.when(c.isNotNull(), F.concat(ranked_code(c["actions"], ACTIONS, 3), multi, one))
+        return F.when(c.isNotNull(), F.concat(ranked_code(c["actions"], ACTIONS), multi, one))
 
     return let(c, code)
 
 
-def joint_answer(text: Column, n: int) -> Column:
-    """Struct of intention and points of a text of a thought and a final block, or null where its form is not kept.
+def number(v: Column, default: float = 0.0) -> Column:
+    """A variant as a number: of a boolean 1 or 0, else the first number in its text; the default for null and for none."""
+    kind = F.schema_of_variant(v)
+    return F.when(kind == "BOOLEAN", F.when(v.try_cast("boolean"), 1.0).otherwise(0.0)).otherwise(X.safe_float(v.try_cast("string"), default))
+
+
+def strategy_answer(text: Column, fallback: Column | str = X.PHASES[0]) -> Column:
+    """Struct of vector (30 floats), mask, phase, status, primary_strategy, target_gap, speed_change, key_interaction, ignored and error.
+
+    The vector is the phase (3), scores by strategy from 0 to 1 (12), the change of speed (3), six numbers and which of them there
+    are (6 and 6). It reads the first balanced object of the text; where that is absent or no JSON, error says so and the rest is
+    null. ignored: score keys that name no strategy, with their values. Of keys of one strategy the last counts. An object that
+    repeats a key is no JSON here.
+    """
+
+    def of(body: Column) -> Column:
+        return let(F.try_parse_json(body), lambda v: let(F.get_json_object(body, "$.decision.strategy_scores"), lambda scores: make(body, v, scores)))
+
+    def make(body: Column, v: Column, scores: Column) -> Column:
+        by = field(v, "decision", "strategy_scores", kind="map<string, variant>")
+        given = F.transform(F.json_object_keys(scores), lambda k: F.struct(X.strategy(k).alias("s"), k.alias("k"), F.try_element_at(by, k).alias("v")))
+        return let(given, lambda g: full(body, v, F.coalesce(g, F.filter(F.array(F.struct(F.lit("").alias("s"), F.lit("").alias("k"), F.lit(None).cast("variant").alias("v"))), lambda _: F.lit(False)))))
+
+    def full(body: Column, v: Column, given: Column) -> Column:
+        names = F.array(*map(F.lit, X.STRATEGIES))
+        score = lambda s: F.least(F.greatest(number(F.try_element_at(F.filter(given, lambda g: g["s"] == s), F.lit(-1))["v"]), F.lit(0.0)), F.lit(1.0))
+        phase = X.phase(field(v, "phase", kind="string"), fallback)
+        speed = X.speed_change(field(v, "prediction_guidance", "expected_speed_change", kind="string"))
+        numbers = [field(v, "decision", k) for k in NUMBERS]
+        there = lambda x: x.isNotNull() & (F.schema_of_variant(x) != "VOID")
+        values = F.array(*[F.when(there(x), number(x)).otherwise(0.0) for x in numbers])
+        mask = F.array(*[F.when(there(x), 1.0).otherwise(0.0) for x in numbers])
+        vector = F.concat(X.one_hot(phase, X.PHASES), F.transform(names, score), X.one_hot(speed, X.SPEEDS), values, mask)
+        left = F.filter(given, lambda g: ~F.array_contains(names, g["s"]))
+        good = v.isNotNull()
+        found = {
+            "vector": vector.cast("array<float>"), "mask": mask.cast("array<float>"), "phase": phase, "status": F.array_position(F.array(*map(F.lit, X.PHASES)), phase).cast("int") - 1,
+            "primary_strategy": X.strategy(field(v, "decision", "primary_strategy", kind="string")), "target_gap": F.coalesce(field(v, "decision", "target_gap", kind="string"), F.lit("NONE")),
+            "speed_change": speed, "key_interaction": X.interaction(field(v, "prediction_guidance", "key_interaction", kind="string")),
+            "ignored": F.map_from_entries(F.transform(left, lambda g: F.struct(g["k"], g["v"].try_cast("string")))),
+        }
+        error = F.when(body.isNull(), "no complete object").when(~good, "not json")
+        return F.struct(*[F.when(good, c).alias(k) for k, c in found.items()], error.alias("error"))
+
+    return let(X.first_json(text), of)
+
+
+def one_line(text: Column) -> Column:
+    return F.filter(F.split(text, r"\r\n|[\n\r\x0B\x0C]"), lambda x: x.rlike(r"\S"))
+
+
+FEATURE = r"(?i)^\s*-\s*Notable\s+features?\s*:\s*(\S.*?)\s*$"
+BEHAVIOR = r"(?i)^\s*-\s*Potential\s+behaviors?\s*:\s*(\S.*?)\s*$"
+INTENTION = r"(?i)^\s*-\s*Intention\s*:\s*[\"']?([012])(?:\s*:\s*([^\"']+?))?[\"']?\s*$"
+
+
+def joint_answer(text: Column, n: int = 50) -> Column:
+    """Struct of features, behaviors, intention and points (floats), or null where the form of a thought and a final answer is not kept.
 
-    Thought lines are `- feature: ...` or `- behavior: ...`, at least one of each; the intention's number and name must agree.
+    Each line of the thought is a notable feature or a potential behavior, at least one of each. The intention may carry its name,
+    which then must be that of its number; intention and trajectory may stand in quotes. Points are n pairs of finite numbers.
     """
-    t = F.regexp_replace(F.trim(text), "\r\n", "\n")
-    form = r"(?s)^Thought:\n((?:- (?:feature|behavior): [^\n]+\n)+)Final answer:\nIntention: ([0-2]) \((\w+)\)\nTrajectory: (\[[^\n]*\])$"
-    part = lambda k: F.regexp_extract(t, form, k)
-    points = F.from_json(part(4), "array<array<double>>")
-    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    good = (F.size(points) == n) & F.forall(points, lambda p: (F.size(p) == 2) & F.forall(p, finite))
-    named = F.element_at(F.array(*map(F.lit, INTENTIONS)), F.coalesce(part(2).try_cast("int"), F.lit(0)) + 1) == part(3)
-    ok = (part(4) != "") & part(1).contains("- feature: ") & part(1).contains("- behavior: ") & named & good
-    return F.when(F.coalesce(ok, F.lit(False)), F.struct(part(2).try_cast("int").alias("intention"), points.alias("points")))
+    block = r"(?is)\A\s*Thought:\s*(.*?)\s*Final\s+answer:\s*(.*?)\s*\z"
+
+    def read(parts: Column) -> Column:
+        thought, final = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+        of = lambda form: F.filter(F.transform(thought, lambda x: F.regexp_extract(x, form, 1)), lambda x: x != "")
+        first = F.get(final, F.lit(0))
+        number, name = F.regexp_extract(first, INTENTION, 1), F.lower(F.regexp_replace(stripped(F.regexp_extract(first, INTENTION, 2)), r"\s+", " "))
+        wanted = F.get(F.transform(F.array(*map(F.lit, INTENTIONS)), lambda x: F.lower(x)), F.nullif(number, F.lit("")).try_cast("int"))
+        rest = F.array_join(F.slice(final, 2, F.greatest(F.size(final) - 1, F.lit(0))), "\n")
+        path = F.regexp_extract(rest, rf"(?is)^\s*-\s*Trajectory\s*:\s*+([\"'])\s*+({X.json_pairs(n)})\s*+\1\s*$", 2)
+        bare = F.regexp_extract(rest, rf"(?is)^\s*-\s*Trajectory\s*:\s*+({X.json_pairs(n)})\s*$", 1)
+        points = X.finite_pairs(F.coalesce(F.nullif(path, F.lit("")), F.nullif(bare, F.lit("")))).cast("array<array<float>>")
+        return let(F.struct(of(FEATURE).alias("features"), of(BEHAVIOR).alias("behaviors"), number.try_cast("int").alias("intention"), points.alias("points")), lambda r: check(r, thought, number, name, wanted))
+
+    def check(r: Column, thought: Column, number: Column, name: Column, wanted: Column) -> Column:
+        said = (F.size(r["features"]) > 0) & (F.size(r["behaviors"]) > 0) & (F.size(r["features"]) + F.size(r["behaviors"]) == F.size(thought))
+        small = F.forall(F.flatten(r["points"]), lambda x: F.abs(x) < float("inf"))
+        return F.when(F.coalesce(said & (number != "") & ((name == "") | (name == wanted)) & small, F.lit(False)), r)
+
+    part = lambda k: one_line(F.regexp_extract(text, block, k))
+    return let(F.when(text.isNotNull(), F.array(part(1), part(2))), read)
+
+
+def formatted_pairs(points: Column, precision: int = 2) -> Column:
+    """Points (x, y) as JSON of rounded numbers without blanks."""
+    one = lambda v: F.regexp_replace(F.format_string(f"%.{precision}f", v.cast("double")), r"(\.\d+?)0+$", "$1")
+    return F.concat(F.lit("["), F.array_join(F.transform(points, lambda p: F.concat(F.lit("["), one(F.get(p, F.lit(0))), F.lit(","), one(F.get(p, F.lit(1))), F.lit("]"))), ","), F.lit("]"))
+
+
+def formatted_joint(features: Column, behaviors: Column, intention: Column, points: Column, precision: int = 2) -> Column:
+    """The answer text that joint_answer reads; null where a feature or behavior is blank or absent, or the intention is none."""
+    lines = lambda head, a: F.transform(a, lambda x: F.concat(F.lit(f"- {head}: "), stripped(x)))
+    good = F.coalesce((F.size(features) > 0) & (F.size(behaviors) > 0) & F.forall(F.concat(features, behaviors), lambda x: F.coalesce(stripped(x) != "", F.lit(False))) & intention.between(0, 2), F.lit(False))
+    name = F.get(F.array(*map(F.lit, INTENTIONS)), intention)
+    final = F.array(F.lit("Final answer:"), F.concat(F.lit('- Intention: "'), intention.cast("string"), F.lit(": "), name, F.lit('"')), F.concat(F.lit('- Trajectory: "'), formatted_pairs(points, precision), F.lit('"')))
+    return F.when(good, F.array_join(F.concat(F.array(F.lit("Thought:")), lines("Notable feature", features), lines("Potential behavior", behaviors), final), "\n"))
+
+
+def formatted_direct(points: Column, precision: int = 2) -> Column:
+    return F.concat(F.lit('{"future_trajectory":'), formatted_pairs(points, precision), F.lit("}"))
+
+
+#: Canonical classes of intention, and the spellings of each.
+CLASSES = ("keep_lane", "left_lane_change", "right_lane_change")
+SPELLINGS = {
+    "0": "keep_lane",
+    "keep": "keep_lane",
+    "keep lane": "keep_lane",
+    "lane keeping": "keep_lane",
+    "lk": "keep_lane",
+    "1": "left_lane_change",
+    "left": "left_lane_change",
+    "left lane change": "left_lane_change",
+    "change left": "left_lane_change",
+    "llc": "left_lane_change",
+    "2": "right_lane_change",
+    "right": "right_lane_change",
+    "right lane change": "right_lane_change",
+    "change right": "right_lane_change",
+    "rlc": "right_lane_change",
+}
+
+
+def intention(value: Column) -> Column:
+    """Canonical class of an intention by number or spelling, whatever its case, hyphens and underscores; null for others."""
+    t = F.lower(stripped(F.regexp_replace(value.cast("string"), r"[-_\s]+", " ")))
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in SPELLINGS.items() for x in kv]), t)
 
 
 def training_pair(prompt: Column, answer: Column, end: int, longest: int, ignored: int = -100) -> Column:

@@ -360,17 +360,19 @@ def cyclic_and_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
 PHRASE = "(['  Anticipating', 'crossing now', 'Stabilised', 'none'])[1 + (event_id % 4)::INTEGER]"
 
 
-@query(f"""
+@query("""
 SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'anticipation' WHEN 1 THEN 'crossing' WHEN 2 THEN 'relaxation' ELSE 'anticipation' END AS phase,
-  CASE event_type WHEN 'click' THEN 'ACCELERATE' WHEN 'view' THEN 'YIELD' ELSE upper(event_type) END AS strategy, CASE event_id % 3 WHEN 0 THEN 'DECELERATE' WHEN 1 THEN 'ACCELERATE' ELSE 'KEEP' END AS speed,
-  CASE WHEN event_id % 2 = 0 THEN 'KEEP_LEFT' END AS label, (props::JSON ->> 'k')::DOUBLE AS number FROM events""")
+  CASE event_type WHEN 'click' THEN 'ACCELERATE_PASS' WHEN 'view' THEN 'YIELD_FOR_GAP2' ELSE upper(event_type) END AS strategy, CASE event_id % 3 WHEN 0 THEN 'DECEL' WHEN 1 THEN 'ACCEL' ELSE 'KEEP' END AS speed,
+  CASE event_id % 3 WHEN 0 THEN 'TFF' WHEN 1 THEN 'OL' ELSE 'NONE' END AS interaction, CASE WHEN event_id % 2 = 0 THEN 'LEFT_TURN' END AS label,
+  CASE event_id % 3 WHEN 0 THEN 'left_lane_change' WHEN 1 THEN 'right_lane_change' END AS intention, (props::JSON ->> 'k')::DOUBLE AS number FROM events""")
 def normalized_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events")
     word = lambda *w: F.get(F.array(*map(F.lit, w)), (F.col("event_id") % len(w)).cast("int"))
-    raw = F.when(F.col("event_type") == "click", "--speed up!").when(F.col("event_type") == "view", " give-way ").otherwise(F.concat(F.lit("  "), "event_type"))
+    raw = F.when(F.col("event_type") == "click", "--accelerate!").when(F.col("event_type") == "view", " yield ").otherwise(F.concat(F.lit("  "), "event_type"))
     return e.select(
         "event_id", X.phase(word("  Anticipating", "crossing now", "Stabilised", "none")).alias("phase"), X.strategy(raw).alias("strategy"), X.speed_change(word("brake, then speed up", "Catch up", "hold")).alias("speed"),
-        X.label(word(" keep-left", "keep right"), ("KEEP_LEFT",)).alias("label"), X.safe_float(F.col("props")).alias("number"),
+        X.interaction(word(" tff", "OL ", "ahead")).alias("interaction"), X.label(word(" left-turn", "keep right"), A.ACTIONS).alias("label"),
+        A.intention(word("LLC", "Change_Right", "back")).alias("intention"), X.safe_float(F.col("props")).alias("number"),
     )
 
 
@@ -382,20 +384,22 @@ def artifact_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT event_id, [CASE WHEN event_id % 3 = 0 THEN 1.0 ELSE 0 END, CASE WHEN event_id % 3 = 1 THEN 1.0 ELSE 0 END, CASE WHEN event_id % 3 = 2 THEN 1.0 ELSE 0 END, round(least(greatest(value / 100, 0), 1), 6), CASE WHEN event_type = 'click' THEN 0.5 ELSE 0 END,
-  CASE WHEN event_id % 2 = 0 THEN round(value, 4) ELSE 0 END, CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END]::DOUBLE[] AS vector FROM events""")
+WITH v AS (SELECT event_id, event_type, value, event_id % 3 AS p, event_id % 2 = 0 AS even FROM events)
+SELECT event_id, CASE p WHEN 0 THEN 'anticipation' WHEN 1 THEN 'crossing' ELSE 'relaxation' END AS phase, CASE WHEN even THEN 'TL' ELSE 'NONE' END AS key_interaction,
+  CASE WHEN event_type = 'click' THEN ['wait here'] ELSE [] END AS ignored, NULL::VARCHAR AS error, list_transform([p = 0, p = 1, p = 2]::INTEGER[] || [
+    0, 0, 0, 0, CASE WHEN even THEN 1 ELSE 0.5 END, round(least(greatest(value / 100, 0), 1), 4), 0, 0, 0, 0, CASE WHEN event_type = 'click' THEN 0 ELSE 0.25 END, 0]
+    || (CASE WHEN event_type = 'view' THEN [1, 0, 0] ELSE [0, 0, 1] END) || [round(value, 4), CASE WHEN even THEN 0.5 ELSE 0 END, -2, 0, 0, 1] || [1, CASE WHEN even THEN 1 ELSE 0 END, 1, 0, 1, 1], lambda x: round(x::DOUBLE, 4)) AS vector FROM v""")
 def strategy_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers in free text with one JSON object, to vectors: phase, clipped scores by strategy, and a value with its mask."""
+    """Answers in free text with one JSON object, to the vector of 30 numbers."""
     e = read(spark, sf_dir, "events")
-    phase = F.get(F.array(*map(F.lit, X.PHASES)), (F.col("event_id") % 3).cast("int"))
-    scores = F.create_map(F.lit("give way"), F.col("value") / 100, F.when(F.col("event_type") == "click", "hold").otherwise("other"), F.lit(0.5))
-    body = F.to_json(F.struct(phase.alias("phase"), scores.alias("scores"), F.when(F.col("event_id") % 2 == 0, F.round("value", 4)).alias("gap"), F.lit("a } in a string").alias("note")))
-    raw = e.select("event_id", F.concat(F.lit("So: "), body, F.lit(" {that is all")).alias("text"))
-    p = raw.select("event_id", F.from_json(X.first_json("text"), "phase string, scores map<string, double>, gap double").alias("p"))
-    by = F.map_from_entries(F.transform(F.map_entries("p.scores"), lambda x: F.struct(X.strategy(x["key"]), x["value"])))
-    slots = F.transform(F.array(F.lit("YIELD"), F.lit("MAINTAIN")), lambda k: F.round(F.least(F.greatest(F.coalesce(F.try_element_at(by, k), F.lit(0.0)), F.lit(0.0)), F.lit(1.0)), 6))
-    value = F.array(F.coalesce("p.gap", F.lit(0.0)), F.when(F.col("p.gap").isNotNull(), 1.0).otherwise(0.0))
-    return p.select("event_id", F.concat(X.one_hot(X.phase(F.col("p.phase")), X.PHASES), slots, value).alias("vector"))
+    even = F.col("event_id") % 2 == 0
+    phase = F.get(F.array(F.lit("Anticipation"), F.lit("lane crossing"), F.lit("stabilising")), (F.col("event_id") % 3).cast("int"))
+    scores = F.concat(F.lit('{"maintain": 0.5, "yield": '), F.round(F.col("value") / 100, 4).cast("string"), F.when(even, ', "Maintain and observe": true').otherwise(""), F.lit(', "'), F.when(F.col("event_type") == "click", "wait here").otherwise("hold-and-wait"), F.lit('": "about 0.25"}'))
+    decision = F.concat(F.lit('{"strategy_scores": '), scores, F.lit(', "aggressiveness": '), F.round("value", 4).cast("string"), F.when(even, ', "risk_tolerance": "0.5"').otherwise(', "risk_tolerance": null'), F.lit(', "lateral_intent": -2, "confidence": "none", "stability_level": true}'))
+    guidance = F.concat(F.lit('{"expected_speed_change": "'), F.when(F.col("event_type") == "view", "speed up").otherwise("slow, then catch up"), F.lit('"'), F.when(even, ', "key_interaction": " tl"').otherwise(""), F.lit("}"))
+    text = F.concat(F.lit('So: {"phase": "'), phase, F.lit('", "decision": '), decision, F.lit(', "prediction_guidance": '), guidance, F.lit(', "note": "a } in a string"} {that is all'))
+    v = e.select("event_id", A.strategy_answer(text).alias("v")).select("event_id", "v.*")
+    return v.select("event_id", "phase", "key_interaction", F.map_keys("ignored").alias("ignored"), "error", F.transform("vector", lambda x: F.round(x.cast("double"), 4)).alias("vector"))
 
 
 @query("""
@@ -407,7 +411,7 @@ def strict_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = [F.concat(F.lit('{"future_trajectory": ' + f[0]), i, F.lit("," + f[1] + "}")) if f else None for f in forms]
     made[2], made[5], made[7] = F.lit('{"other": 1}'), F.lit('{"future_trajectory": [], "future_trajectory": []}'), F.lit("```json\n{}\n```")
     e = read(spark, sf_dir, "events").select("event_id", F.get(F.array(*made), (F.col("event_id") % 8).cast("int")).alias("text"))
-    r = e.select("event_id", X.strict_points(2)("text").alias("r"))
+    r = e.select("event_id", X.strict_points(F.col("text"), 2).alias("r"))
     return r.select("event_id", "r.error", F.aggregate(F.flatten("r.points"), F.lit(0.0), lambda s, x: s + x).alias("total"))
 
 
@@ -449,28 +453,32 @@ def batch_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT event_id, CASE WHEN event_id % 5 < 2 THEN list_concat(CASE event_id % 2 WHEN 0 THEN [0.0, 2, 0, 0, 3, 0, 0, 0] ELSE [3.0, 0, 0, 0, 0, 0, 0, 0] END,
+SELECT event_id, CASE WHEN event_id % 5 < 2 THEN list_concat(CASE event_id % 2 WHEN 0 THEN [0.0, 1, 0, 0, 2, 0, 0, 0] ELSE [1.0, 0, 0, 0, 0, 0, 0, 0] END,
   CASE event_id % 2 WHEN 0 THEN [1.0, 0, 1, 0] ELSE [0.0, 0, 0, 0] END, [CASE WHEN event_type = 'view' THEN 1.0 ELSE 0 END, 0, CASE WHEN event_type = 'view' THEN 0 ELSE 1.0 END, 0, 0])::DOUBLE[] END AS vector FROM events""")
 def context_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Context answers to 17 numbers; three of five forms break a rule: a repeat, an unknown label, another key."""
-    scenario = F.when(F.col("event_type") == "view", "free-flow").otherwise("Merge")
+    scenario = F.when(F.col("event_type") == "view", "intersection").otherwise("Parking-lot")
     even = F.col("event_id") % 2 == 0
     lists = lambda a, b: F.when(even, F.array(*map(F.lit, a))).otherwise(F.array(*map(F.lit, b)).cast("array<string>"))
     form = F.col("event_id") % 5
-    actions = F.when(form == 2, F.array(F.lit("stop"), F.lit(" STOP"))).when(form == 3, F.array(F.lit("fly"))).otherwise(lists(("change-left", "accelerate"), ("keep",)))
-    whole = F.to_json(F.struct(actions.alias("actions"), lists(("left free", "AHEAD_FREE"), ()).alias("affordances"), scenario.alias("scenario"), F.lit("s").alias("summary"), F.lit("r").alias("reason")))
-    text = F.when(form == 4, F.regexp_replace(whole, "summary", "note")).when(form == 1, F.concat(F.lit("```json\n"), whole, F.lit("\n```"))).otherwise(whole)
+    actions = F.when(form == 2, F.array(F.lit("stationary"), F.lit(" STATIONARY"))).when(form == 3, F.array(F.lit("fly"))).otherwise(lists(("left-turn", "straight"), ("stationary",)))
+    values = (F.lit("s"), F.lit("r"), actions, lists(("slow allow", "LEFT_ALLOW"), ()), scenario)
+    whole = F.to_json(F.struct(*[v.alias(k) for k, v in zip(A.KEYS, values)]))
+    text = F.when(form == 4, F.regexp_replace(whole, "Reasoning", "Reasons")).when(form == 1, F.concat(F.lit("```json\n"), whole, F.lit("\n```"))).otherwise(whole)
     return read(spark, sf_dir, "events").select("event_id", A.context_vector(A.context(text)).alias("vector"))
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 4 < 2 THEN (event_id % 3)::INTEGER END AS intention, CASE WHEN event_id % 4 < 2 THEN round(value + 1.5, 4) END AS total FROM events""")
+@query("""SELECT event_id, CASE WHEN event_id % 4 < 2 THEN (event_id % 3)::INTEGER END AS intention, CASE WHEN event_id % 4 < 2 THEN [['slow', 'near'], ['waits']] END AS said,
+  CASE WHEN event_id % 4 < 2 THEN round(round(value, 2) + 1.5, 2) END AS total FROM events""")
 def joint_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers of a thought and a final block; two of four forms break a rule: a wrong label, a further line."""
-    form, i = F.col("event_id") % 4, F.col("event_id") % 3
-    name = F.element_at(F.array(*map(F.lit, A.INTENTIONS)), (F.when(form == 2, (i + 1) % 3).otherwise(i) + 1).cast("int"))
-    text = F.concat(F.lit("Thought:\n- feature: slow\n- behavior: waits\nFinal answer:\nIntention: "), i.cast("string"), F.lit(" ("), name, F.lit(")\nTrajectory: [["), F.col("value").cast("string"), F.lit(", 0], [1, 0.5]]"), F.when(form == 3, "\nmore").otherwise(""))
+    """Answers of a thought and a final block; two of four forms break a rule: a name of another number, a further line."""
+    form, i = F.col("event_id") % 4, (F.col("event_id") % 3).cast("int")
+    text = A.formatted_joint(F.array(F.lit(" slow"), F.lit("near")), F.array(F.lit("waits")), i, F.array(F.array(F.round("value", 2), F.lit(0.0)), F.array(F.lit(1.0), F.lit(0.5))))
+    name = lambda k: F.get(F.array(*map(F.lit, A.INTENTIONS)), k)
+    text = F.when(form == 1, F.regexp_replace(F.lower(text), ": [a-z ]+\"\n", "\n")).when(form == 2, F.replace(text, name(i), name((i + 1) % 3))).when(form == 3, F.concat(text, F.lit("\nmore"))).otherwise(text)
     r = read(spark, sf_dir, "events").select("event_id", A.joint_answer(text, 2).alias("r"))
-    return r.select("event_id", "r.intention", F.round(F.aggregate(F.flatten("r.points"), F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
+    total = F.aggregate(F.transform(F.flatten("r.points"), lambda x: x.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    return r.select("event_id", "r.intention", F.when(F.col("r").isNotNull(), F.array("r.features", "r.behaviors")).alias("said"), F.round(total, 2).alias("total"))
 
 
 @query("WITH " + FRAMES + """,
