@@ -2,10 +2,12 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wayframe.llm import bpe_count, line_dedup, mixing, piece_nbest, pii_crf, quality_cnn, quality_rules, registry, secret_scan
 
@@ -282,12 +284,68 @@ def test_nbest_segmentations(spark, sf_dir):
     r = random.Random(5)
     for s in ["", "the ab", "aaa aa aaa", "thnt 漢"] + ["".join(r.choice("the an\n.a ") for _ in range(r.randint(1, 60))) for _ in range(60)]:
         found, ways = m.nbest(s, 5), m.segmentations(s, 5)
-        assert [x for x, _ in found] == [x for x, _ in ways] and found[0][1].tolist() == m.encode(s)[0]
+        assert [x for x, _ in found] == [x for x, _ in ways] and found[0][1] == m.encode(s)[0]
         assert len({tuple(ids) for _, ids in found}) == len(found)
         for score, ids in found:
-            assert m.decode(ids.tolist()) == s and sum(m.score[i] if i in m.score else m.lost for i in ids.tolist()) == score
-    rows = piece_nbest.op4_sentencepiece(spark, sf_dir).collect()
-    assert all(len(x["nbest_ids"]) == len(x["nbest_scores"]) and x["nbest_ids"][0] == x["ids"] for x in rows) and any(len(x["nbest_ids"]) == 4 for x in rows)
+            assert m.decode(ids) == s and sum(m.score[i] if i in m.score else m.lost for i in ids) == score
+    rows = piece_nbest.op4_sentencepiece(spark, sf_dir)
+    whole = F.transform("nbest", lambda x: piece_nbest.segmentation(F.col("ids"), x["edits"]))
+    docs = {x["doc_id"]: x["text"] for x in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    for x in rows.withColumn("whole", whole).limit(60).collect():
+        want = m.nbest(docs[x["doc_id"]] or "", 4)
+        assert x["whole"] == [ids for _, ids in want] and [w["score"] for w in x["nbest"]] == [score / piece_nbest.UNIT for score, _ in want]
+        assert x["ids"] == want[0][1] and x["n_pieces"] == len(x["ids"]) and x["score"] == x["nbest"][0]["score"]
+        assert x["ids_sha256"] == hashlib.sha256(np.array(x["ids"], dtype="<i4").tobytes()).hexdigest()
+
+
+def test_units_together_as_one_by_one():
+    import public_tokenizers
+
+    for scores in ("stored", "zipf"):
+        m = piece_nbest.Pieces(public_tokenizers.path("piece_bpe_32k.model"), scores)
+        r = random.Random(6)
+        units = ["▁" * k for k in range(1, 20)] + ["".join(r.choice("thean.▁é漢z") for _ in range(r.randint(1, 64))) for _ in range(400)]
+        strange, count, ids, score, loss = m.together(units)
+        assert strange == [i for i, u in enumerate(units) if "漢" in u and m.lattice("漢")[1][1][0][2] != () and "漢" not in m.trie]
+        cuts = np.cumsum(count)
+        for u, end, n, x, y in zip([u for i, u in enumerate(units) if i not in set(strange)], cuts, count, score, loss):
+            assert m.unit(u) == (tuple(ids[end - n : end].tolist()), x, y), u
+        assert m.together([])[0] == [] and len(m.together([])[1]) == 0
+
+
+def test_nbest_as_the_library(tmp_path):
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    r = random.Random(9)
+    letters = "▁abcd"
+    names = sorted({*letters, *("".join(r.choice(letters if k == 0 else letters[1:]) for k in range(r.randint(2, 4))) for _ in range(60))})
+    p = pb.ModelProto()
+    p.trainer_spec.model_type, p.trainer_spec.byte_fallback = 1, False
+    p.normalizer_spec.name, p.normalizer_spec.add_dummy_prefix, p.normalizer_spec.remove_extra_whitespaces, p.normalizer_spec.escape_whitespaces = "identity", True, False, True
+    for name, kind in [("<unk>", 2), ("<s>", 3), ("</s>", 3), *((n, 1) for n in names)]:
+        p.pieces.add(piece=name, score=0.0 if kind > 1 else round(-r.uniform(1, 9), 3), type=kind)
+    path = tmp_path / "small.model"
+    path.write_bytes(p.SerializeToString())
+    library, m = sentencepiece.SentencePieceProcessor(model_file=str(path)), piece_nbest.Pieces(str(path))
+    for _ in range(200):
+        text = "".join(r.choice("abcd  ") for _ in range(r.randint(1, 14))).strip() or "a"
+        ours, theirs = m.nbest(text, 5), library.nbest_encode_as_ids(text, 5)
+        total = lambda ids: round(sum(m.score[i] for i in ids))
+        assert [x for x, _ in ours] == [total(ids) for ids in theirs] and ours[0][1] == library.encode(text), text
+
+
+def test_long_units_and_clashes(spark):
+    import public_tokenizers
+
+    m = piece_nbest.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    r = random.Random(2)
+    text = "".join(r.choice("abcdefgh") for _ in range(200_000))
+    start = time.time()
+    found = m.nbest(text, 4)
+    assert time.time() - start < 60 and len(found) == 4 and all(m.decode(ids) == text for _, ids in found)
+    rows = piece_nbest.encode(spark.createDataFrame([(1, "a b", "x", "y")], "doc_id long, text string, Ids string, NBEST string"), keep=("doc_id", "Ids", "NBEST")).collect()
+    assert rows[0]["ids"] and rows[0]["doc_id"] == 1 and len(rows[0]) == 7
 
 
 # --- mixing
