@@ -1,5 +1,6 @@
 import hashlib
 import itertools
+import math
 import random
 import re
 import time
@@ -147,6 +148,57 @@ def test_guess_cost_is_the_minimum_over_segmentations():
     assert log("11acdfb36bb72224148e6160f674b4be45601bff", ranks) > 30
 
 
+def brute_cost(s, ranks):
+    """The least over all segmentations of the costs that log10_guesses states."""
+    log, low = math.log10, s.lower()
+    plain = low.translate(secret_scan.LEET)
+    char = log(secret_scan.alphabet(s))
+
+    def span(i, j):
+        t, costs = s[i:j], [char * (j - i)]
+        caps = log(2) if t != low[i:j] else 0
+        costs += [log(ranks[w] + 1) + caps + more for w, more in ((low[i:j], 0), (plain[i:j], log(2))) if w in ranks]
+        if secret_scan.DATE.fullmatch(t):
+            costs.append(log(119 if j - i == 4 else 365 * 119))
+        if j - i >= 3 and len(set(t)) == 1:
+            costs.append(char + log(j - i))
+        if j - i >= 3 and any(low[i:j] in row or low[i:j] in row[::-1] for row in secret_scan.ROWS):
+            costs.append(log(4 * 47 * (j - i)))
+        return min(costs)
+
+    best = [-log(2)] + [math.inf] * len(s)
+    for j in range(1, len(s) + 1):
+        best[j] = min(best[i] + log(2) + span(i, j) for i in range(j))
+    return best[-1]
+
+
+def test_guess_cost_by_enumeration():
+    ranks = {"cat": 3, "acat": 9, "pass": 1, "word": 2, "password": 5, "aaa": 400, "qwe": 7, "wer": 1}
+    r = random.Random(4)
+    values = ["a" * 15 + "cat", "a" * 40, "aaab" * 9, "abcdefghijklmnopqrstuvwxyz0123456789", "P@ssw0rd20240131!!!!!!!!!", "iopqrs", "x" * 30 + "y" * 30]
+    parts = ["cat", "Cat", "c4t", "pass", "word", "a", "aa", "aaaaaa", "qwert", "poiu", "123456", "2024", "1999-12-31", "x9$", "zz", "Q", "@", "é"]
+    values += ["".join(r.choice(parts) for _ in range(r.randint(1, 9))) for _ in range(800)] + ["".join(r.choice("ab") for _ in range(r.randint(1, 40))) for _ in range(300)]
+    for v in values:
+        want = brute_cost(v, ranks)
+        assert secret_scan.log10_guesses(v, ranks) == pytest.approx(want, abs=1e-9), v
+        assert (secret_scan.log10_guesses(v, ranks, 8.0) >= 8.0) == (want >= 8.0), v
+    start = time.time()
+    assert secret_scan.log10_guesses("a" * 1_000_000, ranks, 8.0) < 8 < secret_scan.log10_guesses("ab" * 100_000, ranks) and time.time() - start < 60
+
+
+def test_secret_patterns_are_the_plain_expressions():
+    plain = {
+        "assign": re.compile("(?ai:(password|passwd|secret|token|api_?key))[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"),
+        "access": re.compile("AKIA[A-Z0-9]+"), "hex": re.compile("[0-9a-f]+"),
+    }
+    r = random.Random(5)
+    parts = ["password", "SECRET", "token", "api_key", "apikey", "passwd", "=", ":", " ", "  ", '"', "'", "ab12", "0123456789abcdef", "AKIA", "ABCDEFGH12345678", "/+_.-=", "é", "\n", "g", "ſecret", "toKen"]
+    for _ in range(4000):
+        text = "".join(r.choice(parts) for _ in range(r.randint(1, 14)))
+        want = [("assign", *m.span()) for m in plain["assign"].finditer(text) if len(m[2]) >= 6] + [("access", *m.span()) for m in plain["access"].finditer(text) if len(m[0]) >= 20] + [("hex", *m.span()) for m in plain["hex"].finditer(text) if len(m[0]) >= 24]
+        assert secret_scan.scan(text, {}, 8.0)[0] == want, text
+
+
 def test_secrets_add_only_hard_values():
     ranks = {"password": 1, "example": 2}
     assert secret_scan.scan("pwd: 'x9$Kq2!vLm' and pwd: 'password1'", ranks, 8)[1] == [("guess", 6, 16)]
@@ -155,9 +207,9 @@ def test_secrets_add_only_hard_values():
 def test_long_secrets_are_whole():
     ranks = {"pass": 1}
     r = random.Random(1)
-    value = "".join(r.choice("abcdefghijkXYZ0123456789!~") for _ in range(3000))
+    value = "".join(r.choice("abcdefghijkXYZ0123456789!~") for _ in range(10_000))
     for text, at in ((f"token={value} x", 6), (f'secret: "{value}" x', 9), (f"pwd = '{value}'", 7), (f"token{' ' * 40}={' ' * 40}{value}", 86)):
-        assert secret_scan.scan(text, ranks, 8.0)[1] == [("guess", at, at + 3000)]
+        assert secret_scan.scan(text, ranks, 8.0)[1] == [("guess", at, at + 10_000)]
     assert secret_scan.scan(f"token={'a' * 3000} x", ranks, 8.0)[1] == []
 
 
@@ -414,6 +466,15 @@ def test_lines_odd_rows(odd, empty):
     assert len(rows) == odd.count() and {r["text"] for r in rows if r["doc_id"] == 8} == {"tie tie"} and line_dedup.dedup(empty).count() == 0
 
 
+def test_many_equal_lines_of_one_document(spark):
+    n = 200_000
+    docs = spark.createDataFrame([(1, "\n".join(["same line"] * n)), (2, "\n".join(f"line {i}" for i in range(n))), (3, "x\nsame line\nsame line\nsame line\ny")], "doc_id long, text string")
+    start = time.time()
+    rows = {r["doc_id"]: r for r in line_dedup.dedup(docs).collect()}
+    assert time.time() - start < 60
+    assert (rows[1]["n_lines"], rows[1]["n_removed"], rows[1]["text"]) == (n, n - 1, "same line") and rows[2]["n_removed"] == 0 and rows[3]["text"] == "x\ny"
+
+
 def brute_passages(texts):
     seen, gone = set(), []
     for lines in [[x for x in t.split("\n") if WORD.search(x)] for t in texts]:

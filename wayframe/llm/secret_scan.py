@@ -3,7 +3,10 @@
 A value after a credential word is priced by the cheapest way to guess it: dynamic programming over its prefixes takes the
 minimum, over words of a ranked list, dates, repeats, keyboard walks and brute-force spans, of the product of their guesses.
 Values of at least `min_log10` guesses become spans of kind `guess`; the pattern spans stay whatever they cost.
-Null texts count as empty; repeated rows are separate rows.
+
+Null and empty texts have no spans. Texts and values of any length are read whole; pricing a value ends once no way to guess it can
+be cheaper than the limit. Repeated rows are separate rows, an empty table gives an empty one, and of the input only doc_id and
+text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ CONTEXT = re.compile(
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz")
 LEET = str.maketrans("@4301$5!7", "aaeoissit")
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)?\d\d")
-LONGEST_DATE, LONGEST_WORD = 10, 20
+LONGEST_DATE = 10
 
 
 @lru_cache(maxsize=2)
@@ -60,71 +63,109 @@ for _row in (*ROWS, *(x[::-1] for x in ROWS)):
         STEPS.setdefault("".join(_pair), set()).add(_row)
 
 
-def run_lengths(s: str) -> tuple[list[int], list[int]]:
-    """For each place, how far a repeat of its character goes, and how far a keyboard walk in one row and direction goes."""
-    n, low = len(s), s.lower()
-    same, walk = [1] * n, [1] * n
-    ways: set[str] = set()  # of the walk from the next place
-    for i in range(n - 2, -1, -1):
-        if s[i] == s[i + 1]:
-            same[i] = same[i + 1] + 1
-        step = STEPS.get(low[i : i + 2], set())
-        ways, on = (ways & step, True) if ways & step else (step, False)
-        if step:
-            walk[i] = walk[i + 1] + 1 if on else 2
-    return same, walk
-
-
-def log10_guesses(s: str, ranks: dict[str, int]) -> float:
-    """Smallest cost, in log10 guesses, of any segmentation of s.
-
-    A word costs its rank (twice with capitals, twice with look-alike characters); a date 365 * 119 or its year 119; a repeat
-    alphabet * length; a walk 4 * 47 * length; brute force alphabet ** length. Each further span of a segmentation costs a
-    factor 2, for guessing where spans end. With best brute force reaching back to any earlier place, time is O(n * longest
-    pattern) plus O(n) steps of one character, for which brute force spans extend.
+def walk_end(low: str, i: int) -> int:
+    """Where the longest keyboard walk in one row and direction from a place ends."""
+    ways, j = STEPS.get(low[i : i + 2]), i + 2
+    if not ways:
+        return i + 1
+    while j < len(low) and (ways := ways & STEPS.get(low[j - 1 : j + 1], set())):
+        j += 1
+    return j
+
+
+class Repeats:
+    """The cheapest repeat that ends at a place, of those that start at places of one run of a character.
+
+    A start costs its own cost and the log of the length. Of two starts the later one is cheaper first, then the earlier one for
+    good, from a place that can be told; so a stack of starts, with the places where each gives way to the one below, is enough.
+    """
+
+    def __init__(self):
+        self.starts: list[tuple[int, float, float]] = []  # start, its cost, place where the one below becomes cheaper
+
+    def add(self, i: int, cost: float) -> None:
+        while self.starts:
+            j, below, until = self.starts[-1]
+            if cost <= below:
+                self.starts.pop()
+                continue
+            more = 10 ** min(cost - below, 300.0)
+            gives_way = (more * i - j) / (more - 1) if more > 1 else math.inf
+            if gives_way < until:
+                break
+            self.starts.pop()
+        else:
+            gives_way = math.inf
+        self.starts.append((i, cost, gives_way))
+
+    def best(self, j: int) -> float:
+        while len(self.starts) > 1 and self.starts[-1][2] <= j:
+            self.starts.pop()
+        return self.starts[-1][1] + math.log10(j - self.starts[-1][0]) if self.starts else math.inf
+
+
+def log10_guesses(s: str, ranks: dict[str, int], enough: float = math.inf, longest: int | None = None) -> float:
+    """Smallest cost, in log10 guesses, of any segmentation of s; or, once none can cost less than `enough`, that.
+
+    A word costs its rank (twice with capitals, twice with look-alike characters); a date 365 * 119 or its year 119; a repeat of three
+    or more alphabet * length; a walk of three or more 4 * 47 * length; brute force alphabet ** length. Each further span of a
+    segmentation costs a factor 2, for guessing where spans end. longest: length of the longest word in ranks.
+
+    From each place, words, dates and walks reach a few places on; brute force and repeats are carried along. So time is linear.
     """
     n = len(s)
     if not n:
         return 0.0
     log = math.log10
-    char = log(alphabet(s))
-    join = log(2)
-    same, walk = run_lengths(s)
-    ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]  # spans by their end: (start, cost)
+    char, join = log(alphabet(s)), log(2)
     low = s.lower()
     plain = low.translate(LEET)
-    for i in range(n):
-        for j in range(i + 3, min(n, i + LONGEST_WORD) + 1):
-            r = ranks.get(low[i:j])
-            leet = 0.0
-            if r is None and (r := ranks.get(plain[i:j])) is not None:
-                leet = join
-            if r is not None:
-                ends[j].append((i, log(r + 1) + leet + (join if s[i:j] != low[i:j] else 0.0)))
-        if s[i].isdigit():
-            for j in (i + k for k in range(4, LONGEST_DATE + 1) if i + k <= n):
-                if DATE.fullmatch(s, i, j):
-                    ends[j].append((i, log(119) if j - i == 4 else log(365 * 119)))
-        for length, cost in ((same[i], char), (walk[i], log(4 * 47))):
-            for k in {length, *range(3, min(length, 12) + 1)} if length >= 3 else ():
-                ends[i + k].append((i, cost + log(k)))
-    best, brute = [math.inf] * (n + 1), [math.inf] * (n + 1)  # brute: the last span is brute force
+    if len(low) != n:  # a letter whose lower case has more letters
+        low = plain = s
+    if longest is None:
+        longest = max(map(len, ranks), default=0)
+    reach = max(longest, LONGEST_DATE, max(map(len, ROWS)))
+    best, brute, repeats, run, cheap = [math.inf] * (n + 1), math.inf, Repeats(), 0, 0
     best[0] = -join
-    for j in range(1, n + 1):
-        brute[j] = min(best[j - 1] + join, brute[j - 1]) + char
-        best[j] = min([brute[j], *(best[i] + join + c for i, c in ends[j])])
+    for i in range(n + 1):
+        if i:
+            brute = min(best[i - 1] + join, brute) + char
+            if i > 1 and s[i - 1] != s[i - 2]:
+                repeats, run = Repeats(), i - 1
+            if i - 3 >= run:
+                repeats.add(i - 3, best[i - 3])
+            best[i] = min(best[i], brute, repeats.best(i) + join + char)
+            if best[i] < enough or brute < enough:
+                cheap = i
+            elif i - cheap > reach:
+                return enough
+        here = best[i] + join
+        for j in range(i + 3, min(n, i + longest) + 1):
+            cost = -1.0
+            if (r := ranks.get(low[i:j])) is not None:
+                cost = log(r + 1)
+            if (r := ranks.get(plain[i:j])) is not None and (cost < 0 or log(r + 1) + join < cost):
+                cost = log(r + 1) + join
+            if cost >= 0:
+                best[j] = min(best[j], here + cost + (join if s[i:j] != low[i:j] else 0.0))
+        if i < n and "0" <= s[i] <= "9":
+            for j in range(i + 4, min(n, i + LONGEST_DATE) + 1):
+                if DATE.fullmatch(s, i, j):
+                    best[j] = min(best[j], here + (log(119) if j - i == 4 else log(365 * 119)))
+        for j in range(i + 3, walk_end(low, i) + 1):
+            best[j] = min(best[j], here + log(4 * 47 * (j - i)))
     return best[n]
 
 
-def scan(text: str, ranks: dict[str, int], min_log10: float) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
-    """Pattern spans and added spans of one text."""
+def scan(text: str, ranks: dict[str, int], min_log10: float, longest: int | None = None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
+    """Pattern spans and added spans of one text. longest: length of the longest word in ranks."""
     base = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     base += [("access", *m.span()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     base += [("hex", *m.span()) for m in HEX.finditer(text)]
     added = []
     for m in CONTEXT.finditer(text):
         k = m.lastindex
-        if log10_guesses(m[k], ranks) >= min_log10:
+        if log10_guesses(m[k], ranks, min_log10, longest) >= min_log10:
             added.append(("guess", *m.span(k)))
     return base, added
 
@@ -141,10 +182,11 @@ def scan_secrets(docs: DataFrame, words_path: str | None = None, min_log10: floa
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ranks = ranked_words(words_path)
+        longest = max(map(len, ranks), default=0)
         for b in batches:
             rows = []
             for text in b["text"]:
-                base, added = scan(text if isinstance(text, str) else "", ranks, min_log10)
+                base, added = scan(text if isinstance(text, str) else "", ranks, min_log10, longest)
                 n = [sum(k == kind for k, _, _ in base) for kind in KINDS[:3]]
                 end = under = 0
                 for _, s, e in sorted(base + added, key=lambda x: x[1:]):
