@@ -2,14 +2,18 @@
 
 Lines are the parts between line feeds that hold a word; others stay where they are and count for nothing. A document of
 under three lines has no window of three. With long_words, as an addition to the method, shorter passages have windows too:
-one or two lines of together more than so many words, and a whole text of under three lines, with marks of its ends. Of each repeated window the first occurrence, by (doc_id, place), stays; the lines that the
-later ones cover go, so overlapping windows merge into one removed passage. Null texts stay null. Rows of null doc_id sort
-first, rows of one doc_id are told apart by their text, and equal rows count as one. Clashing column names are replaced.
+one or two lines of together more than so many words, and a whole text of under three lines, with marks of its ends. Of each
+repeated window the first occurrence, by (doc_id, place), stays; the lines that the later ones cover go, so overlapping windows
+merge into one removed passage.
+
+Null texts stay null, with no lines. Rows of null doc_id sort first, rows of one doc_id are told apart by their text, and equal rows
+count as one. An empty table gives an empty one; texts of any length take time in proportion to it; input columns named as result
+columns are replaced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -17,6 +21,8 @@ from . import common
 RESULT = ("n_lines", "n_removed")
 #: Passages of more words than this are cut however few their lines.
 LONG_WORDS = 50
+#: Tasks over which the occurrences of one window are dealt.
+SALTS = 64
 
 
 def _hash(*parts: Column) -> list[Column]:
@@ -56,8 +62,11 @@ def covered(docs: DataFrame, size: int = 3, long_words: int | None = None) -> Da
     each = common.let(F.col("__lines"), windows if long_words is None else all_windows)
     w = d.select("doc_id", "__text_hash", F.explode(each).alias("w")).select("doc_id", "__text_hash", "w.*")
     here = F.struct("doc_id", "__text_hash", "at")
-    firsts = w.groupBy("a", "b").agg(F.min(here).alias("first"), F.max(here).alias("last")).where(F.col("first") != F.col("last"))
-    later = w.join(firsts.drop("last"), ["a", "b"]).where(here != F.col("first"))
+    # a window's occurrences are dealt over SALTS tasks, where all but the first are later ones; only these firsts meet in one task
+    w = w.withColumn("salt", F.pmod(F.xxhash64(here), F.lit(SALTS)))
+    dealt = w.withColumn("first", F.min(here).over(Window.partitionBy("a", "b", "salt")))
+    firsts = dealt.where(here == F.col("first")).withColumn("first", F.min(here).over(Window.partitionBy("a", "b")))
+    later = dealt.where(here != F.col("first")).unionByName(firsts.where(here != F.col("first")))
     places = F.array_sort(F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("at", "n")), lambda w: F.sequence(w["at"], w["at"] + w["n"] - 1)))))
     return later.groupBy("doc_id", "__text_hash").agg(places.alias("__gone"))
 
@@ -74,7 +83,11 @@ def dedup(docs: DataFrame, size: int = 3, long_words: int | None = None) -> Data
         # the place of a line among those that hold a word is the number of such lines before it
         held = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(common.WORD), i)), lambda i: i.isNotNull())
         drop = common.let(held, lambda h: F.transform(F.col("__gone"), lambda g: F.get(h, g)))
-        return common.let(drop, lambda at: F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(at, i)), "\n"))
+        return common.let(F.concat(F.array(F.lit(-1)), drop, F.array(F.size(lines))), lambda at: F.array_join(F.flatten(kept(lines, at)), "\n"))
+
+    def kept(lines: Column, at: Column) -> Column:
+        """The runs of lines between those that go, whose places are at, with a place before the first and after the last line."""
+        return F.transform(F.sequence(F.lit(1), F.size(at) - 1), lambda k: F.slice(lines, F.get(at, k - 1) + 2, F.get(at, k) - F.get(at, k - 1) - 1))
 
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(common.let(full, cut))
     lines = F.size(F.filter(full, lambda x: x.rlike(common.WORD)))
