@@ -62,5 +62,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to documents."""
     docs = common.table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = common.checkpointed(stage(spark, docs, sf_dir))
+        docs = common.checkpointed(stage(spark, docs, sf_dir), docs)
     return docs

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -47,7 +48,7 @@ def near_copies(seed, groups, copies):
     return list(enumerate(out))
 
 
-@pytest.mark.parametrize("options", [{}, {"rounds": 0}, {"rounds": 3, "pivots": 1, "enough": 0}])
+@pytest.mark.parametrize("options", [{}, {"rounds": 0}, {"rounds": 3, "pivots": 1, "enough": 0}, {"rounds": 1, "share": 0.0001, "ranges": 3}, {"rounds": 0, "sample": 1}])
 def test_classes_by_brute_force(spark, options):
     rows = near_copies(8, 12, 12) + [(1000, "a b c"), (1001, "A  b c"), (1002, ""), (1003, None), (1004, " \n")]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join_classes(spark.createDataFrame(rows, "doc_id long, text string"), **options).collect()}
@@ -63,16 +64,35 @@ def test_classes_of_documents(spark, documents):
 def test_classes_of_odd_rows(odd, empty):
     rows = ngram_join.join_classes(odd).collect()
     got = {r["doc_id"]: r["component_id"] for r in rows}
-    assert len(rows) == len({r["doc_id"] for r in odd.where("doc_id is not null").collect()}) + 2 and got[9] == got[10] == 9 and got[1] == 1 and got[None] is None
+    assert sorted(str(r["doc_id"]) for r in rows) == sorted(str(r["doc_id"]) for r in odd.collect()) and got[9] == got[10] == 9 and got[1] == 1 and got[None] is None
+    assert sorted(r["n_shingles"] for r in rows if r["doc_id"] is None) == [0, 2] and len([r for r in rows if r["doc_id"] == 4]) == 2
     assert ngram_join.join_classes(empty).count() == 0
 
 
+def test_repeated_ids_link_by_any_text(spark):
+    long = [f"{w} " * 3 + " ".join(f"{w}{i}" for i in range(30)) for w in "abcd"]
+    rows = [(1, "a b c d e f"), (1, "q r s t u v w"), (2, "a b c d e f"), (3, "q r s t u v w"), (3, "q r s t u v w"), (5, long[0]), (5, None), (4, long[0] + " end"), (9, long[1]), (9, long[2]), (8, long[2] + " end"), (7, long[1] + " end"), (6, long[3])]
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.join_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 2, 1), (1, 3, 1), (2, 2, 1), (3, 3, 1), (3, 3, 1), (4, 30, 4), (5, 0, 4), (5, 29, 4), (6, 29, 6), (7, 30, 7), (8, 30, 7), (9, 29, 7), (9, 29, 7)]
+
+
+def test_many_copies_and_one_common_shingle(spark):
+    r = random.Random(1)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    common = "one two three four five"
+    rows = [(i, "a copy of one text that many have in common") for i in range(30_000)] + [(30_000 + i, f"{common} {word()} {word()}") for i in range(20_000)]
+    rows += [(60_000 + i, f"{common} {'six seven eight nine ten'[: r.randint(3, 24)]}") for i in range(5_000)]
+    start = time.time()
+    got = {x["doc_id"]: x["component_id"] for x in ngram_join.join_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), rounds=1).collect()}
+    assert time.time() - start < 120 and len(got) == len(rows) and all(got[i] == 0 for i in range(30_000)) and got[30_000] == 30_000
+    text = {" ".join(t.split()): i for i, t in reversed(rows)}
+    assert all(got[i] == text[" ".join(t.split())] for i, t in rows)
+
+
 def test_more_shingles_than_sixteen_bits(spark):
     text = " ".join(f"w{i}" for i in range(70_004))
     df = spark.createDataFrame([(1, text), (2, text + " end"), (3, "a b c")], "doc_id long, text string")
-    rows = ngram_join.counted(ngram_join.packed(df, 1), 1)
-    assert rows.count() > 0
-    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join_classes(df).collect()} == {1: (70_000, 1), 2: (70_001, 1), 3: (1, 3)}
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join_classes(df, ranges=1).collect()} == {1: (70_000, 1), 2: (70_001, 1), 3: (1, 3)}
 
 
 def test_suffix_bound_never_drops():

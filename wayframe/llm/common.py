@@ -34,13 +34,17 @@ def n_words(text: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; one of this machine only where none is set, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder or f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}"
+    """The folder of spark.checkpoint.dir, which all executors share. Where none is set: the warehouse, or, in local mode, a temporary one."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder
+    if spark.sparkContext.master.startswith("local"):
+        return f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}"
+    return f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df cut off from its lineage by a table written in the shared folder, which goes when the session's JVM ends.
+def checkpointed(df: DataFrame, *used: DataFrame) -> DataFrame:
+    """df cut off from its lineage by a table written in the shared folder, which goes when the session's JVM ends, or before:
+    used names earlier such tables that nothing reads any more once df is written.
 
     Unlike checkpoint(), the table read again brings along no constraints of its former plan, which in loops multiply.
     """
@@ -49,7 +53,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    for old in used:
+        if (gone := getattr(old, "_table_path", None)) is not None:
+            gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table_path = hadoop
+    return out
 
 
 def let(value: Column, body) -> Column:
@@ -64,7 +73,10 @@ def without(df: DataFrame, *names: str) -> DataFrame:
 
 
 def in_batches(df: DataFrame, size: int = 6 << 20) -> DataFrame:
-    """df, in a session whose Arrow batches to Python hold at most about `size` bytes, unless the session has its own bound."""
+    """df, in a session whose Arrow batches to Python hold at most about `size` bytes, unless the session has its own bound.
+
+    Plans read the setting when they run, so it stays set; it bounds memory and changes no result.
+    """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     conf = df.sparkSession.conf
     if int(conf.get(key, str(2**31 - 1)).rstrip("bB")) > 1 << 30:

@@ -21,14 +21,14 @@ def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
             e = e.join(known.select(F.col("id").alias(c), F.col("label").alias("l")), c, "left").withColumn(c, F.coalesce("l", c)).drop("l")
     e = e.where("a <> b")
     e = common.checkpointed(e.select("a", "b").union(e.select("b", "a")).distinct())
-    labels = e.select(F.col("a").alias("id"), F.col("a").alias("label")).distinct()
+    labels = common.checkpointed(e.select(F.col("a").alias("id"), F.col("a").alias("label")).distinct())
     while not e.isEmpty():
         near = e.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("p"))
         step = common.checkpointed(near.join(near.select(F.col("a").alias("p"), F.col("p").alias("q")), "p").select("a", F.col("q").alias("p")))
-        labels = labels.join(step.select(F.col("a").alias("label"), "p"), "label", "left").select("id", F.coalesce("p", "label").alias("label"))
-        labels = common.checkpointed(labels)
+        moved_on = labels.join(step.select(F.col("a").alias("label"), "p"), "label", "left").select("id", F.coalesce("p", "label").alias("label"))
+        labels = common.checkpointed(moved_on, labels)
         moved = e.join(step, "a").select(F.col("p").alias("x"), "b").join(step.select(F.col("a").alias("b"), F.col("p").alias("y")), "b")
-        e = common.checkpointed(moved.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+        e = common.checkpointed(moved.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), e, step)
     if known is None:
         return labels
     on = known.join(labels.select(F.col("id").alias("label"), F.col("label").alias("n")), "label", "left").select("id", F.coalesce("n", "label").alias("label"))

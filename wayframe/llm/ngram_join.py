@@ -5,16 +5,19 @@ Any two sets of Jaccard similarity t share a shingle among the first |x| - ceil(
 The order here is by document frequency over the whole corpus, rare first, so a shingle of one document alone uses up a place
 but can match nothing and is not dealt out at all. What is left of the prefixes is small.
 
-1. Frequencies: numpy packs the shingle hashes of many documents into one row per range of hashes; a range's rows meet in one
-   task, which counts its shingles, and finds the documents of equal sets by digest. Rows are dealt back by document.
+1. Frequencies: numpy packs the shingle hashes of many documents into one row per range of hashes, those of equal sets once; a
+   range's rows meet in one task, which counts its shingles, and finds equal sets by digest. Rows are dealt back by document.
+   The most frequent shingles, by a bounded sample, come last in the order whatever their counts, so they go straight back.
 2. Documents of equal sets are one class from here on, represented by their smallest doc_id.
 3. Candidates share a prefix shingle and pass the length and position bounds. In every shingle's group they first meet a few
    pivots, the same in all groups where they occur, and only documents that links do not yet join meet further ones; what rounds of
-   pivots leave is paired in full. A pair passes the suffix bound or is intersected, once.
+   pivots leave is paired within bands of length, in pieces. A pair passes the suffix bound or is intersected, once.
 
 Linked classes are thus found without all pairs of a large group of near copies, and no link between classes is lost.
-A doc_id stands for one document: of rows that repeat it, one row of the result remains. Rows without doc_id link with
-nothing. Null and blank texts have the empty set and link with nothing. Only doc_id and text are read.
+Every row has a row of the result. A doc_id that repeats is one document, linked with whatever one of its texts links with, and each
+of its rows has its own n_shingles. Rows without doc_id link with nothing and have a null component_id. Null and blank texts have
+the empty set and link with nothing. An empty table gives an empty one. Texts of any length are taken whole, one text at a time
+at least. Only doc_id and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -32,7 +35,10 @@ from .components import components
 WORDS = 5
 #: Fixed odd multipliers of the hashes.
 P1, P2, P3 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
-M64 = (1 << 64) - 1
+#: df of shingles that come last in the order.
+LAST = np.iinfo(np.int32).max
+#: Tasks over which the choice of a shingle's pivots, and rows of a shingle in a piece of the final pairing, are dealt.
+SALTS, PIECE = 8, 4096
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -106,7 +112,9 @@ def dealt(keys: np.ndarray, n: int, columns: dict[str, np.ndarray]) -> dict[int,
 
 ELEMENTS = {"low": np.uint32, "of": np.int64, "times": np.uint32}
 DOCS = {"id": np.int64, "n": np.int64, "d1": np.uint64, "d2": np.uint64}
+#: What goes straight back by document: frequent shingles, and documents whose set another one of the batch has, or that have none.
 BACK = {"e_id": np.int64, "gram": np.int64, "df": np.int32, "b_id": np.int64, "b_n": np.int64, "rep": np.int64}
+DIRECT = {f"x_{c}": kind for c, kind in BACK.items()}
 
 
 def binary(columns) -> str:
@@ -117,13 +125,46 @@ def joined(values, kind) -> np.ndarray:
     return np.frombuffer(b"".join(v for v in values if v is not None), dtype=kind)
 
 
-def packed(docs: DataFrame, ranges: int) -> DataFrame:
-    """Rows (r, bytes): of a range of hashes, the low 32 bits of shingles and their documents; of documents, n and digest."""
+def bucket(ids: np.ndarray, ranges: int) -> np.ndarray:
+    return (mixed(ids.astype(np.uint64)) % np.uint64(ranges)).astype(np.int64)
+
+
+def frequent(docs: DataFrame, rows: int, share: float) -> np.ndarray:
+    """Sorted hashes of the shingles of at least `share` of some `rows` documents: at most the mean size of a set / share.
+
+    The sample decides only the order in which shingles are compared, not which links are found.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            ids, texts = b["doc_id"].to_numpy(dtype=np.int64), [t if isinstance(t, str) else "" for t in b["text"]]
+            texts = [t if isinstance(t, str) else "" for t in b["text"]]
             for part in in_parts(texts):
+                h, n = np.unique(shingle_sets(texts[part])[1], return_counts=True)
+                yield pd.DataFrame({"h": h.view(np.int64), "n": n})
+
+    each = common.in_batches(docs.select("text").limit(rows)).mapInPandas(run, "h long, n long")
+    found = each.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2, int(share * rows))).select("h").collect()
+    return np.sort(np.array([r[0] for r in found], dtype=np.int64).view(np.uint64))
+
+
+def equal_sets(ids: np.ndarray, n: np.ndarray, d1: np.ndarray, d2: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The columns sorted by digest, and for each row the smallest id of its digest; its own for the empty set."""
+    order = np.lexsort((ids, d2, d1))
+    ids, n, d1, d2 = ids[order], n[order], d1[order], d2[order]
+    at = starts_of(d1, d2)
+    return ids, n, d1, d2, np.where(n > 0, np.repeat(ids[at], np.diff(np.r_[at, len(ids)])), ids) if len(ids) else ids
+
+
+def packed(docs: DataFrame, ranges: int, last: np.ndarray) -> DataFrame:
+    """Rows (r, bytes): of a range of hashes r, the low 32 bits of shingles and their documents; of documents, n and digest.
+
+    From r = ranges on, rows for the buckets of documents: what need not pass through a range. last: sorted hashes of frequent shingles.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            ids, texts = b["doc_id"].to_numpy(dtype=np.int64), [t if isinstance(t, str) else "" for t in b["text"]]
+            for part in in_parts(texts, max(3_000_000, 400 * ranges)):
                 doc, h = shingle_sets(texts[part])
                 mine = ids[part]
                 n = np.bincount(doc, minlength=len(mine))
@@ -132,8 +173,19 @@ def packed(docs: DataFrame, ranges: int) -> DataFrame:
                     at = starts_of(doc)
                     d1[doc[at]] = np.add.reduceat(mixed(h + np.uint64(1)), at)
                     d2[doc[at]] = np.add.reduceat(mixed(h ^ np.uint64(P1)), at)
-                rows = dealt((d1 % np.uint64(ranges)).astype(np.int64), ranges, dict(zip(DOCS, (mine, n, d1, d2))))
+                i, n_, one, two, rep = equal_sets(mine, n, d1, d2)
+                whole = (rep == i) & (n_ > 0)
+                rows = dealt((one[whole] % np.uint64(ranges)).astype(np.int64), ranges, dict(zip(DOCS, (i[whole], n_[whole], one[whole], two[whole]))))
+                back = dealt(bucket(i[~whole], ranges), ranges, {"x_b_id": i[~whole], "x_b_n": n_[~whole], "x_rep": rep[~whole]})
+                keep = np.isin(mine, i[whole])[doc] & (n[doc] > 0)
+                doc, h = doc[keep], h[keep]
                 r = ((h >> np.uint64(32)) % np.uint64(ranges)).astype(np.int64)
+                if len(last):
+                    hot = last[np.minimum(np.searchsorted(last, h), len(last) - 1)] == h
+                    gram = (h & np.uint64(0xFFFFFFFF)).astype(np.int64) | (r << 32)
+                    for k, v in dealt(bucket(mine[doc[hot]], ranges), ranges, {"x_e_id": mine[doc[hot]], "x_gram": gram[hot], "x_df": np.full(int(hot.sum()), LAST, dtype=np.int32)}).items():
+                        back.setdefault(k, {}).update(v)
+                    doc, h, r = doc[~hot], h[~hot], r[~hot]
                 order = np.argsort(r.astype(np.uint16) if ranges < 1 << 16 else r, kind="stable")
                 r, low, owner = r[order], h[order].astype(np.uint32), doc[order]
                 runs = starts_of(r, owner)
@@ -144,16 +196,18 @@ def packed(docs: DataFrame, ranges: int) -> DataFrame:
                     if cuts[k] < cuts[k + 1]:
                         e = slice(ends[k], ends[k + 1])
                         rows.setdefault(k, {}).update(low=low[cuts[k] : cuts[k + 1]].tobytes(), of=whose[e].tobytes(), times=times[e].tobytes())
-                yield pd.DataFrame([{"r": k, **dict.fromkeys((*ELEMENTS, *DOCS)), **v} for k, v in rows.items()], columns=["r", *ELEMENTS, *DOCS])
+                rows |= {ranges + k: v for k, v in back.items()}
+                yield pd.DataFrame([{"r": k, **dict.fromkeys((*ELEMENTS, *DOCS, *DIRECT)), **v} for k, v in rows.items()], columns=["r", *ELEMENTS, *DOCS, *DIRECT])
 
-    slim = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
-    return common.in_batches(slim).mapInPandas(run, f"r long, {binary((*ELEMENTS, *DOCS))}")
+    return common.in_batches(docs).mapInPandas(run, f"r long, {binary((*ELEMENTS, *DOCS, *DIRECT))}")
 
 
 def counted(rows: DataFrame, ranges: int) -> DataFrame:
     """Rows (b, bytes), dealt by document: shingles of two documents or more with their frequency; n and class of documents."""
 
     def run(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
+        if key[0] >= ranges:
+            return pd.DataFrame([{"b": key[0] - ranges, **{c: b"".join(v for v in b[f"x_{c}"] if v is not None) for c in BACK}}], columns=["b", *BACK])
         low, of = joined(b["low"], np.uint32), np.repeat(joined(b["of"], np.int64), joined(b["times"], np.uint32))
         order = np.argsort(low, kind="quicksort")
         low, of = low[order], of[order]
@@ -161,14 +215,9 @@ def counted(rows: DataFrame, ranges: int) -> DataFrame:
         df = np.repeat(np.diff(np.r_[at, len(low)]), np.diff(np.r_[at, len(low)])) if len(low) else np.zeros(0, dtype=np.int64)
         keep = df > 1
         low, of, df = low[keep], of[keep], df[keep]
-        ids, n, d1, d2 = (joined(b[c], kind) for c, kind in DOCS.items())
-        order = np.lexsort((ids, d2, d1))
-        ids, n, d1, d2 = ids[order], n[order], d1[order], d2[order]
-        at = starts_of(d1, d2)
-        rep = np.where(n > 0, np.repeat(ids[at], np.diff(np.r_[at, len(ids)])), ids) if len(ids) else ids
-        bucket = lambda x: (mixed(x.astype(np.uint64)) % np.uint64(ranges)).astype(np.int64)
-        out = dealt(bucket(of), ranges, {"e_id": of, "gram": low.astype(np.int64) | np.int64(int(key[0]) << 32), "df": df.astype(np.int32)})
-        for k, v in dealt(bucket(ids), ranges, {"b_id": ids, "b_n": n, "rep": rep}).items():
+        ids, n, _, _, rep = equal_sets(*(joined(b[c], kind) for c, kind in DOCS.items()))
+        out = dealt(bucket(of, ranges), ranges, {"e_id": of, "gram": low.astype(np.int64) | np.int64(int(key[0]) << 32), "df": np.minimum(df, LAST - 1).astype(np.int32)})
+        for k, v in dealt(bucket(ids, ranges), ranges, {"b_id": ids, "b_n": n, "rep": rep}).items():
             out.setdefault(k, {}).update(v)
         return pd.DataFrame([{"b": k, **dict.fromkeys(BACK), **v} for k, v in out.items()], columns=["b", *BACK])
 
@@ -181,10 +230,8 @@ def prefixes(rows: DataFrame, percent: int) -> DataFrame:
 
     def run(_: tuple, b: pd.DataFrame) -> pd.DataFrame:
         e, gram, df, ids, n, rep = (joined(b[c], kind) for c, kind in BACK.items())
-        order = np.lexsort((n, ids))
+        order = np.argsort(ids, kind="stable")
         ids, n, rep = ids[order], n[order], rep[order]
-        last = np.r_[starts_of(ids)[1:] - 1, len(ids) - 1] if len(ids) else np.zeros(0, dtype=np.int64)
-        ids, n, rep = ids[last], n[last], rep[last]
         at = np.searchsorted(ids, e)
         order = np.lexsort((gram, df, at))
         at, gram = at[order], gram[order]
@@ -259,9 +306,8 @@ def text_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 cuts = np.searchsorted(doc, np.arange(len(ids[part]) + 1))
                 yield pd.DataFrame({"id": ids[part], "set": [h[cuts[i] : cuts[i + 1]].tobytes() for i in range(len(ids[part]))]})
 
-    mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids.select(F.col("d").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = common.in_batches(mine).mapInPandas(run, "id long, set binary")
-    return sets.groupBy("id").agg(F.max("set").alias("set"))
+    mine = docs.join(ids.select(F.col("d").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    return common.in_batches(mine).mapInPandas(run, "id long, set binary")
 
 
 def links_of(found: DataFrame, docs: DataFrame, percent: int, rounds: int, pivots: int, enough: int) -> DataFrame | None:
@@ -285,18 +331,20 @@ def links_of(found: DataFrame, docs: DataFrame, percent: int, rounds: int, pivot
         if left == 0:
             break
         last = left <= enough or k == rounds
-        one, two = (open_.select(F.col("gram").alias(f"g{i}"), *[F.col(c).alias(f"{c[0]}{i}") for c in ("d", "n", "u", "r", "label")]) for i in (1, 2))
         close = F.expr(bounds(percent))
         if last:
-            pairs = one.join(two, F.expr("g1 = g2 and d1 < d2 and l1 <> l2") & close)
+            pairs = paired(open_, close, percent)
         else:
-            order = Window.partitionBy("g1").orderBy(F.xxhash64("d1", F.lit(k)), "d1")
-            some = one.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= pivots).drop("turn")
-            pairs = two.join(some, F.expr("g1 = g2 and d1 <> d2 and l1 <> l2") & close)
+            one, two = sides(open_)
+            turn = F.xxhash64("d1", F.lit(k))
+            some = one.withColumn("salt", F.pmod(F.xxhash64("d1"), F.lit(SALTS)))
+            for keys in (("g1", "salt"), ("g1",)):
+                some = some.withColumn("turn", F.row_number().over(Window.partitionBy(*keys).orderBy(turn, "d1"))).where(F.col("turn") <= pivots)
+            pairs = two.join(some.drop("turn", "salt"), F.expr("g1 = g2 and d1 <> d2 and l1 <> l2") & close)
         pairs = pairs.select(F.least("d1", "d2").alias("a"), F.greatest("d1", "d2").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = common.checkpointed(pairs)
+        pairs = common.checkpointed(pairs, *([open_] if labels is not None else []))
         new = common.checkpointed(verified(pairs, sets, percent))
         done = pairs if done is None else done.union(pairs)
         labels = components(new, labels)
@@ -305,25 +353,99 @@ def links_of(found: DataFrame, docs: DataFrame, percent: int, rounds: int, pivot
     return labels
 
 
-def join_classes(docs: DataFrame, percent: int = 80, rounds: int = 3, pivots: int = 32, enough: int = 20_000, ranges: int | None = None) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each document; component_id: the smallest doc_id that links reach, itself included.
+def sides(rows: DataFrame) -> list[DataFrame]:
+    """rows twice, with columns named g1, d1, n1, u1, r1, l1 and so on."""
+    names = [c for c in ("d", "n", "u", "r", "label", "band") if c in rows.columns]
+    return [rows.select(F.col("gram").alias(f"g{i}"), *[F.col(c).alias(f"{c[0]}{i}") for c in names]) for i in (1, 2)]
+
+
+def paired(rows: DataFrame, close: Column, percent: int) -> DataFrame:
+    """All pairs of a shingle's rows whose lengths are near; a frequent shingle's rows are dealt in pieces, each against all rows.
+
+    Lengths of a pair differ by a factor of at most 100 / percent, the width of a band, so only neighbouring bands meet.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent * 1.0001))) if percent < 100 else F.col("n")
+    rows = rows.withColumn("band", band.cast("long"))
+    sizes = rows.groupBy("gram", "band").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("pieces"))
+    one, two = sides(rows)
+    s = sizes.select(F.col("gram").alias("g"), F.col("band").alias("b"), "pieces")
+    one = one.join(s, (F.col("g1") == F.col("g")) & (F.col("b1") == F.col("b"))).withColumn("piece", F.pmod(F.xxhash64("d1"), F.col("pieces")).cast("int")).drop("g", "b", "pieces")
+    two = two.withColumn("at", F.explode(F.expr("array(b2 - 1, b2, b2 + 1)")))
+    two = two.join(s, (F.col("g2") == F.col("g")) & (F.col("at") == F.col("b"))).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("g", "b", "pieces")
+    return one.join(two, F.expr("g1 = g2 and b1 = at and piece = part and d1 < d2 and l1 <> l2") & close)
+
+
+def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(doc_id, text) with one row per key, named doc_id; and, where doc_ids repeat, (key, doc, times): the doc_id and number of equal rows of a key.
+
+    The key is the doc_id. Further texts of a repeated doc_id get keys from a hash, drawn anew until they differ from all others.
+    """
+    docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    again = common.checkpointed(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if again.isEmpty():
+        return docs, None
+    more = docs.join(again, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.count("*").alias("times"))
+    order = Window.partitionBy("doc_id").orderBy(F.sha2(F.coalesce("text", F.lit("")), 256), F.col("text").isNull())
+    more = common.checkpointed(more.withColumn("turn", F.row_number().over(order)))
+    ids, seed = docs.select("doc_id").distinct(), 0
+    while True:
+        key = F.when(F.col("turn") == 1, F.col("doc_id")).otherwise(F.xxhash64("doc_id", "turn", F.lit(seed)))
+        given = common.checkpointed(more.select("doc_id", "text", "times", key.alias("key"), "turn"))
+        taken = given.where("turn > 1").select(F.col("key").alias("doc_id")).join(ids, "doc_id", "left_semi")
+        if taken.isEmpty() and given.groupBy("key").count().where("count > 1").isEmpty():
+            break
+        seed += 1
+    texts = docs.join(again, "doc_id", "left_anti").unionByName(given.select(F.col("key").alias("doc_id"), "text"))
+    return texts, given.select("key", F.col("doc_id").alias("doc"), "times")
+
+
+def nameless(docs: DataFrame) -> DataFrame:
+    """Rows of the result for rows without doc_id."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            texts = [t if isinstance(t, str) else "" for t in b["text"]]
+            for part in in_parts(texts):
+                yield pd.DataFrame({"n_shingles": np.bincount(shingle_sets(texts[part])[0], minlength=len(texts[part]))})
+
+    sizes = common.in_batches(docs.where(F.col("doc_id").isNull()).select("text")).mapInPandas(run, "n_shingles long")
+    return sizes.select(F.lit(None).cast("long").alias("doc_id"), "n_shingles", F.lit(None).cast("long").alias("component_id"))
+
+
+def join_classes(docs: DataFrame, percent: int = 80, rounds: int = 3, pivots: int = 32, enough: int = 20_000, ranges: int | None = None, sample: int = 4000, share: float = 0.01) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of each row; component_id: the smallest doc_id that links reach, itself included.
 
     rounds, pivots and enough say how long and how many pivots are tried before all pairs that are still open are formed; they lose no link.
-    ranges: into how many ranges hashes and documents are dealt; twice the session's shuffle partitions unless given.
+    ranges: into how many ranges hashes and documents are dealt; unless given, twice the partitions of the shuffle or of docs, whichever are more,
+    so that what a task holds does not grow with the corpus. sample, share: see frequent().
     """
-    ranges = ranges or 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = common.checkpointed(prefixes(counted(packed(docs, ranges), ranges), percent))
-    labels = links_of(found, docs, percent, rounds, pivots, enough)
-    out = found.select("doc_id", "n", "rep")
-    if labels is None:
-        out = out.withColumn("label", F.lit(None).cast("long"))
-    else:
-        out = out.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep").alias("component_id"))
-    w = common.words(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
-    size = common.let(w, lambda w: F.when(F.size(w) < WORDS, F.least(F.size(w), F.lit(1))).otherwise(F.size(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - WORDS + 1), lambda i: F.slice(w, i, WORDS))))))
-    nameless = docs.where(F.col("doc_id").isNull()).select(F.lit(None).cast("long").alias("doc_id"), size.cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
-    return out.unionByName(nameless)
+    ranges = ranges or 2 * max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
+    texts, names = keyed(docs)
+    last = frequent(texts, sample, share)
+    found = common.checkpointed(prefixes(counted(packed(texts, ranges, last), ranges), percent))
+    labels = links_of(found.where("rep = doc_id"), texts, percent, rounds, pivots, enough)
+    # the set of a class within a batch stands for it until here; it may itself have another one
+    moved = found.where("rep <> doc_id").select(F.col("doc_id").alias("rep"), F.col("rep").alias("top"))
+    out = found.select("doc_id", "n", "rep").join(moved, "rep", "left").select("doc_id", "n", F.coalesce("top", "rep").alias("id"))
+    out = out.withColumn("label", F.col("id")) if labels is None else out.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.col("label").alias("component_id"))
+    if names is not None:
+        out = named(common.checkpointed(out), names)
+    return out.unionByName(nameless(docs))
+
+
+def named(out: DataFrame, names: DataFrame) -> DataFrame:
+    """The result for keys as that for rows: keys of one doc_id are linked, and the smallest doc_id of a class names it."""
+    mine = out.withColumnRenamed("doc_id", "key").join(names, "key", "left").withColumn("doc", F.coalesce("doc", "key")).withColumn("times", F.coalesce("times", F.lit(1)))
+    mine = common.checkpointed(mine)
+    # a doc_id of several classes joins them; each class has a label that is one of its keys
+    hub = mine.groupBy("doc").agg(F.min("component_id").alias("b"))
+    joins = mine.join(hub, "doc").where("component_id <> b").select(F.col("component_id").alias("a"), "b")
+    merged = components(joins)
+    mine = mine.join(merged.withColumnRenamed("label", "l"), mine["component_id"] == merged["id"], "left").withColumn("component_id", F.coalesce("l", "component_id"))
+    first = mine.groupBy("component_id").agg(F.min("doc").alias("first"))
+    mine = mine.join(first, "component_id")
+    return mine.select(F.col("doc").alias("doc_id"), "n_shingles", F.col("first").alias("component_id"), F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))).alias("copy")).drop("copy")
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
