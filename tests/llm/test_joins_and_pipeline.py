@@ -126,20 +126,41 @@ def test_components(spark):
     assert components(frame(edges).where("false")).count() == 0
 
 
-def test_forest_recall_and_scores(spark):
-    e = prefix_forest.usable(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"))
+def forest_recall(e, **options):
+    """Recall of the 20 nearest against brute force, and the share of the candidates scored; ranks and scores are checked."""
     x = {r["vec_id"]: np.array(r["v"]) for r in e.collect()}
     ids = np.array(sorted(x))
     m = np.array([x[i] for i in ids])
-    got = {}
-    for r in prefix_forest.nearest(e, e.where("vec_id % 20 = 0"), block=1024).orderBy("rank").collect():
+    got, queries = {}, e.where("vec_id % 20 = 0")
+    for r in prefix_forest.nearest(e, queries, **options).orderBy("rank").collect():
         got.setdefault(r["query_id"], []).append(r["vec_id"])
         assert r["score"] == pytest.approx(float(x[r["query_id"]] @ x[r["vec_id"]]), abs=1e-12) and r["rank"] == len(got[r["query_id"]])
     hits = 0
     for q, found in got.items():
         s = np.where(ids == q, -np.inf, m @ x[q])
-        hits += len(set(found) & set(ids[np.argsort(-s, kind="stable")[:20]]))
-    assert len(got) == sum(i % 20 == 0 for i in ids) and hits / (20 * len(got)) >= 0.9
+        hits += len(set(found) & set(ids[np.argsort(-s, kind="stable")[:20]].tolist()))
+    n = sum(i % 20 == 0 for i in ids)
+    assert len(got) == n
+    scored = prefix_forest.nearest(e, queries, count_scored=True, **options).agg(F.sum("scored")).first()[0]
+    return hits / (20 * n), scored / (n * len(ids))
+
+
+def test_forest_recall_and_scores(spark):
+    e = prefix_forest.usable(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"))
+    for options in ({}, {"block": 512, "query_block": 30}):
+        recall, share = forest_recall(e, **options)
+        print("isotropic", options, recall, share)
+        assert recall >= 0.9
+
+
+def test_forest_on_clusters(spark):
+    r = np.random.default_rng(4)
+    centres = r.standard_normal((150, 64))
+    x = centres[r.integers(0, 150, 8_000)] + 0.15 * r.standard_normal((8_000, 64))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    recall, share = forest_recall(prefix_forest.usable(rows), block=1024, query_block=64)
+    print("clusters", recall, share)
+    assert recall >= 0.9 and share < 0.15
 
 
 def test_forest_odd_vectors(spark):

@@ -4,17 +4,24 @@ A tree's hash string of a vector is the signs of its products with random direct
 sign; vectors with a long common prefix point to much the same direction. Vectors first get one more component, with which all
 have the length of the longest, so the largest inner product is the smallest angle; a query's is zero.
 
-A block of candidates keeps, for each tree, its hash strings in sorted order. A query finds its place in each and with it the
-longest prefix that it shares with an entry; entries that share at least `d` signs lie next to each other around it. From the
-deepest match the trees ascend together, one sign at a time, until their entries are enough; those are scored exactly on the original vectors.
+1. Candidates are dealt into blocks by the first bits of their string in the first tree, large ones in parts by a hash of the id, and so
+   are queries. A block knows its mean direction and the largest angle to it.
+2. Each query finds its place in the sorted arrays of a block of its own prefix, and ascends there, from the longest prefixes that
+   it shares with entries, through all trees together until twice k entries are found. The k-th best of these bounds how far
+   neighbours can be. A block of queries then meets only blocks that can hold anything within its queries' bounds, ascends in
+   them alike, and so tightens the bounds before the blocks that remain are searched.
+3. In such a block each query takes the entries that share at least `d` signs with it in some tree. An entry at angle x shares d signs in one
+   of t trees with chance 1 - (1 - (1 - x / pi)^d)^t, so d follows from the query's bound and `sure`, the least such chance at the bound.
+   What is found is scored exactly on the original vectors; a window picks the k best.
 
-How much is enough is a share of a block, `share`. Vectors without structure, in many dimensions, need a large one: where the 20
-nearest stand out little, as in isotropic data, hash prefixes alone cannot tell them from the rest.
+So work follows the data: where neighbours stand out, strings are long, blocks few and entries few. Where they hardly do, as in
+isotropic data of many dimensions, prefixes tell little and a larger part of the entries has to be scored.
 
-Queries are a stated set, dealt in blocks against all rows in blocks. Null vectors, vectors with null or non-finite components, zero
-vectors and vectors of another than the most common length take no part. Rows with a null id take no part either. Equal
-vectors have equal hash strings and are all found together; ties go to the smaller id; repeated ids are separate candidates,
-and of queries that repeat an id the one with the smallest vector, component by component, counts.
+Queries are a stated set, dealt in blocks against blocks of rows. Null vectors, vectors with null or non-finite components, zero
+vectors and vectors of another than the most common length take no part, nor do rows with a null id. Equal vectors have equal
+strings and are found together; ties go to the smaller id; repeated ids are separate candidates, and of queries that repeat an id
+the one with the smallest vector, component by component, counts. An empty table gives an empty one. Only the columns of id and
+vector are read, so others cannot clash.
 """
 
 from __future__ import annotations
@@ -28,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BITS = 24
+BITS = 32
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -46,97 +53,209 @@ def directions(trees: int, dim: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((dim + 1, trees * BITS))
 
 
-def strings(x: np.ndarray, longest: float, planes: np.ndarray, query: bool) -> np.ndarray:
-    """Hash strings [row, tree] of vectors. longest: the length that all vectors are brought to; nothing is added to queries."""
+def lengthened(x: np.ndarray, longest: float, query: bool) -> np.ndarray:
+    """Vectors with one more component. longest: the length that all are brought to; nothing is added to queries."""
     more = np.zeros(len(x)) if query else np.sqrt(np.maximum(longest**2 - (x * x).sum(1), 0))
-    signs = (np.column_stack([x, more]) @ planes > 0).reshape(len(x), -1, BITS)
+    return np.column_stack([x, more])
+
+
+def strings(y: np.ndarray, planes: np.ndarray) -> np.ndarray:
+    """Hash strings [row, tree] of lengthened vectors."""
+    signs = (y @ planes > 0).reshape(len(y), -1, BITS)
     return (signs * (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))).sum(2)
 
 
+def angle(cosine: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(cosine, -1, 1))
+
+
+def depth_for(bound: np.ndarray, trees: int, sure: float) -> np.ndarray:
+    """[query, tree]: the longest prefixes with which an entry at the angle `bound` is found with a chance of at least `sure`.
+
+    As lengths are whole, some trees take a sign less than the others.
+    """
+    agree = np.clip(1 - bound / np.pi, 1e-9, 1 - 1e-12)
+    d = np.clip(np.log(1 - (1 - sure) ** (1 / trees)) / np.log(agree), 0, BITS - 1).astype(np.int64)
+    miss, more = np.log1p(-np.minimum(agree**d, 1 - 1e-12)), np.log1p(-np.minimum(agree ** (d + 1), 1 - 1e-12))
+    shorter = np.ceil((np.log(1 - sure) - trees * more) / np.minimum(miss - more, -1e-300))
+    return d[:, None] + (np.arange(trees) >= np.clip(shorter, 0, trees)[:, None])
+
+
 class Forest:
     """A block of candidates and their sorted hash strings, tree by tree."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, longest: float, planes: np.ndarray):
         self.ids, self.x, self.planes = ids, x, planes
-        codes = strings(x, longest, planes, False)
+        codes = strings(lengthened(x, longest, False), planes)
         self.order = np.argsort(codes, axis=0, kind="stable")
         self.sorted = np.take_along_axis(codes, self.order, 0)
 
-    def search(self, ids: np.ndarray, x: np.ndarray, k: int, share: float, chunk: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(query, candidate, score) of the k best found for each query, by chunks of queries."""
-        enough = max(4 * k, int(share * len(self.ids)))
-        trees = self.order.shape[1]
-        for c in range(0, len(ids), chunk):
-            q, codes = x[c : c + chunk], strings(x[c : c + chunk], 0.0, self.planes, True)
-            low, high = (np.empty((BITS + 1, len(q), trees), dtype=np.int64) for _ in range(2))
-            for d in range(BITS + 1):  # entries that share the first d signs
-                shift = BITS - d
-                for t in range(trees):
-                    first = codes[:, t] >> shift << shift
-                    low[d, :, t] = np.searchsorted(self.sorted[:, t], first)
-                    high[d, :, t] = np.searchsorted(self.sorted[:, t], first + (1 << shift))
-            # a tree's entries overlap another's, so so many in all are needed at least; the count below is of distinct ones
-            depth = ((high - low).sum(2) >= min(enough, len(self.ids))).sum(0) - 1
-            found = [[], [], []]
-            for i in range(len(q)):
-                d = int(depth[i])
-                while True:
-                    mark = np.zeros(len(self.ids), dtype=bool)
-                    for t in range(trees):
-                        mark[self.order[low[d, i, t] : high[d, i, t], t]] = True
-                    mark[self.ids == ids[c + i]] = False
-                    if d == 0 or np.count_nonzero(mark) >= enough:
-                        break
-                    d -= 1
-                at = np.flatnonzero(mark)
-                score = (self.x[at] * q[i]).sum(1)  # row by row, so equal vectors have equal scores
-                if len(at) > k:
-                    best = np.flatnonzero(score >= np.partition(score, len(at) - k)[len(at) - k])
-                    at, score = at[best], score[best]
-                best = np.lexsort((self.ids[at], -score))[:k]
-                for part, value in zip(found, (np.full(len(best), ids[c + i]), self.ids[at[best]], score[best])):
-                    part.append(value)
-            yield tuple(np.concatenate(part) for part in found)
-
-
-def nearest(candidates: DataFrame, queries: DataFrame, k: int = 20, trees: int = 40, share: float = 0.6, block: int = 8192, query_block: int = 2048, seed: int = 11) -> DataFrame:
+    def ranges(self, codes: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """[query, tree]: where entries that share the first d signs, d by query or by query and tree, start and end."""
+        shift = BITS - (d if d.ndim == 2 else np.repeat(d[:, None], codes.shape[1], axis=1))
+        first = codes >> shift << shift
+        low, high = np.empty_like(codes), np.empty_like(codes)
+        for t in range(codes.shape[1]):
+            low[:, t] = np.searchsorted(self.sorted[:, t], first[:, t])
+            high[:, t] = np.searchsorted(self.sorted[:, t], first[:, t] + (1 << shift[:, t]))
+        return low, high
+
+    def entries(self, low: np.ndarray, high: np.ndarray, own: int) -> np.ndarray:
+        """Places of the candidates in the ranges of one query, but for the query itself."""
+        mark = np.zeros(len(self.ids), dtype=bool)
+        for t in np.flatnonzero(low < high).tolist():
+            mark[self.order[low[t] : high[t], t]] = True
+        mark[self.ids == own] = False
+        return np.flatnonzero(mark)
+
+    def ascended(self, codes: np.ndarray, own: np.ndarray, enough: int) -> list[np.ndarray]:
+        """By query, the entries of the deepest level at which the trees together hold enough, all where none does."""
+        d, top = np.zeros(len(codes), dtype=np.int64), np.full(len(codes), BITS)
+        while (d < top).any():  # halving, as prefixes of fewer signs hold more
+            mid = (d + top + 1) // 2
+            low, high = self.ranges(codes, mid)
+            held = (high - low).sum(1) >= enough
+            d, top = np.where(held, mid, d), np.where(held, top, mid - 1)
+        found: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * len(codes)
+        todo = np.arange(len(codes))
+        while len(todo):  # entries of several trees are often the same ones
+            low, high = self.ranges(codes[todo], d[todo])
+            for row, i in enumerate(todo.tolist()):
+                found[i] = self.entries(low[row], high[row], int(own[i]))
+            todo = todo[(d[todo] > 0) & (np.array([len(found[i]) for i in todo.tolist()]) < enough)]
+            d[todo] -= 1
+        return found
+
+    def search(self, ids: np.ndarray, x: np.ndarray, k: int, bound: np.ndarray | None, sure: float) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+        """(query, candidates, scores, number scored) of the k best found for each query. bound: angles; without them, from twice k entries."""
+        codes = strings(lengthened(x, 0.0, True), self.planes)
+        if bound is None:
+            held = self.ascended(codes, ids, 2 * k)
+        else:
+            low, high = self.ranges(codes, depth_for(bound, codes.shape[1], sure))
+        for i, own in enumerate(ids.tolist()):
+            at = held[i] if bound is None else self.entries(low[i], high[i], own)
+            score = (self.x[at] * x[i]).sum(1)  # row by row, so equal vectors have equal scores
+            scored = len(at)
+            if len(at) > k:
+                best = np.flatnonzero(score >= np.partition(score, len(at) - k)[len(at) - k])
+                at, score = at[best], score[best]
+            best = np.lexsort((self.ids[at], -score))[:k]
+            yield own, self.ids[at[best]], score[best], scored
+
+
+BLOCK = "p long, part long, ids binary, v binary, mean array<double>, wide double"
+
+
+def blocks(rows: DataFrame, planes: np.ndarray, longest: float, query: bool, bits: int, size: int) -> DataFrame:
+    """Rows of BLOCK: of vectors whose first strings begin with p, parts of about `size`; mean direction, and largest angle to it."""
+
+    def locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            y = lengthened(np.array(b["v"].tolist(), dtype=np.float64).reshape(len(b), -1), longest, query) if len(b) else np.zeros((0, len(planes)))
+            yield b.assign(p=strings(y, planes[:, :BITS])[:, 0] >> (BITS - bits))
+
+    def run(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("vec_id", kind="stable")
+        x = np.array(b["v"].tolist(), dtype=np.float64)
+        y = lengthened(x, longest, query)
+        y /= np.sqrt((y * y).sum(1, keepdims=True))
+        mean = y.mean(0)
+        mean = mean / max(float(np.sqrt(mean @ mean)), 1e-300)
+        return pd.DataFrame({"p": [key[0]], "part": [key[1]], "ids": [b["vec_id"].to_numpy(dtype="<i8").tobytes()], "v": [x.astype("<f8").tobytes()], "mean": [mean], "wide": [float(angle(y @ mean).max())]})
+
+    placed = common.in_batches(rows).mapInPandas(locate, "vec_id long, v array<double>, p long")
+    sizes = placed.groupBy("p").agg(F.ceil(F.count("*") / size).alias("parts"))
+    dealt = placed.join(sizes, "p").withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("parts")))
+    return dealt.groupBy("p", "part").applyInPandas(run, BLOCK)
+
+
+def nearest(candidates: DataFrame, queries: DataFrame, k: int = 20, trees: int = 128, sure: float = 0.92, block: int = 8192, query_block: int = 1024, seed: int = 11, count_scored: bool = False) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query the k nearest found among the candidates other than itself.
 
-    candidates and queries: (vec_id, v) of usable(). Both are packed into blocks of about the given rows, by hash of the id; each
-    pair of a block of candidates and a block of queries is one task's work, and a window picks the k best of each query's blocks.
+    candidates and queries: (vec_id, v) of usable(). count_scored: instead, (query_id, scored), how many candidates each query was scored against.
     """
     facts = candidates.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("most")).first()
     queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
-    n_queries = queries.count()
-    out = "query_id long, vec_id long, score double"
     spark = candidates.sparkSession
-    if not facts["n"] or not n_queries:
+    if not facts["n"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     planes, longest = directions(trees, facts["dim"], seed), float(facts["most"]) ** 0.5
-    blocks, query_blocks = -(-facts["n"] // block), -(-n_queries // query_block)
+    bits = min(BITS, max(0, int(np.ceil(np.log2(facts["n"] / block)))))
+    c = common.checkpointed(blocks(candidates, planes, longest, False, bits, block))
+    q = common.checkpointed(blocks(queries, planes, longest, True, bits, query_block))
+    place = lambda name: F.struct("p", "part").alias(name)
+    q_rows = q.select(place("q"), F.col("ids").alias("q_ids"), F.col("v").alias("q_v"))
 
-    def packed(rows: DataFrame, n: int, name: str) -> DataFrame:
-        def run(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-            b = b.sort_values("vec_id", kind="stable")
-            return pd.DataFrame({name: [key[0]], f"{name}_ids": [b["vec_id"].to_numpy(dtype="<i8").tobytes()], f"{name}_v": [np.array(b["v"].tolist(), dtype="<f8").tobytes()]})
+    kind = "struct<p: long, part: long>"
+    hit = f"q {kind}, query_id long, vec_id long, score double, cosine double, scored long"
 
-        numbered = rows.withColumn(name, F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(n)))
-        return numbered.groupBy(name).applyInPandas(run, f"{name} long, {name}_ids binary, {name}_v binary")
+    def search(bounded: bool):
+        def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            name = forest = None
+            for b in batches:
+                for row in b.itertuples():
+                    if row.ids is not None:  # a block of candidates comes before the blocks of queries that meet it
+                        ids = np.frombuffer(row.ids, dtype="<i8")
+                        name, forest = (row.c["p"], row.c["part"]), Forest(ids, np.frombuffer(row.v, dtype="<f8").reshape(len(ids), -1), longest, planes)
+                        continue
+                    assert name == (row.c["p"], row.c["part"])
+                    mine = np.frombuffer(row.q_ids, dtype="<i8")
+                    x = np.frombuffer(row.q_v, dtype="<f8").reshape(len(mine), -1)
+                    bound = None
+                    if bounded:
+                        bound = np.full(len(mine), np.pi)
+                        bound[np.searchsorted(mine, np.frombuffer(row.b_ids, dtype="<i8"))] = np.frombuffer(row.b_angle, dtype="<f8")
+                    found = list(forest.search(mine, x, k, bound, sure))
+                    n = [len(f[1]) for f in found]
+                    query, score = np.repeat(mine, n), np.concatenate([f[2] for f in found])
+                    size = np.repeat(np.sqrt((x * x).sum(1)) * longest, n)
+                    scored = np.repeat([f[3] for f in found], n) // np.maximum(np.repeat(n, n), 1)  # in all, about what was scored
+                    if len(query):
+                        yield pd.DataFrame({"q": [row.q] * len(query), "query_id": query, "vec_id": np.concatenate([f[1] for f in found]), "score": score, "cosine": score / size, "scored": scored})
 
-    c = packed(candidates, blocks, "c").withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))))
-    pairs = c.join(packed(queries, query_blocks, "q"), "q").repartition(blocks * query_blocks, "c", "q")
+        return each
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for row in b.itertuples():
-                ids, mine = np.frombuffer(row.c_ids, dtype="<i8"), np.frombuffer(row.q_ids, dtype="<i8")
-                x, q = np.frombuffer(row.c_v, dtype="<f8").reshape(len(ids), -1), np.frombuffer(row.q_v, dtype="<f8").reshape(len(mine), -1)
-                for query, found, score in Forest(ids, x, longest, planes).search(mine, q, k, share):
-                    yield pd.DataFrame({"query_id": query, "vec_id": found, "score": score})
+    c_rows = c.select(place("c"), "ids", "v")
+
+    def met(pairs: DataFrame, bounded: bool) -> DataFrame:
+        """What the blocks of queries of pairs (q, c, ...) find in the blocks of candidates; a block of candidates is one task's, and built once."""
+        needed = c_rows.join(pairs.select("c").distinct(), "c", "left_semi")
+        both = needed.unionByName(pairs.join(q_rows, "q"), allowMissingColumns=True)
+        both = both.repartition(F.col("c")).sortWithinPartitions("c", F.col("ids").isNull())
+        return common.in_batches(both).mapInPandas(search(bounded), hit)
+
+    def widest(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("query_id")
+        return pd.DataFrame({"q": [dict(zip(("p", "part"), key))], "b_ids": [b["query_id"].to_numpy(dtype="<i8").tobytes()], "b_angle": [angle(b["cosine"].to_numpy()).astype("<f8").tobytes()], "held": [len(b)], "most": [float(angle(b["cosine"].to_numpy()).max())]})
+
+    by_query = Window.partitionBy("q", "query_id").orderBy(F.desc("cosine"))
+    means = c.select(place("c"), F.col("mean").alias("c_mean"), F.col("wide").alias("c_wide"))
+    dot = F.aggregate(F.zip_with("q_mean", "c_mean", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    apart = F.acos(F.greatest(F.least(dot, F.lit(1.0)), F.lit(-1.0))) - F.col("q_wide") - F.col("c_wide")
+
+    def within(hits: DataFrame) -> DataFrame:
+        """(q, c, b_ids, b_angle): the blocks that can hold anything as near as the k-th of the hits, which bounds each query."""
+        kth = hits.withColumn("turn", F.row_number().over(by_query)).where(F.col("turn") == k).select("q.p", "q.part", "query_id", "cosine")
+        known = kth.groupBy("p", "part").applyInPandas(widest, f"q {kind}, b_ids binary, b_angle binary, held long, most double")
+        mine = q.select(place("q"), F.col("mean").alias("q_mean"), F.col("wide").alias("q_wide"), (F.length("ids") / 8).alias("n")).join(known, "q", "left")
+        mine = mine.withColumn("far", F.when(F.col("held") == F.col("n"), F.col("most")).otherwise(float(np.pi)))
+        # of the stated queries, blocks against blocks of rows: only their means meet
+        near = mine.join(means, apart <= F.col("far") + 1e-6)
+        none = F.lit(b"")
+        return common.checkpointed(near.select("q", "c", F.coalesce("b_ids", none).alias("b_ids"), F.coalesce("b_angle", none).alias("b_angle")))
 
-    hits = common.in_batches(pairs.select("c_ids", "c_v", "q_ids", "q_v")).mapInPandas(run, out)
+    # a query block's own prefix, or else some block
+    own = c.groupBy("p").agg(F.min(F.struct("p", "part")).alias("own"))
+    some = c.agg(F.min(F.struct("p", "part")).alias("any"))  # one row
+    home = q.select("p", place("q")).join(own, "p", "left").crossJoin(F.broadcast(some)).select("q", F.coalesce("own", "any").alias("c"))
+    first = common.checkpointed(met(home, False))
+    again = common.checkpointed(met(within(first).select("q", "c"), False))
+    hits = met(within(again), True)
+    if count_scored:
+        return first.unionByName(again).unionByName(hits).groupBy("query_id").agg(F.sum("scored").alias("scored"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return hits.select("query_id", "vec_id", "score").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op8_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
