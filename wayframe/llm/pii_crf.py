@@ -3,12 +3,16 @@
 The field tags the words of each line. A word's features are its shape, counts of digits and marks, and whether it is one of
 a few context words; the words before and after count with weights of their own. It is trained here, from a small labelled
 table, by gradient steps on the exact likelihood, and decoded by Viterbi over many lines at once in numpy.
-Tagged words without the marks around them become spans of the kinds `crf_*`, unless they touch a span of the patterns.
-Null texts count as empty; repeated rows are separate rows.
+Tagged words without the marks around them become spans of the kinds `crf_*`, if they pass the check of their kind and touch no
+span of the patterns: numbers without a plus, addresses spelled with (at) and dot, cards and hosts in other separators.
+
+Null and empty texts have no spans. Texts of any length are read whole, about a million characters of words at a time, or one text.
+Repeated rows are separate rows, an empty table gives an empty one, and only doc_id and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
 
+import ipaddress
 import random
 import re
 from collections.abc import Iterator
@@ -21,9 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 from . import common
 
 BASE = ("email", "ip", "card", "phone")
-TAGS = ("O", "email", "ip", "B-card", "I-card", "B-phone", "I-phone")
+TAGS = ("O", *(f"{x}-{k}" for k in BASE for x in "BI"))
 KINDS = (*BASE, *(f"crf_{k}" for k in BASE))
-CONTEXT = frozenset("call card cell charge contact email fax from host ip mail mobile number pay phone reach ring server tel to visa write".split())
+CONTEXT = frozenset(
+    "account at (at) address adresse amex appelez appeler call calling card carte cell charge code contact correo correspond courriel date dot (dot) e-mail ecrivez email en escriba fax from "
+    "geheim host hotline ip ipv4 ipv6 isbn karte kreditkarte mail mastercard mobil mobile móvil node number nummer numéro no order page pay phone ping port portable reach ring room rufnummer ruf "
+    "server serveur servidor ssh tarjeta tel telefon telephone teléfono to total tél tél. unter version visa von write www year".split()
+)
 #: Possessive runs: a run that fails is not tried again from each of its digits.
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -65,63 +73,157 @@ def patterns(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def labelled_table(rows: int = 240, seed: int = 7) -> list[tuple[list[str], list[str]]]:
-    """The small labelled table: sentences of words and tags, made from templates by a seeded generator."""
-    r = random.Random(seed)
-    syllables = "the re on an er in es ou ti at le de en que ment ung ver ci la".split()
-    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
-    word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 4)))
-
-    def plain() -> str:
-        w = word()
-        kind = r.random()
-        if kind < 0.2:
-            w = w.capitalize()
-        elif kind < 0.28:
-            w = w.upper() + "!!"
-        elif kind < 0.36:
-            w += r.choice(["***", "$$$", "&&&", "%%%", "###"])
-        elif kind < 0.44:
-            w += r.choice([".", ",", ";", ":"])
-        elif kind < 0.52:
-            w = r.choice([digits(r.randint(1, 5)), digits(2) + "%", f"{digits(1)}.{digits(2)}", f"20{digits(2)}-0{r.randint(1, 9)}-1{digits(1)}", f"v{digits(1)}.{digits(1)}.{digits(1)}", f"{digits(2)}:{digits(2)}", f"${digits(3)}.{digits(2)}", "|", "=", '"' + format(r.getrandbits(160), "040x") + '"', f"https://{word()}.org/{word()}", f"@{word()}", f"{word()}@{word()}"])
-        elif kind < 0.6:
-            w = r.choice(sorted(CONTEXT))
-        return w
-
-    def private() -> tuple[list[str], list[str]]:
-        kind = r.choice(BASE)
-        tail = r.choice(["", "", ".", ",", "###", "!!", ";"])
-        if kind == "email":
-            at = r.choice(["@", "@", "@", "(at)", "[at]"])
-            words, tags = [f"{word()}{r.choice(['', '.', '_'])}{r.choice(['', digits(2)])}{at}{word()}{r.choice(['.com', '.org', '.example.com', '.net'])}{tail}"], ["email"]
-        elif kind == "ip":
-            words, tags = [".".join(str(r.randint(0, 255)) for _ in range(4)) + r.choice(["", ":8080", "/24"]) + tail], ["ip"]
-        elif kind == "card":
-            groups = r.choice([[16], [4, 4, 4, 4], [4, 6, 5]])
-            words = [digits(g) for g in groups] if r.random() < 0.6 else ["-".join(digits(g) for g in groups)]
-            tags = ["B-card", *["I-card"] * (len(words) - 1)]
-            words[-1] += tail
-        else:
-            words = r.choice([[f"+{digits(2)}", digits(3), digits(3), digits(4)], [f"({digits(3)})", f"{digits(3)}-{digits(4)}"], [f"{digits(3)}-{digits(3)}-{digits(4)}"], [f"+{digits(1)}", f"({digits(3)})", f"{digits(3)}-{digits(4)}"], [f"+{digits(2)}-{digits(3)}-{digits(7)}"]])
-            tags = ["B-phone", *["I-phone"] * (len(words) - 1)]
-            words[-1] += tail
-        lead = r.choice({"email": ["email", "contact", "write", "mail"], "ip": ["from", "server", "ip", "host"], "card": ["card", "visa", "charge", "pay"], "phone": ["call", "phone", "tel", "reach"]}[kind])
-        return ([lead, *words], ["O", *tags]) if r.random() < 0.6 else (words, tags)
-
-    table = []
-    for _ in range(rows):
-        words, tags = [], []
-        for _ in range(r.randint(2, 5)):
-            more = [plain() for _ in range(r.randint(1, 5))]
-            words, tags = words + more, tags + ["O"] * len(more)
-            if r.random() < 0.35:
-                w, t = private()
-                words, tags = words + w, tags + t
-        table.append((words, tags))
+#: The labelled table: lines in which braces hold a kind and its words.
+LABELLED = """
+call {phone (555) 123-4567} after six
+you can reach us at {phone 555-867-5309} on weekdays
+office phone: {phone 212.555.0187}, ask for Dana
+tel {phone 030 1234567} or come by
+Telefon {phone 030/4471 2290} von 9 bis 17 Uhr
+Rufnummer: {phone 0049 89 1234 5678}
+appelez le {phone 01 42 68 53 00} avant midi
+tél. {phone 06.12.34.56.78} le soir
+teléfono {phone 91 123 45 67} de lunes a viernes
+móvil {phone 612 345 678} gracias
+her cell is {phone (415) 555 2671} I think
+fax {phone (020) 7946-0958} only for orders
+ring {phone 020 7946 0018} and wait
+text me on {phone 07700 900123} please
+my number is {phone 617-555-0142}.
+phone {phone 1-800-555-0199} toll free
+mobile {phone 0151 23456789} immer erreichbar
+contact: {phone 555 0123 456} ext 12
+Ruf {phone (0221) 987654} an
+call me {phone 9876543210} tonight
+dial {phone 001 212 555 0100} from abroad
+numéro {phone 04-91-55-12-34} à Marseille
+hotline {phone 0800 330 1000} free
+{phone (303) 555-0136} is the front desk
+{phone 646-555-0171} or {phone 646-555-0172}
+write to {email jo.smith (at) mail.org} soon
+mail {email anna_k [at] example.com} for the file
+email {email dev.team at example dot org} with logs
+contact {email sales (at) shop (dot) example (dot) com} today
+{email kim.lee [at] uni [dot] edu} sent this
+schreibe an {email max.muster (at) firma.de} bitte
+courriel {email luc.petit at poste dot fr} merci
+correo: {email maria99 (at) correo.es}
+reach {email info [at] museum.org} or come by
+e-mail {email webmaster(at)site.net} about errors
+please write {email help[at]desk.example.com} instead
+my address is {email tom at home dot net} since May
+{email a.b.c (at) example.net} and {email d_e (at) example.net}
+an {email buero [at] kanzlei [dot] de} wenden
+écrivez à {email contact (at) ville (dot) fr} vite
+escriba a {email ventas at tienda dot com} hoy
+ask {email rosa-lin (at) lab.io} for access
+from {email noreply at service dot com} yesterday
+card {card 4111.1111.1111.1111} expires soon
+charge {card 4000/0566/5566/5556} please
+visa {card 4242_4242_4242_4242} on file
+pay with {card 5555 . 5555 . 5555 . 4444} now
+Kreditkarte {card 4012.8888.8888.1881} gesperrt
+carte {card 5105/1051/0510/5100} refusée
+tarjeta {card 4917.6100.0000.0000} caducada
+mastercard {card 5200.8282.8282.8210} is mine
+amex {card 3782.822463.10005} worked
+the card was {card 6011.1111.1111.1117}, he said
+number: {card 3056/9309/0259/04}
+account card {card 4222_2222_2222_2} old one
+Karte {card 4000.0025.0000.3155} verloren
+host {ip 192[.]168[.]1[.]20} was down
+server {ip 10-0-0-17} rebooted
+ping {ip 172 . 16 . 4 . 9} failed
+from {ip fe80::1ff:fe23:4567:890a} at night
+ssh to {ip 2001:db8::8a2e:370:7334} works
+ip {ip 203[.]0[.]113[.]7} blocked
+Server {ip 198-51-100-23} antwortet nicht
+serveur {ip 2001:db8:0:1::15} en panne
+node {ip 10[.]11[.]12[.]13} joined
+servidor {ip 192 . 0 . 2 . 44} caído
+ipv6 {ip 2a02:26f0:6c00::210:ba} resolved
+address {ip fd12:3456:789a:1::1} assigned
+host {ip 192(.)0(.)2(.)1} seen twice
+the meeting is on 2024-01-31 at 10:30 in room 214
+version 10.4.12.7 was released in 2019
+order 100200300 shipped on 03/04/2021
+total 1,234.56 with tax 98.70
+ISBN 978-3-16-148410-0 is the second edition
+page 12 of 340
+he was born on 12.05.1987 in Kiel
+look at example dot structures in the book
+we met at noon. They left at 12
+arrived at example.com and read the news
+the dot at the end is red
+code 4f2a9c01d7e84b33 expired
+ratio 16:9 at 1920 x 1080
+from 10 to 20 dollars
+at 5 dot 5 percent
+chapter 3.2.1.4 explains it
+call him at once
+call number QA76.73 on shelf 12
+tel quel est le mot
+card games at home
+the server at the bar was kind
+10 000 000 people live there
+1 234 567 890 rows were read
+5-7-9-11 are odd
+years 1999 2000 2001 2002 were wet
+0.5 0.25 0.125 0.0625
+time 12:34:56 elapsed
+mac 00:1b:44:11:3a:b7 is filtered
+id 550e8400-e29b-41d4-a716-446655440000 was lost
+room (214) 3-17 upstairs
+win 3-2 and 5-4 at home
+lot 2021/04/17 batch 0007
+price: $1299.00, was $1,499.00
+§ 12.3 and 14.7 apply
+phone calls cost 10 cents
+email is faster than mail
+write at least 500 words
+kilometer 120 to 155 closed
+https://example.org/path/2020/01 was moved
+@dana said that at 9
+temperature -12.5 to 3.0
+Zeile 4711 in Datei 12
+le 14 juillet 1789 à Paris
+el 12 de octubre de 1492
+tracking 1Z 999 AA1 01 2345 6784
+account 000123456789 closed
+numbers 12 345 and 67 890
+v2.10.3-rc1 at 3f2c1d
+score 21 - 18 in 2010
+"""
+MARKED = re.compile(r"\{(\w+) ([^}]*)\}")
+DIGIT = re.compile("[0-9]")
+
+
+def labelled_table(lines: list[str], draws: int = 4, seed: int = 7) -> list[tuple[list[str], list[str]]]:
+    """Words and tags of labelled lines; each line also with its digits drawn anew, and with a mark after its last word, `draws` times."""
+    r, table = random.Random(seed), []
+    for line in lines:
+        for draw in range(draws + 1):
+            words: list[str] = []
+            tags: list[str] = []
+            for k, part in enumerate(MARKED.split(line)):
+                found = part.split() if k % 3 != 1 else []
+                kind = MARKED.split(line)[k - 1] if k % 3 == 2 else ""
+                if k % 3 == 0 and words and part[:1] not in ("", " "):  # a mark that follows a brace belongs to the word before
+                    words[-1] += found[0]
+                    found = found[1:]
+                tags += [f"{'B' if i == 0 else 'I'}-{kind}" if kind else "O" for i in range(len(found))]
+                words += found
+            if draw:
+                words = [DIGIT.sub(lambda _: r.choice("0123456789"), w) for w in words]
+                words[-1] += r.choice(["", ".", ",", "!!", "***", "###"])
+            table.append((words, tags))
     return table
 
 
+def table_lines() -> list[str]:
+    return [x for x in LABELLED.split("\n") if x]
+
+
 SHAPES = str.maketrans({**{c: "9" for c in "0123456789"}, **{chr(c): "x" for c in range(97, 123)}, **{chr(c): "X" for c in range(65, 91)}})
 RUNS = re.compile(r"(.)\1+", re.S)
 OTHER = re.compile(r"[^\x00-\x7F]+")
@@ -140,7 +242,7 @@ def named(core: str, shape: str) -> tuple[str, ...]:
     found = (
         "shape " + (shape if len(shape) <= 16 else "long"),
         f"digits {n if n < 5 else 5 if n < 7 else 7 if n < 12 else 12 if n < 20 else 20}",
-        f"part {0 if not size else 4 * n // size}", f"@ {core.count('@') + core.count('(at)') + core.count('[at]')}", f"dots {min(core.count('.'), 4)}", "+" if core[:1] == "+" else "(" if core[:1] == "(" else "none",
+        f"part {0 if not size else 4 * n // size}", f"@ {core.count('@') + core.count('(at)') + core.count('[at]')}", f"dots {min(core.count('.'), 4)}", f"colons {min(core.count(':'), 4)}", "+" if core[:1] == "+" else "(" if core[:1] == "(" else "none", f"size {min(size, 4)}",
     )
     return (*found, "word " + low) if low in CONTEXT else found
 
@@ -255,17 +357,34 @@ class Field:
         return tags
 
 
+SPELLED_AT, SPELLED_DOT = (re.compile(rf"\s*[(\[]{w}[)\]]\s*|\s+{w}\s+", re.I) for w in ("at", "dot"))
+ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+IN_CARD, IN_PHONE = re.compile(r"[0-9](?:[0-9]|[\s./_-]+(?=[0-9]))*"), re.compile(r"[(+]?[0-9](?:[0-9]|[\s().\/-]+(?=[0-9(]))*")
+DAY = re.compile(r"(?:19|20)\d\d[-./]\d\d?[-./]\d\d?|\d\d?[-./]\d\d?[-./](?:19|20)\d\d")
+DOTTED = re.compile(r"([0-9]+)(\s*(?:\[\.\]|\(\.\)|\.|-)\s*)([0-9]+)\2([0-9]+)\2([0-9]+)")
+
+
 def valid(kind: str, found: str) -> bool:
-    """Whether what the field has tagged can be of its kind: the checks of the patterns, in any layout."""
+    """Whether what the field has tagged is of its kind, in any layout.
+
+    A card has 12 to 19 digits that pass Luhn; a phone number 7 to 15 digits and is no date; a host four parts of at most 255 between equal
+    separators, or an address of version 6; an e-mail address, once (at) and (dot) are undone, a name, a domain and an ending of letters.
+    """
     digits = NOT_DIGIT.sub("", found)
     if kind == "card":
-        return 12 <= len(digits) <= 19 and luhn(digits)
+        return 12 <= len(digits) <= 19 and luhn(digits) and IN_CARD.fullmatch(found) is not None
     if kind == "phone":
-        return 7 <= len(digits) <= 15
+        return 7 <= len(digits) <= 15 and IN_PHONE.fullmatch(found) is not None and DAY.fullmatch(found) is None
     if kind == "ip":
-        parts = re.findall("[0-9]+", found)[:4]
-        return len(parts) == 4 and all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in parts)
-    return "@" in found or "at" in found
+        if (m := DOTTED.fullmatch(found)) is not None:
+            return all(len(m[k]) <= 3 and int(m[k]) <= 255 for k in (1, 3, 4, 5))
+        if found.count(":") < 2:
+            return False
+        try:
+            return ipaddress.ip_address(found).version == 6
+        except ValueError:
+            return False
+    return ADDRESS.fullmatch(SPELLED_DOT.sub(".", SPELLED_AT.sub("@", found))) is not None
 
 
 class Tagger:
@@ -280,7 +399,7 @@ class Tagger:
         self.at: dict[tuple[str, ...], int] = {}  # rows of tuples of features
         self.rows = np.zeros((0, 3, len(TAGS)), dtype=np.float32)
 
-    def spans(self, texts: list[str], bulk: int = 1_500_000) -> Iterator[list[tuple[str, int, int]]]:
+    def spans(self, texts: list[str], bulk: int = 1_000_000) -> Iterator[list[tuple[str, int, int]]]:
         """The field's spans of each text; about `bulk` characters are held as words at once."""
         held: list[str] = []
         size = 0
@@ -348,9 +467,7 @@ class Tagger:
 
 @lru_cache(maxsize=1)
 def trained() -> Field:
-    return Field(labelled_table())
-
-
+    return Field(labelled_table(table_lines()))
 
 
 def find_private(docs: DataFrame, field: Field | None = None) -> DataFrame:
