@@ -261,18 +261,19 @@ def found_by(field, text):
 
 def test_field_on_held_out_lines():
     lines = pii_crf.table_lines()
-    f = pii_crf.Field(pii_crf.labelled_table([x for i, x in enumerate(lines) if i % 5]))
     want, got, wrong, plain = {k: 0 for k in pii_crf.BASE}, {k: 0 for k in pii_crf.BASE}, 0, 0
-    for line in [x for i, x in enumerate(lines) if i % 5 == 0]:
-        marked, text = pii_crf.MARKED.findall(line), pii_crf.MARKED.sub(lambda m: m[2], line)
-        found = found_by(f, text)
-        plain += not marked
-        wrong += bool(not marked and found)
-        for kind, words in marked:
-            want[kind] += pii_crf.valid(kind, words)
-            got[kind] += (kind, words) in found
+    for fold in range(5):
+        f = pii_crf.Field(pii_crf.labelled_table([x for i, x in enumerate(lines) if i % 5 != fold]))
+        for line in [x for i, x in enumerate(lines) if i % 5 == fold]:
+            marked, text = pii_crf.MARKED.findall(line), pii_crf.MARKED.sub(lambda m: m[2], line)
+            found = found_by(f, text)
+            plain += not marked
+            wrong += bool(not marked and found)
+            for kind, words in marked:
+                want[kind] += pii_crf.valid(kind, words)
+                got[kind] += (kind, words) in found
     print("recall on held-out lines", got, "of", want, "; plain lines with spans", wrong, "of", plain)
-    assert all(got[k] >= 0.5 * want[k] for k in want) and sum(got.values()) >= 0.7 * sum(want.values()) and wrong <= 1
+    assert all(got[k] >= 0.5 * want[k] for k in want) and sum(got.values()) >= 0.7 * sum(want.values()) and wrong <= 0.1 * plain
 
 
 #: Lines written apart from the labelled table, with what is to be found in them.

@@ -38,7 +38,7 @@ P1, P2, P3 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 #: df of shingles that come last in the order.
 LAST = np.iinfo(np.int32).max
 #: Tasks over which the choice of a shingle's pivots, and rows of a shingle in a piece of the final pairing, are dealt.
-SALTS, PIECE = 8, 4096
+SALTS, PIECE = 8, 1024
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -313,7 +313,7 @@ def text_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def links_of(found: DataFrame, docs: DataFrame, percent: int, rounds: int, pivots: int, enough: int) -> DataFrame | None:
     """(id, label) of the classes that links join, or None without candidates."""
     grams = found.where(F.size("grams") > 0).select(F.col("doc_id").alias("d"), "n", "u", F.posexplode("grams").alias("r", "gram"))
-    shared = grams.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
+    shared = grams.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1")
     grams = common.checkpointed(grams.join(shared, "gram"))
     if grams.isEmpty():
         return None
@@ -355,7 +355,7 @@ def links_of(found: DataFrame, docs: DataFrame, percent: int, rounds: int, pivot
 
 def sides(rows: DataFrame) -> list[DataFrame]:
     """rows twice, with columns named g1, d1, n1, u1, r1, l1 and so on."""
-    names = [c for c in ("d", "n", "u", "r", "label", "band") if c in rows.columns]
+    names = [c for c in ("d", "n", "u", "r", "label", "band", "c") if c in rows.columns]
     return [rows.select(F.col("gram").alias(f"g{i}"), *[F.col(c).alias(f"{c[0]}{i}") for c in names]) for i in (1, 2)]
 
 
@@ -365,13 +365,10 @@ def paired(rows: DataFrame, close: Column, percent: int) -> DataFrame:
     Lengths of a pair differ by a factor of at most 100 / percent, the width of a band, so only neighbouring bands meet.
     """
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent * 1.0001))) if percent < 100 else F.col("n")
-    rows = rows.withColumn("band", band.cast("long"))
-    sizes = rows.groupBy("gram", "band").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("pieces"))
-    one, two = sides(rows)
-    s = sizes.select(F.col("gram").alias("g"), F.col("band").alias("b"), "pieces")
-    one = one.join(s, (F.col("g1") == F.col("g")) & (F.col("b1") == F.col("b"))).withColumn("piece", F.pmod(F.xxhash64("d1"), F.col("pieces")).cast("int")).drop("g", "b", "pieces")
-    two = two.withColumn("at", F.explode(F.expr("array(b2 - 1, b2, b2 + 1)")))
-    two = two.join(s, (F.col("g2") == F.col("g")) & (F.col("at") == F.col("b"))).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("g", "b", "pieces")
+    pieces = lambda c: F.ceil(F.col(c) / PIECE).cast("int")  # noqa: E731  c: rows of the shingle, of any length
+    one, two = sides(rows.withColumn("band", band.cast("long")))
+    one = one.withColumn("piece", F.pmod(F.xxhash64("d1"), pieces("c1")).cast("int"))
+    two = two.withColumn("at", F.explode(F.expr("array(b2 - 1, b2, b2 + 1)"))).withColumn("part", F.explode(F.sequence(F.lit(0), pieces("c2") - 1)))
     return one.join(two, F.expr("g1 = g2 and b1 = at and piece = part and d1 < d2 and l1 <> l2") & close)
 
 

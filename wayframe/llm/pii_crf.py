@@ -192,6 +192,14 @@ tracking 1Z 999 AA1 01 2345 6784
 account 000123456789 closed
 numbers 12 345 and 67 890
 v2.10.3-rc1 at 3f2c1d
+home | about us | contact | news | terms
+login | register | search | mail | help
+Startseite | Impressum | Kontakt | Karte
+accueil | plan | courriel | liens
+buy now !! $$$ best *** price %%% only &&& today ###
+*** win *** win *** big ***
+name = value # of the server = fast
+* first * second * third
 score 21 - 18 in 2010
 """
 MARKED = re.compile(r"\{(\w+) ([^}]*)\}")
