@@ -137,6 +137,41 @@ def test_endpoints(spark):
     assert at(True, True, False)["x"] == 1 and at(True, True, True)["x"] == 2 and at(False, False, False) is None
 
 
+def test_matching_predictions(spark):
+    refs = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "sample_id string, y int")
+    made = spark.createDataFrame([("a", "ok", None, 1), ("b", "parse_error", "bad", None), ("x", None, None, 4)], "sample_id string, status string, error string, y int")
+    assert {r["sample_id"]: (r["kind"], r["reason"]) for r in E.problems(refs, made).collect()} == {"b": ("invalid", "bad"), "c": ("missing", None), "x": ("extra", None)}
+    with pytest.raises(E.CoverageError, match="bad"):
+        E.matched(refs, made)
+    assert [(r["sample_id"], r["y"], r["p_y"]) for r in E.matched(refs, made, strict=False).collect()] == [("a", 1, 1)]
+    with pytest.raises(ValueError, match="repeated"):
+        E.matched(refs.union(refs), made)
+
+
+def test_knn_without_groups_and_contexts_without_neighbours(spark):
+    rows = spark.createDataFrame([(0, None, [0.0]), (1, None, [1.0]), (2, "a", [2.0]), (3, "a", [9.0])], "id long, grp string, v array<double>")
+    near = N.knn(rows, rows, 1)
+    assert {r["query_id"]: r["neighbor_id"] for r in near.collect()} == {0: 1, 1: 0, 2: 1, 3: 1}
+    contexts = rows.select("id", F.array(F.col("id").cast("double")).alias("context"))
+    got = N.mean_context(near.where("query_id < 2"), contexts, queries=near.select("query_id"), width=1).collect()
+    assert sorted((r["query_id"], r["pos"], r["value"]) for r in got) == [(0, 0, 1.0), (1, 0, 0.0), (2, 0, 0.0), (3, 0, 0.0)]
+
+
+def test_runner_failure_while_asking_again(spark):
+    def predict(prompts):
+        if prompts == ["bad"]:
+            raise RuntimeError("down")
+        return list(prompts)
+
+    def parse(raw):
+        if raw == "bad":
+            raise ValueError(raw)
+
+    rows = spark.createDataFrame([("0", "x"), ("1", "bad"), ("2", "y")], "sample_id string, prompt_text string").coalesce(1)
+    got = {r["sample_id"]: (r["status"], r["attempts"]) for r in runner.predictions(rows, predict, parse, format_retries=1).collect()}
+    assert got == {"0": ("ok", 1), "1": ("generation_error", 2), "2": ("ok", 1)}
+
+
 def test_displacement(spark):
     zero = [(0.0, 0.0)] * 50
     rows = spark.createDataFrame([(1, zero, [(1.0, 0.0)] * 50), (2, zero, [(3.0, 0.0)] * 50)], f"id int, a {POINTS}, b {POINTS}")

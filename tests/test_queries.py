@@ -27,9 +27,9 @@ def test_whole_tables_enter(spark, sf_dir):
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     count = lambda name: bindings.QUERIES[name](spark, sf_dir).count()
     events = read("events")
-    assert count("target_frame_all") == events.count() and count("prompt_records_all") == read("conversations").count()
-    assert count("history_windows_all") == events.select("user_id").distinct().count()
-    assert bindings.history_features_all(spark, sf_dir).selectExpr("sum(width)").first()[0] == 8 * events.count()
-    kinds = {r["doc_id"]: r["kind"] for r in bindings.coverage_classes_all(spark, sf_dir).collect()}
+    assert count("target_frame") == events.count() and count("prompt_records") == read("conversations").count()
+    assert count("history_windows") == events.select("user_id").distinct().count()
+    assert bindings.history_features(spark, sf_dir).selectExpr("sum(width)").first()[0] == 8 * events.count()
+    kinds = {r["doc_id"]: r["kind"] for r in bindings.coverage_classes(spark, sf_dir).collect()}
     assert {r["doc_id"] for r in read("documents").collect()} == {k for k, kind in kinds.items() if kind != "extra"}
-    assert bindings.coverage_report_all(spark, sf_dir).first()["expected"] == read("documents").count()
+    assert bindings.coverage_report(spark, sf_dir).first()["expected"] == read("documents").count()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import assert_unique
+
 
 def coverage(expected: DataFrame, attempted: DataFrame, id_col: str, valid: str) -> DataFrame:
     """Every id of either side with its class: valid, invalid, missing or extra. attempted has a boolean column `valid`."""
@@ -14,6 +16,36 @@ def coverage(expected: DataFrame, attempted: DataFrame, id_col: str, valid: str)
     return e.join(a, id_col, "full_outer").select(id_col, kind.alias("kind"))
 
 
+class CoverageError(ValueError):
+    """A strict evaluation without exactly one valid prediction per expected id."""
+
+
+def matched(references: DataFrame, predictions: DataFrame, strict: bool = True) -> DataFrame:
+    """References (sample_id, ...) with their valid predictions (sample_id, status, error, ...), prediction columns prefixed `p_`.
+
+    Ids must be unique on both sides, and references are not empty. strict: any id that is missing, failed or not expected is an error.
+    """
+    for rows in (references, predictions):
+        assert_unique(rows, "sample_id")
+    if references.isEmpty():
+        raise ValueError("no references")
+    if strict:
+        odd = problems(references, predictions).limit(5).collect()
+        if odd:
+            raise CoverageError(f"coverage is not exact: {[(r['sample_id'], r['kind'], r['reason']) for r in odd]}")
+    good = predictions.where(F.coalesce("status", F.lit("ok")) == "ok")
+    named = good.select("sample_id", *[F.col(c).alias(f"p_{c}") for c in good.columns if c != "sample_id"])
+    return references.join(named, "sample_id")
+
+
+def problems(references: DataFrame, predictions: DataFrame) -> DataFrame:
+    """(sample_id, kind, reason) of ids that are missing, invalid or extra; the reason of invalid ones is their error, or else their status."""
+    status = F.coalesce("status", F.lit("ok"))
+    a = predictions.select("sample_id", (status == "ok").alias("_ok"), F.coalesce("error", F.concat(F.lit("generation status is "), status)).alias("_reason"))
+    both = coverage(references, a, "sample_id", "_ok").where("kind <> 'valid'")
+    return both.join(a.select("sample_id", "_reason"), "sample_id", "left").select("sample_id", "kind", F.when(F.col("kind") == "invalid", F.col("_reason")).alias("reason"))
+
+
 def coverage_report(classes: DataFrame) -> DataFrame:
     """One row of counts and fractions of coverage()."""
     n = {k: F.count_if(F.col("kind") == k) for k in ("valid", "invalid", "missing", "extra")}

@@ -31,7 +31,7 @@ def scaled(rows: DataFrame, vector: str, scaler: DataFrame) -> DataFrame:
 
 
 def knn(queries: DataFrame, index: DataFrame, k: int = 4, metric: str = "euclidean", exclude_self: bool = True, exclude_group: bool = True, block: int = 4096) -> DataFrame:
-    """(query_id, rank, neighbor_id, distance): the k nearest of (id, grp, v), exact, ties to the smaller id.
+    """(query_id, rank, neighbor_id, distance): the k nearest of (id, grp, v), exact, ties to the smaller id. A null group is in no group.
 
     Both sides are packed into blocks of rows; a pair of blocks is one matrix product, and what it returns is k rows a query.
     Neither side is broadcast or held whole. Products only choose candidates, within a bound of their rounding of the k-th; the
@@ -44,7 +44,7 @@ def knn(queries: DataFrame, index: DataFrame, k: int = 4, metric: str = "euclide
     def packed(rows: DataFrame, n: int, name: str) -> DataFrame:
         def run(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
             b = b.sort_values("id", kind="stable")
-            grp = b["grp"].astype("string").fillna("").tolist()
+            grp = [g if isinstance(g, str) else None for g in b["grp"]]
             return pd.DataFrame({name: [key[0]], f"{name}_ids": [b["id"].tolist()], f"{name}_grp": [grp], f"{name}_v": [np.array(b["v"].tolist(), dtype="<f8").tobytes()]})
 
         numbered = rows.select(F.col("id").cast("long"), F.col("grp").cast("string").alias("grp"), "v").withColumn(name, F.pmod(F.xxhash64("id"), F.lit(n)))
@@ -57,7 +57,9 @@ def knn(queries: DataFrame, index: DataFrame, k: int = 4, metric: str = "euclide
             for r in b.itertuples():
                 ids, mine = np.array(r.i_ids), np.array(r.q_ids)
                 x, q = np.frombuffer(r.i_v).reshape(len(ids), -1), np.frombuffer(r.q_v).reshape(len(mine), -1)
-                groups, own = np.array(list(r.i_grp), dtype=object), np.array(list(r.q_grp), dtype=object)
+                names, both = np.unique([g or "" for g in (*r.i_grp, *r.q_grp)], return_inverse=True)
+                both[[g is None for g in (*r.i_grp, *r.q_grp)]] = -1  # rows without a group exclude none
+                groups, own = both[: len(ids)], both[len(ids) :]
                 if metric == "cosine":
                     unit = lambda m: m / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-300)
                     x, q = unit(x), unit(q)
@@ -75,26 +77,36 @@ def knn(queries: DataFrame, index: DataFrame, k: int = 4, metric: str = "euclide
                     if exclude_self:
                         d[mine[at : at + 256, None] == ids] = np.inf
                     if exclude_group:
-                        d[own[at : at + 256, None] == groups] = np.inf
+                        d[(own[at : at + 256, None] == groups) & (groups >= 0)] = np.inf
                     m = min(k, len(ids))
                     kth = np.partition(d, m - 1, axis=1)[:, m - 1]
                     kth[np.isnan(kth)] = np.inf
+                    found = []
                     for i, most in enumerate(kth + 2 * slack):
                         row = np.flatnonzero((d[i] <= most) & np.isfinite(d[i]))
                         exact = np.maximum(1 - (x[row] * part[i]).sum(1), 0) if metric == "cosine" else np.sqrt(((x[row] - part[i]) ** 2).sum(1))
                         best = np.lexsort((ids[row], exact))[:k]
-                        yield pd.DataFrame({"query_id": np.full(len(best), mine[at + i]), "neighbor_id": ids[row[best]], "distance": exact[best]})
+                        found.append((ids[row[best]], exact[best]))
+                    near, far = (np.concatenate([f[c] for f in found]) for c in (0, 1))
+                    yield pd.DataFrame({"query_id": np.repeat(mine[at : at + 256], [len(f[0]) for f in found]), "neighbor_id": near, "distance": far})
 
     hits = pairs.mapInPandas(run, "query_id long, neighbor_id long, distance double")
     order = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "neighbor_id", "distance")
 
 
-def mean_context(neighbors: DataFrame, contexts: DataFrame, inverse_distance: bool = True, eps: float = 1e-6) -> DataFrame:
-    """(query_id, pos, value): mean context of a query's neighbours, by 1 / distance or evenly. contexts: (id, context)."""
+def mean_context(neighbors: DataFrame, contexts: DataFrame, inverse_distance: bool = True, eps: float = 1e-6, queries: DataFrame | None = None, width: int = 17) -> DataFrame:
+    """(query_id, pos, value): mean context of a query's neighbours, by 1 / distance or evenly. contexts: (id, context).
+
+    queries: (query_id); those of them without neighbours have a context of `width` zeros, and without it none.
+    """
     weight = 1.0 / F.greatest("distance", F.lit(eps)) if inverse_distance else F.lit(1.0)
     j = neighbors.join(contexts.withColumnRenamed("id", "neighbor_id"), "neighbor_id").select("query_id", weight.alias("w"), F.posexplode("context").alias("pos", "x"))
-    return j.groupBy("query_id", "pos").agg(F.try_divide(F.sum(F.col("w") * F.col("x")), F.sum("w")).alias("value"))
+    means = j.groupBy("query_id", "pos").agg(F.try_divide(F.sum(F.col("w") * F.col("x")), F.sum("w")).alias("value"))
+    if queries is None:
+        return means
+    alone = queries.select("query_id").join(neighbors.select("query_id"), "query_id", "left_anti")
+    return means.unionByName(alone.select("query_id", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("pos"), F.lit(0.0).alias("value")))
 
 
 def nearest_centroid(points: DataFrame, centroids: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ def predictions(records: DataFrame, predictor: Callable[[list[str]], list[str]],
     """(sample_id, status, raw_output, error, attempts) of records (sample_id, prompt_text).
 
     A batch whose predictor fails or returns another number of outputs is a generation_error throughout; an output that the parser
-    refuses is asked for again up to format_retries times and then a parse_error. Task retries may call the predictor again, so it
+    refuses is asked for again, alone, up to format_retries times and then a parse_error; a failure while asking again concerns that record only. Task retries may call the predictor again, so it
     must bear repeats.
     """
 
@@ -44,7 +44,10 @@ def predictions(records: DataFrame, predictor: Callable[[list[str]], list[str]],
             except Exception as e:  # noqa: BLE001  a status, not a failure of the run
                 error = f"{type(e).__name__}: {e}"
                 if attempt <= format_retries:
-                    raw = call([prompt])[0]
+                    try:
+                        raw = call([prompt])[0]
+                    except Exception as e:  # noqa: BLE001  of this record only
+                        return "generation_error", raw, f"{type(e).__name__}: {e}", attempt + 1
         return "parse_error", raw, error, format_retries + 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -119,13 +119,13 @@ def ade_fde_by_horizon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").where("doc_id % 5 <> 0").select("doc_id")
+    docs = read(spark, sf_dir, "documents").select("doc_id")
     return E.coverage(docs, read(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("ok")), "doc_id", "ok")
 
 
 COVERAGE = """
 WITH k AS (SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN d.doc_id IS NULL THEN 'extra' WHEN l.doc_id IS NULL THEN 'missing' WHEN quality = 1 THEN 'valid' ELSE 'invalid' END AS kind
-  FROM (SELECT doc_id FROM documents WHERE doc_id % 5 <> 0) d FULL JOIN labels l ON d.doc_id = l.doc_id)"""
+  FROM (SELECT doc_id FROM documents) d FULL JOIN labels l ON d.doc_id = l.doc_id)"""
 
 
 @query(COVERAGE + " SELECT doc_id, kind FROM k")
@@ -228,30 +228,6 @@ def lettered_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.lettered_neighbors(d, "user_id", "fwd", "lft", "event_type", 2).select("user_id", "event_type", "letter")
 
 
-@query("WITH " + FRAMES + """,
-h AS (SELECT user_id, list(x ORDER BY t) AS xs FROM f WHERE t < 13 AND user_id % 2 = 0 GROUP BY user_id UNION ALL SELECT user_id, list(x ORDER BY t) FROM f WHERE t < 7 AND user_id % 2 = 1 GROUP BY user_id)
-SELECT user_id, list_concat(xs[1:10], CASE WHEN len(xs) < 10 THEN [0.0::DOUBLE, 0, 0] ELSE [] END) AS head, list_concat(CASE WHEN len(xs) < 10 THEN [NULL::DOUBLE, NULL, NULL] ELSE [] END, xs[-10:]) AS tail,
-  CASE WHEN len(xs) < 10 THEN [xs[1], xs[4], xs[7]] ELSE [xs[1], xs[4], xs[7], xs[10], xs[13]] END AS strided FROM h""")
-def history_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = frames(spark, sf_dir).where("t < 13 and (user_id % 2 = 0 or t < 7)")
-    h = f.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("t", "x"))).alias("a")).select("user_id", F.transform("a", lambda p: p["x"]).alias("xs"))
-    return h.select("user_id", R.head_window(F.col("xs"), 10, F.lit(0.0)).alias("head"), R.tail_window(F.col("xs"), 10).alias("tail"), R.strided(F.col("xs"), 3).alias("strided"))
-
-
-@query("WITH " + FRAMES + """,
-h AS (SELECT user_id, t, x - first_value(x) OVER w AS dx, y - first_value(y) OVER w AS dy, last_value(CASE WHEN abs(yaw) > 2 * pi() + 1e-3 THEN radians(yaw) ELSE yaw END) OVER w AS h, yaw FROM f WHERE t < 10
-  WINDOW w AS (PARTITION BY user_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
-SELECT user_id, t, round(cos(h) * dx + sin(h) * dy, 6) + 0.0::DOUBLE AS fwd, round(cos(h) * dy - sin(h) * dx, 6) + 0.0::DOUBLE AS lft,
-  0.0::DOUBLE + round(CASE WHEN yaw - h + pi() < 0 THEN yaw - h + pi() + 2 * pi() WHEN yaw - h + pi() >= 2 * pi() THEN (yaw - h + pi()) % (2 * pi()) ELSE yaw - h + pi() END - pi(), 6) AS turn FROM h""")
-def target_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = frames(spark, sf_dir).where("t < 10")
-    w = Window.partitionBy("user_id").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    h = K.heading(F.col("yaw"))
-    f = f.withColumns({"dx": F.col("x") - F.first("x").over(w), "dy": F.col("y") - F.first("y").over(w), "h": F.last(h).over(w)})
-    fwd, left = K.rotated(F.col("dx"), F.col("dy"), F.col("h"))
-    return f.select("user_id", "t", (r6(fwd) + 0.0).alias("fwd"), (r6(left) + 0.0).alias("lft"), (r6(K.wrapped(F.col("yaw") - F.col("h"))) + 0.0).alias("turn"))
-
-
 @query("WITH " + FRAMES + """
 SELECT user_id, round(coalesce(median(y + lane_u) FILTER (WHERE y + lane_u > 1.5 AND y + lane_u < 8), 3.9), 6) AS width,
   round(arg_max(y, t) - 2 * coalesce(median(y + lane_u) FILTER (WHERE y + lane_u > 1.5 AND y + lane_u < 8), 3.9), 6) AS lowest FROM f GROUP BY user_id""")
@@ -426,15 +402,15 @@ def truncated_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT conv_id || ':' || turn AS sample_id, conv_id::VARCHAR AS event_id, CASE WHEN conv_id % 4 = 0 THEN 'test' ELSE 'train' END AS source_split, 'Answer as ' || role || '.' AS system_prompt, text AS user_prompt,
-  '<s>Answer as ' || role || '.' || chr(10) || text || '</s>' AS prompt_text FROM conversations WHERE conv_id % 4 <> 0""")
+  '<s>Answer as ' || role || '.' || chr(10) || text || '</s>' AS prompt_text FROM conversations""")
 def prompt_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = read(spark, sf_dir, "conversations")
+    """Records of both splits, each row once."""
     system = F.concat(F.lit("Answer as "), "role", F.lit("."))
-    p = c.select(
-        F.concat_ws(":", "conv_id", "turn").alias("sample_id"), F.col("conv_id").cast("string").alias("event_id"), F.when(F.col("conv_id") % 4 == 0, "test").otherwise("train").alias("source_split"),
+    p = read(spark, sf_dir, "conversations").select(
+        F.concat_ws(":", "conv_id", "turn").alias("sample_id"), F.col("conv_id").cast("string").alias("event_id"), F.when(F.col("conv_id") % 4 == 0, "test").otherwise("train").alias("split"),
         system.alias("system_prompt"), F.col("text").alias("user_prompt"), F.concat(F.lit("<s>"), system, F.lit("\n"), "text", F.lit("</s>")).alias("prompt_text"),
     )
-    return J.assert_no_future(J.only_split(p.withColumnRenamed("source_split", "split"), " Train ").withColumnRenamed("split", "source_split"))
+    return J.assert_no_future(J.only_split(p, "train").unionByName(J.only_split(p, "test")).withColumnRenamed("split", "source_split"))
 
 
 @query("""
@@ -481,20 +457,6 @@ def joint_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("event_id", "r.intention", F.when(F.col("r").isNotNull(), F.array("r.features", "r.behaviors")).alias("said"), F.round(total, 2).alias("total"))
 
 
-@query("WITH " + FRAMES + """,
-h AS (SELECT user_id, list(x ORDER BY t) AS xs, list(y ORDER BY t) AS ys, list(v ORDER BY t) AS vs, list(lat_v ORDER BY t) AS ls FROM f WHERE t < 10 GROUP BY user_id)
-SELECT e.user_id, len(e.xs) * 8 AS width, round(e.xs[10] - e.xs[1], 6) AS last_dx, round(coalesce(o.xs[10] - e.xs[10], 0), 6) AS last_gap, round(coalesce(o.vs[1] - e.vs[1], 0), 6) AS first_dv FROM h e LEFT JOIN h o ON o.user_id = e.user_id + 1""")
-def history_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ego frames relative to the first one and a neighbour's relative to the ego, flat; an absent neighbour gives zeros."""
-    f = frames(spark, sf_dir).where("t < 10")
-    h = f.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("t", "x", "y", F.col("v").alias("vx"), F.col("lat_v").alias("vy")))).alias("a"))
-    j = h.join(h.select((F.col("user_id") - 1).alias("user_id"), F.col("a").alias("b")), "user_id", "left")
-    none = F.transform("a", lambda _: F.try_element_at(F.slice("b", 1, 0), F.lit(1)))
-    flat = F.flatten(F.concat(R.relative_history(F.col("a")), R.relative_history(F.col("a"), F.coalesce("b", none))))
-    at = lambda k: r6(F.element_at("v", k))
-    return j.select("user_id", flat.alias("v")).select("user_id", F.size("v").cast("long").alias("width"), at(37).alias("last_dx"), at(77).alias("last_gap"), at(43).alias("first_dv"))
-
-
 @query("WITH s AS (SELECT user_id, event_type, avg(value) AS m FROM events GROUP BY ALL) SELECT round(avg(m), 6) AS mean, count(*) AS samples FROM s")
 def repeat_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events").select(F.struct("user_id", "event_type").alias("sample"), "value")
@@ -528,14 +490,11 @@ def student_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.mlp(z, "embedding", layers).select("vec_id", F.transform("output", lambda x: F.round(x, 6)).alias("output"))
 
 
-# Queries above with a filter in their SQL keep it; those below take the same operators over all rows.
-
-
 @query("WITH " + FRAMES + """,
 h AS (SELECT user_id, list(x ORDER BY t) AS xs FROM f GROUP BY user_id),
 p AS (SELECT *, range(0, greatest(10 - len(xs), 0)) AS gap FROM h)
 SELECT user_id, list_concat(xs[1:10], list_transform(gap, lambda i: 0.0::DOUBLE)) AS head, list_concat(list_transform(gap, lambda i: NULL::DOUBLE), xs[-10:]) AS tail, list_filter(xs, lambda x, i: (i - 1) % 3 = 0 OR i = len(xs)) AS strided FROM p""")
-def history_windows_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def history_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Head, tail and stride of every user's whole history."""
     h = frames(spark, sf_dir).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("t", "x"))).alias("a")).select("user_id", F.transform("a", lambda p: p["x"]).alias("xs"))
     return h.select("user_id", R.head_window(F.col("xs"), 10, F.lit(0.0)).alias("head"), R.tail_window(F.col("xs"), 10).alias("tail"), R.strided(F.col("xs"), 3).alias("strided"))
@@ -551,7 +510,7 @@ h AS (SELECT user_id, t // 10 AS sample, t, x - first_value(x) OVER w AS dx, y -
   WINDOW w AS (PARTITION BY user_id, t // 10 ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
 SELECT user_id, sample, t, round(cos(h) * dx + sin(h) * dy, 6) + 0.0::DOUBLE AS fwd, round(cos(h) * dy - sin(h) * dx, 6) + 0.0::DOUBLE AS lft,
   0.0::DOUBLE + round(yaw - h + pi() - 2 * pi() * floor((yaw - h + pi()) / (2 * pi())) - pi(), 6) AS turn FROM h""")
-def target_frame_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def target_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("user_id", "sample").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     h = K.heading(F.col("yaw"))
     f = _samples(spark, sf_dir).withColumns({"dx": F.col("x") - F.first("x").over(w), "dy": F.col("y") - F.first("y").over(w), "h": F.last(h).over(w)})
@@ -563,8 +522,8 @@ def target_frame_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 h AS (SELECT user_id, t // 10 AS sample, count(*) AS n, list(x ORDER BY t) AS xs, list(v ORDER BY t) AS vs FROM f GROUP BY ALL)
 SELECT e.user_id, e.sample, e.n * 8 AS width, round(e.xs[e.n] - e.xs[1], 6) AS last_dx, round(coalesce(o.xs[e.n] - e.xs[e.n], 0), 6) AS last_gap, round(coalesce(o.vs[1] - e.vs[1], 0), 6) AS first_dv
 FROM h e LEFT JOIN h o ON o.user_id = e.user_id + 1 AND o.sample = e.sample""")
-def history_features_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """history_features of every sample; frames that the neighbour's sample lacks give zeros."""
+def history_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ego frames of a sample relative to its first one and a neighbour's relative to the ego, flat; frames that the neighbour's sample lacks give zeros."""
     h = _samples(spark, sf_dir).groupBy("user_id", "sample").agg(F.array_sort(F.collect_list(F.struct("t", "x", "y", F.col("v").alias("vx"), F.col("lat_v").alias("vy")))).alias("a"))
     j = h.join(h.select((F.col("user_id") - 1).alias("user_id"), "sample", F.col("a").alias("b")), ["user_id", "sample"], "left")
     other = F.transform("a", lambda _, i: F.get("b", i))
@@ -572,32 +531,3 @@ def history_features_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = lambda k: r6(F.element_at("v", k))
     d = j.select("user_id", "sample", F.size("a").alias("n"), flat.alias("v"))
     return d.select("user_id", "sample", F.size("v").cast("long").alias("width"), at(F.col("n") * 4 - 3).alias("last_dx"), at(F.col("n") * 8 - 3).alias("last_gap"), at(F.col("n") * 4 + 3).alias("first_dv"))
-
-
-def _coverage_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = read(spark, sf_dir, "documents").select("doc_id"), read(spark, sf_dir, "labels")
-    return E.coverage(docs, labels.select("doc_id", (F.col("quality") == 1).alias("ok")), "doc_id", "ok")
-
-
-COVERAGE_ALL = COVERAGE.replace(" WHERE doc_id % 5 <> 0", "")
-
-
-@query(COVERAGE_ALL + " SELECT doc_id, kind FROM k")
-def coverage_classes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _coverage_all(spark, sf_dir)
-
-
-@query(SQL["coverage_report"].replace(COVERAGE, COVERAGE_ALL))
-def coverage_report_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.coverage_report(_coverage_all(spark, sf_dir))
-
-
-@query(SQL["prompt_records"].replace(" WHERE conv_id % 4 <> 0", ""))
-def prompt_records_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records of both splits, each row once."""
-    system = F.concat(F.lit("Answer as "), "role", F.lit("."))
-    p = read(spark, sf_dir, "conversations").select(
-        F.concat_ws(":", "conv_id", "turn").alias("sample_id"), F.col("conv_id").cast("string").alias("event_id"), F.when(F.col("conv_id") % 4 == 0, "test").otherwise("train").alias("split"),
-        system.alias("system_prompt"), F.col("text").alias("user_prompt"), F.concat(F.lit("<s>"), system, F.lit("\n"), "text", F.lit("</s>")).alias("prompt_text"),
-    )
-    return J.assert_no_future(J.only_split(p, "train").unionByName(J.only_split(p, "test")).withColumnRenamed("split", "source_split"))
