@@ -29,7 +29,8 @@ def test_whole_tables_enter(spark, sf_dir):
     events = read("events")
     assert count("target_frame") == events.count() and count("prompt_records") == read("conversations").count()
     assert count("history_windows") == events.select("user_id").distinct().count()
-    assert bindings.history_features(spark, sf_dir).selectExpr("sum(width)").first()[0] == 8 * events.count()
+    assert bindings.history_features(spark, sf_dir).selectExpr("sum(size(vector))").first()[0] == 16 * events.count()
+    assert count("adapted_samples") == count("history_features")
     kinds = {r["doc_id"]: r["kind"] for r in bindings.coverage_classes(spark, sf_dir).collect()}
     assert {r["doc_id"] for r in read("documents").collect()} == {k for k, kind in kinds.items() if kind != "extra"}
     assert bindings.coverage_report(spark, sf_dir).first()["expected"] == read("documents").count()

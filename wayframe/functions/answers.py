@@ -18,6 +18,10 @@ INTENTIONS = ("Keep lane", "Left lane change", "Right lane change")
 #: Decision fields that a strategy vector takes as numbers.
 NUMBERS = ("aggressiveness", "risk_tolerance", "lateral_intent", "longitudinal_intent", "confidence", "stability_level")
 
+#: Gaps that a decision may name, with their numbers, and the strategies that stand for none.
+GAPS = {"GAP1": 0, "GAP2": 1, "EITHER": 2}
+NO_MERGE, NO_SETTLING = "MAINTAIN_AND_OBSERVE", "MAINTAIN_STABLE"
+
 
 def let(value: Column, body) -> Column:
     """body(value) with value computed once per row, however often the body reads it."""
@@ -225,3 +229,38 @@ def training_pair(prompt: Column, answer: Column, end: int, longest: int, ignore
     cut = F.when(F.size(prompt) <= room, prompt).otherwise(F.concat(F.slice(prompt, 1, head), F.slice(prompt, F.size(prompt) - (room - head) + 1, room - head)))
     tail = F.concat(answer, F.array(F.lit(end)))
     return F.struct(F.concat(cut, tail).alias("input_ids"), F.concat(F.array_repeat(F.lit(ignored), F.size(cut)), tail).alias("labels"))
+
+
+def decision_labels(text: Column) -> Column:
+    """Struct of the labels that a decision's JSON gives to a model, with defaults where a field is absent, null or of another kind.
+
+    In RELAXATION strategies are numbered among those of settling and there is no gap (-1, N/A); else among those of merging. Strategies and
+    gaps that are unknown have the number of the default. Null for a text that is no JSON object.
+    """
+
+    def make(v: Column) -> Column:
+        word = lambda *path: field(v, *path, kind="string")
+        number = lambda section, key, default: F.coalesce(field(v, section, key, kind="double"), F.lit(default))
+        phase = F.upper(F.coalesce(word("phase"), F.lit("ANTICIPATION")))
+        settled = phase == "RELAXATION"
+        name = F.upper(F.coalesce(word("decision", "primary_strategy"), F.when(settled, NO_SETTLING).otherwise(NO_MERGE)))
+        gap = F.when(settled, "N/A").otherwise(F.coalesce(word("decision", "target_gap"), F.lit("EITHER")))
+
+        def place(names: tuple[str, ...], default: str) -> Column:
+            return F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, names)), name), F.lit(0)) - 1, F.lit(names.index(default)))
+
+        gap_id = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in GAPS.items() for x in kv]), F.upper(gap)), F.lit(GAPS["EITHER"]))
+        merging = lambda c: F.when(~settled, c)
+        out = F.struct(
+            phase.alias("phase"), name.alias("strategy"), F.when(settled, place(X.STRATEGIES[6:], NO_SETTLING)).otherwise(place(X.STRATEGIES[:6], NO_MERGE)).cast("int").alias("strategy_id"),
+            gap.alias("gap"), F.when(settled, -1).otherwise(gap_id).alias("gap_id"), X.speed_change(word("prediction_guidance", "expected_speed_change")).alias("speed_change"),
+            number("decision", "lateral_intent", 0.0).alias("lateral_intent"), number("decision", "longitudinal_intent", 0.0).alias("longitudinal_intent"), number("decision", "confidence", 0.5).alias("confidence"),
+            F.coalesce(word("prediction_guidance", "expected_lateral_displacement_3s"), F.lit("0")).alias("lateral_displacement"), F.coalesce(word("prediction_guidance", "key_interaction"), F.lit("None")).alias("key_interaction"),
+            F.when(settled, number("decision", "stability_level", 0.5)).alias("stability_level"), F.when(settled, F.coalesce(word("prediction_guidance", "target_speed"), F.lit("N/A"))).alias("target_speed"),
+            F.when(settled, F.coalesce(word("prediction_guidance", "time_to_full_stability"), F.lit("3s"))).alias("time_to_stability"),
+            merging(number("decision", "aggressiveness", 0.5)).alias("aggressiveness"), merging(number("decision", "risk_tolerance", 0.5)).alias("risk_tolerance"),
+            merging(number("prediction_guidance", "gap_switch_probability", 0.0)).alias("gap_switch"), merging(number("prediction_guidance", "lane_change_completion_probability", 0.5)).alias("completion"),
+        )
+        return F.when(F.schema_of_variant(v).startswith("OBJECT"), out)
+
+    return let(F.try_parse_json(text), make)

@@ -60,6 +60,23 @@ def side_class(gap: Column, ahead: Column) -> Column:
     return F.when(gap < -1.0, "side_by_side").when(ahead, "ahead").otherwise("behind")
 
 
+def side_flags(gap: Column, ahead: Column) -> Column:
+    """Struct of the place of a target-lane neighbour (null for none) and whether the ego is in front of it or beside it."""
+    side = F.when(gap.isNotNull(), side_class(gap, ahead))
+    return F.struct(side.alias("position"), F.coalesce(side != "ahead", F.lit(False)).alias("advantage"))
+
+
+def drift(lane_u: Column, lat_v: Column) -> Column:
+    """Sideways progress: by the distance to the lane's boundary where it is known, else by the lateral speed."""
+    by_u = F.when(lane_u < 0.5, "at_boundary").when(lane_u < 1.0, "nearing").otherwise("centered")
+    return F.when(lane_u.isNotNull(), by_u).otherwise(F.when(lat_v > 0.2, "toward").when(lat_v < -0.2, "away").otherwise("steady"))
+
+
+def pointing(yaw: Column) -> Column:
+    """Where the heading points."""
+    return F.when(yaw > 0.03, "toward").when(yaw < -0.03, "away").otherwise("aligned")
+
+
 def progress(phase: Column, lane_u: Column, lat_v: Column) -> Column:
     """Lane-change progress in the first phase, from the distance to the boundary or else the lateral speed."""
     by_u = F.when(lane_u <= 0.3, 0.9).when(lane_u <= 0.5, 0.7).when(lane_u <= 0.8, 0.4).when(lane_u <= 1.2, 0.2).otherwise(0.1)

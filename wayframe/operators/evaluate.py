@@ -107,3 +107,10 @@ def masked_ade(truth: Column, predicted: Column, mask: Column) -> Column:
     d = F.zip_with(truth, predicted, lambda a, b: F.sqrt((a["x"] - b["x"]) ** 2 + (a["y"] - b["y"]) ** 2))
     total = F.aggregate(F.zip_with(d, mask, lambda x, m: F.when(m, x).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x)
     return total / F.greatest(F.size(F.filter(mask, lambda m: m)), F.lit(1))
+
+
+def masked_last(truth: Column, predicted: Column, mask: Column) -> Column:
+    """Distance at the step whose place is the number of valid steps less one, as the metric is defined; null where none is valid."""
+    n = F.size(F.filter(mask, lambda m: m))
+    a, b = F.get(truth, n - 1), F.get(predicted, n - 1)
+    return F.when(n > 0, F.sqrt((a["x"] - b["x"]) ** 2 + (a["y"] - b["y"]) ** 2))

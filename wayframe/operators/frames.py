@@ -45,13 +45,6 @@ def aligned(a: Column, b: Column, atol: float = 1e-3) -> Column:
     return (F.size(a) == F.size(b)) & F.forall(near, lambda ok: F.coalesce(ok, F.lit(False)))
 
 
-def relative_history(ego: Column, other: Column | None = None) -> Column:
-    """Ego frames relative to its first one, or a neighbour's relative to the ego frame by frame; speeds stay."""
-    if other is None:
-        return F.transform(ego, lambda r: F.array(r["x"] - F.get(ego, F.lit(0))["x"], r["y"] - F.get(ego, F.lit(0))["y"], r["vx"], r["vy"]))
-    return F.zip_with(ego, other, lambda e, o: F.when(o.isNull(), F.array(*[F.lit(0.0)] * 4)).otherwise(F.array(o["x"] - e["x"], o["y"] - e["y"], o["vx"] - e["vx"], o["vy"] - e["vy"])))
-
-
 def in_target_frame(points: Column, origin: Column, yaw: Column) -> Column:
     """Points (x, y) seen from origin, rotated by its heading."""
 

@@ -138,6 +138,27 @@ def lloyd(points: DataFrame, start: DataFrame, rounds: int = 10, tolerance: floa
     return spark.createDataFrame(now, "cluster int, x double, y double")
 
 
+def inertia(points: DataFrame, centroids: DataFrame) -> float:
+    """Sum of the squared distances of points to their nearest centroids."""
+    return nearest_centroid(points, centroids).agg(F.sum("d2")).first()[0] or 0.0
+
+
+def anchors(points: DataFrame, k: int = 64, starts: int = 10, rounds: int = 300, seed: int = 0, tolerance: float = 1e-4) -> tuple[DataFrame, float]:
+    """The centroids of the smallest inertia of several k-means++ starts, the earlier start on ties, and that inertia.
+
+    Fewer than k distinct points are an error.
+    """
+    if points.select("x", "y").distinct().limit(k).count() < k:
+        raise ValueError(f"fewer than {k} distinct points")
+    best = None
+    for n in range(starts):
+        found = lloyd(points, seeds(points, k, seed + n), rounds, tolerance)
+        cost = inertia(points, found)
+        if best is None or cost < best[1]:
+            best = found, cost
+    return best
+
+
 def seeds(points: DataFrame, k: int, seed: int = 0) -> DataFrame:
     """k-means++ starts: each next one with chance by its squared distance to the nearest so far, as the largest of random keys."""
     spark = points.sparkSession

@@ -19,6 +19,7 @@ from ..operators import joins as J
 from ..operators import models
 from ..operators import retrieval as N
 from ..operators import runner
+from ..operators import samples as S
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -518,16 +519,153 @@ def target_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("user_id", "sample", "t", (r6(fwd) + 0.0).alias("fwd"), (r6(left) + 0.0).alias("lft"), (r6(K.wrapped(F.col("yaw") - F.col("h"))) + 0.0).alias("turn"))
 
 
-@query("WITH " + FRAMES + """,
-h AS (SELECT user_id, t // 10 AS sample, count(*) AS n, list(x ORDER BY t) AS xs, list(v ORDER BY t) AS vs FROM f GROUP BY ALL)
-SELECT e.user_id, e.sample, e.n * 8 AS width, round(e.xs[e.n] - e.xs[1], 6) AS last_dx, round(coalesce(o.xs[e.n] - e.xs[e.n], 0), 6) AS last_gap, round(coalesce(o.vs[1] - e.vs[1], 0), 6) AS first_dv
-FROM h e LEFT JOIN h o ON o.user_id = e.user_id + 1 AND o.sample = e.sample""")
+#: Samples of up to ten frames as lists: x, y, v, lateral speed, acceleration, yaw and lane_u.
+HISTORIES = "WITH " + FRAMES + """,
+h AS (SELECT user_id, t // 10 AS sample, count(*) AS n, list(x ORDER BY t) AS xs, list(y ORDER BY t) AS ys, list(v ORDER BY t) AS vs, list(lat_v ORDER BY t) AS ls, list(acc ORDER BY t) AS cs, list(yaw ORDER BY t) AS hs,
+        list(lane_u ORDER BY t) AS us FROM f GROUP BY ALL)"""
+
+
+def raw_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples in the columns of S.RAW, with user_id and sample: the six users that follow are the neighbours, a user's next sample the future.
+
+    Each sample goes to the users that it is a neighbour of, so a group holds seven samples at most.
+    """
+    row = F.struct("t", "x", "y", "v", "lat_v", "acc", "yaw", "lane_u")
+    h = _samples(spark, sf_dir).groupBy("user_id", "sample").agg(F.array_sort(F.collect_list(row)).alias("a"))
+    h = h.withColumn("next", F.lead("a").over(Window.partitionBy("user_id").orderBy("sample")))
+    sent = h.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(len(S.ROLES))))).select((F.col("user_id") - F.col("k")).alias("user_id"), "sample", "k", "a", F.when(F.col("k") == 0, F.col("next")).alias("next"))
+    of = lambda k: F.max_by("a", F.when(F.col("k") == k, 1))
+    met = sent.groupBy("user_id", "sample").agg(*[of(k).alias(f"a{k}") for k in range(len(S.ROLES) + 1)], F.max_by("next", F.when(F.col("k") == 0, 1)).alias("next")).where("a0 is not null")
+    zero, uid = F.lit(0.0), F.col("user_id").cast("double")
+    near = lambda k: F.transform(f"a{k}", lambda r: F.array(uid + k, F.lit(1.0), r["x"], r["y"], r["v"], r["lat_v"], r["acc"], r["yaw"]))
+    ego = F.transform("a0", lambda r: F.array(uid, F.lit(1.0), r["t"].cast("double"), r["x"], r["y"], r["y"], r["lane_u"], *[zero] * 8, r["lat_v"], r["v"], r["acc"], r["yaw"]))
+    return met.select(
+        "user_id", "sample", uid.alias("scenario_id"), F.col("sample").cast("double").alias("traj_id"), (uid % 4).alias("lane_status"), F.col("sample").cast("double").alias("time_since_crossing"),
+        F.transform("a0", lambda r: F.array(r["x"], r["y"], r["v"], r["lat_v"], r["acc"], r["yaw"])).alias("x_hist"), F.struct(ego.alias("ego"), *[near(k).alias(r) for k, r in enumerate(S.ROLES, 1)]).alias("ctx"),
+        F.transform("next", lambda r: F.array(r["x"], r["y"])).alias("y_future"),
+    )
+
+
+def rounded(a):
+    """Numbers of six places, without a negative zero."""
+    return F.transform(a, lambda x: F.round(x, 6) + 0.0)
+
+
+@query(HISTORIES + """,
+m AS (SELECT user_id, sample, n, (user_id % 4)::INTEGER AS status, i, a, CASE WHEN a = 0 THEN NULL ELSE a + CASE WHEN user_id % 4 = 2 THEN 3 ELSE 0 END END AS off,
+        xs, ys, vs, ls FROM h, (SELECT unnest(range(1, 11)) AS i) r, (SELECT unnest(range(0, 4)) AS a) k WHERE i <= n),
+j AS (SELECT m.*, o.n AS o_n, o.xs AS ox, o.ys AS oy, o.vs AS ov, o.ls AS ol,
+        coalesce(len(list_filter(list_concat(o.xs[1:m.n], o.ys[1:m.n]), lambda x: abs(x) > 1e-6)) > 0, false) AS present FROM m LEFT JOIN h o ON o.user_id = m.user_id + m.off AND o.sample = m.sample),
+w AS (SELECT user_id, sample, i, a, CASE WHEN a = 0 THEN [xs[i] - xs[1], ys[i] - ys[1], vs[i], ls[i]] WHEN NOT present THEN [0.0::DOUBLE, 0, 0, 0]
+        ELSE [coalesce(ox[i], 0) - xs[i], coalesce(oy[i], 0) - ys[i], coalesce(ov[i], 0), coalesce(ol[i], 0)] END AS v FROM j)
+SELECT user_id, sample, list_transform(flatten(list(v ORDER BY i, a)), lambda x: round(x, 6) + 0.0::DOUBLE) AS vector FROM w GROUP BY ALL""")
 def history_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ego frames of a sample relative to its first one and a neighbour's relative to the ego, flat; frames that the neighbour's sample lacks give zeros."""
-    h = _samples(spark, sf_dir).groupBy("user_id", "sample").agg(F.array_sort(F.collect_list(F.struct("t", "x", "y", F.col("v").alias("vx"), F.col("lat_v").alias("vy")))).alias("a"))
-    j = h.join(h.select((F.col("user_id") - 1).alias("user_id"), "sample", F.col("a").alias("b")), ["user_id", "sample"], "left")
-    other = F.transform("a", lambda _, i: F.get("b", i))
-    flat = F.flatten(F.concat(R.relative_history(F.col("a")), R.relative_history(F.col("a"), other)))
-    at = lambda k: r6(F.element_at("v", k))
-    d = j.select("user_id", "sample", F.size("a").alias("n"), flat.alias("v"))
-    return d.select("user_id", "sample", F.size("v").cast("long").alias("width"), at(F.col("n") * 4 - 3).alias("last_dx"), at(F.col("n") * 8 - 3).alias("last_gap"), at(F.col("n") * 4 + 3).alias("first_dv"))
+    """The flat vector of a sample's ego and the three neighbours that its phase chooses, 160 numbers where it has ten frames."""
+    ego = S.named(F.col("ctx.ego"), S.EGO)
+    others = F.array(*[S.named(F.coalesce(F.col(f"ctx.{r}"), F.array().cast(S.MATRIX)), S.NEIGHBOR) for r in S.ROLES])
+    d = raw_samples(spark, sf_dir).select("user_id", "sample", ego.alias("ego"), S.by_phase(F.col("lane_status"), others).alias("others"))
+    return d.select("user_id", "sample", rounded(S.history_vector(F.col("ego"), F.col("others"))).alias("vector"))
+
+
+@query(HISTORIES + """,
+c AS (SELECT h.user_id, h.sample, list(coalesce(o.n, 0)::INTEGER ORDER BY a) AS valid FROM h CROSS JOIN (SELECT unnest(range(1, 7)) AS a) k LEFT JOIN h o ON o.user_id = h.user_id + a AND o.sample = h.sample GROUP BY ALL)
+SELECT h.user_id, h.sample, h.user_id || ':' || h.sample || ':' || CASE WHEN h.n < 10 THEN '' ELSE (h.sample * 10 + 9)::VARCHAR END AS sample_id, h.user_id::VARCHAR AS event_id, valid,
+  CASE WHEN h.n < 10 THEN 'x_hist has too few rows' WHEN h.user_id % 4 = 3 THEN 'lane_status is not allowed' WHEN f.n <> 10 THEN 'y_future has another number of rows' END AS error
+FROM h JOIN c USING (user_id, sample) LEFT JOIN h f ON f.user_id = h.user_id AND f.sample = h.sample + 1""")
+def adapted_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sample with its key, the frames in which each neighbour is valid, and the first rule that it breaks."""
+    a = S.adapted(raw_samples(spark, sf_dir), statuses=(0, 1, 2), future_rows=10)
+    return a.select("user_id", "sample", "sample_id", "event_id", F.transform("neighbors", lambda n: F.size(F.filter(n, lambda r: r["valid"]))).alias("valid"), "error")
+
+
+def good_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.split_by_error(S.adapted(raw_samples(spark, sf_dir)))[0]
+
+
+@query(HISTORIES + """,
+e AS (SELECT * FROM h WHERE n = 10),
+p AS (SELECT e.user_id, e.sample, a, i, e.xs[10] AS x0, e.ys[10] AS y0, e.hs[10] AS w, o.n IS NOT NULL AND i > 10 - o.n AS ok, o.xs[i - 10 + o.n] AS x, o.ys[i - 10 + o.n] AS y, o.vs[i - 10 + o.n] AS v,
+        o.ls[i - 10 + o.n] AS l, o.cs[i - 10 + o.n] AS c, o.hs[i - 10 + o.n] - e.hs[10] AS d
+      FROM e CROSS JOIN (SELECT unnest(range(0, 7)) AS a) k CROSS JOIN (SELECT unnest(range(1, 11)) AS i) r LEFT JOIN h o ON o.user_id = e.user_id + a AND o.sample = e.sample),
+g AS (SELECT user_id, sample, flatten(list(CASE WHEN ok THEN [cos(w) * (x - x0) + sin(w) * (y - y0), cos(w) * (y - y0) - sin(w) * (x - x0), cos(w) * v + sin(w) * l, cos(w) * l - sin(w) * v, c, sin(d), cos(d)]
+        ELSE [0.0::DOUBLE, 0, 0, 0, 0, 0, 0] END ORDER BY a, i)) AS agents, list(CASE WHEN ok THEN 1.0::DOUBLE ELSE 0 END ORDER BY a, i) AS mask FROM p GROUP BY ALL),
+b AS (SELECT user_id, sample, coalesce(list_median(list_filter(list_transform(range(1, 11), lambda i: ys[i] + us[i]), lambda x: x > 1.5 AND x < 8)), 3.9::DOUBLE) AS wide, ys[10] AS up, us[10] AS low FROM e),
+q AS (SELECT user_id, sample, wide, CASE WHEN up > 0 THEN up ELSE wide / 2 END AS up, CASE WHEN low > 0 THEN low ELSE wide / 2 END AS low FROM b),
+l AS (SELECT user_id, sample, flatten(list_transform(list_sort([-up, low, -up - wide, low + wide]), lambda y: flatten(list_transform(range(0, 20), lambda i: [-35 + i * 90.0::DOUBLE / 19, y])))) AS lines FROM q)
+SELECT user_id, sample, list_transform(list_concat(list_concat(agents, mask), list_concat(lines, list_transform(range(0, 80), lambda i: 1.0::DOUBLE))), lambda x: round(x, 6) + 0.0::DOUBLE) AS vector FROM g JOIN l USING (user_id, sample)""")
+def retrieval_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 800 numbers of every sample with ten frames: agents, their mask, lane lines and the mask of these."""
+    return good_samples(spark, sf_dir).select("user_id", "sample", rounded(S.retrieval_vector(F.col("history"), F.col("ego"), F.col("neighbors"))).alias("vector"))
+
+
+@query(HISTORIES + """,
+e AS (SELECT h.user_id, h.sample, h.xs[1] AS x1, h.ys[1] AS y1, h.xs[10] AS x0, h.ys[10] AS y0, h.hs[10] AS w, f.n, f.xs, f.ys FROM h JOIN h f ON f.user_id = h.user_id AND f.sample = h.sample + 1 WHERE h.n = 10)
+SELECT user_id, sample, CASE WHEN n = 10 THEN flatten(list_transform(range(1, 11), lambda i: [round(xs[i] - x1, 6) + 0.0::DOUBLE, round(ys[i] - y1, 6) + 0.0::DOUBLE])) END AS target,
+  flatten(list_transform(range(1, 13), lambda i: CASE WHEN i <= n THEN [round(cos(w) * (xs[i] - x0) + sin(w) * (ys[i] - y0), 6) + 0.0::DOUBLE, round(cos(w) * (ys[i] - y0) - sin(w) * (xs[i] - x0), 6) + 0.0::DOUBLE] ELSE [0.0::DOUBLE, 0] END)) AS local, n::INTEGER AS valid FROM e""")
+def future_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Futures of samples: from the first place of the history, and twelve points in the frame of the last one."""
+    g = good_samples(spark, sf_dir).where("future is not null")
+    d = g.select("user_id", "sample", S.target_vector(F.col("future"), F.col("ego"), 10).alias("t"), S.local_future(F.col("future"), F.col("history"), 12).alias("l"))
+    return d.select(
+        "user_id", "sample", rounded(F.col("t")).alias("target"), rounded(F.flatten(F.transform("l", lambda p: F.array(p["fwd"], p["left"])))).alias("local"), F.size(F.filter("l", lambda p: p["valid"])).alias("valid"),
+    )
+
+
+@query(HISTORIES + """,
+e AS (SELECT user_id, sample, xs[10] AS x0, ys[10] AS y0, vs[10] AS v0, ls[10] AS l0, cs[10] AS c0, CASE WHEN abs(hs[10]) > 2 * pi() + 1e-3 THEN radians(hs[10]) ELSE hs[10] END AS w FROM h WHERE n = 10),
+z AS (SELECT *, cos(w) * v0 + sin(w) * l0 AS fwd, (cos(w) * l0 - sin(w) * v0) * 3.6 AS side FROM e),
+o AS (SELECT z.user_id, z.sample, a AS agent, cos(w) * (xs[n] - x0) + sin(w) * (ys[n] - y0) AS away, (cos(w) * vs[n] + sin(w) * ls[n] - fwd) * 3.6 AS slower FROM z CROSS JOIN (SELECT unnest(range(1, 7)) AS a) k JOIN h ON h.user_id = z.user_id + a AND h.sample = z.sample),
+s AS (SELECT user_id, sample, 0 AS agent, 0 AS part, CASE WHEN side > 0 THEN 'moves_left' ELSE 'moves_right' END AS what, abs(side) AS value FROM z WHERE abs(side) > 1.5
+  UNION ALL SELECT user_id, sample, 0, 1, CASE WHEN c0 > 0 THEN 'accelerates' ELSE 'brakes' END, c0 FROM z WHERE abs(c0) > 0.5
+  UNION ALL SELECT user_id, sample, agent, 2, CASE WHEN away >= 0 AND slower < -2 THEN 'slower_ahead' WHEN away >= 0 THEN 'ahead' ELSE 'behind' END, CASE WHEN away >= 0 AND slower < -2 THEN abs(slower) ELSE abs(away) END
+    FROM o WHERE abs(away) <= 100 AND (abs(away) < 40 OR (away >= 0 AND slower < -2))),
+l AS (SELECT user_id, sample, list({'what': what, 'agent': agent::INTEGER, 'value': value} ORDER BY agent, part)[1:4] AS found FROM s GROUP BY ALL)
+SELECT user_id, sample, coalesce(list_transform(found, lambda s: s.what), ['steady']) AS what, coalesce(list_transform(found, lambda s: s.agent), [0::INTEGER]) AS agent, coalesce(list_transform(found, lambda s: round(s.value, 4)), [0.0::DOUBLE]) AS value
+FROM z LEFT JOIN l USING (user_id, sample)""")
+def notable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = good_samples(spark, sf_dir).select("user_id", "sample", S.notable(F.col("history"), F.col("neighbors")).alias("s"))
+    part = lambda k: F.transform("s", lambda s: s[k])
+    return d.select("user_id", "sample", part("what").alias("what"), part("agent").alias("agent"), F.transform("s", lambda s: F.round(s["value"], 4)).alias("value"))
+
+
+@query("WITH " + ENDS + """
+SELECT user_id, event_type, CASE WHEN lane_u < 0.5 THEN 'at_boundary' WHEN lane_u < 1 THEN 'nearing' ELSE 'centered' END AS drift, CASE WHEN lat_v > 0.2 THEN 'toward' WHEN lat_v < -0.2 THEN 'away' ELSE 'steady' END AS other_drift,
+  CASE WHEN yaw - 2.5 > 0.03 THEN 'toward' WHEN yaw - 2.5 < -0.03 THEN 'away' ELSE 'aligned' END AS pointing, CASE WHEN y - 1 < -1 THEN 'side_by_side' WHEN acc > 0 THEN 'ahead' ELSE 'behind' END AS position, y - 1 < -1 OR acc <= 0 AS advantage FROM g""")
+def place_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = ends(spark, sf_dir).select("user_id", "event_type", "last.*")
+    side = K.side_flags(F.col("y") - 1, F.col("acc") > 0)
+    nowhere = F.lit(None).cast("double")
+    return g.select(
+        "user_id", "event_type", K.drift(F.col("lane_u"), F.col("lat_v")).alias("drift"), K.drift(nowhere, F.col("lat_v")).alias("other_drift"), K.pointing(F.col("yaw") - 2.5).alias("pointing"),
+        side["position"].alias("position"), side["advantage"].alias("advantage"),
+    )
+
+
+@query("""
+WITH v AS (SELECT event_id, event_type, round(value, 4) AS x, event_id % 3 = 0 AS settled, event_id % 5 = 0 AS bare FROM events)
+SELECT event_id, CASE WHEN settled THEN 'RELAXATION' ELSE 'ANTICIPATION' END AS phase, CASE WHEN bare THEN CASE WHEN settled THEN 'MAINTAIN_STABLE' ELSE 'MAINTAIN_AND_OBSERVE' END WHEN event_type = 'click' THEN 'SPEED_MATCH' ELSE 'PROBING_APPROACH' END AS strategy,
+  CASE WHEN bare THEN CASE WHEN settled THEN 3 ELSE 4 END WHEN event_type = 'click' THEN CASE WHEN settled THEN 2 ELSE 4 END WHEN settled THEN 3 ELSE 1 END::INTEGER AS strategy_id,
+  CASE WHEN settled THEN -1 WHEN bare THEN 2 ELSE 1 END::INTEGER AS gap_id, CASE WHEN bare THEN 0.5 ELSE x END AS confidence, CASE WHEN settled THEN NULL WHEN bare THEN 0.5 ELSE x END AS aggressiveness, CASE WHEN bare THEN 'KEEP' ELSE 'ACCEL' END AS speed_change FROM v""")
+def decision_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of decisions in JSON; every fifth has a phase only, so its labels are defaults."""
+    bare, settled = F.col("event_id") % 5 == 0, F.col("event_id") % 3 == 0
+    full = F.when(~bare, F.struct(F.when(F.col("event_type") == "click", "speed_match").otherwise("Probing_Approach").alias("primary_strategy"), F.lit("gap2").alias("target_gap"), F.round("value", 4).alias("confidence"), F.round("value", 4).alias("aggressiveness")))
+    text = F.to_json(F.struct(F.when(settled, "relaxation").alias("phase"), full.alias("decision"), F.when(~bare, F.struct(F.lit("speed up").alias("expected_speed_change"))).alias("prediction_guidance")))
+    d = read(spark, sf_dir, "events").select("event_id", A.decision_labels(text).alias("d")).select("event_id", "d.*")
+    return d.select("event_id", "phase", "strategy", "strategy_id", "gap_id", "confidence", "aggressiveness", "speed_change")
+
+
+@query("SELECT doc_id FROM documents ORDER BY sha256('3:' || doc_id), doc_id LIMIT 50")
+def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fifty random documents; the same ones however the table is partitioned."""
+    return S.sampled(read(spark, sf_dir, "documents").select("doc_id"), 50, "doc_id", 3)
+
+
+@query("""
+WITH t AS (SELECT a.vec_id, list_transform(range(1, 33), lambda i: sqrt((a.embedding[2 * i - 1]::DOUBLE - b.embedding[2 * i - 1]::DOUBLE) ** 2 + (a.embedding[2 * i]::DOUBLE - b.embedding[2 * i]::DOUBLE) ** 2)) AS d,
+  len(list_filter(a.embedding[1:64:2], lambda x: x > 0)) AS n FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
+SELECT vec_id, CASE WHEN n > 0 THEN round(d[n], 6) END AS fde FROM t""")
+def masked_last_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "embeddings").select("vec_id", points("embedding").alias("p"))
+    j = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("p").alias("q")), "vec_id")
+    return j.select("vec_id", r6(E.masked_last(F.col("p"), F.col("q"), F.transform("p", lambda x: x["x"] > 0))).alias("fde"))

@@ -82,3 +82,46 @@ def load_artifact(spark: SparkSession, path: str, version: int = 1) -> DataFrame
     if not rows.where(f"_version <> {version} or _split <> 'train'").isEmpty():
         raise ValueError("artifact of another version, or not fitted on train")
     return rows.drop("_version", "_split")
+
+
+def write_vectors(answers: DataFrame, folder: str, width: int = 30) -> None:
+    """Answers (sample_id, vector, error, ...) as vectors, meta and dead letters: tables `vectors` and `errors`, lines of `meta`.
+
+    A vector of another width or with a number that is not finite is a dead letter too. Missing texts of meta are empty.
+    """
+    bad = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    reason = F.coalesce("error", F.when(F.col("vector").isNull() | (F.size("vector") != width), "width").when(bad, "not finite"))
+    rows = answers.withColumn("error", reason)
+    good = rows.where("error is null")
+    meta = [f.name for f in answers.schema.fields if isinstance(f.dataType, (T.StringType, T.NumericType, T.BooleanType)) and f.name != "error"]
+    good.select("sample_id", "vector").write.parquet(f"{folder}/vectors")
+    good.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in meta]).write.option("header", True).option("emptyValue", "").csv(f"{folder}/meta")
+    rows.where("error is not null").select(*meta, "error").write.json(f"{folder}/errors")
+
+
+def read_vectors(spark: SparkSession, path: str, order: str | None = None) -> DataFrame:
+    """(sample_id, vector), one row per sample: of repeats the one of the largest `order`, and without it any repeat is an error."""
+    from ..operators.joins import assert_unique
+
+    rows = spark.read.parquet(path)
+    if order is None:
+        return assert_unique(rows, "sample_id").select("sample_id", "vector")
+    return rows.groupBy("sample_id").agg(F.max_by("vector", order).alias("vector"))
+
+
+def append_history(metrics: DataFrame, path: str) -> None:
+    """Add rows of metrics, as of an epoch, to the lines at path."""
+    metrics.write.mode("append").json(path)
+
+
+def write_texts(rows: DataFrame, folder: str, kind: str = "prompt") -> None:
+    """(sample_id, text) as one table per kind; texts stay rows, as a file for each would not scale."""
+    rows.select("sample_id", "text").write.mode("append").parquet(f"{folder}/kind={kind}")
+
+
+def with_phase(responses: DataFrame, prompts: DataFrame, fallback: str = "anticipation") -> DataFrame:
+    """Responses (sample_id, text) with the phase that their prompt (sample_id, text) names, else the fallback."""
+    from ..functions.text import prompt_phase
+
+    named = prompts.groupBy("sample_id").agg(F.min("text").alias("_p")).select("sample_id", prompt_phase(F.col("_p")).alias("_phase"))
+    return responses.join(named, "sample_id", "left").withColumn("phase", F.coalesce("_phase", F.lit(fallback))).drop("_phase")
