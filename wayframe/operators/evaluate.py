@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.answers import let
 from .joins import assert_unique
 
 
@@ -114,3 +115,44 @@ def masked_last(truth: Column, predicted: Column, mask: Column) -> Column:
     n = F.size(F.filter(mask, lambda m: m))
     a, b = F.get(truth, n - 1), F.get(predicted, n - 1)
     return F.when(n > 0, F.sqrt((a["x"] - b["x"]) ** 2 + (a["y"] - b["y"]) ** 2))
+
+
+def _total(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+
+
+def kl_loss(mean: Column, log_variance: Column) -> Column:
+    """Divergence of diagonal normals from the standard one, the mean over their numbers; null for none."""
+    terms = F.zip_with(mean, log_variance, lambda m, v: 1 + v - m * m - F.exp(v))
+    return F.when(F.size(terms) > 0, -0.5 * _total(terms) / F.size(terms))
+
+
+def smooth_l1(difference: Column) -> Column:
+    """Half the square below one, else the size less one half."""
+    d = F.abs(difference)
+    return F.when(d < 1, 0.5 * d * d).otherwise(d - 0.5)
+
+
+def cross_entropy(scores: Column, index: Column) -> Column:
+    """Minus the log of the softmax at index (from 0); null for an index outside."""
+    top = F.array_max(scores)
+    return top + F.log(_total(F.transform(scores, lambda x: F.exp(x - top)))) - F.get(scores, index)
+
+
+def winner_loss(modes: Column, scores: Column, target: Column, valid: Column) -> Column:
+    """Struct of one row's loss terms: assigned, the mode (from 0) whose point at the last step, by number of valid ones, is nearest to the
+    target's (the first of equals), steps, the valid steps, regression, the sum of smooth L1 over these, and classification, the cross-entropy of assigned.
+
+    modes: array of arrays of points (x, y). A batch's loss is sum(regression) / sum(steps) + avg(classification). Null without a valid step.
+    """
+    steps = F.size(F.filter(valid, lambda v: v))
+    at = lambda path: F.get(path, steps - 1)
+    away = F.transform(modes, lambda m: F.hypot(at(m)["x"] - at(target)["x"], at(m)["y"] - at(target)["y"]))
+    made = let(away, lambda d: (F.array_position(d, F.array_min(d)) - 1).cast("int"))
+
+    def build(k: Column) -> Column:
+        term = F.zip_with(F.get(modes, k), target, lambda p, t: smooth_l1(p["x"] - t["x"]) + smooth_l1(p["y"] - t["y"]))
+        kept = F.zip_with(term, valid, lambda e, v: F.when(v, e).otherwise(0.0))
+        return F.struct(k.alias("assigned"), steps.alias("steps"), _total(kept).alias("regression"), cross_entropy(scores, k).alias("classification"))
+
+    return F.when(steps > 0, let(made, build))

@@ -105,6 +105,37 @@ def adapted(raw: DataFrame, steps: int = 10, statuses: tuple[int, ...] | None =
     return made.withColumns({"sample_id": key, "event_id": identifier(F.col("scenario_id")), "status": status.try_cast("int"), "ego": ego, "error": error}).drop("_ego")
 
 
+def unwrapped(v: Column, kind: str, layers: int = 3) -> Column:
+    """The value of a variant as kind, a number, text or object, or arrays of these, through up to `layers` arrays of one element around it.
+
+    Null where there is none, and for arrays without elements; what inside of arrays is of another kind is null.
+    """
+    get = lambda path, k="variant": F.try_variant_get(v, "$" + path, k)
+    rank, out = kind.count("array<"), []
+    for d in range(layers + 1):
+        single = [get("[0]" * i + "[1]").isNull() for i in range(d)]
+        fits = get("[0]" * (d + rank)).isNotNull() & get("[0]" * (d + rank + 1)).isNull()
+        for test in single:
+            fits = fits & test
+        out.append(F.when(fits, get("[0]" * d, kind)))
+    return F.coalesce(*out)
+
+
+def lenient(text: Column) -> Column:
+    """Struct of status, ego and neighbors of a sample in JSON; what cannot be read is 0, null and absent, and nothing is an error.
+
+    neighbors maps roles to their rows. Arrays of one element around a number, a matrix or ctx are looked through. Null for no JSON at all.
+    """
+
+    def build(v: Column) -> Column:
+        status = F.coalesce(unwrapped(F.try_variant_get(v, "$.lane_status", "variant"), "double").try_cast("int"), F.lit(0))
+        ctx = F.coalesce(unwrapped(F.try_variant_get(v, "$.ctx", "variant"), "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+        matrices = lambda c: F.map_filter(F.transform_values(c, lambda k, m: unwrapped(m, MATRIX)), lambda k, m: m.isNotNull())
+        return let(ctx, lambda c: let(matrices(F.map_filter(c, lambda k, m: k.isin("ego", *ROLES))), lambda ms: F.struct(status.alias("status"), F.try_element_at(ms, F.lit("ego")).alias("ego"), F.map_filter(ms, lambda k, m: k != "ego").alias("neighbors"))))
+
+    return let(F.try_parse_json(text), lambda v: F.when(v.isNotNull(), build(v)))
+
+
 def split_by_error(samples: DataFrame, error: str = "error") -> tuple[DataFrame, DataFrame]:
     """Good rows without the error column, and the others with it."""
     return samples.where(F.col(error).isNull()).drop(error), samples.where(F.col(error).isNotNull())

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import answers as A
 from ..functions import kinematics as K
+from ..functions import prompts as P
 from ..functions import text as X
 from ..operators import evaluate as E
 from ..operators import frames as R
@@ -669,3 +670,97 @@ def masked_last_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "embeddings").select("vec_id", points("embedding").alias("p"))
     j = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("p").alias("q")), "vec_id")
     return j.select("vec_id", r6(E.masked_last(F.col("p"), F.col("q"), F.transform("p", lambda x: x["x"] > 0))).alias("fde"))
+
+
+def number_sql(x: str) -> str:
+    return f"(CASE WHEN ({x}) = 0 THEN '0.00' ELSE printf('%.2f', {x}) END)"
+
+
+def turned_sql(x: str, y: str) -> tuple[str, str]:
+    return f"cos(w) * ({x}) + sin(w) * ({y})", f"cos(w) * ({y}) - sin(w) * ({x})"
+
+
+def scene_sql() -> str:
+    fwd, left = turned_sql("r.x - x0", "r.y - y0")
+    own, other, step = turned_sql("v0", "l0"), turned_sql("r.v", "r.l"), turned_sql("xs[i] - x0", "ys[i] - y0")
+    n = number_sql
+    names = ", ".join(f"'{name}'" for name in P.NAMES)
+    return HISTORIES + f""",
+e AS (SELECT user_id, sample, xs, ys, xs[10] AS x0, ys[10] AS y0, vs[10] AS v0, ls[10] AS l0, cs[10] AS c0, CASE WHEN abs(hs[10]) > 2 * pi() + 1e-3 THEN radians(hs[10]) ELSE hs[10] END AS w FROM h WHERE n = 10),
+r AS (SELECT user_id, sample, xs[n] AS x, ys[n] AS y, vs[n] AS v, ls[n] AS l FROM h),
+p AS (SELECT e.*, a, r.x AS rx, {fwd} AS fwd, {left} AS lft, {other[0]} AS vx, {other[1]} AS vy FROM e CROSS JOIN (SELECT unnest(range(1, 7)) AS a) k LEFT JOIN r ON r.user_id = e.user_id + a AND r.sample = e.sample),
+l AS (SELECT user_id, sample, string_agg([{names}][a] || ': ' || CASE WHEN rx IS NULL THEN 'not seen' WHEN sqrt(fwd * fwd + lft * lft) > 200 THEN 'none within 200 m' ELSE
+    {n('abs(fwd)')} || CASE WHEN fwd >= 0 THEN ' m ahead, ' ELSE ' m behind, ' END || {n('abs(lft)')} || CASE WHEN lft >= 0 THEN ' m left, ' ELSE ' m right, ' END || 'moving (' || {n('vx * 3.6::DOUBLE')} || ', ' || {n('vy * 3.6::DOUBLE')} || ') km/h' END,
+    chr(10) ORDER BY a) AS lines FROM p GROUP BY ALL)
+SELECT user_id, sample, 'The target is on a highway of several lanes, in the lane numbered 1; on which side that lane lies is not known.' || chr(10) || 'target: moving (' || {n(f'({own[0]}) * 3.6::DOUBLE')} || ', ' || {n(f'({own[1]}) * 3.6::DOUBLE')}
+  || ') km/h, acceleration ' || {n('c0')} || ' m/s^2' || chr(10) || 'path: ' || array_to_string(list_transform([1, 4, 7, 10], lambda i: '(' || {n(step[0])} || ', ' || {n(step[1])} || ')'), ' ') || chr(10) || lines AS scene
+FROM e JOIN l USING (user_id, sample)"""
+
+
+@query(scene_sql())
+def scene_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The description of every sample with ten frames, numbers exact to the last digit."""
+    return P.with_scene(good_samples(spark, sf_dir)).select("user_id", "sample", "scene")
+
+
+@query("""
+SELECT conv_id, turn, CASE WHEN trim(text) = '' THEN 'no user text' END AS error,
+  CASE WHEN trim(text) <> '' THEN '<s>[INST] <<SYS>>' || chr(10) || 'Speak as ' || role || '.' || chr(10) || '<</SYS>>' || chr(10) || chr(10) || regexp_replace(text, '^\\s+|\\s+$', '', 'g') || ' [/INST]' END AS prompt_text FROM conversations""")
+def chat_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = P.chat(F.concat(F.lit("Speak as "), "role", F.lit(".")), F.col("text"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", made.alias("c")).select("conv_id", "turn", "c.*")
+
+
+@query("""
+SELECT status, error, count(*) AS n, sum(answers)::BIGINT AS answers, sum(requests)::BIGINT AS requests FROM (
+  SELECT CASE WHEN n % 7 = 0 THEN 'api_error' WHEN n % 5 = 0 THEN 'parse_error' ELSE 'ok' END AS status,
+    CASE WHEN n % 7 = 0 THEN 'given up after 1 requests: PermissionError' WHEN n % 5 = 0 THEN 'ValueError: a multiple of five' END AS error,
+    CASE WHEN n % 7 <> 0 AND n % 5 = 0 THEN 2 ELSE 1 END AS answers, CASE WHEN n % 7 = 0 THEN 1 WHEN n % 5 = 0 THEN 2 ELSE 1 END AS requests FROM (SELECT length(text) AS n FROM conversations)) GROUP BY ALL""")
+def audited_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stub service asked record by record: some lengths of a prompt are refused, others parse only with the reminder, which never helps."""
+    c = read(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("sample_id"), F.col("text").alias("prompt_text"))
+    reminder = P.reminder_text()
+
+    def request(prompt: str) -> str:
+        n = len(prompt.removesuffix(f"\n\n{reminder}"))
+        if n % 7 == 0:
+            raise PermissionError(n)
+        return str(n)
+
+    def parse(raw: str) -> None:
+        if int(raw) % 5 == 0:
+            raise ValueError("a multiple of five")
+
+    done = runner.completions(c, request, parse, reminder, format_retries=1, api_retries=0)
+    requests = F.aggregate("attempts", F.lit(0), lambda s, a: s + a["api_attempts"])
+    return done.groupBy("status", "error").agg(F.count("*").alias("n"), F.sum(F.size("attempts")).alias("answers"), F.sum(requests).alias("requests"))
+
+
+@query("""
+WITH e AS (SELECT a.vec_id, a.embedding::DOUBLE[] AS p, b.embedding::DOUBLE[] AS q FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1),
+m AS (SELECT vec_id, p, q, list_transform(range(0, 2), lambda k: sqrt((p[32 * k + 31] - q[31]) ** 2 + (p[32 * k + 32] - q[32]) ** 2)) AS d FROM e),
+w AS (SELECT *, CASE WHEN d[1] <= d[2] THEN 0 ELSE 1 END AS k FROM m)
+SELECT vec_id, k::INTEGER AS assigned, round(list_sum(list_transform(range(1, 33), lambda i: CASE WHEN abs(p[32 * k + i] - q[i]) < 1 THEN 0.5::DOUBLE * (p[32 * k + i] - q[i]) ** 2 ELSE abs(p[32 * k + i] - q[i]) - 0.5::DOUBLE END)), 6) AS regression,
+  round(ln(exp(p[1]) + exp(p[2])) - p[k + 1], 6) AS classification, round(-0.5::DOUBLE * list_sum(list_transform(range(1, 33), lambda i: 1 + p[i + 32] - p[i] ** 2 - exp(p[i + 32]))) / 32, 6) AS kl FROM w""")
+def loss_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two paths of 16 points in each vector against the first of the next vector."""
+    e = read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("p"))
+    j = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), points("p", 16).alias("q")), "vec_id")
+    modes = F.array(points("p", 16), points(F.slice("p", 33, 32), 16))
+    loss = E.winner_loss(modes, F.slice("p", 1, 2), F.col("q"), F.transform("q", lambda x: F.lit(True)))
+    kl = E.kl_loss(F.slice("p", 1, 32), F.slice("p", 33, 32))
+    return j.select("vec_id", loss.alias("l"), r6(kl).alias("kl")).select("vec_id", "l.assigned", r6(F.col("l.regression")).alias("regression"), r6(F.col("l.classification")).alias("classification"), "kl")
+
+
+@query("""
+SELECT event_id, CASE event_id % 4 WHEN 0 THEN user_id % 3 WHEN 1 THEN user_id % 3 ELSE 0 END::INTEGER AS status, CASE WHEN event_id % 4 < 2 THEN [[value, 1.0::DOUBLE]] END AS ego,
+  CASE WHEN event_id % 4 = 0 THEN ['phys_tl'] ELSE []::VARCHAR[] END AS roles FROM events""")
+def lenient_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples in JSON of four makes: plain, wrapped in arrays of one element, with a status that is none, and no JSON at all."""
+    v, u = F.col("value").cast("string"), (F.col("user_id") % 3).cast("string")
+    plain = F.concat(F.lit('{"lane_status":'), u, F.lit(',"ctx":{"ego":[['), v, F.lit(',1]],"phys_tl":[[1,2]],"phys_tf":[]}}'))
+    wrapped = F.concat(F.lit('{"lane_status":[['), u, F.lit(']],"ctx":[{"ego":[[['), v, F.lit(',1]]],"phys_of":"x"}]}'))
+    k = F.col("event_id") % 4
+    text = F.when(k == 0, plain).when(k == 1, wrapped).when(k == 2, '{"lane_status":"soon","ctx":7}').otherwise("{")
+    s = read(spark, sf_dir, "events").select("event_id", S.lenient(text).alias("s"))
+    return s.select("event_id", F.coalesce("s.status", F.lit(0)).alias("status"), "s.ego", F.coalesce(F.map_keys("s.neighbors"), F.array().cast("array<string>")).alias("roles"))

@@ -7,6 +7,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Columns of the records that go into a prompt, come of a model, and are compared with the truth.
+PROMPTS = "sample_id string not null, event_id string, source_split string not null, system_prompt string not null, user_prompt string not null"
+PREDICTED = "sample_id string not null, status string not null, raw_output string, intention int, trajectory array<struct<x: double, y: double>>"
+REFERENCES = "sample_id string not null, intention int not null, trajectory array<struct<x: double, y: double>> not null"
+
+
+def typed(rows: DataFrame, schema: str) -> DataFrame:
+    """Rows in the columns of schema (DDL), each cast where it can be, and `_error`: the first column that lacks a value it must have, else null.
+
+    A column that is absent is null, a text of blanks in a column that must have a value is none, and other columns go.
+    """
+    fields = T.StructType.fromDDL(schema).fields
+    given = lambda f: F.col(f.name).try_cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType)
+    made = rows.select(*[given(f).alias(f.name) for f in fields])
+    lacks = lambda f: F.col(f.name).isNull() | (F.trim(f.name) == "") if isinstance(f.dataType, T.StringType) else F.col(f.name).isNull()
+    wrong = [F.when(lacks(f), f.name) for f in fields if not f.nullable]
+    return made.withColumn("_error", F.coalesce(*wrong, F.lit(None).cast("string")))
+
+
 def read_responses(spark: SparkSession, folder: str, recursive: bool = False, kind: str = "response") -> DataFrame:
     """(sample_id, text, file) of <kind>_sample_<id>.txt files; sample_id is null where the name has no number."""
     reader = spark.read.option("pathGlobFilter", f"{kind}_sample_*.txt").option("recursiveFileLookup", recursive)
@@ -39,13 +58,17 @@ def valid_jsonl(rows: DataFrame, key: str = "sample_id") -> DataFrame:
 
 
 def write_jsonl(rows: DataFrame, path: str, overwrite: bool = False, key: str = "sample_id") -> None:
-    """Write JSON lines; the committer publishes a finished folder only. Keys must be unique and numbers finite."""
+    """Write JSON lines; the committer publishes a finished folder only. Keys must be unique and not blank, numbers and those of arrays finite."""
     from ..operators.joins import assert_unique
 
+    if not rows.where(F.coalesce(F.trim(F.col(key).cast("string")) == "", F.lit(True))).isEmpty():
+        raise ValueError(f"a blank {key}")
     assert_unique(rows, key)
-    numbers = [f.name for f in rows.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
-    if numbers and not rows.where(F.greatest(*[F.isnan(c).cast("int") for c in numbers], F.lit(0)) > 0).isEmpty():
-        raise ValueError("NaN is not JSON")
+    real, odd = (T.DoubleType, T.FloatType), lambda x: F.isnan(x) | (F.abs(x) == float("inf"))
+    tests = [odd(F.col(f.name)) for f in rows.schema.fields if isinstance(f.dataType, real)]
+    tests += [F.exists(f.name, odd) for f in rows.schema.fields if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, real)]
+    if tests and not rows.where(F.greatest(*[F.coalesce(t, F.lit(False)).cast("int") for t in tests], F.lit(0)) > 0).isEmpty():
+        raise ValueError("numbers that are not finite are not JSON")
     rows.write.mode("overwrite" if overwrite else "errorifexists").json(path)
 
 
@@ -79,6 +102,8 @@ def save_artifact(rows: DataFrame, path: str, split: str = "train", version: int
 
 def load_artifact(spark: SparkSession, path: str, version: int = 1) -> DataFrame:
     rows = spark.read.parquet(path)
+    if rows.isEmpty():
+        raise ValueError("an empty artifact")
     if not rows.where(f"_version <> {version} or _split <> 'train'").isEmpty():
         raise ValueError("artifact of another version, or not fitted on train")
     return rows.drop("_version", "_split")
