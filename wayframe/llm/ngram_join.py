@@ -37,8 +37,8 @@ WORDS = 5
 P1, P2, P3 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 #: df of shingles that come last in the order.
 LAST = np.iinfo(np.int32).max
-#: Tasks over which the choice of a shingle's pivots, and rows of a shingle in a piece of the final pairing, are dealt.
-SALTS, PIECE = 8, 1024
+#: Rows of a shingle in a piece of the final pairing.
+PIECE = 1024
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -337,10 +337,15 @@ def links_of(found: DataFrame, docs: DataFrame, percent: int, rounds: int, pivot
         else:
             one, two = sides(open_)
             turn = F.xxhash64("d1", F.lit(k))
-            some = one.withColumn("salt", F.pmod(F.xxhash64("d1"), F.lit(SALTS)))
+            # as many salts as leave both steps equally few rows of a shingle: c / salts, then salts * pivots
+            some = one.withColumn("salt", F.pmod(F.xxhash64("d1"), F.ceil(F.sqrt(F.col("c1") / pivots))))
             for keys in (("g1", "salt"), ("g1",)):
                 some = some.withColumn("turn", F.row_number().over(Window.partitionBy(*keys).orderBy(turn, "d1"))).where(F.col("turn") <= pivots)
-            pairs = two.join(some.drop("turn", "salt"), F.expr("g1 = g2 and d1 <> d2 and l1 <> l2") & close)
+            # pivots go to every piece of their shingle's rows, so none of its tasks grows with its count
+            pieces = lambda c: F.ceil(F.col(c) / (8 * pivots)).cast("int")
+            some = some.drop("turn", "salt").withColumn("at", F.explode(F.sequence(F.lit(0), pieces("c1") - 1)))
+            two = two.withColumn("piece", F.pmod(F.xxhash64("d2"), pieces("c2")).cast("int"))
+            pairs = two.join(some, F.expr("g1 = g2 and piece = at and d1 <> d2 and l1 <> l2") & close)
         pairs = pairs.select(F.least("d1", "d2").alias("a"), F.greatest("d1", "d2").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
