@@ -1,6 +1,6 @@
 """Queries of this subpackage by name, and the SQL of those that SQL can express."""
 
-from . import bpe_count, line_dedup, mixing, ngram_join, piece_nbest, pii_crf, prefix_forest, quality_cnn, quality_rules, secret_scan
+from . import bpe_count, line_dedup, middle_fill, mixing, ngram_join, period_runs, piece_nbest, pii_crf, prefix_forest, quality_cnn, quality_rules, secret_scan, shuffle_shards
 
 QUERIES = {
     "op1_quality_classifier": quality_cnn.op1_quality_classifier,
@@ -14,9 +14,13 @@ QUERIES = {
     "op9_token_counts": bpe_count.op9_token_counts,
     "op10_line_dedup": line_dedup.op10_line_dedup,
     "op10_passage_dedup": line_dedup.op10_passage_dedup,
+    "op11_shards": shuffle_shards.op11_shards,
+    "op12_period_runs": period_runs.op12_period_runs,
+    "op13_middle_fill": middle_fill.op13_middle_fill,
 }
 SQL = {
     "op2_quality_rules": quality_rules.SQL,
     "op5_mix": mixing.SQL,
     "op10_line_dedup": line_dedup.SQL,
+    "op13_middle_fill": middle_fill.SQL,
 }
