@@ -223,11 +223,11 @@ def test_strict_points(spark, text, error):
 
 def test_first_json():
     r = random.Random(1)
-    assert X.first_json_text('a {"k": "}\\"{", "m": {"n": 1}} {"z": 2}') == '{"k": "}\\"{", "m": {"n": 1}}'
-    assert X.first_json_text("no") is None and X.first_json_text("{") is None and X.first_json_text(None) is None
+    assert X.first_object('a {"k": "}\\"{", "m": {"n": 1}} {"z": 2}')[0] == '{"k": "}\\"{", "m": {"n": 1}}'
+    assert all(X.first_object(t) == (None, None) for t in ("no", "{", None)) and X.first_object("{x} {") == ("{x}", None)
     for _ in range(200):
         value = {"".join(r.choice('ab{}"\\') for _ in range(5)): {"x": ["}", '"', r.random()]}}
-        assert json.loads(X.first_json_text("t" + json.dumps(value) + " } {")) == value
+        assert json.loads(X.first_object("t" + json.dumps(value) + " } {")[0]) == value
 
 
 def test_text_rules(spark):

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import math
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import text as X
-from .text import label, ranked_code, stripped
+from .text import label, let, ranked_code, stripped
 
 #: Labels of context answers in the order of their vector, and the keys of such an answer.
 ACTIONS = ("STATIONARY", "STRAIGHT", "STRAIGHT_LEFT", "STRAIGHT_RIGHT", "LEFT_TURN", "RIGHT_TURN", "LEFT_U_TURN", "RIGHT_U_TURN")
@@ -23,11 +29,6 @@ GAPS = {"GAP1": 0, "GAP2": 1, "EITHER": 2}
 NO_MERGE, NO_SETTLING = "MAINTAIN_AND_OBSERVE", "MAINTAIN_STABLE"
 
 
-def let(value: Column, body) -> Column:
-    """body(value) with value computed once per row, however often the body reads it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def unfenced(text: Column) -> Column:
     """The text without blanks and without one code fence of whole lines around it; null where a fence is opened only."""
     t = stripped(text)
@@ -91,10 +92,54 @@ def context_vector(c: Column) -> Column:
     return let(c, code)
 
 
-def number(v: Column, default: float = 0.0) -> Column:
-    """A variant as a number: of a boolean 1 or 0, else the first number in its text; the default for null and for none."""
-    kind = F.schema_of_variant(v)
-    return F.when(kind == "BOOLEAN", F.when(v.try_cast("boolean"), 1.0).otherwise(0.0)).otherwise(X.safe_float(v.try_cast("string"), default))
+def json_text(v: object) -> str | None:
+    """A JSON value as text: strings as they are, null for null."""
+    if v is None or isinstance(v, str):
+        return v
+    if isinstance(v, (int, float)):
+        return repr(v).lower()
+    return json.dumps(v, ensure_ascii=False, separators=(",", ":"))
+
+
+FIRST_NUMBER = re.compile(X.NUMBER, re.A)
+
+
+def json_number(v: object, default: float = 0.0) -> float:
+    """A JSON value as a number: of a boolean 1 or 0, else the first number in its text; the default for none and for what is not finite."""
+    if isinstance(v, (bool, int, float)):
+        try:
+            x = float(v)
+        except OverflowError:
+            return default
+    else:
+        found = FIRST_NUMBER.search(json_text(v) or "")
+        x = float(found[0]) if found else default
+    return x if math.isfinite(x) else default
+
+
+TEXT_PARTS = ("phase", "speed", "primary", "gap", "interaction")
+PARTS = T.StructType([
+    *[T.StructField(c, T.BooleanType()) for c in ("found", "good")], *[T.StructField(c, T.StringType()) for c in TEXT_PARTS],
+    T.StructField("numbers", T.ArrayType(T.DoubleType())), *[T.StructField(c, T.ArrayType(T.StringType())) for c in ("keys", "texts")], T.StructField("scores", T.ArrayType(T.DoubleType())),
+])
+
+
+def strategy_parts(text: str | None) -> tuple:
+    """PARTS of an answer: what its first balanced object says, not yet normalised. Of keys that repeat the last counts."""
+    body, v = X.first_object(text)
+    if not isinstance(v, dict):
+        return (body is not None, False, *(None,) * 9)
+    part = lambda d, k: x if isinstance(x := d.get(k), dict) else {}
+    decision, guidance = part(v, "decision"), part(v, "prediction_guidance")
+    scores, texts = part(decision, "strategy_scores"), [json_text(d.get(k)) for d, k in ((v, "phase"), (guidance, "expected_speed_change"), (decision, "primary_strategy"), (decision, "target_gap"), (guidance, "key_interaction"))]
+    numbers = [None if decision.get(k) is None else json_number(decision[k]) for k in NUMBERS]
+    return True, True, *texts, numbers, list(scores), [json_text(x) for x in scores.values()], [min(max(json_number(x), 0.0), 1.0) for x in scores.values()]
+
+
+@F.pandas_udf(PARTS)
+def read_strategy(texts: pd.Series) -> pd.DataFrame:
+    """Balanced braces are beyond regular expressions, so whole batches are read in Python, each text once."""
+    return pd.DataFrame([strategy_parts(t) for t in texts], columns=PARTS.names)
 
 
 def strategy_answer(text: Column, fallback: Column | str = X.PHASES[0]) -> Column:
@@ -102,40 +147,34 @@ def strategy_answer(text: Column, fallback: Column | str = X.PHASES[0]) -> Colum
 
     The vector is the phase (3), scores by strategy from 0 to 1 (12), the change of speed (3), six numbers and which of them there
     are (6 and 6). It reads the first balanced object of the text; where that is absent or no JSON, error says so and the rest is
-    null. ignored: score keys that name no strategy, with their values. Of keys of one strategy the last counts. An object that
-    repeats a key is no JSON here.
+    null. ignored: score keys that name no strategy, with their values. Of keys that repeat, and of keys of one strategy, the last counts.
+    A target_gap that is absent or null is NONE.
     """
 
-    def of(body: Column) -> Column:
-        return let(F.try_parse_json(body), lambda v: let(F.get_json_object(body, "$.decision.strategy_scores"), lambda scores: make(body, v, scores)))
-
-    def make(body: Column, v: Column, scores: Column) -> Column:
-        by = field(v, "decision", "strategy_scores", kind="map<string, variant>")
-        given = F.transform(F.json_object_keys(scores), lambda k: F.struct(X.strategy(k).alias("s"), k.alias("k"), F.try_element_at(by, k).alias("v")))
-        return let(given, lambda g: full(body, v, F.coalesce(g, F.filter(F.array(F.struct(F.lit("").alias("s"), F.lit("").alias("k"), F.lit(None).cast("variant").alias("v"))), lambda _: F.lit(False)))))
-
-    def full(body: Column, v: Column, given: Column) -> Column:
-        names = F.array(*map(F.lit, X.STRATEGIES))
-        score = lambda s: F.least(F.greatest(number(F.try_element_at(F.filter(given, lambda g: g["s"] == s), F.lit(-1))["v"]), F.lit(0.0)), F.lit(1.0))
-        phase = X.phase(field(v, "phase", kind="string"), fallback)
-        speed = X.speed_change(field(v, "prediction_guidance", "expected_speed_change", kind="string"))
-        numbers = [field(v, "decision", k) for k in NUMBERS]
-        there = lambda x: x.isNotNull() & (F.schema_of_variant(x) != "VOID")
-        values = F.array(*[F.when(there(x), number(x)).otherwise(0.0) for x in numbers])
-        mask = F.array(*[F.when(there(x), 1.0).otherwise(0.0) for x in numbers])
-        vector = F.concat(X.one_hot(phase, X.PHASES), F.transform(names, score), X.one_hot(speed, X.SPEEDS), values, mask)
-        left = F.filter(given, lambda g: ~F.array_contains(names, g["s"]))
-        good = v.isNotNull()
+    def parts(p: Column) -> Column:
+        """The scores last first, by strategy, and the texts as labels."""
+        given = F.reverse(F.arrays_zip(F.transform(p["keys"], X.strategy).alias("s"), p["keys"].alias("k"), p["texts"].alias("v"), p["scores"].alias("x")))
+        return F.struct(
+            p["found"].alias("found"), p["good"].alias("good"), X.phase(p["phase"], fallback).alias("phase"), X.speed_change(p["speed"]).alias("speed"), p["numbers"].alias("numbers"),
+            given.alias("given"), X.strategy(p["primary"]).alias("primary"), F.coalesce(p["gap"], F.lit("NONE")).alias("gap"), X.interaction(p["interaction"]).alias("interaction"),
+        )
+
+    def full(p: Column) -> Column:
+        at = lambda names: F.transform(F.array(*map(F.lit, X.STRATEGIES)), lambda s: F.array_position(names, s))
+        held = lambda v: F.transform(let(v["s"], at), lambda i: F.coalesce(F.get(v["x"], (i - 1).cast("int")), F.lit(0.0)))
+        score = let(F.struct(p["given"]["s"].alias("s"), p["given"]["x"].alias("x")), held)
+        mask = F.transform(p["numbers"], lambda x: F.when(x.isNull(), 0.0).otherwise(1.0))
+        vector = F.concat(X.one_hot(p["phase"], X.PHASES), score, X.one_hot(p["speed"], X.SPEEDS), F.transform(p["numbers"], lambda x: F.coalesce(x, F.lit(0.0))), mask)
+        left = F.filter(F.reverse(p["given"]), lambda g: ~g["s"].isin(*X.STRATEGIES))
         found = {
-            "vector": vector.cast("array<float>"), "mask": mask.cast("array<float>"), "phase": phase, "status": F.array_position(F.array(*map(F.lit, X.PHASES)), phase).cast("int") - 1,
-            "primary_strategy": X.strategy(field(v, "decision", "primary_strategy", kind="string")), "target_gap": F.coalesce(field(v, "decision", "target_gap", kind="string"), F.lit("NONE")),
-            "speed_change": speed, "key_interaction": X.interaction(field(v, "prediction_guidance", "key_interaction", kind="string")),
-            "ignored": F.map_from_entries(F.transform(left, lambda g: F.struct(g["k"], g["v"].try_cast("string")))),
+            "vector": vector.cast("array<float>"), "mask": mask.cast("array<float>"), "phase": p["phase"], "status": F.array_position(F.array(*map(F.lit, X.PHASES)), p["phase"]).cast("int") - 1,
+            "primary_strategy": p["primary"], "target_gap": p["gap"], "speed_change": p["speed"], "key_interaction": p["interaction"],
+            "ignored": F.map_from_entries(F.transform(left, lambda g: F.struct(g["k"], g["v"]))),
         }
-        error = F.when(body.isNull(), "no complete object").when(~good, "not json")
-        return F.struct(*[F.when(good, c).alias(k) for k, c in found.items()], error.alias("error"))
+        error = F.when(~p["found"], "no complete object").when(~p["good"], "not json")
+        return F.struct(*[F.when(p["good"], c).alias(k) for k, c in found.items()], error.alias("error"))
 
-    return let(X.first_json(text), of)
+    return let(read_strategy(text), lambda p: let(parts(p), full))
 
 
 def one_line(text: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import frames as R
 from ..operators import samples as S
-from .answers import let
+from .text import let
 from .kinematics import KMH, finite, heading, rotated
 from .text import stripped
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.answers import let
+from ..functions.text import let
 from .joins import assert_unique
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.answers import let
+from ..functions.text import let
 from ..functions.kinematics import KMH, finite, heading, rotated, wrapped
 from ..functions.text import identifier
 from .frames import aligned, present_loose, present_strict, tail_window
