@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayframe.operators import samples
-from wayframe.sources import mat
+from wayframe.sources import io, lines, mat
 
 # --- a writer of MATLAB files for the tests, byte by byte, apart from that of the library
 
@@ -159,3 +159,71 @@ def test_failed_parts_leave_nothing(spark, tmp_path):
     with pytest.raises(Exception, match="broken row"):
         mat.write_mat(rows, str(path))
     assert not path.exists() or list(path.iterdir()) == []
+
+
+# --- lines
+
+
+def written(tmp_path, files):
+    for name, text in files.items():
+        (tmp_path / name).write_text(text)
+    return str(tmp_path)
+
+
+def plain_lines(files):
+    return [(name, k, line) for name in sorted(files) for k, line in enumerate(files[name].splitlines(), 1)]
+
+
+@pytest.mark.parametrize("size", [64, 1 << 20])
+def test_numbers_of_lines_in_many_splits(spark, tmp_path, size):
+    r = np.random.default_rng(1)
+    files = {f"{n}.jsonl": "\n".join("x" * int(k) if k % 5 else " " * int(k % 3) for k in r.integers(1, 60, 200)) + "\n" * (n == "b") for n in "cab"}
+    path, everything = written(tmp_path, files), plain_lines(files)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        assert size > 64 or lines.numbered_lines(spark, path).select("_file").rdd.getNumPartitions() > 0 and spark.read.text(path).rdd.getNumPartitions() > 20
+        for limit in (None, 1, 7, 160, 161, 10_000):
+            got = sorted((r["_overall"], r["_file"].rsplit("/", 1)[1], r["_line"], r["value"]) for r in lines.numbered_lines(spark, path, limit).collect())
+            want = [(i, name, k, text) for i, (name, k, text) in enumerate(everything, 1) if text.strip()][:limit]
+            assert got == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_first_fault_is_named_by_line(spark, tmp_path):
+    schema = mat.T.StructType([mat.T.StructField("sample_id", mat.T.StringType()), mat.T.StructField("n", mat.T.LongType())])
+    good = "\n".join(f'{{"sample_id": "s{i}", "n": {i}}}' for i in range(500))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    cases = {
+        "ok": ("", None), "json": ('\n\n{"sample_id": "x", "n": \n{"sample_id": " "}', "a.jsonl:502: json"), "key": ('\n{"n": 3}\nbad', "a.jsonl:501: key"),
+        "repeated": ('\n{"sample_id": "t"}\n{"sample_id": "s7"}\nbad', "a.jsonl:502: repeated"), "list": ("\n[1]", None),
+    }
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 300)
+        for name, (more, error) in cases.items():
+            (tmp_path / name).mkdir()
+            path = written(tmp_path / name, {"a.jsonl": good + more})
+            rows = lines.read_jsonl(spark, path, schema)
+            if error:
+                with pytest.raises(ValueError, match=error):
+                    lines.valid_jsonl(rows)
+                with pytest.raises(ValueError, match=error):
+                    lines.resume_ids(spark, path)
+            assert lines.valid_jsonl(lines.read_jsonl(spark, path, schema, limit=500)).count() == 500
+        assert lines.resume_ids(spark, str(tmp_path / "ok")).count() == 500 and lines.resume_ids(spark, str(tmp_path / "absent")).count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    (tmp_path / "empty").mkdir()
+    with pytest.raises(ValueError, match="no lines"):
+        lines.valid_jsonl(lines.read_jsonl(spark, written(tmp_path / "empty", {"a.jsonl": "\n \n"}), schema))
+
+
+def test_no_number_that_is_not_finite_is_written(spark, tmp_path):
+    nan, inf = float("nan"), float("inf")
+    kind = "sample_id string, a array<struct<x: double, y: struct<z: float>>>, b array<array<double>>, m map<string, array<double>>, s struct<t: string, d: double>"
+    good = [("p", [(1.0, (2.0,)), None], [[1.0], None, [None]], {"k": [1.0, None]}, ("t", 1.0)), ("q", None, None, None, None), ("r", [(None, None)], [], {}, (None, None))]
+    io.write_jsonl(spark.createDataFrame(good, kind), str(tmp_path / "good"))
+    for bad in ([(nan, (2.0,))], None, None, None), ([(1.0, (inf,))], None, None, None), (None, [[1.0], [-inf]], None, None), (None, None, {"k": [nan]}, None), (None, None, None, ("t", nan)):
+        with pytest.raises(ValueError, match="finite"):
+            io.write_jsonl(spark.createDataFrame([*good, ("z", *bad)], kind), str(tmp_path / "bad"))

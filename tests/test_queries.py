@@ -1,6 +1,6 @@
 import pytest
 
-from wayframe.plans import bindings
+from wayframe.plans import bindings, ingest  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(bindings.QUERIES))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .lines import read_jsonl, valid_jsonl  # noqa: F401
 
 #: Columns of the records that go into a prompt, come of a model, and are compared with the truth.
 PROMPTS = "sample_id string not null, event_id string, source_split string not null, system_prompt string not null, user_prompt string not null"
@@ -34,40 +35,44 @@ def read_responses(spark: SparkSession, folder: str, recursive: bool = False, ki
     return raw.select(F.nullif(number, F.lit("")).cast("int").alias("sample_id"), F.col("value").alias("text"), "file")
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, key: str = "sample_id", limit: int | None = None) -> DataFrame:
-    """Rows of JSON lines with _error: null, `json` for a line that is none, `key` for a missing or blank key. Blank lines are skipped."""
-    wide = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    if limit is not None and limit > 0:
-        lines = lines.limit(limit)
-    rows = lines.select("value", F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
-    blank = F.coalesce(F.trim(F.col(f"r.{key}").cast("string")) == "", F.lit(True))
-    return rows.select(*[f"r.{f.name}" for f in schema.fields], F.when(F.col("r._corrupt").isNotNull(), "json").when(blank, "key").alias("_error"))
+def not_finite(rows: DataFrame) -> Column:
+    """Whether a row has a number, at any depth of its columns, that is not finite; null or false if not."""
 
+    def odd(c: Column, kind: T.DataType) -> Column | None:
+        if isinstance(kind, (T.DoubleType, T.FloatType)):
+            return F.isnan(c) | (F.abs(c) == float("inf"))
+        if isinstance(kind, T.ArrayType):
+            return F.exists(c, lambda x: F.coalesce(odd(x, kind.elementType), F.lit(False))) if has_numbers(kind.elementType) else None
+        if isinstance(kind, T.MapType):
+            tests = [t for t in (odd(F.map_keys(c), T.ArrayType(kind.keyType)), odd(F.map_values(c), T.ArrayType(kind.valueType))) if t is not None]
+        elif isinstance(kind, T.StructType):
+            tests = [t for f in kind.fields if (t := odd(c[f.name], f.dataType)) is not None]
+        else:
+            return None
+        return any_of(tests)
 
-def valid_jsonl(rows: DataFrame, key: str = "sample_id") -> DataFrame:
-    """read_jsonl rows without _error; raises on a bad line, a repeated key or no line at all, before anything is used."""
-    from ..operators.joins import assert_unique
+    def has_numbers(kind: T.DataType) -> bool:
+        return odd(F.lit(None), kind) is not None
 
-    bad = rows.where("_error is not null").limit(1).collect()
-    if bad:
-        raise ValueError(f"bad line: {bad[0]['_error']}")
-    if rows.isEmpty():
-        raise ValueError("no lines")
-    return assert_unique(rows.drop("_error"), key)
+    def any_of(tests: list[Column]) -> Column | None:
+        out = None
+        for t in tests:
+            t = F.coalesce(t, F.lit(False))
+            out = t if out is None else out | t
+        return out
+
+    tests = [t for f in rows.schema.fields if (t := odd(F.col(f"`{f.name}`"), f.dataType)) is not None]
+    return any_of(tests) if tests else F.lit(False)
 
 
 def write_jsonl(rows: DataFrame, path: str, overwrite: bool = False, key: str = "sample_id") -> None:
-    """Write JSON lines; the committer publishes a finished folder only. Keys must be unique and not blank, numbers and those of arrays finite."""
+    """Write JSON lines; the committer publishes a finished folder only. Keys must be unique and not blank, and numbers at any depth finite."""
     from ..operators.joins import assert_unique
 
     if not rows.where(F.coalesce(F.trim(F.col(key).cast("string")) == "", F.lit(True))).isEmpty():
         raise ValueError(f"a blank {key}")
     assert_unique(rows, key)
-    real, odd = (T.DoubleType, T.FloatType), lambda x: F.isnan(x) | (F.abs(x) == float("inf"))
-    tests = [odd(F.col(f.name)) for f in rows.schema.fields if isinstance(f.dataType, real)]
-    tests += [F.exists(f.name, odd) for f in rows.schema.fields if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, real)]
-    if tests and not rows.where(F.greatest(*[F.coalesce(t, F.lit(False)).cast("int") for t in tests], F.lit(0)) > 0).isEmpty():
+    if not rows.where(F.coalesce(not_finite(rows), F.lit(False))).isEmpty():
         raise ValueError("numbers that are not finite are not JSON")
     rows.write.mode("overwrite" if overwrite else "errorifexists").json(path)
 
