@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .clusters import anchors, inertia, lloyd, lloyd_step, seeds  # noqa: F401
+
 
 def moments(rows: DataFrame, vector: str, eps: float = 1e-6, two_moment: bool = False) -> DataFrame:
     """(pos, mean, std) of the components of arrays. Partial sums per task, so what is shuffled does not grow with the rows.
@@ -116,65 +118,6 @@ def nearest_centroid(points: DataFrame, centroids: DataFrame) -> DataFrame:
     return points.crossJoin(F.broadcast(all_)).withColumn("_b", best).select("id", "x", "y", "_b.cluster", "_b.d2")
 
 
-def lloyd(points: DataFrame, start: DataFrame, rounds: int = 10, tolerance: float = 1e-4) -> DataFrame:
-    """Centroids (cluster, x, y) after Lloyd rounds from start. An empty cluster moves to the farthest point.
-
-    Only k rows go to the driver in a round; each round's plan starts from literals, so lineage does not grow.
-    """
-    spark = points.sparkSession
-    now = sorted(map(tuple, start.select("cluster", "x", "y").collect()))
-    for _ in range(rounds):
-        a = nearest_centroid(points, spark.createDataFrame(now, "cluster int, x double, y double"))
-        means = {r["cluster"]: (r["x"], r["y"]) for r in a.groupBy("cluster").agg(F.avg("x").alias("x"), F.avg("y").alias("y")).collect()}
-        missing = [c for c, _, _ in now if c not in means]
-        if missing:
-            far = a.orderBy(F.desc("d2"), "id").limit(len(missing)).collect()
-            means |= {c: (r["x"], r["y"]) for c, r in zip(missing, far)}
-        new = [(c, *means.get(c, (x, y))) for c, x, y in now]
-        shift = max(((a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2) ** 0.5 for a, b in zip(now, new)) if new else 0.0
-        now = new
-        if shift <= tolerance:
-            break
-    return spark.createDataFrame(now, "cluster int, x double, y double")
-
-
-def inertia(points: DataFrame, centroids: DataFrame) -> float:
-    """Sum of the squared distances of points to their nearest centroids."""
-    return nearest_centroid(points, centroids).agg(F.sum("d2")).first()[0] or 0.0
-
-
-def anchors(points: DataFrame, k: int = 64, starts: int = 10, rounds: int = 300, seed: int = 0, tolerance: float = 1e-4) -> tuple[DataFrame, float]:
-    """The centroids of the smallest inertia of several k-means++ starts, the earlier start on ties, and that inertia.
-
-    Fewer than k distinct points are an error.
-    """
-    if points.select("x", "y").distinct().limit(k).count() < k:
-        raise ValueError(f"fewer than {k} distinct points")
-    best = None
-    for n in range(starts):
-        found = lloyd(points, seeds(points, k, seed + n), rounds, tolerance)
-        cost = inertia(points, found)
-        if best is None or cost < best[1]:
-            best = found, cost
-    return best
-
-
-def seeds(points: DataFrame, k: int, seed: int = 0) -> DataFrame:
-    """k-means++ starts: each next one with chance by its squared distance to the nearest so far, as the largest of random keys."""
-    spark = points.sparkSession
-    uniform = lambda n: (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(n)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    first = points.orderBy(uniform(0), "id").limit(1).collect()
-    chosen = [(0, first[0]["x"], first[0]["y"])] if first else []
-    while chosen and len(chosen) < k:
-        near = nearest_centroid(points, spark.createDataFrame(chosen, "cluster int, x double, y double")).where("d2 > 0")
-        # exponential races: the smallest -ln(u) / weight wins with chance by weight
-        row = near.orderBy(-F.log(uniform(len(chosen))) / F.col("d2"), "id").limit(1).collect()
-        if not row:
-            break
-        chosen.append((len(chosen), row[0]["x"], row[0]["y"]))
-    return spark.createDataFrame(chosen, "cluster int, x double, y double")
-
-
 def endpoint(points: Column, mask: Column) -> Column:
     """Last valid, finite point of an array of (x, y), or null."""
     ok = lambda p, m: m & ~F.isnan(p["x"]) & ~F.isnan(p["y"]) & (F.abs(p["x"]) < float("inf")) & (F.abs(p["y"]) < float("inf"))

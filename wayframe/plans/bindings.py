@@ -288,11 +288,24 @@ def _endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("id", "p.x", "p.y")
 
 
+@query("""
+WITH t AS (SELECT vec_id AS id, embedding[63]::DOUBLE AS x, embedding[64]::DOUBLE AS y FROM embeddings),
+c AS (SELECT id AS cluster, x AS cx, y AS cy FROM t WHERE id < 64),
+d AS (SELECT id, x, y, cluster, (x - cx) ** 2 + (y - cy) ** 2 AS d2 FROM t, c),
+n AS (SELECT id, any_value(x) AS x, any_value(y) AS y, arg_min(cluster, (d2, cluster)) AS cluster, min(d2) AS d2 FROM d GROUP BY id)
+SELECT cluster::INTEGER AS cluster, count(*) AS n, round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(sum(d2), 6) AS cost FROM n GROUP BY cluster""")
+def lloyd_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One step from 64 stated centroids: the ends of the first 64 paths."""
+    p = _endpoints(spark, sf_dir)
+    return N.lloyd_step(p, p.where("id < 64").select(F.col("id").cast("int").alias("cluster"), "x", "y")).select("cluster", "n", r6("x").alias("x"), r6("y").alias("y"), r6("cost").alias("cost"))
+
+
 @query()
 def anchors_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eight anchors of path endpoints, by k-means++ starts and Lloyd rounds."""
+    """64 anchors of path endpoints: the best of 10 starts, 300 Lloyd rounds at most; with their number of points and cost."""
     p = _endpoints(spark, sf_dir)
-    return N.lloyd(p, N.seeds(p, 8), 10)
+    found, _ = N.anchors(p)
+    return found.join(N.lloyd_step(p, found).select("cluster", "n", "cost"), "cluster", "left").select("cluster", "x", "y", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("cost", F.lit(0.0)).alias("cost"))
 
 
 @query("WITH " + FRAMES + """
