@@ -10,9 +10,12 @@ have the length of the longest, so the largest inner product is the smallest ang
    it shares with entries, through all trees together until twice k entries are found. The k-th best of these bounds how far
    neighbours can be. A block of queries then meets only blocks that can hold anything within its queries' bounds, ascends in
    them alike, and so tightens the bounds before the blocks that remain are searched.
-3. In such a block each query takes the entries that share at least `d` signs with it in some tree. An entry at angle x shares d signs in one
-   of t trees with chance 1 - (1 - (1 - x / pi)^d)^t, so d follows from the query's bound and `sure`, the least such chance at the bound.
-   What is found is scored exactly on the original vectors; a window picks the k best.
+3. In such a block the ascent of each query goes on to the level `d`: all entries that share at least `d` signs with it in some tree. An entry at angle
+   x shares d signs in one of t trees with chance 1 - (1 - (1 - x / pi)^d)^t, so d follows from the query's bound and `sure`, the least such
+   chance at the bound. What is found is scored exactly on the original vectors; a window picks the k best.
+
+Strings are made once, when a block is, and lie sorted beside its vectors. In a block the queries of a part are one matrix of entries, marked by ranges of
+the sorted strings, and one product of matrices scores them.
 
 So work follows the data: where neighbours stand out, strings are long, blocks few and entries few. Where they hardly do, as in
 isotropic data of many dimensions, prefixes tell little and a larger part of the entries has to be scored.
@@ -35,7 +38,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BITS = 32
+#: Signs of a hash string, the bits of one whole number.
+BITS = 60
+#: Blocks of candidates whose means one row holds.
+MEANS = 1024
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -62,7 +68,8 @@ def lengthened(x: np.ndarray, longest: float, query: bool) -> np.ndarray:
 def strings(y: np.ndarray, planes: np.ndarray) -> np.ndarray:
     """Hash strings [row, tree] of lengthened vectors."""
     signs = (y @ planes > 0).reshape(len(y), -1, BITS)
-    return (signs * (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))).sum(2)
+    whole = np.concatenate([np.zeros((*signs.shape[:2], 64 - BITS), dtype=bool), signs], axis=2)
+    return np.packbits(whole, axis=2).view(">u8")[:, :, 0].astype(np.int64)
 
 
 def angle(cosine: np.ndarray) -> np.ndarray:
@@ -84,11 +91,10 @@ def depth_for(bound: np.ndarray, trees: int, sure: float) -> np.ndarray:
 class Forest:
     """A block of candidates and their sorted hash strings, tree by tree."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, longest: float, planes: np.ndarray):
-        self.ids, self.x, self.planes = ids, x, planes
-        codes = strings(lengthened(x, longest, False), planes)
-        self.order = np.argsort(codes, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(codes, self.order, 0)
+    def __init__(self, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, order: np.ndarray):
+        """codes: [row, tree], each tree's strings sorted; order: whose they are."""
+        self.ids, self.x, self.sorted, self.order = ids, x, codes, order
+        self.longest = float(np.sqrt((x * x).sum(1).max(initial=0)))
 
     def ranges(self, codes: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """[query, tree]: where entries that share the first d signs, d by query or by query and tree, start and end."""
@@ -100,55 +106,82 @@ class Forest:
             high[:, t] = np.searchsorted(self.sorted[:, t], first[:, t] + (1 << shift[:, t]))
         return low, high
 
-    def entries(self, low: np.ndarray, high: np.ndarray, own: int) -> np.ndarray:
-        """Places of the candidates in the ranges of one query, but for the query itself."""
-        mark = np.zeros(len(self.ids), dtype=bool)
-        for t in np.flatnonzero(low < high).tolist():
-            mark[self.order[low[t] : high[t], t]] = True
-        mark[self.ids == own] = False
-        return np.flatnonzero(mark)
-
-    def ascended(self, codes: np.ndarray, own: np.ndarray, enough: int) -> list[np.ndarray]:
-        """By query, the entries of the deepest level at which the trees together hold enough, all where none does."""
+    def entries(self, codes: np.ndarray, d: np.ndarray) -> np.ndarray:
+        """[query, candidate]: which candidates share the first d signs in some tree.
+
+        Where the ranges of a tree are few or short their entries are marked one by one; where they are long, queries have them in
+        common, so each range becomes a set of bits once, and the sets of the trees are joined.
+        """
+        (m, trees), n = codes.shape, len(self.ids)
+        low, high = self.ranges(codes, d)
+        out, bits = np.zeros((m, n), dtype=bool), np.zeros((m, -(-n // 8)), dtype=np.uint8)
+        for t in range(trees):
+            if (high[:, t] - low[:, t]).sum() * 16 <= m * n:
+                row, place = spread(low[:, t], high[:, t])
+                out[row, self.order[place, t]] = True
+                continue
+            both, of = np.unique(low[:, t] * (n + 1) + high[:, t], return_inverse=True)
+            sets = np.zeros((len(both), n), dtype=bool)
+            row, place = spread(both // (n + 1), both % (n + 1))
+            sets[row, self.order[place, t]] = True
+            bits |= np.packbits(sets, axis=1)[of]
+        return out | np.unpackbits(bits, axis=1, count=n).astype(bool)
+
+    def ascended(self, codes: np.ndarray, own: np.ndarray, enough: int) -> np.ndarray:
+        """[query, candidate]: the entries of the deepest level at which the trees together hold enough, all where none does."""
         d, top = np.zeros(len(codes), dtype=np.int64), np.full(len(codes), BITS)
         while (d < top).any():  # halving, as prefixes of fewer signs hold more
             mid = (d + top + 1) // 2
             low, high = self.ranges(codes, mid)
             held = (high - low).sum(1) >= enough
             d, top = np.where(held, mid, d), np.where(held, top, mid - 1)
-        found: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * len(codes)
+        out = np.zeros((len(codes), len(self.ids)), dtype=bool)
         todo = np.arange(len(codes))
         while len(todo):  # entries of several trees are often the same ones
-            low, high = self.ranges(codes[todo], d[todo])
-            for row, i in enumerate(todo.tolist()):
-                found[i] = self.entries(low[row], high[row], int(own[i]))
-            todo = todo[(d[todo] > 0) & (np.array([len(found[i]) for i in todo.tolist()]) < enough)]
+            out[todo] = self.entries(codes[todo], d[todo]) & (own[todo, None] != self.ids)
+            todo = todo[(d[todo] > 0) & (out[todo].sum(1) < enough)]
             d[todo] -= 1
-        return found
-
-    def search(self, ids: np.ndarray, x: np.ndarray, k: int, bound: np.ndarray | None, sure: float) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
-        """(query, candidates, scores, number scored) of the k best found for each query. bound: angles; without them, from twice k entries."""
-        codes = strings(lengthened(x, 0.0, True), self.planes)
-        if bound is None:
-            held = self.ascended(codes, ids, 2 * k)
-        else:
-            low, high = self.ranges(codes, depth_for(bound, codes.shape[1], sure))
-        for i, own in enumerate(ids.tolist()):
-            at = held[i] if bound is None else self.entries(low[i], high[i], own)
-            score = (self.x[at] * x[i]).sum(1)  # row by row, so equal vectors have equal scores
-            scored = len(at)
-            if len(at) > k:
-                best = np.flatnonzero(score >= np.partition(score, len(at) - k)[len(at) - k])
-                at, score = at[best], score[best]
-            best = np.lexsort((self.ids[at], -score))[:k]
-            yield own, self.ids[at[best]], score[best], scored
-
-
-BLOCK = "p long, part long, ids binary, v binary, mean array<double>, wide double"
+        return out
+
+    def search(self, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, k: int, bound: np.ndarray | None, sure: float, at_once: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(query number, candidate, score, number scored) of the k best found for each query. bound: angles; without them, from twice k entries.
+
+        One product of matrices scores a part of the queries. It only chooses: what lies within its rounding of the k-th is scored again, row by row,
+        so that equal vectors have equal scores.
+        """
+        eps = (8 * x.shape[1] + 64) * np.finfo(float).eps if len(x) else 0.0
+        for a in range(0, len(ids), at_once):
+            own, q, c = ids[a : a + at_once], x[a : a + at_once], codes[a : a + at_once]
+            if bound is None:
+                held = self.ascended(c, own, 2 * k)
+            else:
+                held = self.entries(c, depth_for(bound[a : a + at_once], c.shape[1], sure)) & (own[:, None] != self.ids)
+            score = np.where(held, q @ self.x.T, -np.inf)
+            some = min(k, len(self.ids))
+            kth = np.partition(score, len(self.ids) - some, axis=1)[:, len(self.ids) - some]
+            slack = 2 * eps * np.sqrt((q * q).sum(1)) * self.longest
+            row, at = np.nonzero(held & (score >= (kth - slack)[:, None]))
+            exact = (self.x[at] * q[row]).sum(1)
+            order = np.lexsort((self.ids[at], -exact, row))
+            row, at, exact = row[order], at[order], exact[order]
+            best = np.arange(len(row)) - np.searchsorted(row, row) < k
+            row, at, exact = row[best], at[best], exact[best]
+            yield row + a, self.ids[at], exact, held.sum(1)[row]
+
+
+def spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the range, place) of all places in ranges."""
+    size = high - low
+    row = np.repeat(np.arange(len(low)), size)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low, size)
+
+
+BLOCK = "p long, part long, ids binary, v binary, codes binary, placed binary, mean array<double>, wide double"
 
 
 def blocks(rows: DataFrame, planes: np.ndarray, longest: float, query: bool, bits: int, size: int) -> DataFrame:
-    """Rows of BLOCK: of vectors whose first strings begin with p, parts of about `size`; mean direction, and largest angle to it."""
+    """Rows of BLOCK: of vectors whose first strings begin with p, parts of about `size`, with the hash strings of all trees, sorted by tree unless
+    they are queries; mean direction, and largest angle to it. Strings are made here, once."""
 
     def locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -159,10 +192,17 @@ def blocks(rows: DataFrame, planes: np.ndarray, longest: float, query: bool, bit
         b = b.sort_values("vec_id", kind="stable")
         x = np.array(b["v"].tolist(), dtype=np.float64)
         y = lengthened(x, longest, query)
+        codes, order = np.concatenate([strings(y[a : a + 1024], planes) for a in range(0, len(y), 1024)]), None
+        if not query:
+            order = np.argsort(codes, axis=0, kind="stable")
+            codes = np.take_along_axis(codes, order, 0)
         y /= np.sqrt((y * y).sum(1, keepdims=True))
         mean = y.mean(0)
         mean = mean / max(float(np.sqrt(mean @ mean)), 1e-300)
-        return pd.DataFrame({"p": [key[0]], "part": [key[1]], "ids": [b["vec_id"].to_numpy(dtype="<i8").tobytes()], "v": [x.astype("<f8").tobytes()], "mean": [mean], "wide": [float(angle(y @ mean).max())]})
+        return pd.DataFrame({
+            "p": [key[0]], "part": [key[1]], "ids": [b["vec_id"].to_numpy(dtype="<i8").tobytes()], "v": [x.astype("<f8").tobytes()], "codes": [codes.astype("<i8").tobytes()],
+            "placed": [None if order is None else order.astype("<i4").tobytes()], "mean": [mean], "wide": [float(angle(y @ mean).max())],
+        })
 
     placed = common.in_batches(rows).mapInPandas(locate, "vec_id long, v array<double>, p long")
     sizes = placed.groupBy("p").agg(F.ceil(F.count("*") / size).alias("parts"))
@@ -170,7 +210,7 @@ def blocks(rows: DataFrame, planes: np.ndarray, longest: float, query: bool, bit
     return dealt.groupBy("p", "part").applyInPandas(run, BLOCK)
 
 
-def nearest(candidates: DataFrame, queries: DataFrame, k: int = 20, trees: int = 128, sure: float = 0.92, block: int = 8192, query_block: int = 1024, seed: int = 11, count_scored: bool = False) -> DataFrame:
+def nearest(candidates: DataFrame, queries: DataFrame, k: int = 20, trees: int = 48, sure: float = 0.92, block: int = 8192, query_block: int = 1024, seed: int = 11, count_scored: bool = False) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query the k nearest found among the candidates other than itself.
 
     candidates and queries: (vec_id, v) of usable(). count_scored: instead, (query_id, scored), how many candidates each query was scored against.
@@ -185,7 +225,7 @@ def nearest(candidates: DataFrame, queries: DataFrame, k: int = 20, trees: int =
     c = common.checkpointed(blocks(candidates, planes, longest, False, bits, block))
     q = common.checkpointed(blocks(queries, planes, longest, True, bits, query_block))
     place = lambda name: F.struct("p", "part").alias(name)
-    q_rows = q.select(place("q"), F.col("ids").alias("q_ids"), F.col("v").alias("q_v"))
+    q_rows = q.select(place("q"), F.col("ids").alias("q_ids"), F.col("v").alias("q_v"), F.col("codes").alias("q_codes"))
 
     kind = "struct<p: long, part: long>"
     hit = f"q {kind}, query_id long, vec_id long, score double, cosine double, scored long"
@@ -197,26 +237,25 @@ def nearest(candidates: DataFrame, queries: DataFrame, k: int = 20, trees: int =
                 for row in b.itertuples():
                     if row.ids is not None:  # a block of candidates comes before the blocks of queries that meet it
                         ids = np.frombuffer(row.ids, dtype="<i8")
-                        name, forest = (row.c["p"], row.c["part"]), Forest(ids, np.frombuffer(row.v, dtype="<f8").reshape(len(ids), -1), longest, planes)
+                        codes, order = (np.frombuffer(v, dtype=t).reshape(len(ids), -1) for v, t in ((row.codes, "<i8"), (row.placed, "<i4")))
+                        name, forest = (row.c["p"], row.c["part"]), Forest(ids, np.frombuffer(row.v, dtype="<f8").reshape(len(ids), -1), codes, order)
                         continue
                     assert name == (row.c["p"], row.c["part"])
                     mine = np.frombuffer(row.q_ids, dtype="<i8")
-                    x = np.frombuffer(row.q_v, dtype="<f8").reshape(len(mine), -1)
+                    x, codes = (np.frombuffer(v, dtype=t).reshape(len(mine), -1) for v, t in ((row.q_v, "<f8"), (row.q_codes, "<i8")))
                     bound = None
                     if bounded:
                         bound = np.full(len(mine), np.pi)
                         bound[np.searchsorted(mine, np.frombuffer(row.b_ids, dtype="<i8"))] = np.frombuffer(row.b_angle, dtype="<f8")
-                    found = list(forest.search(mine, x, k, bound, sure))
-                    n = [len(f[1]) for f in found]
-                    query, score = np.repeat(mine, n), np.concatenate([f[2] for f in found])
-                    size = np.repeat(np.sqrt((x * x).sum(1)) * longest, n)
-                    scored = np.repeat([f[3] for f in found], n) // np.maximum(np.repeat(n, n), 1)  # in all, about what was scored
-                    if len(query):
-                        yield pd.DataFrame({"q": [row.q] * len(query), "query_id": query, "vec_id": np.concatenate([f[1] for f in found]), "score": score, "cosine": score / size, "scored": scored})
+                    at, found, score, scored = (np.concatenate(c) for c in zip(*forest.search(mine, x, codes, k, bound, sure)))
+                    if len(at):
+                        size = np.sqrt((x * x).sum(1))[at] * longest
+                        scored = scored // np.bincount(at)[at]  # in all, about what was scored
+                        yield pd.DataFrame({"q": [row.q] * len(at), "query_id": mine[at], "vec_id": found, "score": score, "cosine": score / size, "scored": scored})
 
         return each
 
-    c_rows = c.select(place("c"), "ids", "v")
+    c_rows = c.select(place("c"), "ids", "v", "codes", "placed")
 
     def met(pairs: DataFrame, bounded: bool) -> DataFrame:
         """What the blocks of queries of pairs (q, c, ...) find in the blocks of candidates; a block of candidates is one task's, and built once."""
@@ -230,9 +269,22 @@ def nearest(candidates: DataFrame, queries: DataFrame, k: int = 20, trees: int =
         return pd.DataFrame({"q": [dict(zip(("p", "part"), key))], "b_ids": [b["query_id"].to_numpy(dtype="<i8").tobytes()], "b_angle": [angle(b["cosine"].to_numpy()).astype("<f8").tobytes()], "held": [len(b)], "most": [float(angle(b["cosine"].to_numpy()).max())]})
 
     by_query = Window.partitionBy("q", "query_id").orderBy(F.desc("cosine"))
-    means = c.select(place("c"), F.col("mean").alias("c_mean"), F.col("wide").alias("c_wide"))
-    dot = F.aggregate(F.zip_with("q_mean", "c_mean", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    apart = F.acos(F.greatest(F.least(dot, F.lit(1.0)), F.lit(-1.0))) - F.col("q_wide") - F.col("c_wide")
+    # means of blocks in pieces of about MEANS, of which each of the queries' meets each of the rows'
+    def in_pieces(b: DataFrame, name: str, n: int, *more: str) -> DataFrame:
+        held = b.withColumn(f"{name}_piece", F.pmod(F.xxhash64(name), F.lit(n)))
+        return held.groupBy(f"{name}_piece").agg(*[F.collect_list(c).alias(f"{name}_{c}") for c in (name, "mean", "wide", *more)])
+
+    c_pieces, q_pieces = (max(1, -(-facts["n"] // (size * MEANS))) for size in (block, query_block))
+    means = in_pieces(c.select(place("c"), "mean", "wide"), "c", c_pieces)
+
+    def reached(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """(q, c): the blocks whose members can be within `far` of those of a block of queries."""
+        for b in batches:
+            for r in b.itertuples():
+                apart = angle(np.array([list(m) for m in r.q_mean]) @ np.array([list(m) for m in r.c_mean]).T) - np.array(r.q_wide)[:, None] - np.array(r.c_wide)
+                for i in range(len(apart)):
+                    near = np.flatnonzero(apart[i] <= r.q_far[i] + 1e-6).tolist()
+                    yield pd.DataFrame({"q": [r.q_q[i]] * len(near), "c": [r.c_c[j] for j in near]})
 
     def within(hits: DataFrame) -> DataFrame:
         """(q, c, b_ids, b_angle): the blocks that can hold anything as near as the k-th of the hits, which bounds each query."""
@@ -240,8 +292,11 @@ def nearest(candidates: DataFrame, queries: DataFrame, k: int = 20, trees: int =
         known = kth.groupBy("p", "part").applyInPandas(widest, f"q {kind}, b_ids binary, b_angle binary, held long, most double")
         mine = q.select(place("q"), F.col("mean").alias("q_mean"), F.col("wide").alias("q_wide"), (F.length("ids") / 8).alias("n")).join(known, "q", "left")
         mine = mine.withColumn("far", F.when(F.col("held") == F.col("n"), F.col("most")).otherwise(float(np.pi)))
-        # of the stated queries, blocks against blocks of rows: only their means meet
-        near = mine.join(means, apart <= F.col("far") + 1e-6)
+        # of the stated queries, blocks against blocks of rows: only their means meet, a piece at a time
+        mine = common.checkpointed(mine)
+        pairs = in_pieces(mine.select("q", F.col("q_mean").alias("mean"), F.col("q_wide").alias("wide"), "far"), "q", q_pieces, "far")
+        pairs = pairs.withColumn("c_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(c_pieces - 1).cast("long")))).join(means, "c_piece")
+        near = common.in_batches(pairs).mapInPandas(reached, f"q {kind}, c {kind}").join(mine, "q")
         none = F.lit(b"")
         return common.checkpointed(near.select("q", "c", F.coalesce("b_ids", none).alias("b_ids"), F.coalesce("b_angle", none).alias("b_angle")))
 
@@ -250,10 +305,11 @@ def nearest(candidates: DataFrame, queries: DataFrame, k: int = 20, trees: int =
     some = c.agg(F.min(F.struct("p", "part")).alias("any"))  # one row
     home = q.select("p", place("q")).join(own, "p", "left").crossJoin(F.broadcast(some)).select("q", F.coalesce("own", "any").alias("c"))
     first = common.checkpointed(met(home, False))
-    again = common.checkpointed(met(within(first).select("q", "c"), False))
+    # with one block the second step would only repeat the first
+    again = first if facts["n"] <= block else common.checkpointed(met(within(first).select("q", "c"), False))
     hits = met(within(again), True)
     if count_scored:
-        return first.unionByName(again).unionByName(hits).groupBy("query_id").agg(F.sum("scored").alias("scored"))
+        return (first if again is first else first.unionByName(again)).unionByName(hits).groupBy("query_id").agg(F.sum("scored").alias("scored"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.select("query_id", "vec_id", "score").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
