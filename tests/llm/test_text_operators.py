@@ -544,3 +544,18 @@ def test_short_passages_by_brute_force(spark):
     assert want[:6] == [(1, 0), (1, 1), (1, 0), (1, 1), (2, 0), (2, 2)] and want[7] == (2, 1) and want[11] == (3, 2)
     assert [(x["n_lines"], x["n_removed"]) for x in rows] == want
     assert all(len([y for y in x["text"].split("\n") if WORD.search(y)]) == x["n_lines"] - x["n_removed"] for x in rows)
+
+
+def test_training_sample_is_bounded_for_one_hot_doc_id(spark):
+    rows = [(1, f"text {i}") for i in range(3000)] + [(i, f"other {i}") for i in range(3, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0)] * 50 + [(i, i % 2, 0) for i in range(3, 40)], "doc_id long, quality int, toxic int")
+    seen = []
+    real = quality_cnn.Network.fit
+    try:
+        quality_cnn.Network.fit = lambda self, texts, y: seen.append((texts, list(y))) or self
+        for d in (docs, docs.repartition(5)):
+            quality_cnn.train(d, labels)
+    finally:
+        quality_cnn.Network.fit = real
+    assert seen[0] == seen[1] and len(seen[0][0]) <= 38 and sum(t.startswith(b"text") for t in seen[0][0]) == 1

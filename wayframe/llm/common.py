@@ -34,12 +34,12 @@ def n_words(text: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share. Where none is set: the warehouse, or, in local mode, a temporary one."""
+    """The folder of spark.checkpoint.dir, which all executors share. Where none is set: a temporary one in local mode, an error on a cluster."""
     if folder := spark.conf.get("spark.checkpoint.dir", None):
         return folder
     if spark.sparkContext.master.startswith("local"):
         return f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}"
-    return f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
+    raise ValueError("spark.checkpoint.dir is not set: tables in between need a folder that all machines share")
 
 
 def checkpointed(df: DataFrame, *used: DataFrame) -> DataFrame:

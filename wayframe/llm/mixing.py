@@ -1,7 +1,8 @@
 """Mix sources to target weights by hash-random order, distributed prefix sums and exact cuts.
 
 Nulls: a null text has size 0; null sources form one source, which sorts last; a null doc_id only changes the key.
-Empty tables give empty results, repeated rows are separate rows, and input columns named as result columns are replaced.
+Empty tables give empty results, repeated rows are separate rows, and input columns named as result columns are replaced. Rows of equal
+keys have equal doc_ids and texts, so it does not matter which comes first. Texts of any length count whole. Sources are as many as one task can order, some millions.
 """
 
 from __future__ import annotations

@@ -4,7 +4,9 @@ Each filter is a table of weights by place in a window of bytes and by byte. Win
 UTF-8 text. They fall into chunks, whose texts overlap by the window less its stride, and the chunks cover the whole text.
 A chunk's feature is the largest response of a filter in it, cut at zero; a document has the mean and the largest of its
 chunks, and one logistic unit turns those into a probability. A null or empty text has no windows and gets the score of
-the bias, which is trained with the rest. Rows repeated, in labels or documents, are separate rows.
+the bias, which is trained with the rest. Repeated documents are separate rows of the result, and count once in training, as repeated labels do. An
+empty table of documents, or of labels, gives an untrained network, and an empty table an empty result. Ties in training go by hash, then label.
+Texts of any length are scored whole, about a megabyte at a time or one text; input columns named as result columns are replaced.
 
 Only the text is seen: labels, lang, source and doc_id are never inputs of a score.
 """
@@ -133,13 +135,17 @@ class Network:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 2500, max_bytes: int = 20_000) -> Network:
-    """Fit on a bounded sample: at most `max_rows` labelled rows outside the held-out fold, in hash order, of at most `max_bytes`."""
+    """Fit on a bounded sample: at most `max_rows` pairs of a doc_id and its label outside the held-out fold, in hash order, each with one text of
+    at most `max_bytes`: of several texts of a doc_id the first by hash. Without such rows the network is as it starts."""
     known = labels.where(F.col("quality").isNotNull() & ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
-    picked = known.select("doc_id", F.col("quality").cast("int").alias("_y")).orderBy(F.md5(F.concat(F.lit("fit:"), F.col("doc_id").cast("string"))), "_y").limit(max_rows)
-    # proven bound: max_rows rows of two numbers
-    rows = docs.select("doc_id", F.col("text").alias("__text")).where(F.octet_length(F.coalesce("__text", F.lit(""))) <= max_bytes).join(F.broadcast(picked), "doc_id").toPandas()
+    pairs = known.select("doc_id", F.col("quality").cast("int").alias("_y")).distinct()
+    picked = pairs.orderBy(F.md5(F.concat(F.lit("fit:"), F.col("doc_id").cast("string"))), "_y").limit(max_rows)
+    # broadcast: max_rows rows of two numbers; to the driver: a row for each of them, of max_bytes at most
+    text = F.col("__text")
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("__text")).where(F.octet_length(text) <= max_bytes).join(F.broadcast(picked), "doc_id")
+    rows = found.groupBy("doc_id", "_y").agg(F.min(F.struct(F.md5(text), text.alias("t")))["t"].alias("__text")).toPandas()
     rows = rows.sort_values(["doc_id", "_y", "__text"], kind="stable")
-    texts = [(t or "").encode("utf-8", "replace") for t in rows["__text"]]
+    texts = [t.encode("utf-8", "replace") for t in rows["__text"]]
     return Network().fit(texts, rows["_y"].to_numpy(dtype=np.float64)) if len(rows) else Network()
 
 

@@ -6,7 +6,7 @@ Each junk rule votes bad or abstains, since the absence of one kind of junk says
 where every measure is in its good range. A rule's accuracy is the chance that its vote, when it votes, agrees with the hidden
 quality; rules that agree with each other raise each other's. A document is kept if its posterior of good quality is at least
 0.5 and the base rules do not fail it. Null texts have no words and fail.
-Repeated rows are separate rows; an empty table gives an empty result; clashing column names are replaced.
+Texts of any length are measured whole, in time in proportion to it. Repeated rows are separate rows; patterns of equal posterior are treated alike; an empty table gives an empty result; clashing column names are replaced.
 """
 
 from __future__ import annotations
