@@ -144,7 +144,7 @@ class Forest:
         return out
 
     def search(self, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, k: int, bound: np.ndarray | None, sure: float, at_once: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(query number, candidate, score, number scored) of the k best found for each query. bound: angles; without them, from twice k entries.
+        """(query number, place of the candidate, score, number scored) of the k best found for each query. bound: angles; without them, from twice k entries.
 
         One product of matrices scores a part of the queries. It only chooses: what lies within its rounding of the k-th is scored again, row by row,
         so that equal vectors have equal scores.
@@ -166,7 +166,7 @@ class Forest:
             row, at, exact = row[order], at[order], exact[order]
             best = np.arange(len(row)) - np.searchsorted(row, row) < k
             row, at, exact = row[best], at[best], exact[best]
-            yield row + a, self.ids[at], exact, held.sum(1)[row]
+            yield row + a, at, exact, held.sum(1)[row]
 
 
 def spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -228,7 +228,7 @@ def nearest(candidates: DataFrame, queries: DataFrame, k: int = 20, trees: int =
     q_rows = q.select(place("q"), F.col("ids").alias("q_ids"), F.col("v").alias("q_v"), F.col("codes").alias("q_codes"))
 
     kind = "struct<p: long, part: long>"
-    hit = f"q {kind}, query_id long, vec_id long, score double, cosine double, scored long"
+    hit = f"q {kind}, c {kind}, place long, query_id long, vec_id long, score double, cosine double, scored long"
 
     def search(bounded: bool):
         def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -251,7 +251,7 @@ def nearest(candidates: DataFrame, queries: DataFrame, k: int = 20, trees: int =
                     if len(at):
                         size = np.sqrt((x * x).sum(1))[at] * longest
                         scored = scored // np.bincount(at)[at]  # in all, about what was scored
-                        yield pd.DataFrame({"q": [row.q] * len(at), "query_id": mine[at], "vec_id": found, "score": score, "cosine": score / size, "scored": scored})
+                        yield pd.DataFrame({"q": [row.q] * len(at), "c": [row.c] * len(at), "place": found, "query_id": mine[at], "vec_id": forest.ids[found], "score": score, "cosine": score / size, "scored": scored})
 
         return each
 
@@ -310,6 +310,10 @@ def nearest(candidates: DataFrame, queries: DataFrame, k: int = 20, trees: int =
     hits = met(within(again), True)
     if count_scored:
         return (first if again is first else first.unionByName(again)).unionByName(hits).groupBy("query_id").agg(F.sum("scored").alias("scored"))
+    # a level is deep enough for an entry at the bound with the chance `sure`, so what an earlier step found counts too
+    for step in [first] if again is first else [first, again]:
+        hits = hits.unionByName(step)
+    hits = hits.groupBy("query_id", "c", "place").agg(F.first("vec_id").alias("vec_id"), F.first("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.select("query_id", "vec_id", "score").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .clusters import anchors, inertia, lloyd, lloyd_step, seeds  # noqa: F401
 
@@ -32,25 +33,49 @@ def scaled(rows: DataFrame, vector: str, scaler: DataFrame) -> DataFrame:
     return joined.withColumn(vector, F.zip_with(vector, "_s", lambda v, s: (v - s["mean"]) / s["std"])).drop("_s")
 
 
-def knn(queries: DataFrame, index: DataFrame, k: int = 4, metric: str = "euclidean", exclude_self: bool = True, exclude_group: bool = True, block: int = 4096) -> DataFrame:
+def checked_matrix(x: np.ndarray, nonzero: bool = False) -> np.ndarray:
+    """x, or an error where it is no matrix, has no columns, a number that is not finite or, if nonzero, a row of zeros, which has no direction."""
+    if x.ndim != 2 or not x.shape[1]:
+        raise ValueError(f"vectors of shape {x.shape}: one width, and not empty")
+    if not np.isfinite(x).all():
+        raise ValueError("vectors with numbers that are not finite")
+    if nonzero and not (x != 0).any(1).all():
+        raise ValueError("a zero vector has no cosine")
+    return x
+
+
+def knn(
+    queries: DataFrame, index: DataFrame, k: int = 4, metric: str = "euclidean", exclude_self: bool = True, exclude_group: bool = True, block: int = 4096, pad: bool = False
+) -> DataFrame:
     """(query_id, rank, neighbor_id, distance): the k nearest of (id, grp, v), exact, ties to the smaller id. A null group is in no group.
 
+    Ids are whole numbers or texts, of one kind on both sides; rows without an id take no part. Vectors must have one width, finite numbers and, under cosine, a
+    length above zero: others are an error. Queries with fewer than k neighbours have fewer rows, or, with pad, rows up to k without neighbour at an infinite distance.
+
     Both sides are packed into blocks of rows; a pair of blocks is one matrix product, and what it returns is k rows a query.
     Neither side is broadcast or held whole. Products only choose candidates, within a bound of their rounding of the k-th; the
     distances of these are sums over components in double precision, so equal vectors are equally far.
     """
-    if metric not in ("euclidean", "cosine"):
-        raise ValueError(metric)
-    nq, ni = -(-queries.count() // block) or 1, -(-index.count() // block) or 1
+    if metric not in ("euclidean", "cosine") or k < 1:
+        raise ValueError(f"{metric}, k {k}")
+    kind = "long" if all(isinstance(d.schema["id"].dataType, T.IntegralType) for d in (queries, index)) else "string"
+    queries, index = (d.where(F.col("id").isNotNull()) for d in (queries, index))
+    n = queries.select(F.lit(1).alias("q")).unionByName(index.select(F.lit(0).alias("q"))).agg(F.sum("q"), F.count("*")).first()
+    nq, ni = (-(-m // block) or 1 for m in (n[0] or 0, n[1] - (n[0] or 0)))
+
+    def vectors(v: pd.Series) -> np.ndarray:
+        if len({len(x) if x is not None else -1 for x in v}) > 1:
+            raise ValueError("vectors of several widths")
+        return checked_matrix(np.array([[np.nan if y is None else y for y in x] for x in v], dtype="<f8"), metric == "cosine")
 
     def packed(rows: DataFrame, n: int, name: str) -> DataFrame:
         def run(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
             b = b.sort_values("id", kind="stable")
             grp = [g if isinstance(g, str) else None for g in b["grp"]]
-            return pd.DataFrame({name: [key[0]], f"{name}_ids": [b["id"].tolist()], f"{name}_grp": [grp], f"{name}_v": [np.array(b["v"].tolist(), dtype="<f8").tobytes()]})
+            return pd.DataFrame({name: [key[0]], f"{name}_ids": [b["id"].tolist()], f"{name}_grp": [grp], f"{name}_v": [vectors(b["v"]).tobytes()]})
 
-        numbered = rows.select(F.col("id").cast("long"), F.col("grp").cast("string").alias("grp"), "v").withColumn(name, F.pmod(F.xxhash64("id"), F.lit(n)))
-        return numbered.groupBy(name).applyInPandas(run, f"{name} long, {name}_ids array<long>, {name}_grp array<string>, {name}_v binary")
+        numbered = rows.select(F.col("id").cast(kind), F.col("grp").cast("string").alias("grp"), "v").withColumn(name, F.pmod(F.xxhash64("id"), F.lit(n)))
+        return numbered.groupBy(name).applyInPandas(run, f"{name} long, {name}_ids array<{kind}>, {name}_grp array<string>, {name}_v binary")
 
     pairs = packed(index, ni, "i").withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long")))).join(packed(queries, nq, "q"), "q")
 
@@ -92,9 +117,15 @@ def knn(queries: DataFrame, index: DataFrame, k: int = 4, metric: str = "euclide
                     near, far = (np.concatenate([f[c] for f in found]) for c in (0, 1))
                     yield pd.DataFrame({"query_id": np.repeat(mine[at : at + 256], [len(f[0]) for f in found]), "neighbor_id": near, "distance": far})
 
-    hits = pairs.mapInPandas(run, "query_id long, neighbor_id long, distance double")
+    hits = pairs.mapInPandas(run, f"query_id {kind}, neighbor_id {kind}, distance double")
     order = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
-    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "neighbor_id", "distance")
+    near = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "neighbor_id", "distance")
+    if not pad:
+        return near
+    held = queries.select(F.col("id").cast(kind).alias("query_id")).distinct().join(near.groupBy("query_id").agg(F.count("*").cast("int").alias("n")), "query_id", "left")
+    few = held.withColumn("n", F.coalesce("n", F.lit(0))).where(F.col("n") < k)
+    more = few.select("query_id", F.explode(F.sequence(F.col("n") + 1, F.lit(k))).alias("rank"), F.lit(None).cast(kind).alias("neighbor_id"), F.lit(float("inf")).alias("distance"))
+    return near.unionByName(more)
 
 
 def mean_context(neighbors: DataFrame, contexts: DataFrame, inverse_distance: bool = True, eps: float = 1e-6, queries: DataFrame | None = None, width: int = 17) -> DataFrame:

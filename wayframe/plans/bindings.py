@@ -6,7 +6,6 @@ embeddings of 64 numbers are paths of 32 points or retrieval vectors. Results th
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -90,12 +89,13 @@ def knn_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH e AS (SELECT vec_id, label, embedding[1:17]::DOUBLE[] AS v FROM embeddings),
+WITH e AS (SELECT 'v' || vec_id AS vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
 d AS (SELECT q.vec_id AS query_id, i.vec_id AS neighbor_id, 1 - list_cosine_similarity(q.v, i.v) AS distance FROM e q, e i WHERE q.vec_id <> i.vec_id)
 SELECT query_id, rank::INTEGER AS rank, neighbor_id, round(distance, 6) AS distance
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM d) WHERE rank <= 3""")
 def knn_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("grp"), F.slice("embedding", 1, 17).alias("v"))
+    """Three nearest by cosine; ids are texts."""
+    e = read(spark, sf_dir, "embeddings").select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("id"), F.col("label").alias("grp"), F.col("embedding").alias("v"))
     return N.knn(e, e, 3, "cosine", exclude_group=False).withColumn("distance", r6("distance"))
 
 
@@ -495,16 +495,6 @@ def scene_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames(spark, sf_dir).groupBy("user_id").agg(r6(F.min("x") - 5).alias("x0"), r6(F.max("x") + 5).alias("x1"), r6(low - 5).alias("y0"), r6(high + 5).alias("y1"))
 
 
-@query()
-def student_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A network 64-128-128-30 with seeded weights over standardised vectors."""
-    r = np.random.default_rng(0)
-    layers = [(r.standard_normal((a, b)) / a**0.5, np.zeros(b)) for a, b in ((64, 128), (128, 128), (128, 30))]
-    e = read(spark, sf_dir, "embeddings")
-    z = N.scaled(e, "embedding", N.moments(e, "embedding", two_moment=True)).select("vec_id", "embedding")
-    return models.mlp(z, "embedding", layers).select("vec_id", F.transform("output", lambda x: F.round(x, 6)).alias("output"))
-
-
 @query("WITH " + FRAMES + """,
 h AS (SELECT user_id, list(x ORDER BY t) AS xs FROM f GROUP BY user_id),
 p AS (SELECT *, range(0, greatest(10 - len(xs), 0)) AS gap FROM h)

@@ -1,13 +1,16 @@
-"""Queries that write given tables in the formats of sources and sinks and read them back, and the SQL that gives the same rows."""
+"""Queries of sources, sinks, runs and training over given tables, which they write and read back, and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import batches, models, runs, training
+from ..operators import retrieval as N
 from ..operators import samples as S
-from ..sources import lines, mat
+from ..sources import arrays, lines, mat
 from ..sources.shared import shared_folder
 from .bindings import query, read
 
@@ -43,3 +46,79 @@ def mat_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = mat.read_mat(spark, path, f"traj_id long, name string, lane_status int, ctx struct<ego: {S.MATRIX}, phys_tl: {S.MATRIX}>", "samples", partition_bytes=1 << 20)
     total = lambda k: F.round(F.aggregate("ctx.ego", F.lit(0.0), lambda s, r: s + r[k]), 6)
     return back.select(F.col("traj_id").alias("vec_id"), "name", "lane_status", F.size("ctx.ego").cast("long").alias("steps"), total(0).alias("x"), total(1).alias("y"), F.round(F.element_at("ctx.ego", -1)[0], 6).alias("last_x"))
+
+
+@query("""
+SELECT conv_id || ':' || turn AS sample_id, CASE WHEN text IS NULL OR length(text) = 0 THEN 'generation_error' WHEN length(text) % 5 = 0 THEN 'parse_error' ELSE 'ok' END AS status,
+  CASE WHEN length(text) % 5 <> 0 THEN length(text)::BIGINT END AS size, turn % 2 = 0 AS first_run FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY role, text) = 1""")
+def committed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run over the even turns, then one over all turns that resumes behind it; a stub answers with the length of the prompt. The rows are those of the log."""
+    c = read(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("sample_id"), "turn", "role", "text")
+    c = c.groupBy("sample_id", "turn").agg(F.min(F.struct("role", "text"))["text"].alias("text")).withColumn("prompt_text", F.when(F.length("text") > 0, F.col("text")))
+
+    def parse(raw: str) -> dict:
+        if int(raw) % 5 == 0:
+            raise ValueError("a multiple of five")
+        return {"size": int(raw)}
+
+    path = f"{shared_folder(spark)}/run"
+    ask = lambda prompts: [str(len(p)) for p in prompts]
+    first = runs.run(c.where("turn % 2 = 0"), path, ask, parse, batch=64)
+    then = runs.run(c, path, ask, parse, batch=64)
+    assert then["skipped"] == first["written"] == first["input"]
+    schema = T.StructType([T.StructField("sample_id", T.StringType()), T.StructField("status", T.StringType()), T.StructField("size", T.LongType())])
+    return lines.valid_jsonl(lines.read_jsonl(spark, path, schema)).withColumn("first_run", F.substring_index("sample_id", ":", -1).cast("long") % 2 == 0)
+
+
+@query("""
+WITH p AS (SELECT vec_id, unnest(range(1, 65)) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings)
+SELECT vec_id::VARCHAR AS sample_id, count(*) AS width, round(sum(x * pos), 5) AS checksum, round(max(x), 6) AS largest FROM p GROUP BY vec_id""")
+def vector_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors to numpy files of parts and back, checked on load."""
+    path = f"{shared_folder(spark)}/vectors"
+    arrays.write_arrays(read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sample_id"), F.col("embedding").alias("vector")), path, 64)
+    v = F.transform("vector", lambda x: x.cast("double"))
+    total = F.aggregate(F.transform(v, lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    return arrays.read_arrays(spark, path, 64).select("sample_id", F.size("vector").cast("long").alias("width"), F.round(total, 5).alias("checksum"), F.round(F.array_max(v), 6).alias("largest"))
+
+
+@query("""
+WITH n AS (SELECT event_id, value, row_number() OVER (ORDER BY md5('7:2:' || event_id), event_id) - 1 AS k FROM events),
+b AS (SELECT k // 64 AS batch, count(*) AS n, avg(value) AS mean, min(event_id) AS lowest FROM n GROUP BY batch)
+SELECT batch, n, round(mean, 6) AS mean, lowest, round(sum(mean * n) OVER () / sum(n) OVER (), 6) AS weighted FROM b""")
+def mini_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of 64 events in a random order, the last one of the rest, with the mean over batches weighted by their sizes."""
+    cut = batches.mini_batches(read(spark, sf_dir, "events").select("event_id", "value"), 64, "event_id", seed=7, epoch=2)
+    each = cut.groupBy("batch").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.min("event_id").alias("lowest"))
+    whole = batches.weighted_mean(each, "mean").select(F.round("mean", 6).alias("weighted"))
+    return each.crossJoin(F.broadcast(whole)).select("batch", "n", F.round("mean", 6).alias("mean"), "lowest", "weighted")  # one row
+
+
+def stated_layers() -> training.Layers:
+    """Weights by a rule, as in the SQL."""
+    w = lambda a, b: np.array([[((i * 31 + j * 17) % 23 - 11) / 50 for j in range(b)] for i in range(a)])
+    return [(w(a, b), np.array([((j * 7) % 5 - 2) / 10 for j in range(b)])) for a, b in ((64, 16), (16, 16), (16, 30))]
+
+
+@query("""
+WITH p AS (SELECT vec_id, unnest(range(0, 64)) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings),
+m AS (SELECT pos, avg(x)::FLOAT::DOUBLE AS mean, avg(x * x) AS sq FROM p GROUP BY pos),
+z AS (SELECT vec_id, list((x - mean) / greatest(sqrt(greatest(sq - mean * mean, 1e-6)), 1e-6) ORDER BY p.pos) AS z FROM p JOIN m USING (pos) GROUP BY vec_id),
+a AS (SELECT vec_id, list_transform(range(0, 16), lambda j: greatest(0, ((j * 7) % 5 - 2) / 10.0::DOUBLE + list_sum(list_transform(range(0, 64), lambda i: z[i + 1] * ((i * 31 + j * 17) % 23 - 11) / 50.0::DOUBLE)))) AS h FROM z),
+b AS (SELECT vec_id, list_transform(range(0, 16), lambda j: greatest(0, ((j * 7) % 5 - 2) / 10.0::DOUBLE + list_sum(list_transform(range(0, 16), lambda i: h[i + 1] * ((i * 31 + j * 17) % 23 - 11) / 50.0::DOUBLE)))) AS h FROM a)
+SELECT vec_id, list_transform(range(0, 30), lambda j: round(((j * 7) % 5 - 2) / 10.0::DOUBLE + list_sum(list_transform(range(0, 16), lambda i: h[i + 1] * ((i * 31 + j * 17) % 23 - 11) / 50.0::DOUBLE)), 5) + 0.0::DOUBLE) AS output FROM b""")
+def student_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A network of stated weights over standardised vectors."""
+    e = read(spark, sf_dir, "embeddings")
+    z = N.scaled(e, "embedding", N.moments(e, "embedding", two_moment=True)).select("vec_id", "embedding")
+    return models.mlp(z, "embedding", stated_layers()).select("vec_id", F.transform("output", lambda x: F.round(x, 5) + 0.0).alias("output"))  # no negative zero
+
+
+@query()
+def student_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three epochs of the student on standardised vectors, towards the outputs of the network of stated weights; every fifth row is for validation."""
+    e = read(spark, sf_dir, "embeddings")
+    z = N.scaled(e, "embedding", N.moments(e, "embedding", two_moment=True)).select("vec_id", "embedding")
+    rows = models.mlp(z, "embedding", stated_layers()).select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"), F.col("output").alias("y"))
+    _, history = training.train_student(rows.where("id % 5 <> 0"), rows.where("id % 5 = 0"), hidden=32, epochs=3, batch=512, rate=0.003)
+    return history.select("epoch", *[F.round(c, 6).alias(c) for c in history.columns if c != "epoch"])
