@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import batches, models, runs, training
+from ..operators import batches, models, raster, runs, training
 from ..operators import retrieval as N
 from ..operators import samples as S
 from ..sources import arrays, lines, mat
 from ..sources.shared import shared_folder
-from .bindings import query, read
+from .bindings import FRAMES, frames, query, read
 
 
 @query("""
@@ -122,3 +122,38 @@ def student_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = models.mlp(z, "embedding", stated_layers()).select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"), F.col("output").alias("y"))
     _, history = training.train_student(rows.where("id % 5 <> 0"), rows.where("id % 5 = 0"), hidden=32, epochs=3, batch=512, rate=0.003)
     return history.select("epoch", *[F.round(c, 6).alias(c) for c in history.columns if c != "epoch"])
+
+
+#: Extents and places of the scenes of raster_pixels in 96 x 96 pixels with a margin of 8.
+SCENES = FRAMES + """,
+r AS (SELECT DISTINCT user_id, event_type FROM f),
+o AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_type) - 1 AS layer FROM r),
+g AS (SELECT f.user_id AS scene, event_type AS role, layer * 2 AS layer, t, y AS lat, x AS lon, CASE WHEN layer = 0 THEN 13774125 WHEN layer = 1 THEN 15829528 WHEN layer = 2 THEN 2530139 WHEN layer = 3 THEN 2386356 ELSE 6252142 END AS color
+      FROM f JOIN o USING (user_id, event_type)),
+l AS (SELECT DISTINCT scene, unnest([0.0::DOUBLE, 1.0::DOUBLE]) AS lat FROM g),
+e AS (SELECT scene, min(lat) - 2 AS lat0, max(lat) + 2 AS lat1, least(min(lon), -20) AS lon0, greatest(max(lon), 60) AS lon1 FROM (SELECT scene, lat, lon FROM g UNION ALL SELECT scene, lat, NULL FROM l) GROUP BY scene),
+p AS (SELECT g.*, round_even(8 + (lat - lat0) / (lat1 - lat0) * 80, 0)::INTEGER AS x1, round_even(96 - 8 - (lon - lon0) / (lon1 - lon0) * 80, 0)::INTEGER AS y1 FROM g JOIN e USING (scene)),
+s AS (SELECT *, lag(x1) OVER w AS x0, lag(y1) OVER w AS y0, lead(x1) OVER w IS NULL AS is_last FROM p WINDOW w AS (PARTITION BY scene, layer ORDER BY t)),
+k AS (SELECT scene, lat, lat0, lat1, lon0, lon1, unnest(range(0, greatest(ceil((lon1 - lon0) / 10), 0)::BIGINT)) AS k FROM l JOIN e USING (scene)),
+d AS (SELECT scene, -1 AS layer, 9870240 AS color, 1 AS half, round_even(8 + (lat - lat0) / (lat1 - lat0) * 80, 0)::INTEGER AS x0, round_even(96 - 8 - (lon0 + k * 10.0::DOUBLE - lon0) / (lon1 - lon0) * 80, 0)::INTEGER AS y0,
+        round_even(8 + (lat - lat0) / (lat1 - lat0) * 80, 0)::INTEGER AS x1, round_even(96 - 8 - (least(lon0 + k * 10.0::DOUBLE + 5, lon1) - lon0) / (lon1 - lon0) * 80, 0)::INTEGER AS y1 FROM k WHERE lon0 + k * 10.0::DOUBLE < lon1),
+a AS (SELECT scene, layer, color, half, x0, y0, x1, y1 FROM d UNION ALL SELECT scene, layer, color, 1, x0, y0, x1, y1 FROM s WHERE x0 IS NOT NULL
+      UNION ALL SELECT scene, layer + 1, color, CASE WHEN layer = 0 THEN 5 ELSE 4 END, x1, y1, x1, y1 FROM s WHERE is_last),
+n AS (SELECT *, greatest(abs(x1 - x0), abs(y1 - y0), 1) AS n FROM a),
+i AS (SELECT *, unnest(range(0, n + 1)) AS i FROM n),
+c AS (SELECT scene, layer, color, round_even(x0 + i * (x1 - x0) / n::DOUBLE, 0)::INTEGER AS x, round_even(y0 + i * (y1 - y0) / n::DOUBLE, 0)::INTEGER AS y, half FROM i),
+h AS (SELECT scene, layer, color, x, y, half, unnest(range(-half, half + 1)) AS dx FROM c),
+v AS (SELECT scene, layer, color, x + dx AS x, y, unnest(range(-half, half + 1)) AS dy FROM h),
+q AS (SELECT scene, x, y + dy AS y, arg_max(color, layer) AS color FROM v WHERE x BETWEEN 0 AND 95 AND y + dy BETWEEN 0 AND 95 GROUP BY ALL)"""
+
+
+@query("WITH " + SCENES + """ SELECT scene AS user_id, color::INTEGER AS color, count(*) AS pixels, sum(x * 97 + y)::BIGINT AS places FROM q GROUP BY ALL""")
+def raster_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scenes of users, their events' types as traces; the pixels of each colour, counted."""
+    e = frames(spark, sf_dir)
+    layers = e.select("user_id", "event_type").distinct().withColumn("layer", F.row_number().over(Window.partitionBy("user_id").orderBy("event_type")) - 1)
+    role = F.when(F.col("layer") == 0, "ego").otherwise(F.col("event_type"))
+    points = e.join(layers, ["user_id", "event_type"]).select(F.col("user_id").alias("scene"), role.alias("role"), "layer", F.when(F.col("layer") > 0, F.col("layer") - 1).alias("rank"), "t", F.col("y").alias("lat"), F.col("x").alias("lon"))
+    lanes = points.select("scene").distinct().withColumn("lat", F.explode(F.array(F.lit(0.0), F.lit(1.0))))
+    drawn = raster.scene_pixels(points, lanes, 96, 96, margin=8)
+    return drawn.groupBy(F.col("scene").alias("user_id"), "color").agg(F.count("*").alias("pixels"), F.sum(F.col("x") * 97 + F.col("y")).alias("places"))
