@@ -46,6 +46,11 @@ def pair(a: Column, b: Column, length: float = 4.8) -> Column:
     return F.when(a.isNotNull() & b.isNotNull(), F.struct(gap.alias("gap"), ttc.alias("ttc"), trend.alias("trend")))
 
 
+def gap_between(front: Column, rear: Column, length: float = 4.8) -> Column:
+    """pair() of a leader and its follower, only where the leader is ahead; null otherwise."""
+    return F.when(front["x"] > rear["x"], pair(front, rear, length))
+
+
 def style(acc: Column, speed: Column) -> Column:
     """Driving style; the first rule that holds decides."""
     return F.when(acc > 0.5, "assertive").when(acc < -0.5, "cautious").when(speed > 12, "fast").otherwise("steady")
@@ -88,6 +93,12 @@ def following(gap: Column, speed: Column) -> Column:
     return F.when(gap > safe, "safe").when(gap > 0.5 * safe, "short").otherwise("too_close")
 
 
+def settling(lat_v: Column, yaw: Column) -> Column:
+    """Struct of whether a vehicle still moves sideways and whether its heading is not along the lane yet; unknown values are neither."""
+    over = lambda v, most: F.coalesce(finite(v) & (F.abs(v) > most), F.lit(False))
+    return F.struct(over(lat_v, 0.1).alias("moving"), over(yaw, 0.03).alias("turned"))
+
+
 def reach(gap: Column, has_follower: Column) -> Column:
     """What it takes to enter the gap; gap: to the target-lane follower, positive when it is behind."""
     return F.when(~has_follower, "free").when(gap < 0, "position_change").otherwise("direct")

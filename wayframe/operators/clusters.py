@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kinematics import finite
+from .lineage import train_only
 
 SUMS = "start int, cluster int, n long, x double, y double, cost double, far double, far_key long, far_x double, far_y double"
 SUMS_ARROW = pa.schema([(c, {"int": pa.int32(), "long": pa.int64(), "double": pa.float64()}[t]) for c, t in (f.split() for f in SUMS.split(", "))])
@@ -206,8 +207,9 @@ def inertia(points: DataFrame, centroids: DataFrame) -> float:
 
 
 def anchors(points: DataFrame, k: int = 64, starts: int = 10, rounds: int = 300, seed: int = 0, tolerance: float = 1e-4) -> tuple[DataFrame, float]:
-    """The centroids of the smallest inertia of several starts, the earlier start on ties, and that inertia. Fewer than k distinct points are an error."""
-    p = usable(points).persist()
+    """The centroids of the smallest inertia of several starts, the earlier start on ties, and that inertia. Fewer than k distinct points, and points with a
+    source_split other than train, are an error."""
+    p = usable(train_only(points)).persist()
     try:
         if p.select("x", "y").distinct().limit(k).count() < k:
             raise ValueError(f"fewer than {k} distinct points")

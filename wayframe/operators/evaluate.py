@@ -156,3 +156,28 @@ def winner_loss(modes: Column, scores: Column, target: Column, valid: Column) ->
         return F.struct(k.alias("assigned"), steps.alias("steps"), _total(kept).alias("regression"), cross_entropy(scores, k).alias("classification"))
 
     return F.when(steps > 0, let(made, build))
+
+
+def vector_metric(rows: DataFrame, p: str, q: str, lambda_cos: float = 0.4) -> DataFrame:
+    """One row of mse over all elements, the mean cosine and mse + lambda_cos (1 - cos), of two columns of arrays of like width. Norms count as 1e-8 at least."""
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    dot = lambda a, b: total(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")))
+    norm = lambda c: F.greatest(F.sqrt(dot(c, c)), F.lit(1e-8))
+    square = total(F.zip_with(p, q, lambda x, y: (x.cast("double") - y.cast("double")) ** 2))
+    each = rows.select(square.alias("s"), F.size(p).alias("n"), (dot(p, q) / (norm(p) * norm(q))).alias("c"))
+    m = each.agg(F.try_divide(F.sum("s"), F.sum("n")).alias("mse"), F.avg("c").alias("cosine"))
+    return m.withColumn("combined", F.col("mse") + lambda_cos * (1 - F.col("cosine")))
+
+
+def pooled(vectors: Column, mask: Column) -> Column:
+    """Struct of mean and largest, by component, of the vectors of an array whose mask is true; zeros where none is. Vectors are of one width."""
+    kept = F.transform(F.filter(F.arrays_zip(vectors.alias("v"), mask.alias("m")), lambda x: F.coalesce(x["m"], F.lit(False))), lambda x: x["v"])
+    zero = F.transform(F.get(vectors, F.lit(0)), lambda x: F.lit(0.0))
+
+    def both(k: Column) -> Column:
+        of = lambda f: F.transform(F.get(k, F.lit(0)), lambda _, i: f(F.transform(k, lambda v: F.get(v, i).cast("double"))))
+        mean = of(lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a))
+        some = F.size(k) > 0
+        return F.struct(F.when(some, mean).otherwise(zero).alias("mean"), F.when(some, of(F.array_max)).otherwise(zero).alias("largest"))
+
+    return let(kept, both)

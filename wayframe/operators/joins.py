@@ -28,6 +28,17 @@ def checked(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
     return j.withColumn("_ok", F.when(F.col("_hit").isNull(), fail.cast("boolean")).otherwise(True)).where("_ok").drop("_ok", "_hit")
 
 
+def matched(rows: DataFrame, table: DataFrame, key: str, agree: str) -> DataFrame:
+    """rows, each with the columns of the one row of table that has its key. A key that the table has twice is an error before anything runs; a row without a match, or
+    whose `agree`, where it has one, differs from the table's, fails the query. `agree` is the table's."""
+    assert_unique(table, key)
+    j = rows.withColumnRenamed(agree, "_agree").join(table.withColumn("_hit", F.lit(True)), key, "left")
+    name = F.col(key).cast("string")
+    none, other = (F.raise_error(F.concat(F.lit(text), name)).cast("boolean") for text in (f"no match for {key} ", f"another {agree} for {key} "))
+    same = F.col("_agree").isNull() | (F.col("_agree").cast("string") == "") | F.coalesce(F.col("_agree").cast("string") == F.col(agree).cast("string"), F.lit(False))
+    return j.where(F.when(F.col("_hit").isNull(), none).when(~same, other).otherwise(True)).drop("_hit", "_agree")
+
+
 def repeated_keys(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 

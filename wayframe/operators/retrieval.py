@@ -11,14 +11,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .clusters import anchors, inertia, lloyd, lloyd_step, seeds  # noqa: F401
+from .lineage import train_only
 
 
 def moments(rows: DataFrame, vector: str, eps: float = 1e-6, two_moment: bool = False) -> DataFrame:
     """(pos, mean, std) of the components of arrays. Partial sums per task, so what is shuffled does not grow with the rows.
 
+    Rows with a source_split other than train are an error.
+
     two_moment: E[x^2] - mean^2 with the mean as a float, both it and std at least eps; else the population std, 1 where below eps.
     """
-    x = rows.select(F.posexplode(vector).alias("pos", "x")).select("pos", F.col("x").cast("double").alias("x"))
+    x = train_only(rows).select(F.posexplode(vector).alias("pos", "x")).select("pos", F.col("x").cast("double").alias("x"))
     if two_moment:
         m = x.groupBy("pos").agg(F.avg("x").cast("float").cast("double").alias("mean"), F.avg(F.col("x") * F.col("x")).alias("sq"))
         return m.select("pos", "mean", F.greatest(F.sqrt(F.greatest(F.col("sq") - F.col("mean") * F.col("mean"), F.lit(eps))), F.lit(eps)).alias("std"))
@@ -59,7 +62,7 @@ def knn(
     if metric not in ("euclidean", "cosine") or k < 1:
         raise ValueError(f"{metric}, k {k}")
     kind = "long" if all(isinstance(d.schema["id"].dataType, T.IntegralType) for d in (queries, index)) else "string"
-    queries, index = (d.where(F.col("id").isNotNull()) for d in (queries, index))
+    queries, index = (d.where(F.col("id").isNotNull()) for d in (queries, train_only(index)))
     n = queries.select(F.lit(1).alias("q")).unionByName(index.select(F.lit(0).alias("q"))).agg(F.sum("q"), F.count("*")).first()
     nq, ni = (-(-m // block) or 1 for m in (n[0] or 0, n[1] - (n[0] or 0)))
 

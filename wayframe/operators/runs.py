@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 import uuid
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
+from dataclasses import fields, is_dataclass
 
 import pyarrow as pa
 from pyarrow import fs
@@ -22,6 +24,8 @@ from ..sources.lines import resume_ids
 from ..sources.shared import opened
 from .joins import assert_unique, pending
 
+#: Fields of a row that a parser does not set.
+PROTECTED = ("sample_id", "status", "raw_output", "error")
 MODES = ("resume", "overwrite", "new")
 
 
@@ -29,6 +33,37 @@ def error_of(e: Exception) -> str:
     return " ".join(f"{type(e).__name__}: {e}".split())[:300]
 
 
+def plain(v: object) -> object:
+    """A value as JSON has it, at any depth: mappings, lists, dataclasses and arrays; numbers must be finite, and anything else is an error."""
+    if v is None or isinstance(v, (str, bool, int)):
+        return v
+    if isinstance(v, float):
+        if not math.isfinite(v):
+            raise ValueError("a number that is not finite")
+        return v
+    if isinstance(v, Mapping):
+        return {str(k): plain(x) for k, x in v.items()}
+    if isinstance(v, (list, tuple)):
+        return [plain(x) for x in v]
+    if is_dataclass(v) and not isinstance(v, type):
+        return plain({f.name: getattr(v, f.name) for f in fields(v)})
+    if hasattr(v, "tolist"):
+        return plain(v.tolist())
+    raise TypeError(f"{type(v).__name__} is not JSON")
+
+
+def payload(parsed: object) -> dict:
+    """The fields that a parsed answer adds to its row: those of a mapping, dataclass or object, but for PROTECTED ones. Null, texts and other plain values add none."""
+    if parsed is None or isinstance(parsed, (str, bool, int, float)):
+        return {}
+    if not isinstance(parsed, Mapping) and not is_dataclass(parsed) and hasattr(parsed, "__dict__"):
+        parsed = vars(parsed)
+    found = plain(parsed)
+    if not isinstance(found, dict):
+        raise TypeError("a parser returns a mapping or an object with fields")
+    return {k: v for k, v in found.items() if k not in PROTECTED}
+
+
 def answered(ids: list[str], prompts: list[str], predictor: Callable[[list[str]], list[str]], parser: Callable[[str], object] | None, fail_fast: bool) -> list[dict]:
     """The rows of one batch. A predictor that fails, or returns another number of outputs or an empty one, makes all of them a generation_error, unless
     fail_fast lets the failure out; an output that the parser refuses is a parse_error of its record."""
@@ -48,8 +83,7 @@ def answered(ids: list[str], prompts: list[str], predictor: Callable[[list[str]]
         row = {"sample_id": i, "status": "ok", "raw_output": raw.strip()}
         if parser is not None:
             try:
-                parsed = parser(raw)
-                row |= parsed if isinstance(parsed, dict) else {}
+                row |= payload(parser(raw))
             except Exception as e:  # noqa: BLE001
                 row |= {"status": "parse_error", "error": error_of(e)}
         rows.append(row)

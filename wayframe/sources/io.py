@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import answers as A
+from ..functions import text as X
+from .arrays import put_json
 from .lines import read_jsonl, valid_jsonl  # noqa: F401
 
 #: Columns of the records that go into a prompt, come of a model, and are compared with the truth.
@@ -105,17 +108,28 @@ def save_artifact(rows: DataFrame, path: str, split: str = "train", version: int
     rows.withColumn("_version", F.lit(version)).withColumn("_split", F.lit(split)).write.parquet(path)
 
 
-def load_artifact(spark: SparkSession, path: str, version: int = 1) -> DataFrame:
+def load_artifact(spark: SparkSession, path: str, version: int = 1, widths: dict[str, int] | None = None, positive: tuple[str, ...] = ()) -> DataFrame:
+    """A fitted table, checked before it is used: version, split, not empty, numbers finite at any depth, arrays of the widths given by column, and columns of numbers
+    or arrays of numbers that must be above zero, as scales."""
     rows = spark.read.parquet(path)
-    if rows.isEmpty():
+    kinds = dict(rows.dtypes)
+    tests = {"of another version, or not fitted on train": F.expr(f"_version <> {version} or _split <> 'train' or _version is null or _split is null"), "with numbers that are not finite": not_finite(rows)}
+    for c, n in (widths or {}).items():
+        tests[f"with {c} of another width than {n}"] = F.coalesce(F.size(c) != n, F.lit(True))
+    for c in positive:
+        low = lambda x: F.coalesce(x <= 0, F.lit(True))
+        tests[f"with {c} not above zero"] = F.coalesce(F.exists(c, low), F.lit(True)) if kinds[c].startswith("array") else low(F.col(c))
+    found = rows.agg(F.count("*").alias("n"), *[F.count_if(F.coalesce(t, F.lit(False))).alias(f"t{i}") for i, t in enumerate(tests.values())]).first()
+    if not found["n"]:
         raise ValueError("an empty artifact")
-    if not rows.where(f"_version <> {version} or _split <> 'train'").isEmpty():
-        raise ValueError("artifact of another version, or not fitted on train")
+    for i, text in enumerate(tests):
+        if found[f"t{i}"]:
+            raise ValueError(f"artifact {text}: {found[f't{i}']} rows")
     return rows.drop("_version", "_split")
 
 
 def write_vectors(answers: DataFrame, folder: str, width: int = 30) -> None:
-    """Answers (sample_id, vector, error, ...) as vectors, meta and dead letters: tables `vectors` and `errors`, lines of `meta`.
+    """Answers (sample_id, vector, error, ...) as vectors, meta and dead letters: tables `vectors` and `errors`, lines of `meta`, and files vocab.json and summary.json.
 
     A vector of another width or with a number that is not finite is a dead letter too. Missing texts of meta are empty.
     """
@@ -127,6 +141,10 @@ def write_vectors(answers: DataFrame, folder: str, width: int = 30) -> None:
     good.select("sample_id", "vector").write.parquet(f"{folder}/vectors")
     good.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in meta]).write.option("header", True).option("emptyValue", "").csv(f"{folder}/meta")
     rows.where("error is not null").select(*meta, "error").write.json(f"{folder}/errors")
+    parsed, errors = (rows.sparkSession.read.schema("sample_id string").format(kind).load(f"{folder}/{name}").count() for name, kind in (("vectors", "parquet"), ("errors", "json")))
+    put_json(f"{folder}/summary.json", {"parsed": parsed, "errors": errors, "c_dim": width if parsed else None})
+    layout = {"phase_onehot": len(X.PHASES), "strategy_scores": len(X.STRATEGIES), "speed_change_onehot": len(X.SPEEDS), "continuous": len(A.NUMBERS), "continuous_mask": len(A.NUMBERS)}
+    put_json(f"{folder}/vocab.json", {"phases": list(X.PHASES), "strategy_pool": list(X.STRATEGIES), "speed_change_vocab": list(X.SPEEDS), "continuous_fields": list(A.NUMBERS), "c_layout": layout, "c_dim_total": sum(layout.values())})
 
 
 def read_vectors(spark: SparkSession, path: str, order: str | None = None) -> DataFrame:
