@@ -153,3 +153,11 @@ def test_vectors_that_are_no_numbers_are_not_published(spark, tmp_path):
         with pytest.raises(Exception):
             arrays.write_arrays(df, str(tmp_path / str(k)), 2)
         assert not (tmp_path / str(k)).exists() or not [p for p in os.listdir(tmp_path / str(k)) if p.endswith(".npz")]
+
+
+def test_a_record_without_a_prompt_fails_alone(spark):
+    from wayframe.operators import runner
+
+    df = spark.createDataFrame([("a", "x"), ("b", None), ("c", "y")], "sample_id string, prompt_text string").coalesce(1)
+    got = {r["sample_id"]: (r["status"], r["error"], r["attempts"]) for r in runner.predictions(df, lambda p: [q.upper() for q in p], str).collect()}
+    assert got == {"a": ("ok", None, 1), "b": ("generation_error", "no prompt", 0), "c": ("ok", None, 1)}

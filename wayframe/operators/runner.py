@@ -140,7 +140,7 @@ def assert_all_ok(done: DataFrame, allowed: tuple[str, ...] = ("ok", "dry_run"))
 def predictions(records: DataFrame, predictor: Callable[[list[str]], list[str]], parser: Callable[[str], object], batch: int = 16, format_retries: int = 0) -> DataFrame:
     """(sample_id, status, raw_output, error, attempts) of records (sample_id, prompt_text).
 
-    A batch whose predictor fails or returns another number of outputs is a generation_error throughout; an output that the parser
+    A record without a prompt is a generation_error by itself. A batch whose predictor fails or returns another number of outputs is a generation_error throughout; an output that the parser
     refuses is asked for again, alone, up to format_retries times and then a parse_error; a failure while asking again concerns that record only. Task retries may call the predictor again, so it
     must bear repeats.
     """
@@ -169,11 +169,13 @@ def predictions(records: DataFrame, predictor: Callable[[list[str]], list[str]],
         for b in batches:
             for at in range(0, len(b), batch):
                 part = b.iloc[at : at + batch]
-                prompts = part["prompt_text"].tolist()
+                prompts = [p if isinstance(p, str) else None for p in part["prompt_text"]]
+                asked = [p for p in prompts if p is not None]
                 try:
-                    rows = [one(p, raw) for p, raw in zip(prompts, call(prompts))]
+                    made = iter([one(p, raw) for p, raw in zip(asked, call(asked) if asked else [])])
                 except Exception as e:  # noqa: BLE001
-                    rows = [("generation_error", None, f"{type(e).__name__}: {e}", 1)] * len(part)
+                    made = iter([("generation_error", None, f"{type(e).__name__}: {e}", 1)] * len(asked))
+                rows = [("generation_error", None, "no prompt", 0) if p is None else next(made) for p in prompts]
                 out = pd.DataFrame(rows, columns=["status", "raw_output", "error", "attempts"])
                 yield pd.concat([part[["sample_id"]].reset_index(drop=True), out], axis=1)
 

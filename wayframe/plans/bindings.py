@@ -321,10 +321,8 @@ SELECT round(avg(mse), 6) AS mse, round(avg(c), 6) AS cosine, round(avg(mse) + 0
 def vector_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("p"))
     j = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("p").alias("q")), "vec_id")
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    dot = lambda a, b: total(F.zip_with(a, b, lambda x, y: x * y))
-    s = j.select((total(F.zip_with("p", "q", lambda x, y: (x - y) * (x - y))) / F.size("p")).alias("mse"), (dot("p", "q") / F.sqrt(dot("p", "p") * dot("q", "q"))).alias("c"))
-    return s.agg(r6(F.avg("mse")).alias("mse"), r6(F.avg("c")).alias("cosine"), r6(F.avg("mse") + 0.4 * (1 - F.avg("c"))).alias("combined"))
+    m = E.vector_metric(j, "p", "q")
+    return m.select(*[r6(c).alias(c) for c in m.columns])
 
 
 @query("""

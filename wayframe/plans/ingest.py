@@ -7,12 +7,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import teacher
 from ..operators import batches, models, raster, runs, training
+from ..operators import evaluate as E
+from ..operators import frames as R
+from ..operators import joins as J
 from ..operators import retrieval as N
 from ..operators import samples as S
 from ..sources import arrays, lines, mat
 from ..sources.shared import shared_folder
-from .bindings import FRAMES, frames, query, read
+from .bindings import ENDS, FRAMES, frames, query, read
 
 
 @query("""
@@ -157,3 +161,63 @@ def raster_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     lanes = points.select("scene").distinct().withColumn("lat", F.explode(F.array(F.lit(0.0), F.lit(1.0))))
     drawn = raster.scene_pixels(points, lanes, 96, 96, margin=8)
     return drawn.groupBy(F.col("scene").alias("user_id"), "color").agg(F.count("*").alias("pixels"), F.sum(F.col("x") * 97 + F.col("y")).alias("places"))
+
+
+@query("WITH " + ENDS + """,
+e AS (SELECT * FROM g WHERE event_type = 'view'), a AS (SELECT * FROM g WHERE event_type = 'click'), b AS (SELECT * FROM g WHERE event_type = 'purchase'),
+j AS (SELECT e.user_id, (e.user_id % 3)::INTEGER AS status, e.v0, e.v, e.acc0, e.acc, a.x AS ax, b.x AS bx, a.x0 AS ax0, b.x0 AS bx0, e.x AS ex, e.lat_v, e.yaw
+      FROM e LEFT JOIN a USING (user_id) LEFT JOIN b USING (user_id)),
+k AS (SELECT *, ax - bx - 4.8::DOUBLE AS gap, (ax - bx - 4.8::DOUBLE) - (ax0 - bx0 - 4.8::DOUBLE) AS change FROM j)
+SELECT user_id, 'Phase: ' || CASE status WHEN 0 THEN 'ANTICIPATION' WHEN 1 THEN 'CROSSING' ELSE 'RELAXATION' END AS phase,
+  'Own speed: ' || printf('%.2f', v0) || ' to ' || printf('%.2f', v) || ' m/s (' || CASE WHEN v > v0 THEN 'increasing' WHEN v < v0 THEN 'decreasing' ELSE 'stable' END || '); acceleration ' || printf('%.2f', acc0 + 0.0) || ' to ' || printf('%.2f', acc + 0.0)
+    || ' m/s^2, driving ' || CASE WHEN acc > 0.5 THEN 'assertive' WHEN acc < -0.5 THEN 'cautious' WHEN v > 12 THEN 'fast' ELSE 'steady' END || '.' AS own,
+  CASE WHEN status = 2 THEN 'Motion: ' || CASE WHEN abs(lat_v) > 0.1 THEN 'still sideways' ELSE 'steady in the lane' END || ', heading ' || CASE WHEN abs(yaw) > 0.03 THEN 'not along it yet' ELSE 'along it' END || '.'
+    ELSE 'Gap 1 (between leader and follower): ' || coalesce(CASE WHEN ax > bx THEN printf('%.2f', gap) || ' m, ' || CASE WHEN change > 0.3 THEN 'opening' WHEN change < -0.3 THEN 'closing' ELSE 'stable' END END, 'none') || '. Way in: '
+      || CASE WHEN bx IS NULL THEN 'free' WHEN bx > ex OR ex - bx - 4.8::DOUBLE < 0 THEN 'position_change' ELSE 'direct' END || '.' END AS told FROM k""")
+def teacher_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests about users' events as vehicles, by phase; the lines on the phase, the own speed, and the gap or the motion."""
+    g = R.ends(frames(spark, sf_dir), ("user_id", "event_type"), "t", ("x", "y", "v", "lat_v", "acc", "yaw", "lane_u"))
+    ego = g.where("event_type = 'view'").select("user_id", F.struct("first", "last").alias("ego"))
+    role = lambda kind, name: g.where(F.col("event_type") == kind).select("user_id", F.struct("first", "last").alias(name))
+    rows = ego.join(role("click", "tl"), "user_id", "left").join(role("purchase", "tf"), "user_id", "left")
+    none = F.lit(None).cast(g.select(F.struct("first", "last").alias("s")).schema["s"].dataType)
+    rows = rows.withColumns({"tff": none, "ol": none, "of": none, "status": (F.col("user_id") % 3).cast("int")})
+    made = teacher.with_request(rows).select("user_id", F.split("request", "\n").alias("l"))
+    line = lambda start: F.get(F.filter("l", lambda x: x.startswith(start)), F.lit(0))
+    return made.select("user_id", line("Phase").alias("phase"), line("Own speed").alias("own"), F.coalesce(line("Motion"), line("Gap 1")).alias("told"))
+
+
+@query("""
+WITH v AS (SELECT vec_id, unnest(range(0, 16)) AS i, embedding FROM embeddings),
+c AS (SELECT vec_id, i, unnest(range(0, 4)) AS k, embedding[4 * i + 1:4 * i + 4]::DOUBLE[] AS q FROM v WHERE (i + vec_id) % 3 = 0),
+m AS (SELECT vec_id, k, round(avg(q[k + 1]), 6) AS mean, round(max(q[k + 1]), 6) AS largest FROM c GROUP BY vec_id, k)
+SELECT vec_id, list(mean ORDER BY k) AS mean, list(largest ORDER BY k) AS largest FROM m GROUP BY vec_id""")
+def masked_pooling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean and largest of every third of 16 points of four numbers."""
+    points = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.slice("embedding", 4 * i + 1, 4))
+    mask = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: (i + F.col("vec_id")) % 3 == 0)
+    p = read(spark, sf_dir, "embeddings").select("vec_id", E.pooled(points, mask).alias("p"))
+    return p.select("vec_id", *[F.transform(f"p.{c}", lambda x: F.round(x, 6)).alias(c) for c in ("mean", "largest")])
+
+
+@query("""
+SELECT o_orderpriority AS priority, count(*) AS n, round(sum(l_quantity), 2) AS quantity, min(o_custkey) AS lowest FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1""")
+def matched_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items with the one order of each; every third says which customer it expects, and must agree."""
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sample_id"), F.col("o_custkey").alias("event_id"), "o_orderpriority")
+    said = o.select(F.col("sample_id").alias("l_orderkey"), F.when(F.col("sample_id") % 3 == 0, F.col("event_id")).alias("event_id"))
+    rows = read(spark, sf_dir, "lineitem").join(said, "l_orderkey").select(F.col("l_orderkey").alias("sample_id"), "event_id", "l_quantity")
+    j = J.matched(rows, o, "sample_id", "event_id")
+    return j.groupBy(F.col("o_orderpriority").alias("priority")).agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"), F.min("event_id").alias("lowest"))
+
+
+@query("""
+SELECT conv_id || ':' || turn AS sample_id, conv_id::VARCHAR AS event_id, 'train' AS source_split, 'Answer.' AS system_prompt, role AS user_prompt, 'Answer. ' || role AS prompt_text, text AS answer, length(text) % 3 AS intention, [length(text)::DOUBLE] AS future_local
+FROM conversations WHERE conv_id % 4 <> 0 AND length(trim(text)) > 0 QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY role, text) = 1""")
+def supervised_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of the train split with answers; what comes of them is refused in the prompt."""
+    c = read(spark, sf_dir, "conversations").where("length(trim(text)) > 0").groupBy("conv_id", "turn").agg(F.min(F.struct("role", "text")).alias("m"))
+    c = c.select(F.concat_ws(":", "conv_id", "turn").alias("sample_id"), F.col("conv_id").alias("event_id"), F.when(F.col("conv_id") % 4 == 0, "test").otherwise("train").alias("split"), "m.role", "m.text")
+    records = teacher.inference_records(c.select("sample_id", "event_id", "split", "role"), "train", F.lit("Answer."), F.col("role"), F.concat(F.lit("Answer. "), "role"))
+    n = F.length("text")
+    return teacher.supervised_records(records, c.where("split = 'train'").select("sample_id", F.col("text").alias("answer"), (n % 3).alias("intention"), F.array(n.cast("double")).alias("future_local")))
