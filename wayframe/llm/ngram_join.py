@@ -421,16 +421,17 @@ def nameless(docs: DataFrame) -> DataFrame:
     return sizes.select(F.lit(None).cast("long").alias("doc_id"), "n_shingles", F.lit(None).cast("long").alias("component_id"))
 
 
-def join_classes(docs: DataFrame, percent: int = 80, rounds: int = 3, pivots: int = 32, enough: int = 20_000, ranges: int | None = None, sample: int | None = None, share: float = 0.01) -> DataFrame:
+def join_classes(docs: DataFrame, percent: int = 80, rounds: int = 3, pivots: int = 32, enough: int = 20_000, ranges: int | None = None, sample: int | None = None, share: float | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row; component_id: the smallest doc_id that links reach, itself included.
 
     rounds, pivots and enough say how long and how many pivots are tried before all pairs that are still open are formed; they lose no link.
     ranges: into how many ranges hashes and documents are dealt; unless given, twice the partitions of the shuffle or of docs, whichever are more,
-    so that what a task holds does not grow with the corpus. sample, share: see frequent(); without sample, as sample_of() says.
+    so that what a task holds does not grow with the corpus. sample, share: see frequent(); where they are not given, as sample_of() says.
     """
     ranges = ranges or 2 * max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     texts, names = keyed(docs)
-    last = frequent(texts, *((sample, share) if sample else sample_of(texts)))
+    rows, least = (sample, 40 / sample) if sample else sample_of(texts)
+    last = frequent(texts, rows, share or least)
     found = common.checkpointed(prefixes(counted(packed(texts, ranges, last), ranges), percent))
     labels = links_of(found.where("rep = doc_id"), texts, percent, rounds, pivots, enough)
     # the set of a class within a batch stands for it until here; it may itself have another one
