@@ -140,22 +140,34 @@ def _ranks(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return out
 
 
-def find_runs(words: np.ndarray, longest: int, exponent: int = 4, least: int = 6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and periods of the runs in an array of texts of at most `longest` words, each between separators that occur once."""
-    n = len(words)
+def candidates(words: np.ndarray, longest: int, exponent: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the grid, and periods, that a run may have: where a word returns, and with it its neighbours, as many as the shortest run has at least."""
     places, periods = [], []
+    n = len(words)
     for q in range(1, longest // exponent + 1):
         grid = (exponent - 1) * q
         hit = np.flatnonzero(words[: n - q : grid] == words[q::grid]) * grid
         if len(hit):
             places.append(hit)
             periods.append(np.full(len(hit), q))
-    none = np.zeros(0, dtype=np.int64)
     if not places:
-        return none, none, none
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     i, q = np.concatenate(places), np.concatenate(periods)
+    if (exponent - 1) >= 3 or least >= 4:
+        # a run of period q returns max((exponent - 1) q, least - q) neighbouring words, three or more here, of which i is one
+        returns = lambda k: (i + k >= 0) & (i + k + q < n) & (words[np.clip(i + k, 0, n - 1)] == words[np.clip(i + k + q, 0, n - 1)])
+        three = np.maximum((exponent - 1) * q, least - q) >= 3
+        before2, before, after, after2 = (returns(k) for k in (-2, -1, 1, 2))
+        some = ~three | (before & before2) | (before & after) | (after & after2)
+        i, q = i[some], q[some]
+    return i, q
+
+
+def find_runs(words: np.ndarray, longest: int, i: np.ndarray, q: np.ndarray, exponent: int = 4, least: int = 6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and periods of the runs that candidates (i, q) lie in; words: texts of at most `longest` words, each between separators that occur once."""
+    n = len(words)
     ahead = Extensions(words, longest)(i, i + q)
-    back = Extensions(words[::-1], longest)(n - i, n - i - q) if len(i) else none
+    back = Extensions(words[::-1], longest)(n - i, n - i - q)
     start, end = i - back, i + q + ahead
     held = end - start >= np.maximum(least, exponent * q)
     start, end, q = start[held], end[held], q[held]
@@ -182,7 +194,19 @@ def batch_runs(texts: list[str | None], exponent: int = 4, least: int = 6) -> li
     inside[separators] = False
     array[inside] = codes + 1
     array[separators] = len(known) + 1 + np.arange(len(separators))
-    begin, end, period = find_runs(array, int(sizes.max()), exponent, least)
+    i, q = candidates(array, int(sizes.max()), exponent, least)
+    owner = np.searchsorted(starts, i, side="right")
+    inside = owner == np.searchsorted(starts, i + q, side="right")
+    i, q, owner = i[inside], q[inside], owner[inside]
+    if not len(i):
+        return [(len(ws), [], b" ".join(ws).decode("utf-8")) for ws in split]
+    # only texts with candidates are sorted
+    held = np.unique(owner) - 1
+    part = np.r_[np.concatenate([np.arange(starts[d] - 1, starts[d] + sizes[d]) for d in held]), separators[-1]]
+    place = np.full(len(array), -1, dtype=np.int64)
+    place[part] = np.arange(len(part))
+    begin, end, period = find_runs(array[part], int(sizes[held].max()), place[i], q, exponent, least)
+    begin, end = part[begin], part[end - 1] + 1
     step = np.zeros(len(array) + 1, dtype=np.int64)
     np.add.at(step, begin + period, 1)
     np.add.at(step, end, -1)
