@@ -299,7 +299,7 @@ def test_files(spark, tmp_path):
     lines = tmp_path / "l.jsonl"
     lines.write_text('{"sample_id": "1", "t": "x"}\n\nnot json\n{"t": "y"}\n')
     assert sorted(str(r["_error"]) for r in io.read_jsonl(spark, str(lines), schema).collect()) == ["None", "json", "key"]
-    with pytest.raises(ValueError, match="bad line"):
+    with pytest.raises(ValueError, match="l.jsonl:3: json"):
         io.valid_jsonl(io.read_jsonl(spark, str(lines), schema))
     rows = spark.createDataFrame([("1", "x"), ("2", "y")], schema)
     io.write_jsonl(rows, str(tmp_path / "out"))
