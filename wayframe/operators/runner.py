@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pandas as pd
@@ -50,6 +51,10 @@ class RequestFailed(Exception):
         self.attempts = attempts
 
 
+class MissingSetting(Exception):
+    """A setting of the machine without which no request can succeed: it ends the run instead of becoming a status of every record."""
+
+
 def delays(attempts: int, first: float = 1.0, longest: float = 30.0) -> list[float]:
     """Waits between attempts: doubling, up to the longest."""
     return [min(longest, first * 2**k) for k in range(attempts - 1)]
@@ -75,6 +80,8 @@ def requested(request: Callable[[str], str], prompt: str, retries: int, first: f
             if not isinstance(answer, str) or not answer.strip():
                 raise ValueError("an empty answer")
             return answer.strip(), attempt
+        except MissingSetting:
+            raise
         except Exception as e:  # noqa: BLE001  any failure of a service
             status = getattr(e, "status_code", None)
             if attempt > retries or not retryable(status if isinstance(status, int) else None):
@@ -84,24 +91,38 @@ def requested(request: Callable[[str], str], prompt: str, retries: int, first: f
 
 
 def completions(
-    records: DataFrame, request: Callable[[str], str], parser: Callable[[str], object], reminder: str, format_retries: int = 2, api_retries: int = 4, first: float = 1.0, longest: float = 30.0, sleep: Callable[[float], None] = time.sleep
+    records: DataFrame,
+    request: Callable[..., str],
+    parser: Callable[[str], object],
+    reminder: str,
+    format_retries: int = 2,
+    api_retries: int = 4,
+    first: float = 1.0,
+    longest: float = 30.0,
+    sleep: Callable[[float], None] = time.sleep,
+    prompt: str = "prompt_text",
+    others: tuple[str, ...] = (),
+    concurrent: int = 1,
 ) -> DataFrame:
-    """(sample_id, status, raw_output, error, attempts) of records (sample_id, prompt_text), asked for one at a time.
+    """(sample_id, status, raw_output, error, attempts) of records (sample_id, prompt, others), at most `concurrent` of them asked for at once in a task.
 
-    status is ok, parse_error (the parser refused the last of format_retries + 1 answers) or api_error (a request was given up);
-    raw_output is the last answer. attempts lists each answer asked for, with its requests, status and error; from the second on the
-    prompt ends in the reminder. A null prompt is an api_error without a request. A task that Spark repeats asks again.
+    request gets the prompt, and the columns in `others` by name. status is ok, parse_error (the parser refused the last of format_retries + 1 answers) or
+    api_error (a request was given up); raw_output is the last answer. attempts lists each answer asked for, with its requests, status and error; from the second
+    on the prompt ends in the reminder. A null prompt is an api_error without a request. Rows keep their order, and what a task holds is one Arrow batch, however
+    many requests run; request and parser must bear threads. A task that Spark repeats asks again.
     """
     if format_retries < 0 or api_retries < 0:
         raise ValueError("retries must not be negative")
+    if concurrent < 1:
+        raise ValueError("at least one request at once")
 
-    def one(prompt: str | None) -> tuple:
-        audit, raw = [], None
+    def one(text: str | None, *more) -> tuple:
+        audit, raw, named = [], None, dict(zip(others, more))
         for k in range(format_retries + 1):
             try:
-                if prompt is None:
+                if text is None:
                     raise RequestFailed("no prompt", 0)
-                raw, made = requested(request, prompt if k == 0 else f"{prompt}\n\n{reminder}", api_retries, first, longest, sleep)
+                raw, made = requested(lambda p: request(p, **named), text if k == 0 else f"{text}\n\n{reminder}", api_retries, first, longest, sleep)
             except RequestFailed as e:
                 audit.append((k, e.attempts, "api_error", None, str(e)))
                 break
@@ -115,13 +136,14 @@ def completions(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ("format_attempt", "api_attempts", "status", "raw_output", "error")
-        for b in batches:
-            rows = [one(p) for p in b["prompt_text"]]
-            out = pd.DataFrame(rows, columns=["status", "raw_output", "error", "attempts"], index=b.index)
-            out["attempts"] = [[dict(zip(names, a)) for a in audit] for audit in out["attempts"]]
-            yield pd.concat([b[["sample_id"]], out], axis=1)
-
-    return records.select("sample_id", "prompt_text").mapInPandas(run, AUDITED)
+        with ThreadPoolExecutor(concurrent) as pool:
+            for b in batches:
+                rows = list(pool.map(one, b[prompt], *[b[c] for c in others]))
+                out = pd.DataFrame(rows, columns=["status", "raw_output", "error", "attempts"], index=b.index)
+                out["attempts"] = [[dict(zip(names, a)) for a in audit] for audit in out["attempts"]]
+                yield pd.concat([b[["sample_id"]], out], axis=1)
+
+    return records.select("sample_id", prompt, *others).mapInPandas(run, AUDITED)
 
 
 def dry_run(records: DataFrame) -> DataFrame:
