@@ -378,20 +378,10 @@ def test_training_pair(spark):
     assert p["input_ids"] == [0, 1, 2, 8, 9, 50, 99] and p["labels"] == [-100] * 5 + [50, 99]
 
 
-def test_network_and_settings(spark, tmp_path):
+def test_network(spark):
     from wayframe.operators import models
 
     r = np.random.default_rng(3)
     x, (w, b), (u, c) = r.standard_normal((5, 4)), (r.standard_normal((4, 6)), r.standard_normal(6)), (r.standard_normal((6, 2)), r.standard_normal(2))
     rows = models.mlp(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, v array<double>"), "v", [(w, b), (u, c)]).orderBy("id").collect()
     assert np.allclose([k["output"] for k in rows], np.maximum(x @ w + b, 0) @ u + c)
-    path = tmp_path / "s.json"
-    body = {"data": {"train": "t.parquet", "test": "<TEST>"}, "window": {"history": 10, "future": 50, "hz": 10}, "retrieval": {"k": 4, "metric": "cosine"}}
-    path.write_text(json.dumps(body))
-    s = models.Settings.load(path)
-    assert s.split(" Train") == str(tmp_path / "t.parquet")
-    with pytest.raises(ValueError, match="placeholder"):
-        s.split("test")
-    path.write_text(json.dumps(body | {"retrieval": {"k": 0, "metric": "cosine"}}))
-    with pytest.raises(ValueError, match="range"):
-        models.Settings.load(path)

@@ -1,11 +1,8 @@
-"""Forward passes of trained weights over rows in Arrow batches, averages over repeats, and settings files."""
+"""Forward passes of trained weights over rows in Arrow batches, and averages over repeats."""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
-from dataclasses import dataclass
-from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -33,38 +30,3 @@ def repeat_average(rows: DataFrame, sample: str, metric: str) -> DataFrame:
     """(mean, samples): the mean over a sample's repeats, then over samples, so a sample counts once however often it ran."""
     each = rows.groupBy(sample).agg(F.avg(metric).alias("m"))
     return each.agg(F.avg("m").alias("mean"), F.count("m").alias("samples"))
-
-
-@dataclass(frozen=True)
-class Settings:
-    """Settings of a run, read from a JSON file and checked."""
-
-    train: str
-    test: str
-    history: int
-    future: int
-    hz: float
-    k: int
-    metric: str
-
-    @classmethod
-    def load(cls, path: str | Path) -> Settings:
-        """Relative data paths are taken from the file's folder; placeholders in angle brackets stay as they are."""
-        path = Path(path)
-        found = json.loads(path.read_text())
-        for section in ("data", "window", "retrieval"):
-            if not isinstance(found.get(section), dict):
-                raise ValueError(f"section {section} is missing")
-        place = lambda p: p if p.startswith("<") or "://" in p or Path(p).is_absolute() else str((path.parent / p).resolve())
-        d, w, r = found["data"], found["window"], found["retrieval"]
-        s = cls(place(d["train"]), place(d["test"]), int(w["history"]), int(w["future"]), float(w["hz"]), int(r["k"]), r["metric"])
-        if min(s.history, s.future, s.k) < 1 or s.hz <= 0 or s.metric not in ("euclidean", "cosine"):
-            raise ValueError("settings out of range")
-        return s
-
-    def split(self, name: str) -> str:
-        """Path of a split; a placeholder is no path."""
-        path = {"train": self.train, "test": self.test}[name.strip().lower()]
-        if path.startswith("<"):
-            raise ValueError(f"the path of {name} is still a placeholder")
-        return path

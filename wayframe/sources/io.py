@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions import answers as A
 from ..functions import text as X
+from ..operators.settings import Settings
 from .arrays import put_json
 from .lines import read_jsonl, valid_jsonl  # noqa: F401
 
@@ -94,13 +95,27 @@ def read_contexts(spark: SparkSession, path: str, width: int = 17) -> DataFrame:
     return assert_unique(good, "sample_id")
 
 
-def read_split(spark: SparkSession, path: str, split: str, include_future: bool = False, limit: int | None = None) -> DataFrame:
-    """Samples of one split; without their future columns, which are then not read, unless asked for."""
+def read_split(spark: SparkSession, path: str, split: str, include_future: bool = False, limit: int | None = None, order: str = "sample_id") -> DataFrame:
+    """Samples of one split; without their future columns, which are then not read, unless asked for. limit: the first so many by `order`, whose ties are any of them."""
     from ..operators.joins import observations, only_split
 
     rows = only_split(spark.read.parquet(path), split)
     rows = rows if include_future else observations(rows)
-    return rows.limit(limit) if limit is not None and limit > 0 else rows
+    return rows.orderBy(order).limit(limit) if limit is not None and limit > 0 else rows
+
+
+def read_configured(spark: SparkSession, settings: Settings, split: str, schema: str, include_future: bool = False, limit: int | None = None) -> DataFrame:
+    """The split that a settings file names, from MATLAB files: rows of schema (DDL), whose columns of the future are not decoded unless asked for.
+
+    A split that the kind of run may not read and a path that is still a placeholder are errors before a file is opened. limit: the first so many samples by file
+    name and place. A file without the key of the split is an error that names the keys there are.
+    """
+    from ..operators.joins import FUTURE
+    from .mat import read_mat
+
+    path, key = settings.split(split)
+    fields = [f for f in T.StructType.fromDDL(schema).fields if include_future or f.name.lower() not in FUTURE]
+    return read_mat(spark, path, T.StructType(fields), key, limit=limit)
 
 
 def save_artifact(rows: DataFrame, path: str, split: str = "train", version: int = 1) -> None:
@@ -162,6 +177,51 @@ def append_history(metrics: DataFrame, path: str) -> None:
     metrics.write.mode("append").json(path)
 
 
+def close_history(spark: SparkSession, path: str, folder: str, metric: str, epoch: str = "epoch", largest: bool = False) -> dict:
+    """Sum up the lines that append_history wrote: best and last record, and files metrics.csv (a folder, by epoch), best_metrics.json and summary.json in folder.
+
+    The best record has the least metric, or with largest the greatest, of ties the first epoch; records without a number there, or with NaN, are never best. A
+    history has one record an epoch (repeats and null epochs are an error), so the sorted rows are few. An empty history is an error.
+    """
+    from ..operators.joins import assert_unique
+
+    rows = assert_unique(spark.read.json(path), epoch)
+    value = F.nanvl(F.col(metric).cast("double"), F.lit(None))
+    found = rows.agg(
+        F.count("*").alias("n"),
+        F.count_if(F.col(epoch).isNull()).alias("unnamed"),
+        F.min_by(F.struct("*"), F.when(value.isNotNull(), F.struct((-value if largest else value).alias("v"), F.col(epoch)))).alias("best"),
+        F.max_by(F.struct("*"), epoch).alias("last"),
+    ).first()
+    if not found["n"] or found["unnamed"]:
+        raise ValueError("an empty history" if not found["n"] else f"records without {epoch}")
+    rows.select(epoch, *[c for c in rows.columns if c != epoch]).coalesce(1).sortWithinPartitions(epoch).write.mode("overwrite").option("header", True).csv(f"{folder}/metrics.csv")
+    best, last = (r.asDict(True) if r is not None else None for r in (found["best"], found["last"]))
+    put_json(f"{folder}/best_metrics.json", {"metric": metric, "best_epoch": best and best[epoch], "best_value": best and best[metric], "record": best})
+    summary = {"epochs": found["n"], "best_record": best, "last_record": last, "metrics_csv": f"{folder}/metrics.csv", "metrics_jsonl": path, "best_metrics": f"{folder}/best_metrics.json"}
+    put_json(f"{folder}/summary.json", summary)
+    return summary
+
+
+def write_batch_summary(done: DataFrame, folder: str, kind: str = "prompt") -> dict[str, int]:
+    """What became of a batch (sample_id, status): lines (sample_id, success, table) in batch_summary, and counts by status in summary.json.
+
+    success is status ok or dry_run; a null status is none and counts as `unknown`. table is where write_texts put the sample's text.
+    """
+    named = F.coalesce("status", F.lit("unknown"))
+    lines = done.select("sample_id", named.alias("status"))
+    lines.select("sample_id", F.col("status").isin("ok", "dry_run").alias("success"), "status", F.lit(f"kind={kind}").alias("table")).write.mode("overwrite").json(f"{folder}/batch_summary")
+    # counted from what was written, so a batch that asks a model is not run again
+    written = by_status(done.sparkSession.read.schema("status string").json(f"{folder}/batch_summary"))
+    put_json(f"{folder}/summary.json", {"samples": sum(written.values()), "success": written.get("ok", 0) + written.get("dry_run", 0), "statuses": written})
+    return written
+
+
+def by_status(rows: DataFrame) -> dict[str, int]:
+    """Rows by status, by name."""
+    return {r["status"]: r["count"] for r in sorted(rows.groupBy("status").count().collect(), key=lambda r: r["status"])}
+
+
 def write_texts(rows: DataFrame, folder: str, kind: str = "prompt") -> None:
     """(sample_id, text) as one table per kind; texts stay rows, as a file for each would not scale."""
     rows.select("sample_id", "text").write.mode("append").parquet(f"{folder}/kind={kind}")
