@@ -90,6 +90,43 @@ def test_many_copies_and_one_common_shingle(spark):
     assert all(got[i] == (want[first[t]][1] if first[t] in want else i) for i, t in rows)
 
 
+@pytest.mark.parametrize("remembered", [1 << 17, 1, 0])
+@pytest.mark.parametrize("order", ["up", "down", "mixed"])
+def test_smallest_id_of_copies_over_batches(monkeypatch, remembered, order):
+    """Over the batches of a task: representatives lead to the smallest id in two steps, and rows whose representative is another one are not entries."""
+    monkeypatch.setattr(ngram_join, "REMEMBERED", remembered)
+    r = np.random.default_rng(3)
+    ids = {"up": np.arange(600), "down": np.arange(600)[::-1], "mixed": r.permutation(600)}[order]
+    digest = r.integers(0, 9, 600).astype(np.uint64)
+    size = np.where(digest == 8, 0, 5)
+    seen, rep = {}, {}
+    for at in range(0, 600, 40):
+        b = slice(at, at + 40)
+        i, n, one, two, first = ngram_join.equal_sets(ids[b], size[b], digest[b], digest[b] % np.uint64(2))
+        rep |= dict(zip(i.tolist(), ngram_join.met_before(seen, i, n, one, two, first).tolist()))
+    entries = [i for i in rep if rep[i] == i and size[ids == i][0] > 0]
+    of = dict(zip(ids.tolist(), digest.tolist()))
+    smallest = {d: min(i for i in of if of[i] == d) for d in range(8)}
+    assert len(seen) <= remembered
+    for i, d in of.items():
+        assert rep[i] == i if d == 8 else of[rep[i]] == d and rep[i] <= i and rep[i] in entries
+    assert all(s in entries for s in smallest.values())
+    if remembered > 9 and order == "up":
+        assert sorted(entries) == sorted(smallest.values())
+
+
+@pytest.mark.parametrize("down", [False, True])
+def test_one_text_over_many_batches(spark, down):
+    """A long text on many rows of one task: one entry in its range where ids rise, and the smallest id whatever their order."""
+    text = " ".join(f"w{i}" for i in range(2_000))
+    rows = spark.range(0, 3_000, 1, 1).select((2_999 - F.col("id") if down else F.col("id")).alias("doc_id"), F.lit(text).alias("text"))
+    made = ngram_join.packed(rows, 4, np.zeros(0, dtype=np.uint64)).where("id is not null")
+    entries = made.agg(F.sum(F.length("id") / 8).cast("int")).first()[0]
+    assert entries > 3 if down else entries == 1
+    got = ngram_join.join_classes(rows).groupBy("n_shingles", "component_id").count().collect()
+    assert [tuple(x) for x in got] == [(1_996, 0, 3_000)]
+
+
 def test_more_shingles_than_sixteen_bits(spark):
     text = " ".join(f"w{i}" for i in range(70_004))
     df = spark.createDataFrame([(1, text), (2, text + " end"), (3, "a b c")], "doc_id long, text string")

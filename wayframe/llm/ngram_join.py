@@ -39,6 +39,8 @@ P1, P2, P3 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 LAST = np.iinfo(np.int32).max
 #: Rows of a shingle in a piece of the final pairing.
 PIECE = 1024
+#: Digests that a task remembers from batch to batch, some 30 MB; copies of others meet in their range.
+REMEMBERED = 1 << 17
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -112,7 +114,7 @@ def dealt(keys: np.ndarray, n: int, columns: dict[str, np.ndarray]) -> dict[int,
 
 ELEMENTS = {"low": np.uint32, "of": np.int64, "times": np.uint32}
 DOCS = {"id": np.int64, "n": np.int64, "d1": np.uint64, "d2": np.uint64}
-#: What goes straight back by document: frequent shingles, and documents whose set another one of the batch has, or that have none.
+#: What goes straight back by document: frequent shingles, and documents whose set another one of the task has, or that have none.
 BACK = {"e_id": np.int64, "gram": np.int64, "df": np.int32, "b_id": np.int64, "b_n": np.int64, "rep": np.int64}
 DIRECT = {f"x_{c}": kind for c, kind in BACK.items()}
 
@@ -169,6 +171,7 @@ def packed(docs: DataFrame, ranges: int, last: np.ndarray) -> DataFrame:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[tuple[int, int], int] = {}
         for b in batches:
             ids, texts = b["doc_id"].to_numpy(dtype=np.int64), [t if isinstance(t, str) else "" for t in b["text"]]
             for part in in_parts(texts, max(3_000_000, 400 * ranges)):
@@ -181,6 +184,7 @@ def packed(docs: DataFrame, ranges: int, last: np.ndarray) -> DataFrame:
                     d1[doc[at]] = np.add.reduceat(mixed(h + np.uint64(1)), at)
                     d2[doc[at]] = np.add.reduceat(mixed(h ^ np.uint64(P1)), at)
                 i, n_, one, two, rep = equal_sets(mine, n, d1, d2)
+                rep = met_before(seen, i, n_, one, two, rep)
                 whole = (rep == i) & (n_ > 0)
                 rows = dealt((one[whole] % np.uint64(ranges)).astype(np.int64), ranges, dict(zip(DOCS, (i[whole], n_[whole], one[whole], two[whole]))))
                 back = dealt(bucket(i[~whole], ranges), ranges, {"x_b_id": i[~whole], "x_b_n": n_[~whole], "x_rep": rep[~whole]})
@@ -209,6 +213,25 @@ def packed(docs: DataFrame, ranges: int, last: np.ndarray) -> DataFrame:
     return common.in_batches(docs).mapInPandas(run, f"r long, {binary((*ELEMENTS, *DOCS, *DIRECT))}")
 
 
+def met_before(seen: dict[tuple[int, int], int], ids: np.ndarray, n: np.ndarray, d1: np.ndarray, d2: np.ndarray, rep: np.ndarray) -> np.ndarray:
+    """rep of a batch, as equal_sets gives it, where a smaller id of the same digest that the task met before stands for its copies; seen learns the batch's digests.
+
+    So a text that many have leaves one entry a task in its range, and not one a batch. An id below the remembered one stands for itself and is remembered
+    instead, which keeps the smallest id of a class among those that reach the range.
+    """
+    first = np.flatnonzero((rep == ids) & (n > 0))
+    stands = ids[first].copy()
+    for k, (key, i) in enumerate(zip(zip(d1[first].tolist(), d2[first].tolist()), stands.tolist())):
+        known = seen.get(key)
+        if known is not None and known < i:
+            stands[k] = known
+        elif known is not None or len(seen) < REMEMBERED:
+            seen[key] = i
+    out, mine = rep.copy(), n > 0
+    out[mine] = np.repeat(stands, np.diff(np.r_[np.searchsorted(np.flatnonzero(mine), first), mine.sum()]))
+    return out
+
+
 def counted(rows: DataFrame, ranges: int) -> DataFrame:
     """Rows (b, bytes), dealt by document: shingles of two documents or more with their frequency; n and class of documents."""
 
@@ -434,7 +457,7 @@ def join_classes(docs: DataFrame, percent: int = 80, rounds: int = 3, pivots: in
     last = frequent(texts, rows, share or least)
     found = common.checkpointed(prefixes(counted(packed(texts, ranges, last), ranges), percent))
     labels = links_of(found.where("rep = doc_id"), texts, percent, rounds, pivots, enough)
-    # the set of a class within a batch stands for it until here; it may itself have another one
+    # the document that stands for a class within a task does so until here; it may itself have another one
     moved = found.where("rep <> doc_id").select(F.col("doc_id").alias("rep"), F.col("rep").alias("top"))
     out = found.select("doc_id", "n", "rep").join(moved, "rep", "left").select("doc_id", "n", F.coalesce("top", "rep").alias("id"))
     out = out.withColumn("label", F.col("id")) if labels is None else out.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
