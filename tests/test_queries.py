@@ -34,3 +34,21 @@ def test_whole_tables_enter(spark, sf_dir):
     kinds = {r["doc_id"]: r["kind"] for r in bindings.coverage_classes(spark, sf_dir).collect()}
     assert {r["doc_id"] for r in read("documents").collect()} == {k for k, kind in kinds.items() if kind != "extra"}
     assert bindings.coverage_report(spark, sf_dir).first()["expected"] == read("documents").count()
+
+
+def test_masked_pooling_as_its_sql_says(spark, tmp_path):
+    """Halves, negative zeros, numbers and vectors that are null or short, ids that are null or repeated."""
+    import duckdb
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    v = [float(x) for x in np.float32(r.standard_normal(64))]
+    whole = [*(1e-6 * r.standard_normal((200, 64))), *(r.integers(-64, 64, (500, 64)) / 128), np.full(64, -0.0)]
+    odd = [[None if i % 7 == 0 else x for i, x in enumerate(v)], None, [], v[:33], [None] * 64, [float("nan"), *v[1:]]]
+    rows = [*enumerate([[float(x) for x in np.float32(w)] for w in whole] + odd), (-1, v), (-1, v[::-1]), (None, v)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = {r["vec_id"]: repr((list(r["mean"]), list(r["largest"]))) for r in bindings.QUERIES["masked_pooling"](spark, str(tmp_path)).collect()}
+    want = {i: repr((list(m), list(x))) for i, m, x in con.sql(bindings.SQL["masked_pooling"]).fetchall()}
+    assert "-0.0" in want[700] and got == want

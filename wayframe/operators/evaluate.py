@@ -170,13 +170,14 @@ def vector_metric(rows: DataFrame, p: str, q: str, lambda_cos: float = 0.4) -> D
 
 
 def pooled(vectors: Column, mask: Column) -> Column:
-    """Struct of mean and largest, by component, of the vectors of an array whose mask is true; zeros where none is. Vectors are of one width."""
+    """Struct of mean and largest, by component, of the vectors of an array whose mask is true; zeros where none is. Vectors are of one width. Numbers that are null
+    take no part; a component that has no other is null."""
     kept = F.transform(F.filter(F.arrays_zip(vectors.alias("v"), mask.alias("m")), lambda x: F.coalesce(x["m"], F.lit(False))), lambda x: x["v"])
     zero = F.transform(F.get(vectors, F.lit(0)), lambda x: F.lit(0.0))
 
     def both(k: Column) -> Column:
         of = lambda f: F.transform(F.get(k, F.lit(0)), lambda _, i: f(F.transform(k, lambda v: F.get(v, i).cast("double"))))
-        mean = of(lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a))
+        mean = of(lambda a: let(F.filter(a, lambda x: x.isNotNull()), lambda v: F.try_divide(F.aggregate(v, F.lit(0.0), lambda s, x: s + x), F.size(v))))
         some = F.size(k) > 0
         return F.struct(F.when(some, mean).otherwise(zero).alias("mean"), F.when(some, of(F.array_max)).otherwise(zero).alias("largest"))
 

@@ -68,6 +68,14 @@ def points(v: str, n: int = 32):
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(F.get(v, 2 * i).cast("double").alias("x"), F.get(v, 2 * i + 1).cast("double").alias("y")))
 
 
+def places(c, n: int = 6):
+    """A double of n places by the rule of the SQL's round: c * 10 ** n to a whole number, halves away from zero, and a negative zero stays. F.round takes the
+    decimal text of c and has no negative zero."""
+    y = (F.col(c) if isinstance(c, str) else c) * 10.0**n
+    whole = F.rint(y)
+    return F.when((y > 0) & (y - whole == 0.5), whole + 1).when((y < 0) & (y - whole == -0.5), whole - 1).otherwise(whole) / 10.0**n
+
+
 def r6(c):
     return F.round(c, 6)
 
