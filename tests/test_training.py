@@ -96,6 +96,29 @@ def test_training_is_the_same_for_any_partitions_and_learns(spark):
     assert len(out) == 120 and out[3] == pytest.approx(list(T.forward(results[0][0], x[3:4])[-1][0]))
 
 
+@pytest.mark.parametrize("size", [2, 30, 7, 500])
+def test_a_step_reads_the_partitions_of_its_batch_only(spark, monkeypatch, size):
+    monkeypatch.setattr(T, "PART", 8)
+    df, x, y = data(spark)
+    layers = T.first_layers((6, 8, 8, 3), 5)
+    packed, parts, together = T.laid_out(B.mini_batches(T.usable(df), size, "id", 5, 1), 120, size)
+    order, seen = sorted(range(120), key=lambda i: hashlib.md5(f"5:1:{i}".encode()).hexdigest()), spark.sparkContext.accumulator(0)
+
+    def counted(r):
+        seen.add(r["n"])
+        return r
+
+    rdd = packed.persist().rdd.map(counted)
+    for k in range(-(-120 // size)):
+        at, before = order[k * size : (k + 1) * size], seen.value
+        n, mse, cos, gradient = T.batch_sums(rdd, k, parts, together, layers, 0.4)
+        m, c, g = T.sums_of(layers, x[at], y[at], 0.4)
+        assert (n, mse, cos) == (len(at), pytest.approx(m / n), pytest.approx(c / n)) and gradient == pytest.approx(g / n, abs=1e-12)
+        assert seen.value - before <= max(8, size)
+    assert (parts, together) == {2: (1, 4), 7: (1, 1), 30: (4, 1), 500: (15, 1)}[size]
+    packed.unpersist()
+
+
 def test_nothing_to_train_on(spark):
     df = data(spark)[0]
     with pytest.raises(ValueError, match="usable rows"):

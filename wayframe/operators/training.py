@@ -1,8 +1,9 @@
 """Training of the student network: gradients of a batch as sums over tasks, steps on the driver.
 
-Rows are (id, x, y): a history and the teacher's vector. In each step every task adds up the gradients of its rows of the batch, and sums of a fixed size, the
-network's own, are added up in two levels before one row reaches the driver, which clips and takes a step of Adam. Results are those of one
-machine up to the rounding of sums, however rows are partitioned.
+Rows are (id, x, y): a history and the teacher's vector. An epoch's rows are laid out once, batch after batch, and a step is a job over the partitions that hold
+its batch only, so its work does not grow with the data: each of these tasks adds up the gradients of its rows of the batch, and sums of a fixed size, the
+network's own, reach the driver, which clips and takes a step of Adam. A batch has SALTS parts at most, each read as a stream. Results are those of
+one machine up to the rounding of sums, however rows are partitioned.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import RDD
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.kinematics import finite
@@ -20,8 +22,10 @@ from .batches import mini_batches
 
 Layers = list[tuple[np.ndarray, np.ndarray]]
 SUMS = "salt int, n long, mse double, cos double, gradient binary"
-#: Groups in which the sums of tasks are added up before the last sum.
+#: Groups in which the sums of tasks are added up before the last sum, and the most parts of a batch.
 SALTS = 64
+#: Rows of a part of a batch, until it has SALTS parts, and of a partition of several small batches.
+PART = 4096
 TINY = 1e-8
 
 
@@ -108,6 +112,50 @@ def step_sums(rows: DataFrame, layers: Layers, lambda_cos: float, with_gradient:
     return n, sum(r["mse"] for r in found) / n, sum(r["cos"] for r in found) / n, sum((np.frombuffer(r["gradient"]) for r in found), np.zeros(size)) / n
 
 
+PACKED = "batch long, n long, x binary, y binary"
+
+
+def laid_out(mixed: DataFrame, rows: int, size: int) -> tuple[DataFrame, int, int]:
+    """(PACKED, parts, together) of mini_batches() of `size` rows, `rows` in all: batches as matrices of rows of doubles. If batches are large, each has `parts`
+    partitions and `together` is 1; if they are small, each partition holds `together` of them whole."""
+    parts, together = max(1, min(SALTS, -(-min(size, rows) // PART))), max(1, PART // size)
+    batches = -(-rows // size)
+
+    def pack(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in found:
+            if not b.num_rows:
+                continue
+            at = b.column("batch").to_numpy()
+            x, y = (b.column(c).flatten().to_numpy().reshape(b.num_rows, -1) for c in ("x", "y"))
+            for k in np.unique(at).tolist():
+                mine = at == k
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k], pa.int64()), pa.array([int(mine.sum())], pa.int64()), pa.array([x[mine].tobytes()], pa.binary()), pa.array([y[mine].tobytes()], pa.binary())], names=["batch", "n", "x", "y"]
+                )
+
+    part = F.floor(F.col("batch") / together) * parts + F.col("place") % parts
+    placed = mixed.withColumn("_part", part.cast("int")).repartitionById(-(-batches // together) * parts, "_part").sortWithinPartitions("_part", "batch")
+    return placed.select("batch", "x", "y").mapInArrow(pack, PACKED), parts, together
+
+
+def batch_sums(packed: RDD, batch: int, parts: int, together: int, layers: Layers, lambda_cos: float) -> tuple[int, float, float, np.ndarray]:
+    """(n, mean mse, mean cos, mean gradient) of one batch of laid_out(), in one job over its partitions."""
+
+    def run(rows: Iterator[Row]) -> Iterator[tuple[int, float, float, np.ndarray]]:
+        n, mse, cos, gradient = 0, 0.0, 0.0, np.zeros(flat(layers).size)
+        for r in rows:
+            if r["batch"] == batch:
+                x, y = (np.frombuffer(r[c]).reshape(r["n"], -1) for c in ("x", "y"))
+                m, c, g = sums_of(layers, x, y, lambda_cos)
+                n, mse, cos, gradient = n + r["n"], mse + m, cos + c, gradient + g
+        yield n, mse, cos, gradient
+
+    first = batch // together * parts
+    found = packed.context.runJob(packed, run, range(first, first + parts))
+    n = sum(f[0] for f in found)
+    return n, sum(f[1] for f in found) / n, sum(f[2] for f in found) / n, sum(f[3] for f in found) / n
+
+
 @dataclass
 class Adam:
     """Steps of Adam, with weight decay added to gradients that have been cut to a norm."""
@@ -147,7 +195,7 @@ def train_student(
     """The weights of the epoch with the least validation metric, the earlier one on ties, and HISTORY.
 
     train, validation: (id, x, y), standardised; rows that are not usable() take no part, and none left is an error. Batches are drawn anew each epoch; a step is a job
-    over its batch, so on large data take large batches. The metric is mse + lambda_cos (1 - cos).
+    over its batch, steps follow each other, so on large data take large batches. The metric is mse + lambda_cos (1 - cos).
     """
     rows, tests = usable(train).persist(), usable(validation).persist()
     try:
@@ -157,13 +205,14 @@ def train_student(
         layers = first_layers((widths[0], hidden, hidden, widths[2]), seed)
         values, adam, history, best = flat(layers), Adam(rate, decay, most), [], None
         for epoch in range(1, epochs + 1):
-            mixed = mini_batches(rows, batch, "id", seed, epoch).persist()
+            packed, parts, together = laid_out(mini_batches(rows, batch, "id", seed, epoch), widths[4], batch)
+            packed.persist().count()
             seen, mse, cos = 0, 0.0, 0.0
             for k in range(-(-widths[4] // batch)):
-                n, m, c, g = step_sums(mixed.where(F.col("batch") == k), shaped(values, layers), lambda_cos)
+                n, m, c, g = batch_sums(packed.rdd, k, parts, together, shaped(values, layers), lambda_cos)
                 values = adam.step(values, g)
                 seen, mse, cos = seen + n, mse + n * m, cos + n * c
-            mixed.unpersist()
+            packed.unpersist()
             mse, cos = mse / seen, cos / seen
             _, val_mse, val_cos, _ = step_sums(tests, shaped(values, layers), lambda_cos, with_gradient=False)
             metric = val_mse + lambda_cos * (1 - val_cos)
