@@ -28,6 +28,21 @@ def plain_step(p, c):
     return means, d.min(1).sum()
 
 
+@pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 20000])
+def test_nearest_is_that_of_all_centres_and_few_are_compared(n, monkeypatch):
+    r = np.random.default_rng(n)
+    for p in (r.standard_normal((n, 2)), r.integers(-3, 4, (n, 2)).astype(float), np.full((n, 2), 7.0)):
+        for c in (r.standard_normal((64, 2)), r.integers(-3, 4, (200, 2)).astype(float), np.array([[1e9, 0.0]])):
+            d = (p[:, :1] - c[:, 0]) ** 2 + (p[:, 1:] - c[:, 1]) ** 2
+            at, d2 = C.nearest(p, c)
+            assert at.tolist() == d.argmin(1).tolist() and d2.tolist() == d.min(1).tolist()
+    if n == 20000:
+        compared, put = [], np.copyto
+        monkeypatch.setattr(C.np, "copyto", lambda to, v, where: (compared.append(where.size), put(to, v, where=where)))
+        C.nearest(r.standard_normal((n, 2)), r.standard_normal((64, 2)))
+        assert sum(compared) / 2 < n * 64 / 3
+
+
 def test_rounds_of_all_starts_by_brute_force(spark):
     _, p = groups()
     r = np.random.default_rng(0)

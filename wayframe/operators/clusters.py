@@ -39,20 +39,73 @@ def uniform(h: np.ndarray, start: int, turn: int) -> np.ndarray:
     return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / 2.0**53 + 2.0**-54
 
 
-def nearest(points: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The centre of each point, the first one on ties, and the squared distance; as sums of squares, so equal points give equal results."""
+#: Points of a tile, and points that are cut into tiles at a time.
+TILE, POOL = 64, 65536
+
+
+def tiles(points: np.ndarray) -> np.ndarray:
+    """[tiles, TILE]: places of points in strips by x and in each strip by y, so that those of a tile are near each other; the last place fills up."""
+    n = -(-len(points) // TILE)
+    strips = max(1, round(n**0.5))
+    strip = np.empty(len(points), dtype=np.int64)
+    strip[np.argsort(points[:, 0], kind="stable")] = np.arange(len(points)) * strips // max(1, len(points))
+    order = np.lexsort((points[:, 1], strip))
+    return np.r_[order, order[-1:].repeat(n * TILE - len(order))].reshape(n, TILE)
+
+
+def nearest(points: np.ndarray, centres: np.ndarray, tiled: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The centre of each point, the first one on ties, and the squared distance; as sums of squares, so equal points give equal results.
+
+    A tile's points are compared with those centres only that are no farther from its box than the box is, at most, from the nearest one. Rounding keeps order in
+    differences, squares and sums, so what is left out is farther than what is found. tiled: of tiles(), where several sets of centres share them.
+    """
     at, d2 = np.zeros(len(points), dtype=np.int64), np.zeros(len(points))
-    step = max(1, 4_000_000 // max(1, len(centres)))
-    for a in range(0, len(points), step):
-        p = points[a : a + step]
-        d = (p[:, :1] - centres[:, 0]) ** 2 + (p[:, 1:] - centres[:, 1]) ** 2
-        at[a : a + step] = d.argmin(1)
-        d2[a : a + step] = d[np.arange(len(p)), at[a : a + step]]
+    if not len(points):
+        return at, d2
+    tiled = tiles(points) if tiled is None else tiled
+    step = max(1, 1_000_000 // max(1, len(centres)))
+    for a in range(0, len(tiled), step):
+        places = tiled[a : a + step]
+        x, y = points[places, 0], points[places, 1]
+        inner, outer = 0.0, 0.0
+        for v, c in ((x, centres[:, 0]), (y, centres[:, 1])):
+            lo, hi = v.min(1)[:, None] - c, v.max(1)[:, None] - c
+            inner = inner + np.maximum(np.maximum(lo, -hi), 0) ** 2
+            outer = outer + np.maximum(np.abs(lo), np.abs(hi)) ** 2
+        near = inner <= outer.min(1)[:, None]
+        many = near.sum(1)
+        # centres of a tile in their order, those left out last
+        of = np.argsort(~near, axis=1, kind="stable")
+        for rows in np.array_split(np.argsort(many, kind="stable"), 8):
+            if len(rows):
+                px, py, best = x[rows], y[rows], np.full((len(rows), TILE), np.inf)
+                found = np.broadcast_to(of[rows, :1], best.shape).copy()
+                for j in range(many[rows].max()):
+                    c = of[rows, j][:, None]
+                    d = (px - centres[c, 0]) ** 2 + (py - centres[c, 1]) ** 2
+                    less = d < best
+                    np.copyto(best, d, where=less)
+                    np.copyto(found, c, where=less)
+                at[places[rows]], d2[places[rows]] = found, best
     return at, d2
 
 
-def arrays(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    return b.column("h").to_numpy(), np.column_stack([b.column("x").to_numpy(), b.column("y").to_numpy()])
+def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes and points of some POOL rows at a time, and none that are empty: more points make closer tiles."""
+    held, n = [], 0
+
+    def taken() -> tuple[np.ndarray, np.ndarray]:
+        h, x, y = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("h", "x", "y"))
+        return h, np.column_stack([x, y])
+
+    for b in batches:
+        if b.num_rows:
+            held, n = [*held, b], n + b.num_rows
+        if n >= POOL:
+            yield taken()
+            held, n = [], 0
+    if n:
+        yield taken()
 
 
 def assigned(points: DataFrame, centres: list[np.ndarray]) -> DataFrame:
@@ -60,14 +113,17 @@ def assigned(points: DataFrame, centres: list[np.ndarray]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], list] = {}
-        for b in batches:
-            h, p = arrays(b)
+        for h, p in arrays(batches):
+            tiled = tiles(p)
             for s, c in enumerate(centres):
-                at, d2 = nearest(p, c)
+                at, d2 = nearest(p, c, tiled)
                 n, k = np.bincount(at, minlength=len(c)), len(c)
                 x, y, cost = (np.bincount(at, v, k) for v in (p[:, 0], p[:, 1], d2))
-                order = np.lexsort((-h, d2, at))
-                last = order[np.r_[at[order][1:] != at[order][:-1], True]] if len(order) else order
+                most = np.full(k, -1.0)
+                np.maximum.at(most, at, d2)
+                far = np.flatnonzero(d2 == most[at])
+                order = far[np.lexsort((-h[far], at[far]))]
+                last = order[np.r_[at[order][1:] != at[order][:-1], True]]
                 for i in last.tolist():
                     j = int(at[i])
                     new, old = (d2[i], -h[i], *p[i]), held.get((s, j))
@@ -90,13 +146,16 @@ def drawn(points: DataFrame, centres: list[np.ndarray | None], many: int, turn:
         from pyspark import TaskContext
 
         salt, best = TaskContext.get().partitionId() % 256, [(np.zeros(0), np.zeros(0, dtype=np.int64), np.zeros((0, 2)))] * len(centres)
-        for b in batches:
-            h, p = arrays(b)
+        for h, p in arrays(batches):
+            tiled = tiles(p)
             for s, c in enumerate(centres):
-                weight = np.ones(len(p)) if c is None else nearest(p, c)[1]
+                weight = np.ones(len(p)) if c is None else nearest(p, c, tiled)[1]
                 with np.errstate(divide="ignore"):
                     key = -np.log(uniform(h, seed + s, turn)) / weight
-                key, hs, ps = (np.concatenate(v) for v in zip(best[s], (key[weight > 0], h[weight > 0], p[weight > 0])))
+                some = weight > 0
+                if many < len(p):
+                    some &= key <= np.partition(key, many - 1)[many - 1]
+                key, hs, ps = (np.concatenate(v) for v in zip(best[s], (key[some], h[some], p[some])))
                 order = np.lexsort((hs, key))[:many]
                 best[s] = key[order], hs[order], ps[order]
         for s, (key, h, p) in enumerate(best):
