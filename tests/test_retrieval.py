@@ -49,3 +49,23 @@ def test_matrix_checks():
             N.checked_matrix(bad)
     with pytest.raises(ValueError):
         N.checked_matrix(np.array([[1.0], [0.0]]), nonzero=True)
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+def test_a_block_of_queries_keeps_k_rows_of_all_blocks_of_the_index(spark, monkeypatch, metric):
+    r = np.random.default_rng(3)
+    v = r.integers(-2, 3, (300, 3)) + 0.5
+    df = spark.createDataFrame([(i, str(i % 5), [float(x) for x in v[i]]) for i in range(300)], "id long, grp string, v array<double>")
+    made, put = [], type(df).mapInPandas
+    monkeypatch.setattr(type(df), "mapInPandas", lambda d, *a: made.append(put(d, *a)) or made[-1])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = found(N.knn(df, df, 3, metric, block=40))
+        assert made[-1].count() == 900
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    unit = v / np.sqrt((v * v).sum(1, keepdims=True))
+    for i in range(300):
+        d = np.sqrt(((v - v[i]) ** 2).sum(1)) if metric == "euclidean" else np.maximum(1 - (unit * unit[i]).sum(1), 0)
+        d[np.arange(300) % 5 == i % 5] = np.inf
+        assert [g[2] for g in got if g[0] == i] == np.lexsort((np.arange(300), d))[:3].tolist()

@@ -55,7 +55,8 @@ def knn(
     Ids are whole numbers or texts, of one kind on both sides; rows without an id take no part. Vectors must have one width, finite numbers and, under cosine, a
     length above zero: others are an error. Queries with fewer than k neighbours have fewer rows, or, with pad, rows up to k without neighbour at an infinite distance.
 
-    Both sides are packed into blocks of rows; a pair of blocks is one matrix product, and what it returns is k rows a query.
+    Both sides are packed into blocks of rows; a pair of blocks is one matrix product. A task that meets a block of queries with several blocks of the index, one after
+    the other, keeps k rows a query of all of them, so what is shuffled does not grow with the pairs.
     Neither side is broadcast or held whole. Products only choose candidates, within a bound of their rounding of the k-th; the
     distances of these are sums over components in double precision, so equal vectors are equally far.
     """
@@ -82,43 +83,73 @@ def knn(
 
     pairs = packed(index, ni, "i").withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long")))).join(packed(queries, nq, "q"), "q")
 
+    def least(row: np.ndarray, ids: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The first k of each row, by distance, then id."""
+        order = np.lexsort((ids, d, row))
+        row = row[order]
+        order = order[np.arange(len(row)) - np.searchsorted(row, row) < k]
+        return np.sort(row[np.arange(len(row)) - np.searchsorted(row, row) < k]), ids[order], d[order]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # what is found so far for the block of queries at hand: a pair of blocks adds only what may be nearer
+        block_of, mine, best = None, np.zeros(0), []
+
+        def held() -> Iterator[pd.DataFrame]:
+            for at, (row, near, far) in zip(range(0, len(mine), 256), best):
+                yield pd.DataFrame({"query_id": mine[at + row], "neighbor_id": near, "distance": far})
+
         for b in batches:
             for r in b.itertuples():
-                ids, mine = np.array(r.i_ids), np.array(r.q_ids)
+                ids = np.array(r.i_ids)
+                if r.q != block_of:
+                    yield from held()
+                    block_of, mine = r.q, np.array(r.q_ids)
+                    best = [(np.zeros(0, dtype=np.int64), ids[:0], np.zeros(0)) for _ in range(0, len(mine), 256)]
                 x, q = np.frombuffer(r.i_v).reshape(len(ids), -1), np.frombuffer(r.q_v).reshape(len(mine), -1)
                 names, both = np.unique([g or "" for g in (*r.i_grp, *r.q_grp)], return_inverse=True)
                 both[[g is None for g in (*r.i_grp, *r.q_grp)]] = -1  # rows without a group exclude none
                 groups, own = both[: len(ids)], both[len(ids) :]
+                same = np.isin(mine, ids)
                 if metric == "cosine":
                     unit = lambda m: m / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-300)
                     x, q = unit(x), unit(q)
                 xx = (x * x).sum(1)
                 # of a sum of n products, rounding is at most about n eps |a| |b|, and a square's terms are at most (|a| + |b|)^2
                 eps = (8 * x.shape[1] + 64) * np.finfo(float).eps
-                for at in range(0, len(mine), 256):
+                for turn, at in enumerate(range(0, len(mine), 256)):
                     part = q[at : at + 256]
                     pp = (part * part).sum(1)
+                    d = part @ x.T
                     if metric == "cosine":
-                        d, slack = 1 - part @ x.T, np.full(len(part), eps)
+                        np.subtract(1, d, out=d)
+                        slack = np.full(len(part), eps)
                     else:
-                        d = pp[:, None] + xx - 2 * part @ x.T
+                        d *= -2
+                        d += pp[:, None] + xx
                         slack = eps * (np.sqrt(pp) + np.sqrt(xx[np.isfinite(xx)].max(initial=0))) ** 2
-                    if exclude_self:
-                        d[mine[at : at + 256, None] == ids] = np.inf
+                    if exclude_self and same[at : at + 256].any():
+                        again = np.flatnonzero(same[at : at + 256])
+                        d[again] = np.where(mine[at + again, None] == ids, np.inf, d[again])
                     if exclude_group:
                         d[(own[at : at + 256, None] == groups) & (groups >= 0)] = np.inf
-                    m = min(k, len(ids))
-                    kth = np.partition(d, m - 1, axis=1)[:, m - 1]
+                    # the k-th of the least of pieces is not below the k-th of all
+                    cuts = np.arange(0, len(ids), max(1, min(64, len(ids) // k)))
+                    pieces = np.minimum.reduceat(d, cuts, axis=1)
+                    m = min(k, len(cuts))
+                    kth = np.partition(pieces, m - 1, axis=1)[:, m - 1] if len(cuts) >= k else np.full(len(part), np.inf)
                     kth[np.isnan(kth)] = np.inf
-                    found = []
-                    for i, most in enumerate(kth + 2 * slack):
-                        row = np.flatnonzero((d[i] <= most) & np.isfinite(d[i]))
-                        exact = np.maximum(1 - (x[row] * part[i]).sum(1), 0) if metric == "cosine" else np.sqrt(((x[row] - part[i]) ** 2).sum(1))
-                        best = np.lexsort((ids[row], exact))[:k]
-                        found.append((ids[row[best]], exact[best]))
-                    near, far = (np.concatenate([f[c] for f in found]) for c in (0, 1))
-                    yield pd.DataFrame({"query_id": np.repeat(mine[at : at + 256], [len(f[0]) for f in found]), "neighbor_id": near, "distance": far})
+                    row, near, far = best[turn]
+                    full = np.flatnonzero(np.bincount(row, minlength=len(part)) == k)
+                    last = far[np.searchsorted(row, full, "right") - 1]
+                    kth[full] = np.minimum(kth[full], last if metric == "cosine" else last**2)
+                    at_row, at_id = np.divmod(np.flatnonzero((d <= (kth + 2 * slack)[:, None]) & (d < np.inf)), len(ids))
+                    # in pieces, as many may be as near
+                    for a in range(0, len(at_row), 65536):
+                        i, j = at_row[a : a + 65536], at_id[a : a + 65536]
+                        exact = np.maximum(1 - (x[j] * part[i]).sum(1), 0) if metric == "cosine" else np.sqrt(((x[j] - part[i]) ** 2).sum(1))
+                        row, near, far = least(np.r_[row, i], np.concatenate([near, ids[j]]), np.r_[far, exact])
+                    best[turn] = row, near, far
+        yield from held()
 
     hits = pairs.mapInPandas(run, f"query_id {kind}, neighbor_id {kind}, distance double")
     order = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
