@@ -52,3 +52,25 @@ def test_masked_pooling_as_its_sql_says(spark, tmp_path):
     got = {r["vec_id"]: repr((list(r["mean"]), list(r["largest"]))) for r in bindings.QUERIES["masked_pooling"](spark, str(tmp_path)).collect()}
     want = {i: repr((list(m), list(x))) for i, m, x in con.sql(bindings.SQL["masked_pooling"]).fetchall()}
     assert "-0.0" in want[700] and got == want
+
+
+def test_samples_of_followed_users_as_their_sql_says(spark, tmp_path):
+    """Users below zero, over the borders of blocks, far apart, of one sample, and null ones, which follow nobody."""
+    import duckdb
+
+    users = [*range(-70, -55), *range(-3, 4), *range(55, 75), 127, 128, 134, 1000, None]
+    rows = [(1000 * i + j, 60 * j, u, "view", float((7 * i + 13 * j) % 300)) for i, u in enumerate(users) for j in range(10 + 5 * (i % 3))]
+    e = spark.createDataFrame(rows, "event_id long, s long, user_id long, event_type string, value double").selectExpr("event_id", "timestamp_seconds(s) AS ts", "user_id", "event_type", "value")
+    e.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    # the id of a vehicle is positive, which the SQL of retrieval_vectors does not ask
+    for name, where in (("history_features", "true"), ("retrieval_vectors", "user_id > 0")):
+        got = sorted((repr(r["user_id"]), r["sample"], r["vector"]) for r in bindings.QUERIES[name](spark, str(tmp_path)).where(where).collect())
+        assert got == sorted((repr(u), s, v) for u, s, v in con.sql(f"select user_id, sample, vector from ({bindings.SQL[name]}) where {where}").fetchall())
+
+
+def test_rules_read_what_is_made_once(spark, sf_dir):
+    """Spark used to write the history into the filter on the error and again into each column that reads it."""
+    plan = bindings.QUERIES["retrieval_vectors"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(", -10, 10)") == 2

@@ -117,12 +117,16 @@ def wrapped(angle: Column) -> Column:
     return F.pmod(angle + math.pi, F.lit(2 * math.pi)) - math.pi
 
 
+def turned(dx: Column, dy: Column, c: Column, s: Column) -> tuple[Column, Column]:
+    """Forward and left components in a frame whose heading has cosine c and sine s."""
+    return c * dx + s * dy, c * dy - s * dx
+
+
 def rotated(dx: Column, dy: Column, yaw: Column) -> tuple[Column, Column]:
     """Forward and left components in a frame of the given heading."""
-    c, s = F.cos(yaw), F.sin(yaw)
-    return c * dx + s * dy, c * dy - s * dx
+    return turned(dx, dy, F.cos(yaw), F.sin(yaw))
 
 
 def finite(x: Column) -> Column:
     """Neither null, NaN nor infinite; NaN compares as the largest number in Spark."""
-    return F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))
+    return F.coalesce(F.abs(x) < float("inf"), F.lit(False))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import let
-from ..functions.kinematics import KMH, finite, heading, rotated, wrapped
+from ..functions.kinematics import KMH, finite, heading, rotated, turned
 from ..functions.text import identifier
 from .frames import aligned, present_loose, present_strict, tail_window
 
@@ -35,12 +35,19 @@ def finite_or_zero(v: Column) -> Column:
     return F.when(finite(v), v).otherwise(0.0)
 
 
+def once(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """rows with the columns, each computed once a row: Spark writes a projection into every filter and column that reads it, but no generator."""
+    made = rows.withColumn("_once", F.explode(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+    return made.withColumns({k: F.col("_once")[k] for k in columns}).drop("_once")
+
+
 def zeroed(frames: Column, fields=tuple(NEIGHBOR)) -> Column:
     """Frames with `valid`: a positive id and a finite place. All fields of other frames are 0, and so are fields that are not finite."""
 
     def row(r: Column) -> Column:
-        ok = finite(r["id"]) & F.coalesce(r["id"] > 0, F.lit(False)) & finite(r["x"]) & finite(r["y"])
-        return F.struct(*[F.when(ok & finite(r[k]), r[k]).otherwise(0.0).alias(k) for k in fields], ok.alias("valid"))
+        ok = finite(r["id"]) & (r["id"] > 0) & finite(r["x"]) & finite(r["y"])
+        known = F.struct(*[(r[k] if k in ("id", "x", "y") else finite_or_zero(r[k])).alias(k) for k in fields], F.lit(True).alias("valid"))
+        return F.when(ok, known).otherwise(F.struct(*[F.lit(0.0).alias(k) for k in fields], F.lit(False).alias("valid")))
 
     return F.transform(frames, row)
 
@@ -65,15 +72,15 @@ def adapted(raw: DataFrame, steps: int = 10, statuses: tuple[int, ...] | None =
     statuses: the lane_status that are allowed (any integer by default); future_rows: rows that the future must have.
     """
     none = F.array().cast(MATRIX)
-    tail = lambda c, columns: F.slice(named(c, columns), -steps, steps)
+    tail = lambda c, columns: named(F.slice(c, -steps, steps), columns)
     lacks = lambda c, n: F.coalesce(F.exists(c, lambda r: F.coalesce(F.size(r), F.lit(0)) < n), F.lit(False))
     few = lambda c: F.coalesce(F.size(c), F.lit(0)) < steps
     tails = lambda c, columns: F.when(~few(c), tail(c, columns))
-    roles = [zeroed(tail_window(named(F.coalesce(F.col(f"ctx.{r}"), none), NEIGHBOR), steps)) for r in ROLES]
-    made = raw.withColumns({
+    roles = [zeroed(named(tail_window(F.coalesce(F.col(f"ctx.{r}"), none), steps), NEIGHBOR)) for r in ROLES]
+    # the rules read these often; the neighbours are made of good samples only, for no rule reads them
+    made = once(raw, {
         "history": tails(F.col("x_hist"), HISTORY),
         "_ego": tails(F.col("ctx.ego"), EGO),
-        "neighbors": F.array(*roles),
         "future": F.transform("y_future", lambda r: F.struct(F.get(r, F.lit(0)).alias("x"), F.get(r, F.lit(1)).alias("y"))),
     })
     number = lambda c: finite(F.col(c))
@@ -102,7 +109,8 @@ def adapted(raw: DataFrame, steps: int = 10, statuses: tuple[int, ...] | None =
     frame = F.rint(F.try_element_at("_ego", F.lit(-1))["frame"]).cast("long").cast("string")
     key = F.concat_ws(":", identifier(F.col("scenario_id")), identifier(F.col("traj_id")), F.coalesce(frame, F.lit("")))
     ego = F.transform("_ego", lambda r: F.struct(*[finite_or_zero(r[k]).alias(k) for k in EGO]))
-    return made.withColumns({"sample_id": key, "event_id": identifier(F.col("scenario_id")), "status": status.try_cast("int"), "ego": ego, "error": error}).drop("_ego")
+    new = {"neighbors": F.array(*roles), "sample_id": key, "event_id": identifier(F.col("scenario_id")), "status": status.try_cast("int"), "ego": ego, "error": error}
+    return made.withColumns(new).drop("_ego")
 
 
 def unwrapped(v: Column, kind: str, layers: int = 3) -> Column:
@@ -184,13 +192,14 @@ def agent_tensor(history: Column, neighbors: Column) -> Column:
 
     def build(o: Column) -> Column:
         def features(r: Column) -> Column:
-            yaw = wrapped(r["yaw"] - o["yaw"])
-            return F.array(*rotated(r["x"] - o["x"], r["y"] - o["y"], o["yaw"]), *rotated(r["lon_v"], r["lat_v"], o["yaw"]), r["acc"], F.sin(yaw), F.cos(yaw))
+            yaw = r["yaw"] - o["yaw"]
+            return F.array(*turned(r["x"] - o["x"], r["y"] - o["y"], o["c"], o["s"]), *turned(r["lon_v"], r["lat_v"], o["c"], o["s"]), r["acc"], F.sin(yaw), F.cos(yaw))
 
         others = F.transform(neighbors, lambda a: F.transform(a, lambda r: F.when(r["valid"], features(r)).otherwise(F.array(*[F.lit(0.0)] * 7))))
         return F.concat(F.array(F.transform(history, features)), others)
 
-    return let(F.try_element_at(history, F.lit(-1)), build)
+    origin = lambda o: F.struct(o["x"].alias("x"), o["y"].alias("y"), o["yaw"].alias("yaw"), F.cos(o["yaw"]).alias("c"), F.sin(o["yaw"]).alias("s"))
+    return let(F.try_element_at(history, F.lit(-1)), lambda o: let(origin(o), build))
 
 
 def agent_mask(history: Column, neighbors: Column) -> Column:
@@ -202,31 +211,31 @@ def agent_mask(history: Column, neighbors: Column) -> Column:
 def lane_boundaries(ego: Column, default: float = 3.9, sides: int = 1) -> Column:
     """Sideways places of the lane's own boundaries and of `sides` lanes on each side, sorted; a lane is as wide as the median plausible width."""
 
-    def build(widths: Column) -> Column:
-        n, last = F.size(widths), F.try_element_at(ego, F.lit(-1))
+    def build(widths: Column, last: Column) -> Column:
+        n = F.size(widths)
         at = lambda i: F.get(widths, i.cast("int"))
         width = F.coalesce((at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2, F.lit(default))
         own = lambda k, w: F.when(finite(last[k]) & (last[k] > 0), last[k]).otherwise(w / 2)
         return let(width, lambda w: F.array_sort(F.flatten(F.array(*[F.array(-own("upper", w) - i * w, own("lower", w) + i * w) for i in range(sides + 1)]))))
 
     plausible = F.filter(F.transform(ego, lambda r: r["upper"] + r["lower"]), lambda w: finite(w) & (w > 1.5) & (w < 8.0))
-    return let(F.array_sort(plausible), build)
+    return let(F.try_element_at(ego, F.lit(-1)), lambda last: let(F.sort_array(plausible), lambda widths: build(widths, last)))
 
 
 def lane_lines(ego: Column, behind: float = 35.0, ahead: float = 55.0, n: int = 20, default: float = 3.9, sides: int = 1) -> Column:
     """[boundaries, n, 2]: points of each boundary at even places from behind to ahead."""
-    places = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.lit(-behind) + i * ((behind + ahead) / (n - 1)))
+    places = F.array(*[F.lit(-behind + i * ((behind + ahead) / (n - 1))) for i in range(n)])
     return F.transform(lane_boundaries(ego, default, sides), lambda y: F.transform(places, lambda x: F.array(x, y)))
 
 
 def retrieval_vector(history: Column, ego: Column, neighbors: Column, behind: float = 35.0, ahead: float = 55.0, n: int = 20) -> Column:
     """Agents, their mask, lane lines and the mask of these in one flat array: 490 + 70 + 160 + 80 numbers for ten steps."""
 
-    def join(lines: Column) -> Column:
-        ones = F.transform(F.flatten(lines), lambda p: F.lit(1.0))
-        return F.concat(F.flatten(F.flatten(agent_tensor(history, neighbors))), F.flatten(agent_mask(history, neighbors)), F.flatten(F.flatten(lines)), ones)
+    def join(lines: Column, others: Column) -> Column:
+        ones = F.array_repeat(F.lit(1.0), F.size(lines) * n)
+        return F.concat(F.flatten(F.flatten(agent_tensor(history, others))), F.flatten(agent_mask(history, others)), F.flatten(F.flatten(lines)), ones)
 
-    return let(lane_lines(ego, behind, ahead, n), join)
+    return let(lane_lines(ego, behind, ahead, n), lambda lines: let(neighbors, lambda others: join(lines, others)))
 
 
 def local_future(future: Column, history: Column, n: int) -> Column:

@@ -73,7 +73,7 @@ def places(c, n: int = 6):
     decimal text of c and has no negative zero."""
     y = (F.col(c) if isinstance(c, str) else c) * 10.0**n
     whole = F.rint(y)
-    return F.when((y > 0) & (y - whole == 0.5), whole + 1).when((y < 0) & (y - whole == -0.5), whole - 1).otherwise(whole) / 10.0**n
+    return F.when(F.abs(y - whole) == 0.5, y + F.signum(y) * 0.5).otherwise(whole) / 10.0**n
 
 
 def r6(c):
@@ -538,27 +538,30 @@ h AS (SELECT user_id, t // 10 AS sample, count(*) AS n, list(x ORDER BY t) AS xs
 def raw_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples in the columns of S.RAW, with user_id and sample: the six users that follow are the neighbours, a user's next sample the future.
 
-    Each sample goes to the users that it is a neighbour of, so a group holds seven samples at most.
+    Users are dealt by blocks of 64 that follow each other, and the first six of a block also go to the block before, so a group holds 70 samples at most.
     """
+    user, most = F.col("user_id"), len(S.ROLES)
+    block = lambda u: F.shiftright(u, 6)
     row = F.struct("t", "x", "y", "v", "lat_v", "acc", "yaw", "lane_u")
-    h = _samples(spark, sf_dir).groupBy("user_id", "sample").agg(F.array_sort(F.collect_list(row)).alias("a"))
+    h = _samples(spark, sf_dir).groupBy("user_id", "sample").agg(F.sort_array(F.collect_list(row)).alias("a"))
     h = h.withColumn("next", F.lead("a").over(Window.partitionBy("user_id").orderBy("sample")))
-    sent = h.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(len(S.ROLES))))).select((F.col("user_id") - F.col("k")).alias("user_id"), "sample", "k", "a", F.when(F.col("k") == 0, F.col("next")).alias("next"))
-    of = lambda k: F.max_by("a", F.when(F.col("k") == k, 1))
-    met = sent.groupBy("user_id", "sample").agg(*[of(k).alias(f"a{k}") for k in range(len(S.ROLES) + 1)], F.max_by("next", F.when(F.col("k") == 0, 1)).alias("next")).where("a0 is not null")
+    sent = h.withColumn("block", F.explode(F.array_distinct(F.array(block(user), block(user - most)))))
+    follow = Window.partitionBy("sample", "block").orderBy("user_id").rangeBetween(1, most)
+    met = sent.withColumn("near", F.collect_list(F.when(user.isNotNull(), F.struct("user_id", "a"))).over(follow)).where(F.col("block").eqNullSafe(block(user)))
+    met = met.withColumn("near", F.map_from_entries("near"))
     zero, uid = F.lit(0.0), F.col("user_id").cast("double")
-    near = lambda k: F.transform(f"a{k}", lambda r: F.array(uid + k, F.lit(1.0), r["x"], r["y"], r["v"], r["lat_v"], r["acc"], r["yaw"]))
-    ego = F.transform("a0", lambda r: F.array(uid, F.lit(1.0), r["t"].cast("double"), r["x"], r["y"], r["y"], r["lane_u"], *[zero] * 8, r["lat_v"], r["v"], r["acc"], r["yaw"]))
+    near = lambda k: F.transform(F.try_element_at("near", user + k), lambda r: F.array(uid + k, F.lit(1.0), r["x"], r["y"], r["v"], r["lat_v"], r["acc"], r["yaw"]))
+    ego = F.transform("a", lambda r: F.array(uid, F.lit(1.0), r["t"].cast("double"), r["x"], r["y"], r["y"], r["lane_u"], *[zero] * 8, r["lat_v"], r["v"], r["acc"], r["yaw"]))
     return met.select(
         "user_id", "sample", uid.alias("scenario_id"), F.col("sample").cast("double").alias("traj_id"), (uid % 4).alias("lane_status"), F.col("sample").cast("double").alias("time_since_crossing"),
-        F.transform("a0", lambda r: F.array(r["x"], r["y"], r["v"], r["lat_v"], r["acc"], r["yaw"])).alias("x_hist"), F.struct(ego.alias("ego"), *[near(k).alias(r) for k, r in enumerate(S.ROLES, 1)]).alias("ctx"),
+        F.transform("a", lambda r: F.array(r["x"], r["y"], r["v"], r["lat_v"], r["acc"], r["yaw"])).alias("x_hist"), F.struct(ego.alias("ego"), *[near(k).alias(r) for k, r in enumerate(S.ROLES, 1)]).alias("ctx"),
         F.transform("next", lambda r: F.array(r["x"], r["y"])).alias("y_future"),
     )
 
 
 def rounded(a):
     """Numbers of six places, without a negative zero."""
-    return F.transform(a, lambda x: F.round(x, 6) + 0.0)
+    return F.transform(a, lambda x: places(x) + 0.0)
 
 
 @query(HISTORIES + """,
